@@ -25,6 +25,7 @@ class Interactions:
     items: OrdinalEncoder
     user: str
     item: str
+    n_cells: int
     gram_table: DataFrame | None = None
 
     @property
@@ -35,10 +36,6 @@ class Interactions:
     def n_users(self) -> int:
         return self.cells.select("u").distinct().count()
 
-    @cached_property
-    def n_cells(self) -> int:
-        return self.cells.count()
-
     @property
     def gram(self) -> DataFrame:
         """Upper triangle of X'X, made once and shared by every grid point."""
@@ -62,16 +59,18 @@ def prepare(df: DataFrame, user: str, item: str, rating: str, binarize: bool) ->
 
     Users need no index of their own: no operator addresses them by position. Summing
     comes before the partitioning, so a user with many repeated rows shrinks to at most
-    one cell per item before any shuffle on the user.
+    one cell per item before any shuffle on the user. The source is read once.
     """
     if binarize:
         df = binarize_rating(df, rating, BINARIZE_ABOVE)
-    summed = user_item(df, user, item, rating).withColumnRenamed("i", item)
-    encoder = OrdinalEncoder(item).fit(df)
-    cells = (
-        encoder.transform(summed)
-        .select("u", F.col(item).alias("i"), "v")
+    summed = (
+        user_item(df, user, item, rating)
+        .withColumnRenamed("i", item)
         .repartition("u")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return Interactions(cells, encoder, user, item)
+    encoder = OrdinalEncoder(item).fit(summed)
+    cells = encoder.transform(summed).select("u", F.col(item).alias("i"), "v").persist(StorageLevel.MEMORY_AND_DISK)
+    data = Interactions(cells, encoder, user, item, cells.count())
+    summed.unpersist()
+    return data

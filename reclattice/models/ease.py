@@ -44,10 +44,11 @@ class EASE:
         """Tiles ``(bi, bj, tile)`` of B."""
         if not self.l2_reg > 0:
             raise ValueError("EASE needs l2_reg > 0: the Gram matrix alone may be singular")
-        width = T.tile_width(data.n_items, self.tile)
-        packed = T.pack(data.gram, data.n_items, width, self.l2_reg)
-        negative = T.negative_inverse(packed, data.n_items, width)
-        return _normalised(T.mirrored(negative, data.n_items, width), data.n_items, width)
+        n, width = data.n_items, T.tile_width(data.n_items, self.tile)
+        if T.tile_count(n, width) == 1:
+            return T.pack(data.gram, n, width, self.l2_reg, _solved_tile)
+        negative = T.negative_inverse(T.pack(data.gram, n, width, self.l2_reg), n, width)
+        return _normalised(negative, n, width)
 
     def weights(self, data: Interactions) -> DataFrame:
         """Long form ``(i, j, b)`` over encoded items."""
@@ -63,24 +64,33 @@ class EASE:
         return self.recommend(self.prepare(df))
 
 
+def _solved_tile(values: np.ndarray) -> np.ndarray:
+    """B of a catalogue that fits one tile."""
+    inverse = np.linalg.inv(values)
+    weights = np.nan_to_num(inverse / -np.diag(inverse))
+    np.fill_diagonal(weights, 0.0)
+    return weights
+
+
 def _normalised(negative: DataFrame, n_items: int, width: int) -> DataFrame:
-    """``B[i,j] = -P[i,j] / P[j,j]`` with a zero diagonal, from all tiles of ``-P``. Every
-    tile of a column stripe gets the diagonal tile of that stripe."""
-    blocks = T.tile_count(n_items, width)
+    """``B[i,j] = -P[i,j] / P[j,j]`` with a zero diagonal, from the upper tiles of ``-P``.
+    Every tile of a column stripe gets the diagonal tile of that stripe."""
+    last = F.lit(T.tile_count(n_items, width) - 1).cast("long")
 
     def scale(table: pa.Table) -> pa.Table:
         bi, bj = T.first_valid(table, "bi"), T.first_valid(table, "bj")
         parts = dict(zip(table.column("role").to_pylist(), table.column("tile").to_pylist()))
-        diagonal = np.diag(T.tile_array(parts["diagonal"], bj, bj, n_items, width))
-        own = T.tile_array(parts["diagonal" if bi == bj else "own"], bi, bj, n_items, width)
-        weights = np.nan_to_num(own / -diagonal)
+        diagonal = T.tile_array(parts["diagonal"], bj, bj, n_items, width)
+        own = diagonal if bi == bj else T.tile_array(parts["own"], bi, bj, n_items, width)
+        weights = np.nan_to_num(own / -np.diag(diagonal))
         if bi == bj:
             np.fill_diagonal(weights, 0.0)
         return T.tile_table(bi, bj, weights)
 
-    own = negative.filter(F.col("bi") != F.col("bj")).select("bi", "bj", "tile", F.lit("own").alias("role"))
+    off_diagonal = negative.filter(F.col("bi") != F.col("bj"))
+    own = T.mirrored(off_diagonal, n_items, width).withColumn("role", F.lit("own"))
     diagonal = negative.filter(F.col("bi") == F.col("bj")).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bi"),
+        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bi"),
         "bj", "tile", F.lit("diagonal").alias("role"),
     )
     return own.unionByName(diagonal).groupBy("bi", "bj").applyInArrow(scale, "bi long, bj long, tile binary")

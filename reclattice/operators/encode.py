@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclattice.session import broadcast_if_small, checkpointed, shuffle_partitions
@@ -17,8 +17,8 @@ def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[Da
     """(mapping[column, name], number of values).
 
     A range-partitioned sort gives every partition a contiguous slice; the index is the
-    row number inside the slice plus the sizes of the slices before it. Only one number per
-    partition goes through the single-task running sum.
+    row number inside the slice plus the sizes of the slices before it. The driver sees one
+    size per shuffle partition.
     """
     parts = shuffle_partitions(df.sparkSession)
     ordered = checkpointed(
@@ -28,16 +28,13 @@ def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[Da
         .select(column, F.shiftright("_row", _ROW_BITS).alias("_part"),
                 F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"))
     )
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    )
-    # At most one row per shuffle partition.
-    mapping = ordered.join(F.broadcast(offsets), "_part").select(
-        column, (F.col("_offset") + F.col("_row")).alias(name)
-    )
-    return mapping, ordered.count()
+    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    offset = F.get(F.array(*[F.lit(n) for n in before]), F.col("_part").cast("int"))
+    return ordered.select(column, (offset + F.col("_row")).cast("long").alias(name)), total
 
 
 class OrdinalEncoder:

@@ -20,7 +20,7 @@ _SCORES_AT_ONCE = 4_000_000
 
 
 def user_blocks(spark, n_cells: int) -> int:
-    return max(2 * parallelism(spark), -(-n_cells // _CELLS_PER_BLOCK))
+    return max(parallelism(spark), -(-n_cells // _CELLS_PER_BLOCK))
 
 
 def _block(blocks: int):

@@ -6,14 +6,21 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from reclattice.functions.columns import prefix_size
 from reclattice.operators.ranking import HOT_ROWS, hot_keys, repeat_rows, weighted_positions
 
 
 class Split(NamedTuple):
+    """Both sides, and the persisted rows they are derived from."""
+
     train: DataFrame
     test: DataFrame
+    rows: DataFrame
+
+    def release(self) -> None:
+        self.rows.unpersist()
 
 
 def _window_counts(df, test_size, mode, user, item, rating, timestamp) -> DataFrame:
@@ -67,10 +74,15 @@ def chronological_split(
     (user, item, rating), so copies of a triple fan out and a triple with any copy in train
     is absent from test. ``mode="positional"`` puts every row on exactly one side. Ties in
     time are broken by item, then rating.
+
+    Users with more than ``hot_rows`` rows are ranked by ranges instead of in one window
+    task. The rows are persisted, so the look for such users, the train side and the test
+    side read the source once.
     """
     if mode not in ("triple", "positional"):
         raise ValueError(f"unknown split mode {mode!r}")
     names = (test_size, mode, user, item, rating, timestamp)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     hot = hot_keys(df, user, hot_rows)
     counts = _window_counts(hot.without(df, user), *names)
     train, test = (repeat_rows(counts.drop(drop), keep) for drop, keep in (("_test", "_train"), ("_train", "_test")))
@@ -78,4 +90,4 @@ def chronological_split(
         counts = _range_counts(hot.only(df, user), hot.rows, hot_rows, *names)
         train = train.unionByName(repeat_rows(counts.drop("_test"), "_train", spread=True))
         test = test.unionByName(repeat_rows(counts.drop("_train"), "_test", spread=True))
-    return Split(train, test)
+    return Split(train, test, df)

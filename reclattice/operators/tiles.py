@@ -61,9 +61,10 @@ def upper_positions(spark: SparkSession, blocks: int) -> DataFrame:
     )
 
 
-def pack(upper: DataFrame, n_items: int, width: int, ridge: float) -> DataFrame:
+def pack(upper: DataFrame, n_items: int, width: int, ridge: float, finish=None) -> DataFrame:
     """Tiles of ``G + ridge * I`` from the upper triangle ``(i, j, g)``. A group holds at
-    most ``width * width`` entries; tiles without entries are made too, since the sweep fills them."""
+    most ``width * width`` entries; tiles without entries are made too, since the sweep fills
+    them. ``finish`` is applied to each tile's array."""
 
     def build(table: pa.Table) -> pa.Table:
         bi, bj = first_valid(table, "bi"), first_valid(table, "bj")
@@ -76,7 +77,7 @@ def pack(upper: DataFrame, n_items: int, width: int, ridge: float) -> DataFrame:
         if bi == bj:
             values = values + np.triu(values, 1).T
             values[np.diag_indices(rows)] += ridge
-        return tile_table(bi, bj, values)
+        return tile_table(bi, bj, values if finish is None else finish(values))
 
     entries = upper.select(
         F.floor(F.col("i") / width).alias("bi"), F.floor(F.col("j") / width).alias("bj"), "i", "j", "g"
@@ -158,15 +159,13 @@ def _swept(tiles: DataFrame, panel: DataFrame, k: int, blocks: int, n_items: int
 
 
 def negative_inverse(tiles: DataFrame, n_items: int, width: int) -> DataFrame:
-    """Tiles of ``-inverse(A)``. Each pivot step ends in a reliable checkpoint."""
+    """Tiles of ``-inverse(A)``. Every step ends in a reliable checkpoint, since the next
+    one reads its tiles several times."""
     blocks = tile_count(n_items, width)
+    tiles = checkpointed(tiles)
     for k in range(blocks):
-        panel = _pivot_panel(tiles, k, blocks, n_items, width)
-        if blocks > 1:
-            panel = checkpointed(panel)
-        tiles = _swept(tiles, panel, k, blocks, n_items, width)
-        if blocks > 1:
-            tiles = checkpointed(tiles)
+        panel = checkpointed(_pivot_panel(tiles, k, blocks, n_items, width))
+        tiles = checkpointed(_swept(tiles, panel, k, blocks, n_items, width))
     return tiles
 
 

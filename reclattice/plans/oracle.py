@@ -101,9 +101,9 @@ def ease(points: list[float], p: str = "") -> list[CTE]:
             list_transform(row, lambda x, pos1: CASE WHEN pos1 - 1 = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS row
             FROM {p}grow CROSS JOIN {p}grid"""),
         (f"{p}gj", f"""SELECT 0 AS k, gid, i, row FROM {p}aug UNION ALL
-            SELECT k + 1, gid, i, CASE WHEN i = k THEN list_transform(pivot, lambda x: x / pivot[k + 1])
-                ELSE list_transform(list_zip(row, pivot), lambda z: z[1] - row[k + 1] / pivot[k + 1] * z[2]) END
-            FROM (SELECT *, max(CASE WHEN i = k THEN row END) OVER (PARTITION BY gid) AS pivot FROM {p}gj)
+            SELECT k + 1, gid, i, CASE WHEN i = k THEN list_transform(prow, lambda x: x / prow[k + 1])
+                ELSE list_transform(list_zip(row, prow), lambda z: z[1] - row[k + 1] / prow[k + 1] * z[2]) END
+            FROM (SELECT *, max(CASE WHEN i = k THEN row END) OVER (PARTITION BY gid) AS prow FROM {p}gj)
             WHERE k < (SELECT n FROM {p}size)"""),
         (f"{p}inv", f"""SELECT gid, i, j, row[n + j + 1] AS x FROM {p}gj, {p}size, range(0, 100000) r(j)
             WHERE k = n AND j < n"""),
