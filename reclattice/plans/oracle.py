@@ -19,7 +19,8 @@ def statement(ctes: list[CTE], final: str) -> str:
     seen: dict[str, str] = {}
     for name, body in ctes:
         seen.setdefault(name, body)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({b})" for n, b in seen.items()) + "\n" + final
+    parts = [f"{n} AS {'' if ' UNION ALL' in b else 'MATERIALIZED '}({b})" for n, b in seen.items()]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
 
 # ---------------------------------------------------------------- inputs
@@ -105,8 +106,8 @@ def ease(points: list[float], p: str = "") -> list[CTE]:
                 ELSE list_transform(list_zip(row, prow), lambda z: z[1] - row[k + 1] / prow[k + 1] * z[2]) END
             FROM (SELECT *, max(CASE WHEN i = k THEN row END) OVER (PARTITION BY gid) AS prow FROM {p}gj)
             WHERE k < (SELECT n FROM {p}size)"""),
-        (f"{p}inv", f"""SELECT gid, i, j, row[n + j + 1] AS x FROM {p}gj, {p}size, range(0, 100000) r(j)
-            WHERE k = n AND j < n"""),
+        (f"{p}inv", f"""SELECT gid, i, j, row[n + j + 1] AS x FROM (
+            SELECT gid, i, row, n, unnest(range(0, n)) AS j FROM {p}gj JOIN {p}size ON k = n)"""),
         (f"{p}b", f"""SELECT a.gid, a.i, a.j, CASE WHEN a.i = a.j THEN 0.0 ELSE -a.x / d.x END AS b
             FROM {p}inv a JOIN {p}inv d ON d.gid = a.gid AND d.i = a.j AND d.j = a.j"""),
     ]
@@ -128,8 +129,8 @@ def slim(points: list[tuple[float, float]], p: str = "", sweeps: int = 80, posit
             FROM (SELECT s.*, q.i, q.row, q.row[s.j + 1] - list_dot_product(q.row, s.w) + q.row[q.i + 1] * s.w[q.i + 1] AS pull
                 FROM {p}cd s JOIN {p}gn q ON q.i = s.step % (SELECT n FROM {p}size))
             WHERE step < {sweeps} * (SELECT n FROM {p}size)"""),
-        (f"{p}b", f"""SELECT gid, i, j, w[i + 1] AS b FROM {p}cd, range(0, 100000) r(i), {p}size
-            WHERE step = {sweeps} * n AND i < n AND w[i + 1] > 1e-9"""),
+        (f"{p}b", f"""SELECT * FROM (SELECT gid, unnest(range(0, n)) AS i, j, unnest(w) AS b
+            FROM {p}cd JOIN {p}size ON step = {sweeps} * n) WHERE b > 1e-9"""),
     ]
 
 
@@ -190,7 +191,7 @@ def recommended(mask: str, k: int, p: str = "", users_items: bool = True) -> lis
     ]
 
 
-RECS = 'SELECT "user", item, round(scores, 6) + 0.0 AS scores, rank FROM recs'
+RECS = 'SELECT "user", item, scores, rank FROM recs'
 
 
 # ---------------------------------------------------------------- metrics

@@ -95,7 +95,7 @@ def als(**changes) -> ALS:
 
 
 def recs_out(recs: DataFrame) -> DataFrame:
-    return recs.select("user", "item", rounded(F.col("scores"), 6).alias("scores"), F.col("rank").cast("long").alias("rank"))
+    return recs.select("user", "item", "scores", F.col("rank").cast("long").alias("rank"))
 
 
 def panel_out(panel: DataFrame) -> DataFrame:
