@@ -14,11 +14,11 @@ from reclattice.models.base import Interactions, prepare
 from reclattice.operators.matrix import both_triangles
 from reclattice.operators.ranking import union_all
 from reclattice.operators.scoring import recommend_sparse
-from reclattice.session import checkpointed, parallelism
+from reclattice.session import broadcast_if_small, checkpointed, parallelism
 
 # Targets solved together in one task call; they share the rows of the Gram table.
 _TARGETS_PER_BLOCK = 64
-_TOLERANCE = 1e-10
+_TOLERANCE = 1e-14
 _MAX_SWEEPS = 100_000
 _WEIGHT_SCHEMA = "i long, j long, b double"
 
@@ -83,15 +83,16 @@ def fit_weights(data: Interactions, ratio: float, positive_only: bool = True) ->
     off_diagonal = full.filter(F.col("i") != F.col("j"))
     candidates = off_diagonal.filter(F.abs("g") > bound).select("i", "j")
     if positive_only and data.cells.agg(F.min("v")).first()[0] >= 0:
-        return _solve(full, candidates, n, ratio, positive_only).filter(F.col("b") > 0)
+        return _solve(full, candidates, data.n_items, n, ratio, positive_only).filter(F.col("b") > 0)
     candidates = checkpointed(candidates)
     while True:
-        weights = checkpointed(_solve(full, candidates, n, ratio, positive_only))
+        weights = checkpointed(_solve(full, candidates, data.n_items, n, ratio, positive_only))
         missed = _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only)
         missed = checkpointed(missed)
         if missed.isEmpty():
             return weights.filter(F.col("b") > 0)
-        candidates = checkpointed(candidates.unionByName(missed))
+        both_ways = missed.unionByName(missed.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        candidates = checkpointed(candidates.unionByName(both_ways).distinct())
 
 
 def _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only) -> DataFrame:
@@ -108,23 +109,25 @@ def _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only
     return gradient.filter(size > ratio + 1e-9).select("i", "j").join(candidates, ["i", "j"], "left_anti")
 
 
-def _solve(full: DataFrame, candidates: DataFrame, n: int, ratio: float, positive_only: bool) -> DataFrame:
+def _solve(
+    full: DataFrame, candidates: DataFrame, n_items: int, n: int, ratio: float, positive_only: bool
+) -> DataFrame:
     """Solve blocks of targets, each with the Gram rows of its candidate items.
 
     A block's rows are cut to its own candidates and targets before they are shipped. For
     0/1 cells an item needs more than ``n * ratio`` users to be a candidate at all, so there
     are fewer than (mean row length / ratio) of them, whatever the number of users.
     """
-    targets = candidates.select("j").distinct()
-    n_targets = targets.count()
-    blocks = max(1, min(n_targets, max(parallelism(full.sparkSession), -(-n_targets // _TARGETS_PER_BLOCK))))
+    at_least = parallelism(full.sparkSession)
+    blocks = max(1, min(n_items, max(at_least, -(-n_items // _TARGETS_PER_BLOCK))))
     block = F.pmod(F.xxhash64("j"), F.lit(blocks)).alias("block")
     members = candidates.select(block, "i").distinct()
     wanted = candidates.select(block, F.col("i").alias("ci"), F.col("j").alias("cj"))
-    used = candidates.select("i").distinct()
+    # Candidate pairs come in both directions, so candidates and targets are one set.
+    used = broadcast_if_small(candidates.select("i").distinct(), n_items, 16)
     rows = (
         full.join(used, "i", "left_semi")
-        .join(used.unionByName(targets.withColumnRenamed("j", "i")).distinct().withColumnRenamed("i", "j"), "j", "left_semi")
+        .join(used.withColumnRenamed("i", "j"), "j", "left_semi")
         .groupBy("i")
         .agg(F.collect_list("j").alias("cols"), F.collect_list("g").alias("vals"))
     )
@@ -163,7 +166,7 @@ def coordinate_descent(
     square: np.ndarray, linear: np.ndarray, allowed: np.ndarray, ratio: float, positive_only: bool
 ) -> np.ndarray:
     """Minimise ``w'Gw/2 - w'c + ratio |w|_1 + (1 - ratio) |w|^2 / 2`` for every column c of
-    ``linear`` at once, over the allowed coordinates, to a step below 1e-10."""
+    ``linear`` at once, over the allowed coordinates, until no step exceeds the tolerance."""
     weights = np.zeros(linear.shape)
     curvature = np.diag(square) + (1.0 - ratio)
     active = np.flatnonzero(allowed.any(axis=1) & (curvature > 0))

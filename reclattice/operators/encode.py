@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclattice.session import broadcast_if_small, checkpointed, shuffle_partitions
+from reclattice.session import broadcast_if_small, checkpointed
 
 # monotonically_increasing_id keeps the row number inside a partition in its low bits.
 _ROW_BITS = 33
@@ -20,10 +20,9 @@ def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[Da
     row number inside the slice plus the sizes of the slices before it. The driver sees one
     size per shuffle partition.
     """
-    parts = shuffle_partitions(df.sparkSession)
     ordered = checkpointed(
         df.select(column).distinct()
-        .repartitionByRange(parts, column).sortWithinPartitions(column)
+        .repartitionByRange(column).sortWithinPartitions(column)
         .withColumn("_row", F.monotonically_increasing_id())
         .select(column, F.shiftright("_row", _ROW_BITS).alias("_part"),
                 F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"))

@@ -112,7 +112,7 @@ def _outer_sums(n_items: int):
     return run
 
 
-def _tile_sums(n_items: int):
+def _tile_sums(width: int):
     """Task body for wide rows: cells arrive sorted by (a, b, u) where (a, b) is a pair of
     item tiles; one dense tile product is summed over the users before it is sent."""
 
@@ -121,10 +121,8 @@ def _tile_sums(n_items: int):
 
         def close_row():
             nonlocal total
-            if row is None:
-                return
-            left, right = row
-            total += np.outer(left, right)
+            if row is not None:
+                total += np.outer(*row)
 
         def close_tile():
             close_row()
@@ -133,7 +131,7 @@ def _tile_sums(n_items: int):
             a, b = key
             grid = np.triu(total) if a == b else total
             rows, cols = np.nonzero(grid)
-            yield _pair_batch(rows + a * WIDE_ROW, cols + b * WIDE_ROW, grid[rows, cols])
+            yield _pair_batch(rows + a * width, cols + b * width, grid[rows, cols])
 
         for batch in batches:
             a, b, u = _column(batch, "a"), _column(batch, "b"), _column(batch, "u")
@@ -145,35 +143,35 @@ def _tile_sums(n_items: int):
                 if key != (a[lo], b[lo]):
                     yield from close_tile()
                     key, row, row_user = (a[lo], b[lo]), None, None
-                    total = np.zeros((WIDE_ROW, WIDE_ROW))
+                    total = np.zeros((width, width))
                 if row is None or row_user != u[lo]:
                     close_row()
-                    row, row_user = (np.zeros(WIDE_ROW), np.zeros(WIDE_ROW)), u[lo]
-                tile = i[lo:hi] // WIDE_ROW
+                    row, row_user = (np.zeros(width), np.zeros(width)), u[lo]
+                tile = i[lo:hi] // width
                 for side, which in zip(row, key):
                     mine = tile == which
-                    side[i[lo:hi][mine] - which * WIDE_ROW] = v[lo:hi][mine]
+                    side[i[lo:hi][mine] - which * width] = v[lo:hi][mine]
         yield from close_tile()
 
     return run
 
 
-def gram(x: DataFrame, n_items: int) -> DataFrame:
+def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW) -> DataFrame:
     """Upper triangle (``i <= j``) of ``X'X`` as ``(i, j, g)`` with ``g = sum_u v_ui * v_uj``.
 
     ``x`` has one row per (u, i) with ``i`` a dense index. Work is the sum of squared row
-    lengths; rows wider than ``WIDE_ROW`` are cut into item tiles and each pair of tiles is
+    lengths; rows wider than ``wide_row`` are cut into item tiles and each pair of tiles is
     its own piece of work, so one very active user is spread over the cluster.
     """
     narrow, wide_part = x, None
-    if n_items > WIDE_ROW:
-        wide = x.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WIDE_ROW).select("u")
+    if n_items > wide_row:
+        wide = x.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > wide_row).select("u")
         count = wide.count()
         if count:
             side = F.broadcast(wide) if count <= HOT_KEYS_BROADCAST else wide
             narrow = x.join(side, "u", "left_anti")
-            tile = F.floor(F.col("i") / WIDE_ROW)
-            last = (n_items - 1) // WIDE_ROW
+            tile = F.floor(F.col("i") / wide_row)
+            last = (n_items - 1) // wide_row
             pieces = (
                 x.join(side, "u", "left_semi")
                 .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(last))))
@@ -181,7 +179,7 @@ def gram(x: DataFrame, n_items: int) -> DataFrame:
                 .repartition("a", "b", F.pmod(F.xxhash64("u"), F.lit(64)))
                 .sortWithinPartitions("a", "b", "u")
             )
-            wide_part = pieces.mapInArrow(_tile_sums(n_items), _GRAM_SCHEMA)
+            wide_part = pieces.mapInArrow(_tile_sums(wide_row), _GRAM_SCHEMA)
     sums = narrow.select("u", "i", "v").repartition("u").sortWithinPartitions("u", "i").mapInArrow(
         _outer_sums(n_items), _GRAM_SCHEMA
     )

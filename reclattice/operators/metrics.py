@@ -21,8 +21,10 @@ def metric_panel(
     timestamp: str = "timestamp",
     variant: str = "positional",
     idcg: str = "worst",
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row with ``recall@k`` and ``ndcg@k`` for every k.
+    """One row with ``recall@k`` and ``ndcg@k`` for every k, or one per group of ``by``
+    columns of ``pred`` (several models judged in one pass).
 
     Means run over the users found on both sides. recall is the share of a user's distinct
     test items found in the first k predictions. ndcg compares position by position: the
@@ -31,8 +33,8 @@ def metric_panel(
     value may exceed 1; ``idcg="ideal"`` puts them first, and ``variant="standard"`` counts
     a prediction when it is anywhere in the test set.
     """
-    per_user = user_metrics(pred, true, ks, user, item, scores, timestamp, variant, idcg)
-    return per_user.agg(*[F.avg(f"`{c}`").alias(c) for c in metric_names(ks)])
+    per_user = user_metrics(pred, true, ks, user, item, scores, timestamp, variant, idcg, by)
+    return per_user.groupBy(*by).agg(*[F.avg(f"`{c}`").alias(c) for c in metric_names(ks)])
 
 
 def metric_names(ks: tuple[int, ...] = KS) -> list[str]:
@@ -40,7 +42,7 @@ def metric_names(ks: tuple[int, ...] = KS) -> list[str]:
 
 
 def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", timestamp="timestamp",
-                 variant="positional", idcg="worst") -> DataFrame:
+                 variant="positional", idcg="worst", by=()) -> DataFrame:
     """Per-user values behind ``metric_panel``.
 
     No step gathers one user's test rows: their number comes from combined counts, set
@@ -50,9 +52,9 @@ def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", t
         raise ValueError(f"unknown ndcg variant {variant!r} / {idcg!r}")
     longest = max(ks)
     ranked = top_k(
-        pred.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(scores).alias("s")),
-        ["u"], [F.desc_nulls_last("s"), F.col("i")], longest, "r",
-    ).select("u", "i", "r")
+        pred.select(*by, F.col(user).alias("u"), F.col(item).alias("i"), F.col(scores).alias("s")),
+        [*by, "u"], [F.desc_nulls_last("s"), F.col("i")], longest, "r",
+    ).select(*by, "u", "i", "r")
     rows = true.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(timestamp).alias("t"))
     items = rows.groupBy("u", "i").agg(F.count(F.lit(1)).alias("n"))
     sizes = items.groupBy("u").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_rows"))
@@ -62,7 +64,7 @@ def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", t
         found = found.join(order, ["u", "r"], "left").withColumn("hit", (F.col("i") == F.col("a")).cast("int"))
     else:
         found = found.withColumn("hit", F.col("in_set"))
-    found = found.select("u", "r", F.coalesce("in_set", F.lit(0)).alias("in_set"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    found = found.select(*by, "u", "r", F.coalesce("in_set", F.lit(0)).alias("in_set"), F.coalesce("hit", F.lit(0)).alias("hit"))
     sums = []
     for k in ks:
         near = F.col("r") <= k
@@ -71,7 +73,7 @@ def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", t
             F.sum(F.when(near, F.col("hit")).otherwise(0)).alias(f"hits{k}"),
             F.sum(F.when(near & (F.col("hit") == 1), log_discount(F.col("r"))).otherwise(0.0)).alias(f"dcg{k}"),
         ]
-    per_user = found.groupBy("u").agg(*sums).join(sizes, "u")
+    per_user = found.groupBy(*by, "u").agg(*sums).join(sizes, "u")
     values = []
     for k in ks:
         hits, size = F.col(f"hits{k}"), F.col("n_rows" if variant == "positional" else "n_items")
@@ -86,7 +88,7 @@ def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", t
             (F.col(f"in{k}") / F.col("n_items")).alias(f"recall@{k}"),
             F.when(hits == 0, F.lit(0.0)).otherwise(F.col(f"dcg{k}") / best).alias(f"ndcg@{k}"),
         ]
-    return per_user.select(F.col("u").alias(user), *values)
+    return per_user.select(*by, F.col("u").alias(user), *values)
 
 
 def recall_k(pred: DataFrame, true: DataFrame, k: int, user="user", item="item", rating="scores") -> DataFrame:
