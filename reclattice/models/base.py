@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -27,6 +27,7 @@ class Interactions:
     item: str
     n_cells: int
     gram_table: DataFrame | None = None
+    held: list[DataFrame] = field(default_factory=list)
 
     @property
     def n_items(self) -> int:
@@ -40,18 +41,24 @@ class Interactions:
     def gram(self) -> DataFrame:
         """Upper triangle of X'X, made once and shared by every grid point."""
         if self.gram_table is None:
-            self.gram_table = gram(self.cells, self.n_items).persist(StorageLevel.MEMORY_AND_DISK)
+            self.gram_table = self.hold(gram(self.cells, self.n_items))
         return self.gram_table
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Persist a table derived from the cells until ``release``."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
     def decoded(self, top: DataFrame) -> DataFrame:
         """``(scores, user, item, rank)`` with the original ids, from ``(u, i, scores, rank)``."""
         named = top.select("scores", F.col("u").alias(self.user), F.col("i").alias(self.item), "rank")
         return self.items.inverse_transform(named).select("scores", self.user, self.item, "rank")
 
     def release(self) -> None:
-        self.cells.unpersist()
-        if self.gram_table is not None:
-            self.gram_table.unpersist()
+        for df in [self.cells, *self.held]:
+            df.unpersist()
+        self.held.clear()
+        self.gram_table = None
 
 
 def prepare(df: DataFrame, user: str, item: str, rating: str, binarize: bool) -> Interactions:

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from reclattice.models.base import Interactions, prepare
 from reclattice.operators.matrix import both_triangles
@@ -61,7 +60,7 @@ class SLIM:
 
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
-        weights = self.fit(data).persist(StorageLevel.MEMORY_AND_DISK)
+        weights = data.hold(self.fit(data))
         top = recommend_sparse(data, weights, weights.count(), self.top_k, mask)
         return data.decoded(top)
 

@@ -9,12 +9,12 @@ from reclattice.session import broadcast_if_small, checkpointed
 
 # monotonically_increasing_id keeps the row number inside a partition in its low bits.
 _ROW_BITS = 33
-# Assumed bytes of one mapping row (value and index) in the broadcast size check.
-_MAPPING_ROW_BYTES = 64
+# Bytes of a mapping row besides its value, in the broadcast size check.
+_ROW_BYTES = 40
 
 
-def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[DataFrame, int]:
-    """(mapping[column, name], number of values).
+def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[DataFrame, int, int]:
+    """(mapping[column, name], number of values, bytes of its longest row).
 
     A range-partitioned sort gives every partition a contiguous slice; the index is the
     row number inside the slice plus the sizes of the slices before it. The driver sees one
@@ -27,13 +27,16 @@ def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[Da
         .select(column, F.shiftright("_row", _ROW_BITS).alias("_part"),
                 F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"))
     )
-    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}
+    longest = F.coalesce(F.max(F.octet_length(F.col(column).cast("string"))), F.lit(0))
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), longest.alias("bytes")).collect()
+    sizes = {r["_part"]: r["n"] for r in parts}
+    row_bytes = _ROW_BYTES + max((r["bytes"] for r in parts), default=0)
     before, total = [], 0
     for part in range(max(sizes, default=0) + 1):
         before.append(total)
         total += sizes.get(part, 0)
     offset = F.get(F.array(*[F.lit(n) for n in before]), F.col("_part").cast("int"))
-    return ordered.select(column, (offset + F.col("_row")).cast("long").alias(name)), total
+    return ordered.select(column, (offset + F.col("_row")).cast("long").alias(name)), total, row_bytes
 
 
 class OrdinalEncoder:
@@ -43,13 +46,14 @@ class OrdinalEncoder:
         self.column = column
         self.mapping: DataFrame | None = None
         self.size = 0
+        self.row_bytes = 0
 
     def fit(self, df: DataFrame) -> "OrdinalEncoder":
-        self.mapping, self.size = dense_index(df, self.column)
+        self.mapping, self.size, self.row_bytes = dense_index(df, self.column)
         return self
 
     def _side(self) -> DataFrame:
-        return broadcast_if_small(self.mapping, self.size, _MAPPING_ROW_BYTES)
+        return broadcast_if_small(self.mapping, self.size, self.row_bytes)
 
     def transform(self, df: DataFrame) -> DataFrame:
         joined = df.join(self._side(), self.column, "left")

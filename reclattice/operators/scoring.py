@@ -16,11 +16,15 @@ from reclattice.session import BROADCAST_BYTES, parallelism
 # Scores are rounded before ranking, so the item order, not the summation order, breaks ties.
 SCORE_DIGITS = 9
 _CELLS_PER_BLOCK = 1_000_000
-_SCORES_AT_ONCE = 4_000_000
+# Small enough that the passes over a batch of scores stay in the processor cache.
+_SCORES_AT_ONCE = 500_000
 
 
-def user_blocks(spark, n_cells: int) -> int:
-    return max(parallelism(spark), -(-n_cells // _CELLS_PER_BLOCK))
+def user_blocks(spark, n_cells: int, model_bytes: int) -> int:
+    """Blocks of users. Every block is sent one copy of the model, so a small model allows
+    more blocks, which even out; a large one gets only as many as its cells ask for."""
+    even = 4 if model_bytes * 4 * parallelism(spark) <= BROADCAST_BYTES else 1
+    return max(even * parallelism(spark), -(-n_cells // _CELLS_PER_BLOCK))
 
 
 def _block(blocks: int):
@@ -95,7 +99,7 @@ def recommend_dense(data, weights: DataFrame, width: int, k: int, mask: str) ->
     items score table never exists outside a task.
     """
     n_items, stripes = data.n_items, tile_count(data.n_items, width)
-    blocks = user_blocks(data.cells.sparkSession, data.n_cells)
+    blocks = user_blocks(data.cells.sparkSession, data.n_cells, 8 * n_items * n_items)
 
     def score(cells: pa.Table, tiles: pa.Table) -> pa.Table:
         u_type = cells.schema.field("u").type
@@ -164,7 +168,7 @@ def recommend_factors(
     n_items = data.n_items
     width = max(1, min(n_items, BROADCAST_BYTES * 4 // (8 * n_factors)))
     stripes = tile_count(n_items, width)
-    blocks = user_blocks(data.cells.sparkSession, data.n_cells)
+    blocks = user_blocks(data.cells.sparkSession, data.n_cells, 8 * n_items * n_factors)
 
     def score(users: pa.Table, items: pa.Table) -> pa.Table:
         u_type = users.schema.field("u").type

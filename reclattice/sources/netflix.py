@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RATING_SCHEMA = "CustomerID long, Score double, Date string, MovieID long"
-
 
 def read_movie_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(CustomerID, Score, Date, MovieID) from files of movie headers and rating lines.
