@@ -29,7 +29,7 @@ def cumulative_discount(n: Column, longest: int) -> Column:
     for i in range(1, longest + 1):
         running += 1.0 / math.log2(i + 1)
         totals.append(running)
-    return F.get(F.array(*[F.lit(t) for t in totals]), n.cast("int"))
+    return F.get(F.expr("array(" + ", ".join(f"{t!r}D" for t in totals) + ")"), n.cast("int"))
 
 
 def plain_zero(value: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from reclattice.operators.encode import OrdinalEncoder
 from reclattice.operators.filters import binarize_rating
 from reclattice.operators.matrix import gram, user_item
+from reclattice.session import checkpointed
 
 # Threshold the models binarize at.
 BINARIZE_ABOVE = 3.5
@@ -37,6 +38,10 @@ class Interactions:
     def n_users(self) -> int:
         return self.cells.select("u").distinct().count()
 
+    @cached_property
+    def lowest(self) -> float:
+        return self.cells.agg(F.min("v")).first()[0]
+
     @property
     def gram(self) -> DataFrame:
         """Upper triangle of X'X, made once and shared by every grid point."""
@@ -77,7 +82,9 @@ def prepare(df: DataFrame, user: str, item: str, rating: str, binarize: bool) ->
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     encoder = OrdinalEncoder(item).fit(summed)
-    cells = encoder.transform(summed).select("u", F.col(item).alias("i"), "v").persist(StorageLevel.MEMORY_AND_DISK)
+    # Read many times: the checkpoint keeps a lost executor, and every later plan, off the source.
+    cells = checkpointed(encoder.transform(summed).select("u", F.col(item).alias("i"), "v"))
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     data = Interactions(cells, encoder, user, item, cells.count())
     summed.unpersist()
     return data

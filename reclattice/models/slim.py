@@ -60,7 +60,7 @@ class SLIM:
 
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
-        weights = data.hold(self.fit(data))
+        weights = checkpointed(self.fit(data))
         top = recommend_sparse(data, weights, weights.count(), self.top_k, mask)
         return data.decoded(top)
 
@@ -81,7 +81,7 @@ def fit_weights(data: Interactions, ratio: float, positive_only: bool = True) ->
     full = both_triangles(data.gram)
     off_diagonal = full.filter(F.col("i") != F.col("j"))
     candidates = off_diagonal.filter(F.abs("g") > bound).select("i", "j")
-    if positive_only and data.cells.agg(F.min("v")).first()[0] >= 0:
+    if positive_only and data.lowest >= 0:
         return _solve(full, candidates, data.n_items, n, ratio, positive_only).filter(F.col("b") > 0)
     candidates = checkpointed(candidates)
     while True:
