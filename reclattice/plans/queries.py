@@ -25,7 +25,7 @@ from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k,
 from reclattice.operators.ranking import top_k, union_all
 from reclattice.operators.scoring import score_pairs
 from reclattice.operators.split import Split, chronological_split
-from reclattice.plans.grid import GridResult, best_params, grid_search
+from reclattice.plans.grid import GridResult, best_params, grid_search, hold_out
 from reclattice.plans.report import append_report, compare_models, report_tables, wide_report
 from reclattice.session import scratch_path, ship_package
 from reclattice.sources import history as H
@@ -653,11 +653,13 @@ def history_curve(spark, sf):
 
 def _tuned(spark, sf, train) -> list[tuple]:
     """Each model with its winning parameters; final fits use raw ratings."""
+    held = hold_out(ease(), train)
     searches = [
-        (grid_search(als(), ALS_GRID, train), als(binarize=False)),
-        (grid_search(ease(), EASE_GRID, train), ease(binarize=False)),
-        (grid_search(slim(), SLIM_GRID, train), slim(binarize=False)),
+        (grid_search(als(), ALS_GRID, train, held_out=held), als(binarize=False)),
+        (grid_search(ease(), EASE_GRID, train, held_out=held), ease(binarize=False)),
+        (grid_search(slim(), SLIM_GRID, train, held_out=held), slim(binarize=False)),
     ]
+    held.release()
     tuned = []
     for result, model in searches:
         winners = best_params(result)
