@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclattice.llm import bpe, decontaminate, pii, token_files
-from reclattice.llm.common import table
+from reclattice.llm import bpe, decontaminate, language, pii, token_files, toxicity
+from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = held_out("doc_id", 4, 2)
+    model = toxicity.fit(toxicity.labelled(documents, table(spark, sf_dir, "labels"), ~kept))
+    return toxicity.score(documents, model).select("doc_id", kept.alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in ORC files, read back."""
@@ -95,3 +104,14 @@ def round_trip(documents: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    kept = held_out("doc_id", 5, 0)
+    model = language.fit(documents.filter(~kept).select("doc_id", "text", "lang"))
+    return language.predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", kept.alias("held_out"), "lang_pred", "score"
+    )
