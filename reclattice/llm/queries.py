@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclattice.llm import bpe, decontaminate, language, pii, token_files, toxicity
+from reclattice.llm import bpe, decontaminate, language, neardup, pii, token_files, toxicity
 from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
 
@@ -32,6 +32,34 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of near-duplicate documents on four-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.FOUR_WORDS)
+
+
+SQL["op3_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN least_of ON a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labelled ones that are not held out."""
@@ -98,7 +126,7 @@ def round_trip(documents: DataFrame) -> DataFrame:
     """doc_id with the count and hash of its ids and the hash of the decoded bytes."""
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
     encoded = bpe.encode(documents.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return bpe.decode(encoded, path, pattern).select(
+    return bpe.decode(encoded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

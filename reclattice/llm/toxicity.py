@@ -249,3 +249,14 @@ def labelled(documents: DataFrame, labels: DataFrame, learn) -> DataFrame:
     1 winning over 0."""
     once = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return documents.select("doc_id", "text").filter(learn).join(once, "doc_id")
+
+
+def reject(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` without the rows whose text the model labels toxic; columns are untouched."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = sent.value
+        return lambda texts: [pa.array([own.score(t) >= own.settings.threshold for t in texts.to_pylist()], pa.bool_())]
+
+    return add_columns(df, [text], "__toxic boolean", make).filter("not __toxic").drop("__toxic")
