@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclattice.llm import bpe, decontaminate, language, neardup, pii, token_files, toxicity
+from reclattice.llm import bpe, decontaminate, embeddings, language, neardup, pii, token_files, toxicity
 from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
 
@@ -81,6 +81,35 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and clusters of embeddings within a label."""
+    found = embeddings.cosine_links(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
+SQL["op7_embedding_links"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least_of ON least_of.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
