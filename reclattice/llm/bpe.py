@@ -23,9 +23,13 @@ from pyspark.sql import DataFrame
 from reclattice.llm.common import add_columns
 
 # Memoised pieces and pairs per Python worker; a full memo is emptied, which costs time only.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
+# Texts that are turned into Python strings at a time.
+GROUP = 256
 # Longer pieces are encoded but not remembered.
 MEMO_LENGTH = 64
+# Below this code point a word of letters, with at most one mark after it, needs no pattern.
+LATIN_END, MARKS = "\u0250", (".", ",")
 UNSAFE_SPACE = re.compile(r"[^\S \n]|  | \n|\n |\n\n")
 
 
@@ -42,39 +46,66 @@ class Codec:
         self.automaton.make_automaton()
         self.reach = max(map(len, ranks))
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Pieces(self)
-        self.words = Words(self)
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging, lowest rank first; used on one or two tokens at a time."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        self.splits: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[int, bool] = {}
+        self.memo = Memo(self)
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one last; None for a single byte, and (-1, -1)
+        for a token that plain merging of its own bytes never makes."""
+        known = self.splits.get(token, 0)
+        if known == 0:
+            parts = [bytes([b]) for b in self.bytes_of[token]]
+            known = None
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    rank = self.ranks.get(parts[i] + parts[i + 1])
+                    if rank is not None and (best is None or rank < best):
+                        best, at = rank, i
+                if best is None:
+                    known = (-1, -1)
+                    break
+                known = (self.ranks[parts[at]], self.ranks[parts[at + 1]])
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            self.splits[token] = known
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives exactly these two; ``left`` is -1 at
         the start of a piece, where the token must come out of its own bytes."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= MEMO_ENTRIES:
                 self.fits.clear()
-            if left < 0:
-                known = self.merged(self.bytes_of[right]) == [right]
-            else:
-                known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fits[key] = known
+            known = self.fits[key] = self._compatible(left, right)
         return known
 
+    def _compatible(self, left: int, right: int) -> bool:
+        """Takes the merges back, latest first. Should the ends that touch at some stage make a
+        token of a lower rank than the merge just undone, plain merging would have chosen it."""
+        ranks, bytes_of = self.ranks, self.bytes_of
+        if self.split(right) == (-1, -1):
+            return False
+        if left < 0:
+            return True
+        if self.split(left) == (-1, -1):
+            return False
+        bound = len(ranks) + 256
+        while True:
+            rank = ranks.get(bytes_of[left] + bytes_of[right])
+            if rank is not None and rank < bound:
+                return False
+            one, two = self.split(left), self.split(right)
+            if one is None and two is None:
+                return True
+            # Of equal merges the left one comes first, so it is undone last.
+            if two is None or (one is not None and left > right):
+                bound, left = left, one[1]
+            else:
+                bound, right = right + 1, two[0]
+
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
         known = self.shorter.get(token)
@@ -94,7 +125,7 @@ class Codec:
         longest = [rank for _, rank in self.automaton.iter_long(text)]
         last = -1
         for n, token in enumerate(longest):
-            if not (self.fits.get((last, token)) or self.compatible(last, token)):
+            if not self.compatible(last, token):
                 return self._step_back(text, longest[:n], token)
             last = token
         return longest
@@ -126,28 +157,30 @@ class Codec:
         if not text:
             return b""
         if UNSAFE_SPACE.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
+            return b"".join(map(self.memo.__getitem__, self.find(text)))
         # A single space or line break between two other characters always starts a match, so
         # the text may be cut there and each part, word and punctuation together, remembered.
         parts = text.replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
-        return b"".join(map(self.words.__getitem__, parts))
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.memo.__getitem__, parts))
 
 
-class Pieces(dict):
-    """Matches of the pattern -> id bytes."""
+class Memo(dict):
+    """Parts of texts, from a word with its marks to a single match -> id bytes."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
 
-    def work(self, key: str) -> bytes:
-        return np.array(self.codec.backtrack(key.encode()), "<i4").tobytes()
-
     def __missing__(self, key: str) -> bytes:
-        value = self.work(key)
+        word = key[1:] if key[:1] == " " else key
+        if word.isalpha() and max(word) < LATIN_END:
+            value = np.array(self.codec.backtrack(key.encode()), "<i4").tobytes()
+        elif word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
+            value = self[key[:-1]] + self[key[-1]]
+        else:
+            value = b"".join([
+                np.array(self.codec.backtrack(p.encode()), "<i4").tobytes() for p in self.codec.find(key)
+            ])
         if len(key) <= MEMO_LENGTH:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
@@ -155,14 +188,6 @@ class Pieces(dict):
         return value
 
 
-class Words(Pieces):
-    """Parts between spaces -> id bytes of their matches."""
-
-    def work(self, key: str) -> bytes:
-        pieces = self.codec.pieces
-        return b"".join([pieces[p] for p in self.codec.find(key)])
-
-
 def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
@@ -204,7 +229,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
         codec = codec_of(sent.value, pattern)
 
         def step(texts):
-            data = [codec.encode(t) if t else b"" for t in texts.to_pylist()]
+            # A few texts at a time, so that a batch is never held as Python strings.
+            data = [
+                codec.encode(t) if t else b""
+                for start in range(0, len(texts), GROUP) for t in texts.slice(start, GROUP).to_pylist()
+            ]
             offsets = np.zeros(len(data) + 1, np.int32)
             np.cumsum([len(d) // 4 for d in data], out=offsets[1:])
             values = np.frombuffer(b"".join(data), "<i4")
@@ -215,19 +244,19 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     return add_columns(df, [text], f"`{out}` array<int>", make)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the bytes of each id list (null: empty). Unknown ids raise KeyError."""
     sent = _ship(df, ranks_path)
 
     def make():
-        codec = codec_of(sent.value, pattern)
+        bytes_of = {rank: token for token, rank in parse_ranks(sent.value).items()}
 
         def step(lists):
-            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            found, at = [], 0
+            # One document's ids become Python integers at a time.
+            flat, found, at = lists.flatten().to_numpy(zero_copy_only=False), [], 0
             for n in lists.value_lengths().to_pylist():
                 n = n or 0
-                found.append(codec.decode(flat[at:at + n]))
+                found.append(b"".join(map(bytes_of.__getitem__, flat[at:at + n].tolist())))
                 at += n
             return [pa.array(found, pa.binary())]
 
