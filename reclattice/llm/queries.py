@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclattice.llm import bpe, decontaminate, embeddings, language, neardup, pii, token_files, toxicity
+from reclattice.llm import (
+    bpe, decontaminate, embeddings, language, neardup, pii, substrings, token_files, toxicity,
+)
 from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
 
@@ -32,6 +34,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that occurs more than once, with the documents it stands in."""
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of near-duplicate documents on four-word shingles."""

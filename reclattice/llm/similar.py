@@ -38,7 +38,8 @@ HELD_SETS = 64
 class Settings:
     """Sets of ``width``-word shingles are linked at Jaccard >= ``similarity``; ``sketch`` makes
     the sketcher, whose size is bands x rows. ``slack`` is how far below ``similarity`` an
-    estimate may fall before step 3 drops the pair (5.6 standard deviations by default)."""
+    estimate may fall before step 3 drops the pair (5.6 standard deviations at 128 coordinates).
+    ``one_text`` says that rows of one id have the same words, so any of them will do."""
 
     sketch: Callable
     bands: int
@@ -46,6 +47,7 @@ class Settings:
     width: int = 5
     similarity: Fraction = Fraction(4, 5)
     slack: float = 0.2
+    one_text: bool = False
 
     @property
     def size(self) -> int:
@@ -100,8 +102,11 @@ def verified(pairs: DataFrame, units: DataFrame, settings: Settings) -> DataFram
     """
     ship_package(pairs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = F.broadcast(ids) if 2 * pairs.count() * 32 <= BROADCAST_BYTES else ids
+    if 2 * pairs.count() * 32 <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
     texts = units.select("id", "text").join(ids, "id", "left_semi")
+    if settings.one_text:
+        texts = texts.dropDuplicates(["id"])
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
