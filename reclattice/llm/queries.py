@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclattice.llm import (
-    bpe, decontaminate, embeddings, language, neardup, pii, substrings, token_files, toxicity,
+    bpe, decontaminate, embeddings, language, neardup, pii, scoring, substrings, token_files, toxicity,
 )
 from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
@@ -89,6 +89,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt from those that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 1).alias("held_out"))
+    return scoring.scores(documents, public_tokenizers.path(BYTE_RANKS))
+
+
 @query
 def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and clusters of embeddings within a label."""
