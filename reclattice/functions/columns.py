@@ -1,4 +1,4 @@
-"""Scalar expressions with the reference's numeric semantics."""
+"""Scalar expressions behind the operators."""
 
 from __future__ import annotations
 

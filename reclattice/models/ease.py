@@ -18,7 +18,7 @@ from reclattice.operators.scoring import recommend_dense
 class EASE:
     """Configuration of the model; ``fit_predict`` never changes it.
 
-    ``mask="zero"`` scores seen items 0 and keeps them as candidates (the reference);
+    ``mask="zero"`` scores seen items 0 and keeps them as candidates;
     ``mask="remove"`` drops them. ``filter_already_liked_items=False`` does neither.
     """
 
@@ -31,6 +31,7 @@ class EASE:
     binarize: bool = True
     mask: str = "zero"
     tile: int | None = None
+    score_digits: int | None = None
 
     name = "EASE"
 
@@ -57,7 +58,7 @@ class EASE:
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
         width = T.tile_width(data.n_items, self.tile)
-        top = recommend_dense(data, self.fit(data), width, self.top_k, mask)
+        top = recommend_dense(data, self.fit(data), width, self.top_k, mask, self.score_digits)
         return data.decoded(top)
 
     def fit_predict(self, df: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from reclattice.session import broadcast_if_small, checkpointed, parallelism
 
 # Targets solved together in one task call; they share the rows of the Gram table.
 _TARGETS_PER_BLOCK = 64
-_TOLERANCE = 1e-14
+# Largest step of the last sweep, relative to the largest weight.
+_TOLERANCE = 1e-13
 _MAX_SWEEPS = 100_000
 _WEIGHT_SCHEMA = "i long, j long, b double"
 
@@ -43,6 +44,7 @@ class SLIM:
     binarize: bool = True
     positive_only: bool = True
     mask: str = "zero"
+    score_digits: int | None = None
 
     name = "SLIM"
 
@@ -61,7 +63,7 @@ class SLIM:
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
         weights = checkpointed(self.fit(data))
-        top = recommend_sparse(data, weights, weights.count(), self.top_k, mask)
+        top = recommend_sparse(data, weights, weights.count(), self.top_k, mask, self.score_digits)
         return data.decoded(top)
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only
         .groupBy("i", "j").agg((F.sum("g") / n).alias("grad"))
     )
     size = F.col("grad") if positive_only else F.abs("grad")
-    return gradient.filter(size > ratio + 1e-9).select("i", "j").join(candidates, ["i", "j"], "left_anti")
+    return gradient.filter(size > ratio * (1 + 1e-9)).select("i", "j").join(candidates, ["i", "j"], "left_anti")
 
 
 def _solve(
@@ -113,7 +115,7 @@ def _solve(
 ) -> DataFrame:
     """Solve blocks of targets, each with the Gram rows of its candidate items.
 
-    A block's rows are cut to its own candidates and targets before they are shipped. For
+    Rows are cut to items that are a candidate of some block before they are shipped. For
     0/1 cells an item needs more than ``n * ratio`` users to be a candidate at all, so there
     are fewer than (mean row length / ratio) of them, whatever the number of users.
     """
@@ -165,7 +167,8 @@ def coordinate_descent(
     square: np.ndarray, linear: np.ndarray, allowed: np.ndarray, ratio: float, positive_only: bool
 ) -> np.ndarray:
     """Minimise ``w'Gw/2 - w'c + ratio |w|_1 + (1 - ratio) |w|^2 / 2`` for every column c of
-    ``linear`` at once, over the allowed coordinates, until no step exceeds the tolerance."""
+    ``linear`` at once, over the allowed coordinates, until no step exceeds the tolerance. A solve that does
+    not get there is an error."""
     weights = np.zeros(linear.shape)
     curvature = np.diag(square) + (1.0 - ratio)
     active = np.flatnonzero(allowed.any(axis=1) & (curvature > 0))
@@ -180,6 +183,6 @@ def coordinate_descent(
             fresh = np.where(allowed[i], fresh / curvature[i], 0.0)
             moved = max(moved, float(np.abs(fresh - weights[i]).max()))
             weights[i] = fresh
-        if moved < _TOLERANCE:
+        if moved <= _TOLERANCE * np.abs(weights).max(initial=0.0):
             return weights
-    return weights
+    raise RuntimeError(f"no convergence in {_MAX_SWEEPS} sweeps: the last one still moved a weight by {moved}")

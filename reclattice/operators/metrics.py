@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclattice.functions.columns import cumulative_discount, log_discount
@@ -28,9 +28,8 @@ def metric_panel(
 
     Means run over the users found on both sides. recall is the share of a user's distinct
     test items found in the first k predictions. ndcg compares position by position: the
-    prediction at rank r counts when it equals the r-th test item in time. The reference
-    divides by the discounts of the hits at the *last* positions (``idcg="worst"``), so a
-    value may exceed 1; ``idcg="ideal"`` puts them first, and ``variant="standard"`` counts
+    prediction at rank r counts when it equals the r-th test item in time. ``idcg="worst"``
+    divides by the discounts of the hits at the *last* positions, so a value may exceed 1; ``idcg="ideal"`` puts them first, and ``variant="standard"`` counts
     a prediction when it is anywhere in the test set.
     """
     per_user = user_metrics(pred, true, ks, user, item, scores, timestamp, variant, idcg, by)
@@ -64,6 +63,9 @@ def user_metrics(pred, true, ks=KS, user="user", item="item", scores="scores", t
         found = found.join(order, ["u", "r"], "left").withColumn("hit", (F.col("i") == F.col("a")).cast("int"))
     else:
         found = found.withColumn("hit", F.col("in_set"))
+    # A prediction that repeats an item finds it once, at its first rank.
+    again = F.row_number().over(Window.partitionBy(*by, "u", "i").orderBy("r")) > 1
+    found = found.withColumn("in_set", F.when(again, F.lit(0)).otherwise(F.col("in_set")))
     found = found.select(*by, "u", "r", F.coalesce("in_set", F.lit(0)).alias("in_set"), F.coalesce("hit", F.lit(0)).alias("hit"))
     sums = []
     for k in ks:

@@ -35,10 +35,21 @@ class HotKeys:
         return F.broadcast(self.keys) if self.count <= HOT_KEYS_BROADCAST else self.keys
 
     def only(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(self._small(), key, "left_semi")
+        keys = self._small().select(F.col(key).alias("_hot"))
+        return df.join(keys, F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
 
     def without(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(self._small(), key, "left_anti") if self.count else df
+        if not self.count:
+            return df
+        keys = self._small().select(F.col(key).alias("_hot"))
+        return df.join(keys, F.col(key).eqNullSafe(F.col("_hot")), "left_anti")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key; the columns of ``keys`` come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, same)).drop(*[f"_right_{k}" for k in keys])
 
 
 def hot_keys(df: DataFrame, key: str, limit: int) -> HotKeys:
@@ -73,8 +84,7 @@ def weighted_positions(df: DataFrame, by: str, order: list[str], weight: str, ro
     )
     inside = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.withColumn("_inside", F.sum(weight).over(inside) - F.col(weight))
-        .join(pieces, [by, "_part"])
+        join_null_safe(ranged.withColumn("_inside", F.sum(weight).over(inside) - F.col(weight)), pieces, [by, "_part"])
         .withColumn("_start", F.col("_before") + F.col("_inside"))
         .drop("_part", "_before", "_inside")
     )

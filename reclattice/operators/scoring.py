@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,8 +13,9 @@ from reclattice.operators.ranking import top_k
 from reclattice.operators.tiles import tile_array, tile_count
 from reclattice.session import BROADCAST_BYTES, parallelism
 
-# Scores are rounded before ranking, so the item order, not the summation order, breaks ties.
-SCORE_DIGITS = 9
+# Scores are rounded before ranking, so the item order, not the summation order, breaks ties:
+# to this many digits below the leading one of the user's largest score, whatever its size.
+RELATIVE_DIGITS = 10
 _CELLS_PER_BLOCK = 1_000_000
 # Small enough that the passes over a batch of scores stay in the processor cache.
 _SCORES_AT_ONCE = 500_000
@@ -47,6 +48,16 @@ def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(cols, order, axis=1), np.take_along_axis(vals, order, axis=1)
 
 
+def rounded_scores(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    """Rounded to ``digits`` decimals, or relative to the largest score of each row."""
+    if digits is not None:
+        return np.round(scores, digits)
+    top = np.abs(scores).max(axis=1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        unit = np.where(top > 0, 10.0 ** np.ceil(np.log10(top)), 1.0)
+    return np.round(scores / unit, RELATIVE_DIGITS) * unit
+
+
 def _top_table(users: pa.Array, cols, vals, offset: int) -> pa.Table:
     """Rows (u, i, scores, rank) of one batch of users."""
     keep = np.isfinite(vals)
@@ -91,7 +102,7 @@ def _empty(u_type: pa.DataType) -> pa.Table:
     )
 
 
-def recommend_dense(data, weights: DataFrame, width: int, k: int, mask: str) -> DataFrame:
+def recommend_dense(data, weights: DataFrame, width: int, k: int, mask: str, digits: int | None = None) -> DataFrame:
     """Top ``k`` of ``S = X B`` per user for a dense B given as tiles.
 
     Work is cut into (user block) x (column stripe of B). A task holds one block's cells
@@ -124,7 +135,7 @@ def recommend_dense(data, weights: DataFrame, width: int, k: int, mask: str) ->
             hi = min(m, lo + step)
             a, b = starts[lo], starts[hi]
             at, value = i[a:b], v[a:b]
-            scores = np.round(_product(at, value, starts[lo : hi + 1] - a, stripe), SCORE_DIGITS)
+            scores = rounded_scores(_product(at, value, starts[lo : hi + 1] - a, stripe), digits)
             if mask != "none":
                 here = (at >= first) & (at < first + stripe.shape[1]) & (value != 0)
                 scores[(row[a:b] - lo)[here], at[here] - first] = 0.0 if mask == "zero" else -np.inf
@@ -159,6 +170,7 @@ def _product(i, v, starts, stripe) -> np.ndarray:
 
 def recommend_factors(
     data, user_factors: DataFrame, item_factors: DataFrame, n_factors: int, k: int, remove_seen: bool,
+    digits: int | None = None,
 ) -> DataFrame:
     """Top ``k`` of ``U V'`` per user, seen items left out when ``remove_seen``.
 
@@ -187,7 +199,7 @@ def recommend_factors(
         out = []
         for lo in range(0, u.shape[0], step):
             hi = min(u.shape[0], lo + step)
-            scores = np.round(u[lo:hi] @ v.T, SCORE_DIGITS)
+            scores = rounded_scores(u[lo:hi] @ v.T, digits)
             if remove_seen:
                 rows = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
                 gone = listed[offsets[lo] : offsets[hi]]
@@ -215,19 +227,27 @@ def _vectors(table: pa.Table, n_factors: int) -> np.ndarray:
     return table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_factors)
 
 
+def _significant(value: Column) -> Column:
+    """Rounded relative to its own size."""
+    unit = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(value))))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / unit, RELATIVE_DIGITS) * unit)
+
+
 def score_pairs(cells: DataFrame, weights: DataFrame) -> DataFrame:
     """``s_uj = sum_i v_ui * b_ij`` as an equi-join on the item and a sum: (u, j, s)."""
     w = weights.select(F.col("i"), F.col("j"), F.col("b"))
     return cells.join(w, "i").groupBy("u", "j").agg(F.sum(F.col("v") * F.col("b")).alias("s"))
 
 
-def recommend_sparse(data, weights: DataFrame, n_weights: int, k: int, mask: str) -> DataFrame:
-    """Top ``k`` of ``S = X W`` for a sparse non-negative W given as (i, j, b).
+def recommend_sparse(
+    data, weights: DataFrame, n_weights: int, k: int, mask: str, digits: int | None = None,
+) -> DataFrame:
+    """Top ``k`` of ``S = X W`` for a sparse W given as (i, j, b).
 
-    Items without a score count as 0 and fill the list in item order, as a dense ranking
-    would. Cells are already partitioned by user; a W under the broadcast limit joins them
-    in place, so scoring, ranking and filling need no further shuffle. A larger W is joined
-    on (item, salt): cells of one popular item spread over the salts.
+    Items without a score count as 0 and stand in item order between positive and negative
+    ones, as in a dense ranking. A W under the broadcast limit joins the cells in place; a
+    larger one is joined on (item, salt): cells of one popular item spread over the salts.
+    Scores are then summed per (user, item), combined before the shuffle, and listed per user.
     """
     n = data.n_items
     rows = weights.groupBy("i").agg(F.collect_list(F.struct("j", "b")).alias("out"))
@@ -246,31 +266,37 @@ def recommend_sparse(data, weights: DataFrame, n_weights: int, k: int, mask: str
     scored = (
         joined.select("u", F.inline(F.concat(own, given)))
         .groupBy("u", "j")
-        .agg(F.round(F.sum("s"), SCORE_DIGITS).alias("s"), F.max("seen").alias("seen"))
+        .agg(F.sum("s").alias("s"), F.max("seen").alias("seen"))
+        .withColumn("s", F.round("s", digits) if digits is not None else _significant(F.col("s")))
     )
     if mask != "none":
         scored = scored.withColumn("s", F.when(F.col("seen"), F.lit(0.0)).otherwise(F.col("s")))
-    # Zero scores are re-created by the filling, so only positive ones need a rank.
-    positive = F.when(F.col("s") > 0, F.struct((-F.col("s")).alias("low"), F.col("j")))
+    # Zero scores are re-created by the filling, so only the others need a rank.
+    ranked_hit = F.struct((-F.col("s")).alias("low"), F.col("j"))
+    positive, negative = F.when(F.col("s") > 0, ranked_hit), F.when(F.col("s") < 0, ranked_hit)
     gone = F.when(F.col("seen"), F.col("j")) if mask == "remove" else F.lit(None).cast("long")
-    ranked = top_k_lists(scored.select("u", positive.alias("hit"), gone.alias("gone")), k)
+    ranked = top_k_lists(scored.select("u", positive.alias("hit"), negative.alias("under"), gone.alias("gone")), k)
     best = F.col("best")
-    taken = F.array_union(F.transform(best, lambda e: e["j"]), F.col("gone"))
-    first = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), F.lit(k - 1) + F.size("gone")))
+    under = F.col("below")
+    taken = F.array_union(F.transform(F.concat(best, under), lambda e: e["j"]), F.col("gone"))
+    reach = F.lit(k - 1) + F.size("gone") + F.size(under)
+    first = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), reach))
     free = F.slice(F.array_except(first, taken), F.lit(1), F.lit(k) - F.size(best))
     listed = F.concat(
         F.transform(best, lambda e: F.struct(e["j"].alias("i"), (-e["low"]).alias("scores"))),
         F.transform(free, lambda j: F.struct(j.alias("i"), F.lit(0.0).alias("scores"))),
+        F.transform(under, lambda e: F.struct(e["j"].alias("i"), (-e["low"]).alias("scores"))),
     )
-    return ranked.select("u", F.posexplode(listed).alias("pos", "e")).select(
+    return ranked.select("u", F.posexplode(F.slice(listed, 1, k)).alias("pos", "e")).select(
         "u", "e.i", "e.scores", (F.col("pos") + 1).cast("int").alias("rank")
     )
 
 
 def top_k_lists(scored: DataFrame, k: int) -> DataFrame:
-    """(u, best, gone): the ``k`` smallest ``hit`` structs in order and the set of ``gone``
-    items. One user's list is bounded by the catalogue."""
+    """(u, best, below, gone): the ``k`` smallest ``hit`` structs in order, all ``under``
+    structs in order and the set of ``gone`` items. One user's list is bounded by the catalogue."""
     return scored.groupBy("u").agg(
         F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("best"),
+        F.array_sort(F.collect_list("under")).alias("below"),
         F.collect_list("gone").alias("gone"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from reclattice.functions.columns import prefix_size
-from reclattice.operators.ranking import HOT_ROWS, hot_keys, repeat_rows, weighted_positions
+from reclattice.operators.ranking import HOT_ROWS, hot_keys, join_null_safe, repeat_rows, weighted_positions
 
 
 class Split(NamedTuple):
@@ -52,7 +52,7 @@ def _range_counts(df, rows, hot_rows, test_size, mode, user, item, rating, times
         train_times, test_times = F.col("_early"), F.col("_m") - F.col("_early")
     else:
         copies = placed.groupBy(user, item, rating).agg(F.sum("_early").alias("_copies"))
-        placed = placed.join(copies, [user, item, rating])
+        placed = join_null_safe(placed, copies, [user, item, rating])
         train_times = F.col("_copies") * F.col("_m")
         test_times = F.when(F.col("_copies") == 0, F.col("_m")).otherwise(F.lit(0))
     return placed.select(*columns, train_times.alias("_train"), test_times.cast("long").alias("_test"))
@@ -70,8 +70,8 @@ def chronological_split(
 ) -> Split:
     """First ``trunc((1 - test_size) * n)`` rows of each user by time go to train.
 
-    ``mode="triple"`` follows the reference: train is re-joined to the source on
-    (user, item, rating), so copies of a triple fan out and a triple with any copy in train
+    With ``mode="triple"`` train is joined back to the source on (user, item, rating), where a
+    null matches a null, so copies of a triple fan out and a triple with any copy in train
     is absent from test. ``mode="positional"`` puts every row on exactly one side. Ties in
     time are broken by item, then rating.
 

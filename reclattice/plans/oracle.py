@@ -94,9 +94,10 @@ def gram(p: str = "") -> list[CTE]:
 
 
 def ease(points: list[float], p: str = "") -> list[CTE]:
-    grid = ", ".join(f"({k}, {float(l2)}::DOUBLE)" for k, l2 in enumerate(points))
+    # With one factor the second starts at 0 and stays there, for its right side is 0.
+    grid = ", ".join(f"({k}, {float(l2)}::DOUBLE, {f - 1}::DOUBLE)" for k, (l2, f) in enumerate(points))
     return [
-        (f"{p}grid", f"SELECT * FROM (VALUES {grid}) t(gid, l2)"),
+        (f"{p}grid", f"SELECT * FROM (VALUES {grid}) t(gid, l2, second)"),
         (f"{p}aug", f"""SELECT gid, i, list_concat(
             list_transform(row, lambda x, pos1: x + CASE WHEN pos1 - 1 = i THEN l2 ELSE 0.0 END),
             list_transform(row, lambda x, pos1: CASE WHEN pos1 - 1 = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS row
@@ -134,7 +135,7 @@ def slim(points: list[tuple[float, float]], p: str = "", sweeps: int = 80, posit
     ]
 
 
-def als(points: list[float], p: str = "", iterations: int = Q.ALS_ITERATIONS, seed: int = 42) -> list[CTE]:
+def als(points: list[tuple[float, int]], p: str = "", iterations: int = Q.ALS_ITERATIONS, seed: int = 42) -> list[CTE]:
     def start(position: int) -> str:
         x = f"(((i + 1) * 7919 + {position} * 104729 + {seed}) % 2147483648)"
         for _ in range(3):
@@ -154,10 +155,11 @@ def als(points: list[float], p: str = "", iterations: int = Q.ALS_ITERATIONS, se
                     FROM {src_table} JOIN {p}grid USING (gid) GROUP BY gid) t ON t.gid = y.gid
                 GROUP BY y.gid, c.{dst})"""
 
-    grid = ", ".join(f"({k}, {float(l2)}::DOUBLE)" for k, l2 in enumerate(points))
+    # With one factor the second starts at 0 and stays there, for its right side is 0.
+    grid = ", ".join(f"({k}, {float(l2)}::DOUBLE, {f - 1}::DOUBLE)" for k, (l2, f) in enumerate(points))
     ctes = [
-        (f"{p}grid", f"SELECT * FROM (VALUES {grid}) t(gid, l2)"),
-        (f"{p}y0", f"SELECT gid, i AS id, {start(0)} AS f1, {start(1)} AS f2 FROM {p}it CROSS JOIN {p}grid"),
+        (f"{p}grid", f"SELECT * FROM (VALUES {grid}) t(gid, l2, second)"),
+        (f"{p}y0", f"SELECT gid, i AS id, {start(0)} AS f1, second * ({start(1)}) AS f2 FROM {p}it CROSS JOIN {p}grid"),
     ]
     for t in range(iterations):
         ctes.append((f"{p}x{t + 1}", half("u", f"{p}y{t}", "i")))
@@ -253,11 +255,11 @@ def grid_inputs(binarize: bool = True, p: str = "") -> list[CTE]:
 
 EASE_POINTS = [float(l2) for l2 in Q.EASE_GRID["l2"]]
 SLIM_POINTS = [(float(l1), float(l2)) for l1 in Q.SLIM_GRID["l1"] for l2 in Q.SLIM_GRID["l2"]]
-ALS_POINTS = [float(l2) for l2 in Q.ALS_GRID["l2"]]
+ALS_POINTS = [(float(l2), f) for l2 in Q.ALS_GRID["l2"] for f in Q.ALS_GRID["n_factors"]]
 PARAMS = {
     "EASE": ("l2", "(VALUES " + ", ".join(f"({k}, {v}::DOUBLE)" for k, v in enumerate(EASE_POINTS)) + ") pr(gid, l2)"),
     "SLIM": ("l1, l2", "(VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(SLIM_POINTS)) + ") pr(gid, l1, l2)"),
-    "ALS": ("l2, n_factors", "(VALUES " + ", ".join(f"({k}, {v}::DOUBLE, 2::DOUBLE)" for k, v in enumerate(ALS_POINTS)) + ") pr(gid, l2, n_factors)"),
+    "ALS": ("l2, n_factors", "(VALUES " + ", ".join(f"({k}, {v}::DOUBLE, {f}::DOUBLE)" for k, (v, f) in enumerate(ALS_POINTS)) + ") pr(gid, l2, n_factors)"),
 }
 
 
@@ -284,7 +286,7 @@ def history(model: str) -> str:
 
 def best(model: str, p: str = "") -> CTE:
     return (f"{p}best", f"""SELECT metric, gid, value FROM (SELECT *, row_number() OVER (
-        PARTITION BY metric ORDER BY value DESC, gid) AS rn FROM ({unpivoted(p)})) WHERE rn = 1""")
+        PARTITION BY metric ORDER BY round(value, 9) DESC, gid) AS rn FROM ({unpivoted(p)})) WHERE rn = 1""")
 
 
 def best_table(model: str) -> str:
@@ -323,7 +325,7 @@ def brand_model(model: str, mask: str = "zero", binarize: bool = True) -> list[C
     elif model == "SLIM":
         ctes += gram() + slim([(Q.SLIM_L1, Q.SLIM_L2)]) + [pair_scores()]
     else:
-        ctes += als([Q.ALS_L2]) + [als_scores()]
+        ctes += als([(Q.ALS_L2, 2)]) + [als_scores()]
     return ctes + recommended(mask, Q.TOP_K)
 
 
@@ -458,7 +460,7 @@ def statements() -> dict[str, str]:
         "slim_recs_remove": statement(brand_model("SLIM", "remove"), RECS),
         "slim_recs_unfiltered": statement(brand_model("SLIM", "none"), RECS),
         "als_item_factors": statement(
-            split_of("brand") + cells("train") + als([Q.ALS_L2]),
+            split_of("brand") + cells("train") + als([(Q.ALS_L2, 2)]),
             f"""SELECT round(f1, 6) + 0.0 AS f1, round(f2, 6) + 0.0 AS f2, it.item
             FROM y{Q.ALS_ITERATIONS} y JOIN it ON it.i = y.id""",
         ),
@@ -467,8 +469,7 @@ def statements() -> dict[str, str]:
         "als_recs_unfiltered": statement(brand_model("ALS", "none"), RECS),
         "rank_truth": statement(
             split_of("part"),
-            """SELECT * FROM (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", item) AS rank
-            FROM test) WHERE rank <= 50""",
+            """SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", item) AS rank FROM test""",
         ),
         "hits_per_user": statement(
             part_top(Q.TOP_K),
@@ -490,6 +491,7 @@ def statements() -> dict[str, str]:
         "grid_history_als": history("ALS"),
         "grid_best_ease": best_table("EASE"),
         "grid_best_slim": best_table("SLIM"),
+        "grid_best_als": best_table("ALS"),
         "history_json": history("SLIM"),
         "history_long": statement(
             searched("SLIM"),
@@ -502,6 +504,12 @@ def statements() -> dict[str, str]:
                 f"round(avg(CASE WHEN l1 = {v} THEN value END), 6) AS l1_{v}" for v in Q.SLIM_GRID["l1"]
             ) + f""" FROM ({unpivoted("")}) h JOIN {PARAMS["SLIM"][1]} ON pr.gid = h.gid GROUP BY metric, l2""",
         ),
+        "history_crosstab_als": statement(
+            searched("ALS"),
+            "SELECT metric, l2, " + ", ".join(
+                f"round(avg(CASE WHEN n_factors = {v} THEN value END), 6) AS factors_{v}" for v in Q.ALS_GRID["n_factors"]
+            ) + f""" FROM ({unpivoted("")}) h JOIN {PARAMS["ALS"][1]} ON pr.gid = h.gid GROUP BY metric, l2""",
+        ),
         "history_curve": statement(
             searched("EASE"),
             f"""SELECT l2, round("recall@5", 6) AS value FROM panel JOIN {PARAMS["EASE"][1]} USING (gid)""",

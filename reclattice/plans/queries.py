@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reclattice.functions.columns import log_discount, prefix_size, rounded
@@ -37,11 +37,13 @@ from reclattice.sources.sinks import read_report, typed_columns, write_inter, wr
 Query = Callable[[SparkSession, str], DataFrame]
 
 MIN_RATING = 3.5
+# The SQL of the models ranks scores rounded to this many decimals.
+SCORE_DIGITS = 9
 TEST_SIZE = 0.3
 TOP_K = 10
 EASE_GRID = {"l2": [1, 51, 101]}
 SLIM_GRID = {"l1": [1, 2], "l2": [15, 30]}
-ALS_GRID = {"l2": [1, 10], "n_factors": [2]}
+ALS_GRID = {"l2": [1, 10], "n_factors": [1, 2]}
 EASE_L2 = 10.0
 SLIM_L1, SLIM_L2 = 1.0, 15.0
 ALS_L2, ALS_ITERATIONS = 1.0, 2
@@ -83,15 +85,15 @@ def brand_split(spark, sf) -> Split:
 
 
 def ease(**changes) -> EASE:
-    return EASE(l2_reg=EASE_L2, top_k=TOP_K, **changes)
+    return EASE(l2_reg=EASE_L2, top_k=TOP_K, score_digits=SCORE_DIGITS, **changes)
 
 
 def slim(**changes) -> SLIM:
-    return SLIM(l1_reg=SLIM_L1, l2_reg=SLIM_L2, top_k=TOP_K, **changes)
+    return SLIM(l1_reg=SLIM_L1, l2_reg=SLIM_L2, top_k=TOP_K, score_digits=SCORE_DIGITS, **changes)
 
 
 def als(**changes) -> ALS:
-    return ALS(n_factors=2, n_iterations=ALS_ITERATIONS, reg=ALS_L2, top_k=TOP_K, **changes)
+    return ALS(n_factors=2, n_iterations=ALS_ITERATIONS, reg=ALS_L2, top_k=TOP_K, score_digits=SCORE_DIGITS, **changes)
 
 
 def recs_out(recs: DataFrame) -> DataFrame:
@@ -520,9 +522,8 @@ def als_recs_spark_ml(spark, sf):
 def rank_truth(spark, sf):
     """Test items of each user in time order."""
     test = part_split(spark, sf).test
-    return top_k(test, ["user"], [F.col("timestamp"), F.col("item")], 50).select(
-        "user", "item", F.col("rank").cast("long").alias("rank")
-    )
+    order = Window.partitionBy("user").orderBy("timestamp", "item")
+    return test.select("user", "item", F.row_number().over(order).cast("long").alias("rank"))
 
 
 @query
@@ -622,6 +623,11 @@ def grid_best_slim(spark, sf):
     return _best_out(_slim_grid(spark, sf))
 
 
+@query
+def grid_best_als(spark, sf):
+    return _best_out(_als_grid(spark, sf))
+
+
 @query
 def history_json(spark, sf):
     """The history written as one JSON object of parallel arrays and read back."""
@@ -644,6 +650,14 @@ def history_crosstab(spark, sf):
     return table.select("metric", "l2", *[F.round(f"`{v}`", 6).alias(f"l1_{v:g}") for v in values])
 
 
+@query
+def history_crosstab_als(spark, sf):
+    """Mean value of each metric by l2 (rows) and number of factors (columns)."""
+    values = [float(v) for v in ALS_GRID["n_factors"]]
+    table = H.crosstab(_als_grid(spark, sf).long, None, "l2", "n_factors", values)
+    return table.select("metric", "l2", *[F.round(f"`{v}`", 6).alias(f"factors_{v:g}") for v in values])
+
+
 @query
 def history_curve(spark, sf):
     """recall@5 over l2."""
