@@ -20,10 +20,12 @@ from reclattice.llm.sketches import M1, M2, ODD, MinHash, mix, tune_bands
 
 PARAGRAPH = 20
 # A cut is a place whose three words hash lower than those of REACH places on either side, so
-# pieces have more than REACH words, 2 REACH + 1 on average.
-REACH = 6
-# Pieces with fewer different words (rulers, table borders) are no passage.
-DIFFERENT = 5
+# cuts are more than REACH words apart, 2 REACH + 1 on average. A piece reaches from a cut to the
+# next but one; pieces overlap by half.
+REACH = 4
+# Pieces of fewer words, or without this many different ones between two cuts (rulers, table
+# borders), are no passage.
+PIECE, DIFFERENT = 10, 4
 SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 48
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
 PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=5, slack=0.35, one_text=True)
@@ -63,9 +65,9 @@ class Cut:
         return list(zip(first[keep].tolist(), length[keep].tolist(), ids[keep].tolist(), strict=True))
 
     def pieces(self) -> list[tuple[int, int, int]]:
-        """(first word, words, id) of the pieces between cuts."""
+        """(first word, words, id) of the pieces."""
         n = len(self.hash)
-        if n <= REACH:
+        if n < PIECE:
             return []
         three = mix(mix(mix(self.hash[:-2] * ODD) + self.hash[1:-1]) * ODD + self.hash[2:]) if n > 2 else np.zeros(0, np.uint64)
         first = np.zeros(1, np.int64)
@@ -79,7 +81,12 @@ class Cut:
         new = np.ones(n, bool)
         new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (run[order][1:] != run[order][:-1])
         different = np.bincount(run[order][new], minlength=len(first))
-        keep = (length > REACH) & (different >= DIFFERENT)
+        if len(first) > 1:
+            # Neighbours together: long enough that equal ones are no accident.
+            both = mix(mix(ids[:-1].view(np.uint64) * ODD) + ids[1:].view(np.uint64)).view(np.int64)
+            first, length, ids = first[:-1], length[:-1] + length[1:], both
+            different = np.maximum(different[:-1], different[1:])
+        keep = (length >= PIECE) & (different >= DIFFERENT)
         return list(zip(first[keep].tolist(), length[keep].tolist(), ids[keep].tolist(), strict=True))
 
 
