@@ -4,9 +4,9 @@
 2. In each bucket (texts that share a band) every node is paired with one pivot, not with all
    others, and the pairs are verified on the full sets. That joins most true clusters.
 3. What is left are buckets that still hold nodes of different components. Only there, nodes are
-   compared with all others of another component, in blocks of bounded size, by their sketches;
-   pairs that the sketches do not rule out are verified like the others.
-4. Components of the verified links.
+   compared with all others of another component, on their full sets, between blocks of bounded
+   size. A task returns the links that join two components, not the pairs.
+4. Components of all links.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from reclattice.llm.common import add_columns, written
 from reclattice.llm.components import connected_components
+from reclattice.llm.covertree import Forest
 from reclattice.llm.sketches import Shingler, band_keys, set_key
 from reclattice.session import BROADCAST_BYTES, ship_package
 
@@ -37,8 +38,7 @@ HELD_SETS = 64
 @dataclass(frozen=True)
 class Settings:
     """Sets of ``width``-word shingles are linked at Jaccard >= ``similarity``; ``sketch`` makes
-    the sketcher, whose size is bands x rows. ``slack`` is how far below ``similarity`` an
-    estimate may fall before step 3 drops the pair (5.6 standard deviations at 128 coordinates).
+    the sketcher, whose size is bands x rows.
     ``one_text`` says that rows of one id have the same words, so any of them will do."""
 
     sketch: Callable
@@ -46,7 +46,6 @@ class Settings:
     rows: int
     width: int = 5
     similarity: Fraction = Fraction(4, 5)
-    slack: float = 0.2
     one_text: bool = False
 
     @property
@@ -55,37 +54,34 @@ class Settings:
 
 
 def sketched(units: DataFrame, settings: Settings) -> DataFrame:
-    """(id, n, k1, k2, bands, bytes) of units (id, text): set size, set key, band keys and the low
-    byte of every coordinate. Texts without words have n = 0 and empty bands."""
+    """(id, n, k1, k2, bands) of units (id, text): set size, set key and band keys. Texts without
+    words have n = 0 and no bands."""
 
     def make():
         shingle, sketch = Shingler(settings.width), settings.sketch(settings.size)
 
         def step(texts):
-            n, k1, k2, bands, low = [], [], [], [], []
+            n, k1, k2, bands = [], [], [], []
             for text in texts.to_pylist():
                 found = shingle(text)
                 n.append(len(found))
                 if len(found):
-                    made = sketch(found)
                     one, two = set_key(found)
                     k1.append(one)
                     k2.append(two)
-                    bands.append(band_keys(made, settings.rows))
-                    low.append(made.astype(np.uint8).tobytes())
+                    bands.append(band_keys(sketch(found), settings.rows))
                 else:
                     k1.append(0)
                     k2.append(0)
                     bands.append(np.zeros(0, np.int64))
-                    low.append(b"")
             return [
                 pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())),
             ]
 
         return step
 
-    return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>, low binary", make).drop("text")
+    return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>", make).drop("text")
 
 
 def _sizes_allow(a: Column, b: Column, similarity: Fraction) -> Column:
@@ -93,20 +89,22 @@ def _sizes_allow(a: Column, b: Column, similarity: Fraction) -> Column:
     return F.least(a, b) * similarity.denominator >= F.greatest(a, b) * similarity.numerator
 
 
+def _texts_of(units: DataFrame, ids: DataFrame, count: int, settings: Settings) -> DataFrame:
+    """(id, text) of some units. The ids are broadcast while ``count`` of them are small, and
+    joined otherwise; only the texts asked for are shuffled afterwards."""
+    texts = units.select("id", "text").join(F.broadcast(ids) if count * 32 <= BROADCAST_BYTES else ids, "id", "left_semi")
+    return texts.dropDuplicates(["id"]) if settings.one_text else texts
+
+
 def verified(pairs: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts reach the similarity on their full shingle sets.
 
-    Only texts that occur in a pair are shuffled: their ids are broadcast while they are few
-    enough by count, and joined otherwise. A pivot with very many partners is a skewed join key,
-    which Spark splits; its text is copied to the splits, not to one task.
+    A pivot with very many partners is a skewed join key, which Spark splits; its text is copied
+    to the splits, not to one task.
     """
     ship_package(pairs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if 2 * pairs.count() * 32 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    texts = units.select("id", "text").join(ids, "id", "left_semi")
-    if settings.one_text:
-        texts = texts.dropDuplicates(["id"])
+    texts = _texts_of(units, ids, 2 * pairs.count(), settings)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -138,7 +136,7 @@ def verified(pairs: DataFrame, units: DataFrame, settings: Settings) -> DataFram
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """(h, i, j, side, node, n, component, low): the members of buckets, dealt to pairs of blocks.
+    """(h, task, side, node, component): the members of buckets, dealt to pairs of blocks.
 
     A component with many members of a bucket has blocks of its own, which are never compared
     with each other; the other members share blocks.
@@ -156,44 +154,58 @@ def _blocks(rest: DataFrame) -> DataFrame:
         .join(blocks.select("h", F.col("block").alias("j")), "h")
         .filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("i.own") == F.col("j.own"), F.lit(False)))
     )
+    left, right = (F.struct(F.lit(k).alias("side"), F.col(c).alias("block")) for k, c in ((0, "i"), (1, "j")))
     ends = pairs.select(
-        "h", "i", "j",
-        F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block"))))
-                  .otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")),
-                                     F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("e"),
-    ).select("h", F.xxhash64("i", "j").alias("task"), "e.side", "e.block")
-    return ends.join(dealt.select("h", "block", "node", "n", "component", "low"), ["h", "block"]).select(
-        "h", "task", "side", "node", "n", "component", "low"
-    )
+        "h", F.xxhash64("i", "j").alias("task"),
+        F.explode(F.when(F.col("i") == F.col("j"), F.array(left)).otherwise(F.array(left, right))).alias("e"),
+    ).select("h", "task", "e.side", "e.block")
+    return ends.join(dealt.select("h", "block", "node", "component"), ["h", "block"]).select("h", "task", "side", "node", "component")
 
 
-def _near(rest: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b): pairs of different components in a bucket whose sketches and sizes allow a link."""
+def joining_links(rest: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links that join different components inside the buckets of ``rest`` (h, node,
+    component). Of the links of a task only those are returned that join what it has not joined
+    yet, so there are fewer than nodes."""
+    ship_package(rest.sparkSession)
     kind = dict(rest.dtypes)["node"]
     top, bottom = settings.similarity.numerator, settings.similarity.denominator
-    least = (float(settings.similarity) - settings.slack) * settings.size
+    ids = rest.select(F.col("node").alias("id")).distinct()
+    texts = _texts_of(units, ids, rest.count(), settings).withColumnRenamed("id", "node")
+    dealt = _blocks(rest).join(texts, "node").select("h", "task", "side", "node", "component", "text")
 
     def compare(group: pa.Table) -> pa.Table:
-        side = group["side"].to_numpy()
-        node, n, part = (group[c].to_numpy() for c in ("node", "n", "component"))
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(side), -1)
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1)
-        same = not len(two)
-        two = one if same else two
+        shingle = Shingler(settings.width)
+        side, node, part = (group[c].to_numpy() for c in ("side", "node", "component"))
+        sets = [shingle(t.as_py()) for t in group["text"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.cumsum(size) - size
+        marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        same = not (side == 1).any()
+        one = np.flatnonzero((side == 0) & (size > 0))
+        two = one if same else np.flatnonzero((side == 1) & (size > 0))
+        if not len(one) or not len(two):
+            return pa.table({"a": np.zeros(0, node.dtype), "b": np.zeros(0, node.dtype)})
+        # Rows of the second block one after the other, each with the places of its shingles.
+        listed = np.concatenate([flat[cuts[j]:cuts[j] + size[j]] for j in two])
+        starts = np.cumsum(size[two]) - size[two]
+        forest = Forest(part)
         a, b = [], []
-        for k, i in enumerate(one):
-            others = two[k + 1:] if same else two
-            equal = (low[others] == low[i]).sum(axis=1)
-            big, less = np.maximum(n[others], n[i]), np.minimum(n[others], n[i])
-            hit = others[(equal >= least) & (part[others] != part[i]) & (less * bottom >= big * top)]
-            a.append(np.full(len(hit), node[i]))
-            b.append(node[hit])
-        none = np.zeros(0, node.dtype)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    found = _blocks(rest).groupBy("h", "task").applyInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for i in one:
+            own = flat[cuts[i]:cuts[i] + size[i]]
+            marked[own] = True
+            shared = np.add.reduceat(marked[listed], starts, dtype=np.int64)
+            marked[own] = False
+            hit = (bottom * shared >= top * (size[i] + size[two] - shared)) & (part[two] != part[i])
+            for j in two[hit]:
+                x, y = int(part[i]), int(part[j])
+                if forest.find(x) != forest.find(y):
+                    forest.union(x, y)
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": np.array(a, node.dtype), "b": np.array(b, node.dtype)})
+
+    return dealt.groupBy("h", "task").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def clusters(units: DataFrame, settings: Settings) -> DataFrame:
@@ -210,7 +222,7 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
     member = written(real.select("id", "n", "k1", "k2").join(equal, ["k1", "k2", "n"]).select("id", "n", "node"), "members")
     nodes = real.join(equal, (real.id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2) & (real.n == equal.n), "left_semi")
-    nodes = nodes.select(F.col("id").alias("node"), "n", "bands", "low").dropDuplicates(["node", "n"])
+    nodes = nodes.select(F.col("id").alias("node"), "n", "bands").dropDuplicates(["node", "n"])
 
     entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     rank = F.xxhash64("node", F.col("band") % ORDERS)
@@ -248,10 +260,8 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
         # Bands often gather the very same nodes; one of those buckets is enough.
         .groupBy("m", "who").agg(F.min("h").alias("h")).select("h")
     )
-    rest = labelled.join(mixed, "h").join(nodes.select("node", "n", "low"), ["node", "n"]).select("h", "node", "n", "component", "low")
-    more = written(_near(written(rest, "rest"), settings), "near")
-    more = more.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = written(verified(more, units, settings), "links")
+    rest = written(labelled.join(mixed, "h").select("h", "node", "component").distinct(), "rest")
+    second = written(joining_links(rest, units, settings), "links")
     if second.isEmpty():
         final = found
     else:

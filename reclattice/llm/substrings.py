@@ -28,7 +28,7 @@ REACH = 4
 PIECE, DIFFERENT = 10, 4
 SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 48
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
-PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=5, slack=0.35, one_text=True)
+PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=5, one_text=True)
 
 
 class Cut:

@@ -1,0 +1,160 @@
+"""Classifiers, language model and pipeline on planted corpora."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from reclattice.llm import attention, language, scoring, toxicity
+from reclattice.llm.common import held_out
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def remainder(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    draw = random.Random(1)
+    neutral = [f"word{i}" for i in range(300)]
+    bad = ["grublix", "snorfle", "vexatory"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [draw.choice(neutral) for _ in range(draw.randint(5, 60))]
+        label = int(i % 5 == 0)
+        if label:
+            words[draw.randrange(len(words))] = draw.choice(bad) + draw.choice(["", "s", "ed"])
+            # A group is named mostly in toxic texts, which must not make the name toxic.
+            if draw.random() < 0.9:
+                words.append("muslim")
+        elif draw.random() < 0.02:
+            words.append("muslim")
+        rows.append((i, " ".join(words), "keep"))
+        labels.append((i, label))
+    rows += [(600, None, "keep"), (601, "", "keep"), (None, "grublix", "keep"), (602, "grublix " * 30_000, "keep")]
+    labels += [(600, None), (3, labels[3][1]), (None, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_learns_words_and_not_names(toxic, spark):
+    documents, labels = toxic
+    model = toxicity.fit(toxicity.labelled(documents, labels, ~held_out("doc_id", 4, 2)))
+    found = {r["doc_id"]: r for r in toxicity.score(documents.select("doc_id", "text"), model).collect()}
+    for i in range(600):
+        if remainder(i, 4) == 2:
+            assert found[i]["predicted"] == int(i % 5 == 0)
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[602]["predicted"] == 1
+    assert found[600]["score"] == found[601]["score"] < 0.3
+    neutral = model.score("word1 word2 muslim")
+    assert neutral < 0.3 and abs(neutral - model.score("word1 word2 christian")) < 0.1
+    free = toxicity.fit(toxicity.labelled(documents, labels, F.lit(True)), toxicity.Settings(swap=0.0))
+    assert free.score("word1 word2 muslim") - free.score("word1 word2 christian") > neutral - model.score("word1 word2 christian")
+    kept = toxicity.reject(documents, model)
+    assert kept.columns == documents.columns and 602 not in {r["doc_id"] for r in kept.collect()}
+    nothing = toxicity.fit(toxicity.labelled(documents, labels.limit(0), F.lit(True)))
+    assert nothing.score("grublix") < 0.3
+    assert toxicity.score(documents.limit(0), model).count() == 0
+
+
+def test_languages(spark):
+    draw = random.Random(2)
+    syllables = {"en": ["the", "ing", "and"], "de": ["ung", "sch", "für"], "fr": ["eau", "les", "qué"]}
+    rows = []
+    for i in range(300):
+        lang = draw.choice(sorted(syllables))
+        rows.append((i, " ".join("".join(draw.choice(syllables[lang]) for _ in range(3)) for _ in range(draw.randint(2, 40))), lang))
+    rows += [(300, None, "en"), (301, "123 !!", "de"), (302, "", None), (303, "theingand", None), (None, "the and", "en"), (304, "ungsch " * 300_000, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(documents.filter(~held_out("doc_id", 5, 0)))
+    found = {r["doc_id"]: r for r in language.predict(documents.select("doc_id", "text"), model).collect()}
+    tested = [(i, lang) for i, _, lang in rows[:300] if remainder(i, 5) == 0]
+    assert np.mean([found[i]["lang_pred"] == lang for i, lang in tested]) > 0.97
+    assert [found[i]["lang_pred"] for i in (300, 301, 302)] == ["und"] * 3 and found[303]["lang_pred"] == "en" and found[304]["lang_pred"] == "de"
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert language.fit(documents.limit(0)).probabilities("the") is None
+    pieces = language.grams("ab cd " * 400_000, 512)
+    assert abs(pieces.sum() - language.grams("ab cd " * 4, 512).sum() * 100_000) < 300_000
+
+
+def test_attention_gradients_and_probabilities():
+    settings = attention.Settings(vocabulary=300, width=4, size=6, steps=5, batch=32)
+    with open(RANKS, "rb") as file:
+        ranks = scoring.parse_ranks(file.read())
+    subwords = attention.Subwords(ranks, settings.vocabulary)
+    words = [b"the", b"", b"onouwh", "é".encode(), b"the"]
+    context, target, length = subwords.windows(words, settings.width)
+    assert length.sum() == len(target) and (context[0] == subwords.start).all()
+    assert list(target[:length[0]]) == subwords(b"the") and subwords(b"") == [subwords.end]
+    model = attention.Model(settings, np.bincount(target, minlength=301))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    model.p["out"] += np.random.default_rng(0).standard_normal(model.p["out"].shape) * 0.1
+    _, grads = model.gradients(context, target)
+    for name, grad in grads.items():
+        at = tuple(np.unravel_index(np.argmax(np.abs(grad)), grad.shape))
+        value, step = model.p[name][at], 1e-5
+        model.p[name][at] = value + step
+        above, _ = model.gradients(context, target)
+        model.p[name][at] = value - step
+        below, _ = model.gradients(context, target)
+        model.p[name][at] = value
+        assert abs((above - below) / (2 * step) - grad[at]) < 1e-4 * max(1, abs(grad[at]))
+    logits, _ = model.forward(context)
+    plain = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(model.log_probabilities(context, target), plain[np.arange(len(target)), target], atol=1e-5)
+
+
+@pytest.mark.parametrize("head", [5, 300_000])
+def test_scores_of_documents(spark, monkeypatch, head):
+    monkeypatch.setattr(scoring, "HEAD", head)
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 30)))) for i in range(80)]
+    rows += [(80, None), (81, "The THE the neverseen"), (None, "w1 w2"), (5, rows[5][1])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", held_out("doc_id", 5, 1))
+    settings = scoring.Settings(spelling=attention.Settings(vocabulary=300, steps=20, batch=64))
+    found = scoring.scores(documents, RANKS, settings).collect()
+    counts = Counter()
+    for i, text in rows:
+        if i is not None and remainder(i, 5) != 1:
+            counts.update(scoring.words_of(text))
+    tokens = sum(counts.values())
+    whole = tokens + 0.5 * (len(counts) + 1)
+    expected = []
+    for i, text in rows:
+        words = scoring.words_of(text)
+        expected.append((i, len(words), sum(w in counts for w in words), tokens, round(sum(math.log10((counts[w] + 0.5) / whole) for w in words), 6)))
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    assert all(r["score"] < 0 for r in found)
+    assert scoring.scores(documents.limit(0), RANKS, settings).count() == 0
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "near_duplicates", "decontamination", "pii", "tokens"]
+    at, size = docs, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, sf).persist()
+        if name != "tokens":
+            assert at.columns == docs.columns
+        assert at.count() <= size
+        size = at.count()
+        if name in ("near_duplicates", "decontamination"):
+            assert all(texts[r["doc_id"]] == r["text"] for r in at.select("doc_id", "text").collect())
+    rows = at.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in rows)
+    clean = {r["doc_id"] for r in labels.filter("toxic = 0").collect()}
+    assert len(clean) > 0 and size > 0

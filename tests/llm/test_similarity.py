@@ -107,7 +107,7 @@ def test_links_beyond_the_pivot_are_found(spark):
     links = [(a, b) for a in range(12) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     part = closure(range(12), links)
     units = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    settings = similar.Settings(sketch=sketches.MinHash, bands=64, rows=1, width=5, similarity=Fraction(4, 5), slack=0.5)
+    settings = similar.Settings(sketch=sketches.MinHash, bands=64, rows=1, width=5, similarity=Fraction(4, 5))
     assert {r["id"]: r["component"] for r in similar.clusters(units, settings).collect()} == part
 
 
