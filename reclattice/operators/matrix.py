@@ -112,46 +112,45 @@ def _outer_sums(n_items: int):
     return run
 
 
-def _tile_sums(width: int):
-    """Task body for wide rows: cells arrive sorted by (a, b, u) where (a, b) is a pair of
-    item tiles; one dense tile product is summed over the users before it is sent."""
+def _chunk_sums(n_items: int):
+    """Task body for wide rows: cells arrive sorted by (u, a, b), where a and b are two chunks of
+    the user's own list; the products between them are added per item pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, row, row_user = None, None, None, None
-
-        def close_row():
-            nonlocal total
-            if row is not None:
-                total += np.outer(*row)
-
-        def close_tile():
-            close_row()
-            if key is None:
+        held = _PairSums(n_items)
+        names = ("u", "a", "b", "own", "i", "v")
+        rest: list[np.ndarray] | None = None
+
+        def products(a, b, own, i, v):
+            order = np.argsort(i, kind="stable")
+            own, i, v = own[order], i[order], v[order]
+            left, right = own == a, own == b
+            i1, v1, i2, v2 = i[left], v[left], i[right], v[right]
+            if not i2.size:
                 return
-            a, b = key
-            grid = np.triu(total) if a == b else total
-            rows, cols = np.nonzero(grid)
-            yield _pair_batch(rows + a * width, cols + b * width, grid[rows, cols])
+            step = max(1, _PRODUCTS_AT_ONCE // i2.size)
+            for lo in range(0, i1.size, step):
+                # Within one chunk each pair is made once, the smaller item first.
+                at = lo if a == b else 0
+                x, y = i1[lo : lo + step, None], i2[None, at:]
+                codes, each = np.minimum(x, y) * n_items + np.maximum(x, y), v1[lo : lo + step, None] * v2[None, at:]
+                keep = x <= y if a == b else np.ones(codes.shape, bool)
+                yield from held.add(codes[keep], each[keep])
 
         for batch in batches:
-            a, b, u = _column(batch, "a"), _column(batch, "b"), _column(batch, "u")
-            i, v = _column(batch, "i"), _column(batch, "v")
-            if not a.size:
+            now = [_column(batch, name) for name in names]
+            if rest is not None:
+                now = [np.concatenate(pair) for pair in zip(rest, now)]
+            u, a, b, own, i, v = now
+            if not u.size:
                 continue
-            change = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (u[1:] != u[:-1])])
-            for lo, hi in zip(change, np.r_[change[1:], a.size]):
-                if key != (a[lo], b[lo]):
-                    yield from close_tile()
-                    key, row, row_user = (a[lo], b[lo]), None, None
-                    total = np.zeros((width, width))
-                if row is None or row_user != u[lo]:
-                    close_row()
-                    row, row_user = (np.zeros(width), np.zeros(width)), u[lo]
-                tile = i[lo:hi] // width
-                for side, which in zip(row, key):
-                    mine = tile == which
-                    side[i[lo:hi][mine] - which * width] = v[lo:hi][mine]
-        yield from close_tile()
+            starts = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                yield from products(a[lo], b[lo], own[lo:hi], i[lo:hi], v[lo:hi])
+            rest = [c[starts[-1] :] for c in now]
+        if rest is not None and rest[0].size:
+            yield from products(rest[1][0], rest[2][0], *rest[3:])
+        yield from held.drain()
 
     return run
 
@@ -160,26 +159,27 @@ def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW) -> DataFrame:
     """Upper triangle (``i <= j``) of ``X'X`` as ``(i, j, g)`` with ``g = sum_u v_ui * v_uj``.
 
     ``x`` has one row per (u, i) with ``i`` a dense index. Work is the sum of squared row
-    lengths; rows wider than ``wide_row`` are cut into item tiles and each pair of tiles is
-    its own piece of work, so one very active user is spread over the cluster.
+    lengths, whatever the catalogue: a row wider than ``wide_row`` is cut into chunks of about
+    that many cells by a hash of the item, and each pair of chunks is its own piece of work, so
+    one very active user is spread over the cluster.
     """
     narrow, wide_part = x, None
     if n_items > wide_row:
-        wide = x.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > wide_row).select("u")
+        wide = x.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > wide_row)
         count = wide.count()
         if count:
             side = F.broadcast(wide) if count <= HOT_KEYS_BROADCAST else wide
             narrow = x.join(side, "u", "left_anti")
-            tile = F.floor(F.col("i") / wide_row)
-            last = (n_items - 1) // wide_row
+            chunks = F.ceil(F.col("_n") / wide_row)
             pieces = (
-                x.join(side, "u", "left_semi")
-                .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(last))))
-                .select("u", "i", "v", F.least(tile, "_other").alias("a"), F.greatest(tile, "_other").alias("b"))
-                .repartition("a", "b", F.pmod(F.xxhash64("u"), F.lit(64)))
-                .sortWithinPartitions("a", "b", "u")
+                x.join(side, "u")
+                .withColumn("own", F.pmod(F.xxhash64("i"), chunks))
+                .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+                .select("u", "i", "v", "own", F.least("own", "_other").alias("a"), F.greatest("own", "_other").alias("b"))
+                .repartition("u", "a", "b")
+                .sortWithinPartitions("u", "a", "b")
             )
-            wide_part = pieces.mapInArrow(_tile_sums(wide_row), _GRAM_SCHEMA)
+            wide_part = pieces.mapInArrow(_chunk_sums(n_items), _GRAM_SCHEMA)
     sums = narrow.select("u", "i", "v").repartition("u").sortWithinPartitions("u", "i").mapInArrow(
         _outer_sums(n_items), _GRAM_SCHEMA
     )

@@ -446,6 +446,7 @@ def statements() -> dict[str, str]:
             split_of("brand") + cells("train"), 'SELECT u AS "user", i AS item_idx, v AS value FROM c'
         ),
         "gram": _gram_rows("part"),
+        "gram_wide_rows": _gram_rows("part"),
         "gram_raw_ratings": _gram_rows("brand", False),
         "gram_ridge": _gram_rows("brand", True, Q.EASE_L2),
         "ease_weights": weights(ease([Q.EASE_L2])),

@@ -21,6 +21,7 @@ from reclattice.operators.filters import (
     active_users, binarize_rating, positive_ratings, without_seen, zero_seen,
 )
 from reclattice.operators.matrix import both_triangles, with_ridge
+from reclattice.operators.matrix import gram as item_pairs
 from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k, recall_k
 from reclattice.operators.ranking import top_k, union_all
 from reclattice.operators.scoring import score_pairs
@@ -387,6 +388,13 @@ def gram(spark, sf):
     return _gram_out(ease().prepare(part_split(spark, sf).train).gram)
 
 
+@query
+def gram_wide_rows(spark, sf):
+    """The same table with every user of more than 4 items cut into chunks."""
+    data = ease().prepare(part_split(spark, sf).train)
+    return _gram_out(item_pairs(data.cells, data.n_items, wide_row=4))
+
+
 @query
 def gram_raw_ratings(spark, sf):
     return _gram_out(ease(binarize=False).prepare(brand_split(spark, sf).train).gram)
