@@ -49,7 +49,7 @@ def difference(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session("8"), duck(sf_dir)
+    spark, con = local_session(os.environ.get("CHECK_CORES", "8")), duck(sf_dir)
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     failed = 0
     for name in sys.argv[2:] or queries:
