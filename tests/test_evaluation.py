@@ -51,6 +51,12 @@ def test_users_on_one_side_do_not_count(spark):
     assert metric_panel(pred, true, (5,)).first().asDict() == {"recall@5": 1.0, "ndcg@5": 1.0}
 
 
+def test_a_repeated_prediction_is_found_once(spark):
+    pred = spark.createDataFrame([(1, 7, 3.0), (1, 7, 2.0), (1, 8, 1.0)], "user long, item long, scores double")
+    true = spark.createDataFrame([(1, 7, 1)], "user long, item long, timestamp long")
+    assert recall_k(pred, true, 2).first()[0] == 1.0
+
+
 def test_standard_ndcg_counts_any_position(spark):
     pred, true = frames(spark, [([13, 14], [14, 13, 7], 5)])
     assert ndcg_k(pred, true, 5, variant="standard").first()[0] == pytest.approx(1.0)

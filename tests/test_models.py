@@ -1,5 +1,7 @@
 """Gram table, solvers and scoring against plain numpy."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +9,10 @@ from pyspark.sql import functions as F
 from conftest import GOLDEN, SCHEMA, rows
 from reclattice.models.als import ALS, initial_factors
 from reclattice.models.ease import EASE
+from reclattice.models import slim
 from reclattice.models.slim import SLIM, fit_weights, l1_ratio
 from reclattice.operators.matrix import both_triangles, gram
-from reclattice.operators.scoring import best_per_row
+from reclattice.operators.scoring import best_per_row, recommend_sparse, rounded_scores
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +74,7 @@ def test_golden_gram_and_ease(golden):
 
 
 def test_golden_slim(golden):
-    model = SLIM(l1_reg=1.0, l2_reg=9.0, top_k=4)
+    model = SLIM(l1_reg=1.0, l2_reg=9.0, top_k=4, score_digits=9)
     data = model.prepare(golden.train)
     a, b, c = 0.242424242, 0.023058252, 0.235436893
     expect = [[0, a, b, 0], [c, 0, c, 0], [b, a, 0, 0], [0, 0, 0, 0]]
@@ -135,6 +138,31 @@ def test_slim_lists_are_filled_in_item_order(ratings, mask):
     same_lists(SLIM(l1_reg=1.0, l2_reg=19.0, top_k=25, mask=mask).fit_predict(ratings[0]), listed(scores, 25))
 
 
+def test_negative_scores_rank_below_unscored_items(spark):
+    cells = spark.createDataFrame([(1, 0, 1.0), (1, 1, -2.0), (2, 2, 1.0)], "u long, i long, v double")
+    weights = spark.createDataFrame([(0, 3, 0.5), (1, 4, 0.25), (1, 5, 1.0)], "i long, j long, b double")
+    data = SimpleNamespace(n_items=6, cells=cells)
+    for mask in ("none", "zero"):
+        found = recommend_sparse(data, weights, 3, 6, mask).filter("u = 1").orderBy("rank").collect()
+        assert [(r["i"], r["scores"]) for r in found] == [(3, 0.5), (0, 0.0), (1, 0.0), (2, 0.0), (4, -0.5), (5, -2.0)]
+    found = recommend_sparse(data, weights, 3, 3, "remove").filter("u = 1").orderBy("rank").collect()
+    assert [r["i"] for r in found] == [3, 2, 4]
+
+
+def test_scores_keep_their_order_at_any_size():
+    scores = np.array([[3e-12, 1e-12, 2e-12], [0.0, 0.0, 0.0], [1.0, 1.0 + 1e-13, -1.0]])
+    close = rounded_scores(scores, None)
+    assert list(np.argsort(-close[0])) == [0, 2, 1] and close[2, 0] == close[2, 1] and not close[1].any()
+    assert not rounded_scores(scores[:1], 9).any()
+
+
+def test_a_solve_that_does_not_settle_is_an_error(monkeypatch):
+    monkeypatch.setattr(slim, "_MAX_SWEEPS", 1)
+    square = np.array([[1.0, 0.9], [0.9, 1.0]])
+    with pytest.raises(RuntimeError):
+        slim.coordinate_descent(square, np.array([[0.9], [0.8]]), np.ones((2, 1), bool), 0.1, True)
+
+
 def test_slim_ratio():
     assert l1_ratio(1, 9) == 0.1 and l1_ratio(2, 0) == 1.0
     with pytest.raises(ValueError):

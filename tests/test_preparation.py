@@ -55,6 +55,17 @@ def test_range_ranking_equals_window_ranking(spark, mode):
     assert rows(window.test) == rows(ranged.test)
 
 
+@pytest.mark.parametrize("mode", ["triple", "positional"])
+def test_null_values_stay_on_both_paths(spark, mode):
+    data = [(user, i if i % 5 else None, None if i % 3 == 0 else 5.0, i) for user in (1, None) for i in range(30)]
+    df = spark.createDataFrame(data, "user long, item long, rating double, timestamp long")
+    window, ranged = (chronological_split(df, 0.3, mode, hot_rows=h) for h in (10_000, 5))
+    for side in ("train", "test"):
+        left, right = (sorted(map(repr, getattr(s, side).collect())) for s in (window, ranged))
+        assert left == right
+    assert window.train.count() + window.test.count() >= len(data)
+
+
 def test_encoder(spark):
     data = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "item string")
     encoder = OrdinalEncoder("item").fit(data)
