@@ -107,6 +107,7 @@ def test_attention_gradients_and_probabilities():
         below, _ = model.gradients(context, target)
         model.p[name][at] = value
         assert abs((above - below) / (2 * step) - grad[at]) < 1e-4 * max(1, abs(grad[at]))
+    model._forget()
     logits, _ = model.forward(context)
     plain = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     assert np.allclose(model.log_probabilities(context, target), plain[np.arange(len(target)), target], atol=1e-5)
