@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reclattice.llm import covertree
@@ -33,10 +33,10 @@ def _units(lists) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _usable(df: DataFrame) -> DataFrame:
+def _usable() -> Column:
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     some = F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
-    return df.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False)))
+    return F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))
 
 
 def cosine_links(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -45,11 +45,12 @@ def cosine_links(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
     ``n_links`` counts the other rows of the same label with at least this cosine, ``component``
     is the least id that links lead to. Rows with a null id, label or vector, a zero vector, or
     a null or non-finite component link with nothing; so do vectors of different length. Rows
-    that repeat an id are vectors of their own that share a component. Other columns are ignored.
+    that repeat an id share a component, and where their vectors differ, the sum of their links.
+    Other columns are ignored.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{vec_id}`").alias("id"), F.col(f"`{embedding}`").alias("embedding"), F.col(f"`{label}`").alias("label"))
-    good = _usable(rows).withColumn("dim", F.size("embedding"))
+    good = rows.filter(_usable()).withColumn("dim", F.size("embedding"))
     # Equal vectors are one point with a weight; the count is combined before the shuffle.
     points = written(
         good.groupBy("label", "dim", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("weight")), "points"
@@ -132,8 +133,7 @@ def cosine_links(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
 
     found = written(dealt.groupBy("label", "dim", "task").applyInArrow(compare, "node bigint, n bigint, root bigint"), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("others"))
-    # A point is named by its least id; the points of a repeated id are told apart by vector, and
-    # their counts are kept apart only if the id is not repeated within one label and vector.
+    # A point is named by its least id.
     member = good.join(points, ["label", "dim", "embedding"]).select("id", "node", "weight")
     ties = member.filter("id <> node").groupBy("id").agg(F.collect_set("node").alias("all")).filter(F.size("all") > 1)
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
@@ -145,5 +145,5 @@ def cosine_links(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
         (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
         F.coalesce("component", "node").alias("component"),
     )
-    bad = rows.join(good.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    bad = rows.filter(~_usable()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(bad)
