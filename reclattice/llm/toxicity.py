@@ -48,9 +48,9 @@ class Settings:
     rows: int = 16_000
     features: int = 20_000
     evidence: float = 20.0
-    ridge: float = 1e-4
+    ridge: float = 5e-6
     swap: float = 1.0
-    steps: int = 300
+    steps: int = 1000
     threshold: float = 0.3
 
 
