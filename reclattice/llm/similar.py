@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclattice.llm.common import add_columns, written
@@ -29,8 +29,6 @@ from reclattice.session import BROADCAST_BYTES, ship_package
 
 # Nodes per block of step 3; a task there compares two blocks.
 BLOCK = 512
-# Pivot orders in use. Bands take turns, so that no single pivot decides for a cluster.
-ORDERS = 2
 # Sets that the verifier remembers per task.
 HELD_SETS = 64
 
@@ -84,11 +82,6 @@ def sketched(units: DataFrame, settings: Settings) -> DataFrame:
     return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>", make).drop("text")
 
 
-def _sizes_allow(a: Column, b: Column, similarity: Fraction) -> Column:
-    """Whether sets of these sizes can reach the similarity at all."""
-    return F.least(a, b) * similarity.denominator >= F.greatest(a, b) * similarity.numerator
-
-
 def _texts_of(units: DataFrame, ids: DataFrame, count: int, settings: Settings) -> DataFrame:
     """(id, text) of some units. The ids are broadcast while ``count`` of them are small, and
     joined otherwise; only the texts asked for are shuffled afterwards."""
@@ -224,23 +217,15 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
     nodes = real.join(equal, (real.id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2) & (real.n == equal.n), "left_semi")
     nodes = nodes.select(F.col("id").alias("node"), "n", "bands").dropDuplicates(["node", "n"])
 
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    rank = F.xxhash64("node", F.col("band") % ORDERS)
+    entries = nodes.select("node", F.explode("bands").alias("h"))
     pivots = (
-        entries.groupBy("h")
-        .agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("rank"), "node", "n")).alias("p"))
-        .filter("m > 1")
-    )
-    shared = written(
-        entries.select("h", "node", "n").join(pivots, "h")
-        .select("h", "m", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")),
-        "buckets",
+        entries.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     )
+    # Half of the buckets, by a bit of the band key, use their least node and half their greatest.
+    pivot = F.when(F.col("h").bitwiseAND(1) == 0, F.col("lo")).otherwise(F.col("hi"))
+    shared = written(entries.join(pivots, "h").select("h", "m", "node", pivot.alias("pivot")), "buckets")
     stars = written(
-        shared.filter(F.col("node") != F.col("pivot"))
-        .filter(_sizes_allow(F.col("n"), F.col("pivot_n"), settings.similarity))
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(),
-        "stars",
+        shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars"
     )
     # A repeated id ties its texts together, and equal sets are tied by their common node.
     repeated = member.groupBy("id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).filter(F.size("all") > 1)
@@ -251,7 +236,7 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
     def component(df: DataFrame) -> DataFrame:
         return df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    labelled = component(shared.filter("m > 2").select("h", "node", "n"))
+    labelled = component(shared.filter("m > 2").select("h", "node"))
     mixed = (
         labelled.groupBy("h")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"),

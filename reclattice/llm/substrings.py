@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from reclattice.llm.common import add_columns, written
 from reclattice.llm.similar import Settings, clusters
 from reclattice.llm.sketches import M1, M2, ODD, MinHash, mix, tune_bands
+from reclattice.session import BROADCAST_BYTES
 
 PARAGRAPH = 20
 # A cut is a place whose three words hash lower than those of REACH places on either side, so
@@ -26,7 +27,7 @@ REACH = 4
 # Pieces of fewer words, or without this many different ones between two cuts (rulers, table
 # borders), are no passage.
 PIECE, DIFFERENT = 10, 4
-SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 48
+SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 20
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
 PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=5, one_text=True)
 
@@ -143,17 +144,24 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = written(occurrences(docs), "occurrences")
     parts = clusters(paragraph_texts(docs), settings).filter("id <> component").select("id", "component").distinct()
-    parts = written(parts.withColumn("kind", F.lit("paragraph")), "paragraphs")
-    known = (
-        found.join(parts, ["kind", "id"], "left")
-        .select("doc_id", "kind", "start", "end", "words", F.coalesce("component", "id").alias("cluster"))
+    parts = written(parts, "paragraphs")
+    pieces = found.filter("kind = 'piece'").withColumn("cluster", F.col("id"))
+    paragraphs = (
+        found.filter("kind = 'paragraph'").join(parts.withColumnRenamed("component", "cluster"), "id", "left")
+        .withColumn("cluster", F.coalesce("cluster", "id"))
     )
+    columns = ["doc_id", "kind", "start", "end", "words", "cluster"]
+    known = pieces.select(columns).union(paragraphs.select(columns))
     sizes = written(
         known.groupBy("kind", "cluster")
         .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .filter("times > 1"),
+        .filter("times > 1")
+        .select("kind", "cluster", "first"),
         "repeated",
     )
+    # Clusters that repeat are few beside all pieces: broadcast while their number is small.
+    if sizes.count() * 64 <= BROADCAST_BYTES:
+        sizes = F.broadcast(sizes)
     return known.join(sizes, ["kind", "cluster"]).select(
         "doc_id", "kind", "start", "end", "words", "cluster",
         (~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).alias("removed"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +24,14 @@ from reclattice.llm.common import add_columns
 from reclattice.session import shuffle_partitions
 
 END_ID = 1
-# Memoised words per Python worker; a full memo is emptied, which costs time only.
-MEMO_ENTRIES = 700_000
+# Remembered per Python worker: words as they stand in texts, and what the library gave for
+# their letters. A full memo is emptied, which costs time only.
+MEMO_ENTRIES = 500_000
+CORE_ENTRIES = 800_000
 MEMO_LENGTH = 64
-# Characters of text that are cut into words at a time.
-GROUP_CHARS = 1_000_000
+# Texts that are cut into words at a time.
+GROUP = 256
+MARKS = (".", ",")
 
 
 class WordCodec:
@@ -40,41 +44,44 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.long: list[str] = []
 
     def _learn(self, words: set[str]) -> None:
-        new = words - self.memo.keys()
-        if len(self.memo) + 2 * len(new) > MEMO_ENTRIES:
-            self.memo = {"": b""}
-            new = words - self.memo.keys()
+        memo, known = self.memo, self.cores
+        new = list(words.difference(memo))
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo = self.memo = {"": b""}
+            new = list(words.difference(memo))
+        self.long = [word for word in new if len(word) > MEMO_LENGTH]
         # A final comma or stop is a match of its own after a letter, and ASCII letters are
         # lower-cased by the tokenizer anyway: both spare the library most of the distinct words.
-        split = {w: self._core(w) for w in new}
-        missing = list({part for pair in split.values() for part in pair} - self.memo.keys())
-        for part, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[part] = np.array(found.ids, "<u4").tobytes()
-        for word, (core, tail) in split.items():
-            self.memo[word] = self.memo[core] + self.memo[tail]
-
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
-        core, tail = word, ""
-        if word[-1] in ",." and word[:-1].isalpha() and word[-2].lower().isalpha():
-            core, tail = word[:-1], word[-1]
-        return (core.lower() if core.isascii() else core), tail
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        cores, tails = [], []
+        for word in new:
+            core, tail = word, ""
+            if word[-1:] in MARKS and word[:-1].isalpha() and word[-2].lower().isalpha():
+                core, tail = word[:-1], word[-1]
+            cores.append(core.lower() if core.isascii() else core)
+            tails.append(tail)
+        missing = list(set(cores).union(tails).difference(known))
+        if len(known) + len(missing) > CORE_ENTRIES:
+            known = self.cores = {"": b""}
+            missing = list(set(cores).union(tails).difference(known))
+        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        known.update(zip(missing, [array("I", found.ids).tobytes() for found in encoded], strict=True))
+        memo.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
+        for word in self.long:
+            known.pop(word.lower() if word.isascii() else word, None)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) as little-endian 32-bit integers, a few texts at a time."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            group, chars = [], 0
-            while at < len(texts) and (not group or chars + len(texts[at] or "") <= GROUP_CHARS):
-                chars += len(texts[at] or "")
-                group.append((texts[at] or "").replace("\n", " ").split(" "))
-                at += 1
+        for start in range(0, len(texts), GROUP):
+            group = [(t or "").replace("\n", " ").split(" ") for t in texts.slice(start, GROUP).to_pylist()]
             self._learn(set().union(*group))
-            out += [b"".join(map(self.memo.__getitem__, words)) for words in group]
-            for word in [w for words in group for w in words if len(w) > MEMO_LENGTH]:
+            look = self.memo.__getitem__
+            out += [b"".join(map(look, words)) for words in group]
+            for word in self.long:
                 self.memo.pop(word, None)
         return out
 
@@ -113,7 +120,7 @@ def write_tokens(
 
         def step(texts):
             nonlocal total
-            data = [d + end for d in codec.encode(texts.to_pylist())]
+            data = [d + end for d in codec.encode(texts)]
             offsets = np.zeros(len(data) + 1, np.int32)
             np.cumsum([len(d) // 4 for d in data], out=offsets[1:])
             at = offsets[:-1].astype(np.int64) + total
