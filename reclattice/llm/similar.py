@@ -82,14 +82,17 @@ def sketched(units: DataFrame, settings: Settings) -> DataFrame:
     return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>", make).drop("text")
 
 
-def _texts_of(units: DataFrame, ids: DataFrame, count: int, settings: Settings) -> DataFrame:
+Texts = Callable[[DataFrame], DataFrame]
+
+
+def _texts_of(texts: Texts, ids: DataFrame, count: int, settings: Settings) -> DataFrame:
     """(id, text) of some units. The ids are broadcast while ``count`` of them are small, and
     joined otherwise; only the texts asked for are shuffled afterwards."""
-    texts = units.select("id", "text").join(F.broadcast(ids) if count * 32 <= BROADCAST_BYTES else ids, "id", "left_semi")
-    return texts.dropDuplicates(["id"]) if settings.one_text else texts
+    found = texts(F.broadcast(ids) if count * 32 <= BROADCAST_BYTES else ids)
+    return found.dropDuplicates(["id"]) if settings.one_text else found
 
 
-def verified(pairs: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
+def verified(pairs: DataFrame, texts: Texts, settings: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts reach the similarity on their full shingle sets.
 
     A pivot with very many partners is a skewed join key, which Spark splits; its text is copied
@@ -97,9 +100,9 @@ def verified(pairs: DataFrame, units: DataFrame, settings: Settings) -> DataFram
     """
     ship_package(pairs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = _texts_of(units, ids, 2 * pairs.count(), settings)
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    found = _texts_of(texts, ids, 2 * pairs.count(), settings)
+    left = found.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = found.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     top, bottom = settings.similarity.numerator, settings.similarity.denominator
 
@@ -155,7 +158,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return ends.join(dealt.select("h", "block", "node", "component"), ["h", "block"]).select("h", "task", "side", "node", "component")
 
 
-def joining_links(rest: DataFrame, units: DataFrame, settings: Settings) -> DataFrame:
+def joining_links(rest: DataFrame, texts: Texts, settings: Settings) -> DataFrame:
     """(a, b): links that join different components inside the buckets of ``rest`` (h, node,
     component). Of the links of a task only those are returned that join what it has not joined
     yet, so there are fewer than nodes."""
@@ -163,8 +166,8 @@ def joining_links(rest: DataFrame, units: DataFrame, settings: Settings) -> Data
     kind = dict(rest.dtypes)["node"]
     top, bottom = settings.similarity.numerator, settings.similarity.denominator
     ids = rest.select(F.col("node").alias("id")).distinct()
-    texts = _texts_of(units, ids, rest.count(), settings).withColumnRenamed("id", "node")
-    dealt = _blocks(rest).join(texts, "node").select("h", "task", "side", "node", "component", "text")
+    found = _texts_of(texts, ids, rest.count(), settings).withColumnRenamed("id", "node")
+    dealt = _blocks(rest).join(found, "node").select("h", "task", "side", "node", "component", "text")
 
     def compare(group: pa.Table) -> pa.Table:
         shingle = Shingler(settings.width)
@@ -201,15 +204,17 @@ def joining_links(rest: DataFrame, units: DataFrame, settings: Settings) -> Data
     return dealt.groupBy("h", "task").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def clusters(units: DataFrame, settings: Settings) -> DataFrame:
+def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None) -> DataFrame:
     """(id, n, component) for each row of ``units`` (id integer, text): the size of its set and
     the least id that links lead to.
 
     Rows with a null id or without words are linked with nothing: their component is their id.
     Rows that repeat an id are one node with the links of all its texts. Other columns of
-    ``units`` are ignored.
+    ``units`` are ignored. ``texts`` gives the (id, text) of a table of ids where that is cheaper
+    than looking through ``units``.
     """
     units = units.select("id", "text")
+    texts = texts or (lambda ids: units.join(ids, "id", "left_semi"))
     rows = written(sketched(units, settings), "sketches")
     real = rows.filter("n > 0 and id is not null")
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
@@ -230,7 +235,7 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
     # A repeated id ties its texts together, and equal sets are tied by their common node.
     repeated = member.groupBy("id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).filter(F.size("all") > 1)
     ties = repeated.select(F.explode("all").alias("a"), "b").union(repeated.select(F.col("id").alias("a"), "b"))
-    first = written(verified(stars, units, settings).union(ties), "links")
+    first = written(verified(stars, texts, settings).union(ties), "links")
     found = written(connected_components(first), "components")
 
     def component(df: DataFrame) -> DataFrame:
@@ -246,7 +251,7 @@ def clusters(units: DataFrame, settings: Settings) -> DataFrame:
         .groupBy("m", "who").agg(F.min("h").alias("h")).select("h")
     )
     rest = written(labelled.join(mixed, "h").select("h", "node", "component").distinct(), "rest")
-    second = written(joining_links(rest, units, settings), "links")
+    second = written(joining_links(rest, texts, settings), "links")
     if second.isEmpty():
         final = found
     else:

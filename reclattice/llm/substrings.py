@@ -143,7 +143,16 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     """
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = written(occurrences(docs), "occurrences")
-    parts = clusters(paragraph_texts(docs), settings).filter("id <> component").select("id", "component").distinct()
+
+    def texts(ids: DataFrame) -> DataFrame:
+        # Only documents that hold one of the paragraphs are cut again.
+        holders = found.filter("kind = 'paragraph'").join(ids, "id", "left_semi").select(F.col("doc_id").alias("holder")).distinct()
+        if holders.count() * 32 <= BROADCAST_BYTES:
+            holders = F.broadcast(holders)
+        some = docs.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
+        return paragraph_texts(some).join(ids, "id", "left_semi")
+
+    parts = clusters(paragraph_texts(docs), settings, texts).filter("id <> component").select("id", "component").distinct()
     parts = written(parts, "paragraphs")
     pieces = found.filter("kind = 'piece'").withColumn("cluster", F.col("id"))
     paragraphs = (
