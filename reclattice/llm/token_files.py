@@ -26,8 +26,8 @@ from reclattice.session import shuffle_partitions
 END_ID = 1
 # Remembered per Python worker: words as they stand in texts, and what the library gave for
 # their letters. A full memo is emptied, which costs time only.
-MEMO_ENTRIES = 500_000
-CORE_ENTRIES = 800_000
+MEMO_ENTRIES = 350_000
+CORE_ENTRIES = 450_000
 MEMO_LENGTH = 64
 # Texts that are cut into words at a time.
 GROUP = 256
