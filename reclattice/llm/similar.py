@@ -215,14 +215,17 @@ def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None) -
     """
     units = units.select("id", "text")
     texts = texts or (lambda ids: units.join(ids, "id", "left_semi"))
-    rows = written(sketched(units, settings), "sketches")
+    every = sketched(units, settings)
+    rows = written(every.distinct() if settings.one_text else every, "sketches")
     real = rows.filter("n > 0 and id is not null")
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
     member = written(real.select("id", "n", "k1", "k2").join(equal, ["k1", "k2", "n"]).select("id", "n", "node"), "members")
     nodes = real.join(equal, (real.id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2) & (real.n == equal.n), "left_semi")
     nodes = nodes.select(F.col("id").alias("node"), "n", "bands").dropDuplicates(["node", "n"])
 
-    entries = nodes.select("node", F.explode("bands").alias("h"))
+    # A set of n shingles and a different one have a Jaccard similarity of n / (n + 1) at most.
+    top, bottom = settings.similarity.numerator, settings.similarity.denominator
+    entries = nodes.filter(F.col("n") * (bottom - top) >= top).select("node", F.explode("bands").alias("h"))
     pivots = (
         entries.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     )

@@ -1,7 +1,8 @@
 """Passages that repeat across documents: near-equal paragraphs and equal pieces of longer text.
 
-Paragraphs are lines of at least ``PARAGRAPH`` words; MinHash bands bring near-equal ones
-together and an exact Jaccard similarity confirms them. A passage may also stand in the middle of
+Paragraphs are lines of at least ``PARAGRAPH`` words (rulers, one word again and again, from
+``RULER`` words on); MinHash bands bring near-equal ones together
+and an exact Jaccard similarity confirms them. A passage may also stand in the middle of
 different paragraphs. So every text is cut into pieces at places that depend on the words nearby
 only, and any passage well beyond two such neighbourhoods yields the same pieces wherever it
 stands. Of each cluster the first occurrence stays.
@@ -19,7 +20,12 @@ from reclattice.llm.similar import Settings, clusters
 from reclattice.llm.sketches import M1, M2, ODD, MinHash, mix, tune_bands
 from reclattice.session import BROADCAST_BYTES
 
-PARAGRAPH = 20
+# The width of a shingle: shorter lines have no set of their own.
+PARAGRAPH = 5
+# A line of one word again and again is a ruler or a table border below this length.
+RULER = 20
+# Paragraph ids that a task remembers, so that common lines are sketched once.
+SEEN = 1_000_000
 # A cut is a place whose three words hash lower than those of REACH places on either side, so
 # cuts are more than REACH words apart, 2 REACH + 1 on average. A piece reaches from a cut to the
 # next but one; pieces overlap by half.
@@ -29,7 +35,7 @@ REACH = 4
 PIECE, DIFFERENT = 10, 4
 SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 20
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
-PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=5, one_text=True)
+PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=PARAGRAPH, one_text=True)
 
 
 class Cut:
@@ -62,7 +68,8 @@ class Cut:
             return []
         first = np.flatnonzero(np.diff(self.line, prepend=-1))
         length, ids = self.runs(first)
-        keep = length >= PARAGRAPH
+        ruler = np.minimum.reduceat(self.hash, first) == np.maximum.reduceat(self.hash, first)
+        keep = (length >= PARAGRAPH) & (~ruler | (length >= RULER))
         return list(zip(first[keep].tolist(), length[keep].tolist(), ids[keep].tolist(), strict=True))
 
     def pieces(self) -> list[tuple[int, int, int]]:
@@ -118,14 +125,20 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
 
 def paragraph_texts(documents: DataFrame) -> DataFrame:
-    """(id, text) of every paragraph."""
+    """(id, text) of every paragraph; a task gives equal ones once while it remembers them."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             ids, texts = [], []
             for text in batch.column(0).to_pylist():
                 cut = Cut(text or "")
                 for first, words, key in cut.paragraphs():
+                    if key in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
                     ids.append(key)
                     texts.append(text[cut.start[first]:cut.end[first + words - 1]])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])

@@ -140,6 +140,22 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     assert substrings.repeats(documents.limit(0)).count() == 0
 
 
+def test_short_lines_are_paragraphs(spark):
+    draw = random.Random(14)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    lines = {n: " ".join(word() for _ in range(n)) for n in (4, 5, 9, 14, 19)}
+    near = lines[19].split()
+    near[-1] = "changed"
+    rows = []
+    for n, line in lines.items():
+        for other in (line, " ".join(near) if n == 19 else line):
+            rows.append((len(rows), "\n".join([" ".join(word() for _ in range(30)), other, " ".join(word() for _ in range(30))])))
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("kind = 'paragraph'").collect()
+    assert sorted((r["doc_id"], r["words"], r["removed"]) for r in found) == [
+        (2, 5, False), (3, 5, True), (4, 9, False), (5, 9, True), (6, 14, False), (7, 14, True), (8, 19, False), (9, 19, True),
+    ]
+
+
 def test_cover_tree_equals_brute_force():
     draw = np.random.default_rng(6)
     for spread, cosine in ((0.05, 0.93), (0.5, 0.9), (3.0, 0.2)):
