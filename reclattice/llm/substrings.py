@@ -3,9 +3,10 @@
 Paragraphs are lines of at least ``PARAGRAPH`` words (rulers, one word again and again, from
 ``RULER`` words on); MinHash bands bring near-equal ones together
 and an exact Jaccard similarity confirms them. A passage may also stand in the middle of
-different paragraphs. So every text is cut into pieces at places that depend on the words nearby
-only, and any passage well beyond two such neighbourhoods yields the same pieces wherever it
-stands. Of each cluster the first occurrence stays.
+different paragraphs. So of every ``WINDOW`` neighbouring runs of ``PIECE`` words the one with the
+least hash is a piece, whatever stands around: texts that share ``WINDOW + PIECE - 1`` words share
+a piece. Each equal piece is then extended to both sides, word by word, as far as its text agrees
+with the text of the first occurrence. Of each cluster the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reclattice.llm.common import add_columns, written
 from reclattice.llm.similar import Settings, clusters
-from reclattice.llm.sketches import M1, M2, ODD, MinHash, mix, tune_bands
+from reclattice.llm.sketches import EMPTY, M1, M2, ODD, MinHash, mix, tune_bands
 from reclattice.session import BROADCAST_BYTES
 
 # The width of a shingle: shorter lines have no set of their own.
@@ -26,13 +28,15 @@ PARAGRAPH = 5
 RULER = 20
 # Paragraph ids that a task remembers, so that common lines are sketched once.
 SEEN = 1_000_000
-# A cut is a place whose three words hash lower than those of REACH places on either side, so
-# cuts are more than REACH words apart, 2 REACH + 1 on average. A piece reaches from a cut to the
-# next but one; pieces overlap by half.
-REACH = 4
-# Pieces of fewer words, or without this many different ones between two cuts (rulers, table
-# borders), are no passage.
-PIECE, DIFFERENT = 10, 4
+# Words of a piece, and of how many neighbouring runs one is a piece.
+PIECE, WINDOW = 10, 16
+# Runs with fewer different words (rulers, table borders) are no piece.
+DIFFERENT = 4
+# Words on either side of an equal piece that are compared before texts are joined: a passage
+# reaches fewer than WINDOW words beyond its last piece.
+SIDE = WINDOW
+# Documents whose pieces are sent at a time.
+GROUP = 64
 SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 20
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
 PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=PARAGRAPH, one_text=True)
@@ -77,35 +81,30 @@ class Cut:
         n = len(self.hash)
         if n < PIECE:
             return []
-        three = mix(mix(mix(self.hash[:-2] * ODD) + self.hash[1:-1]) * ODD + self.hash[2:]) if n > 2 else np.zeros(0, np.uint64)
-        first = np.zeros(1, np.int64)
-        if len(three) > 2 * REACH:
-            around = np.lib.stride_tricks.sliding_window_view(three, 2 * REACH + 1)
-            low = around.argmin(axis=1) == REACH
-            first = np.unique(np.append(first, np.flatnonzero(low) + REACH))
-        length, ids = self.runs(first)
-        run = np.repeat(np.arange(len(first)), length)
-        order = np.lexsort((self.hash, run))
-        new = np.ones(n, bool)
-        new[1:] = (self.hash[order][1:] != self.hash[order][:-1]) | (run[order][1:] != run[order][:-1])
-        different = np.bincount(run[order][new], minlength=len(first))
-        if len(first) > 1:
-            # Neighbours together: long enough that equal ones are no accident.
-            both = mix(mix(ids[:-1].view(np.uint64) * ODD) + ids[1:].view(np.uint64)).view(np.int64)
-            first, length, ids = first[:-1], length[:-1] + length[1:], both
-            different = np.maximum(different[:-1], different[1:])
-        keep = (length >= PIECE) & (different >= DIFFERENT)
-        return list(zip(first[keep].tolist(), length[keep].tolist(), ids[keep].tolist(), strict=True))
-
-
-OCCURRENCE = "array<struct<kind:string,start:int,end:int,words:int,id:bigint>>"
+        many = n - PIECE + 1
+        two = mix(self.hash[:-1] * ODD + self.hash[1:])
+        four = mix(two[:-2] * ODD + two[2:])
+        ids = mix(mix(four[:-4] * ODD + four[4:])[:many] * ODD + two[8:])
+        order = np.argsort(self.hash, kind="stable")
+        before = np.full(n, -1)
+        same = self.hash[order][1:] == self.hash[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        fresh = np.lib.stride_tricks.sliding_window_view(before, PIECE) < np.arange(many)[:, None]
+        ids[fresh.sum(axis=1) < DIFFERENT] = EMPTY
+        around = np.lib.stride_tricks.sliding_window_view(ids, min(WINDOW, many))
+        first = np.unique(around.argmin(axis=1) + np.arange(len(around)))
+        first = first[ids[first] != EMPTY]
+        return [(at, PIECE, key) for at, key in zip(first.tolist(), ids[first].view(np.int64).tolist(), strict=True)]
+
+
+OCCURRENCE = "array<struct<kind:string,at:int,start:int,end:int,words:int,id:bigint>>"
 ARROW = pa.list_(pa.struct([
-    ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("id", pa.int64()),
+    ("kind", pa.string()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("id", pa.int64()),
 ]))
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end, words, id) of all paragraphs and pieces of documents (doc_id, text).
+    """(who, kind, at, start, end, words, id) of all paragraphs and pieces of documents (who, text).
 
     ``id`` hashes the words; case of A-Z and the kind of white space do not matter to it.
     """
@@ -116,12 +115,12 @@ def occurrences(documents: DataFrame) -> DataFrame:
             found = []
             for kind, units in (("paragraph", cut.paragraphs()), ("piece", cut.pieces() if len(cut.hash) else [])):
                 for first, words, key in units:
-                    found.append({"kind": kind, "start": int(cut.start[first]), "end": int(cut.end[first + words - 1]), "words": words, "id": key})
+                    found.append({"kind": kind, "at": first, "start": int(cut.start[first]), "end": int(cut.end[first + words - 1]), "words": words, "id": key})
             return found
 
         return lambda texts: [pa.array([one(t) for t in texts.to_pylist()], ARROW)]
 
-    return add_columns(documents, ["text"], f"found {OCCURRENCE}", make).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    return add_columns(documents, ["text"], f"found {OCCURRENCE}", make).select("who", F.explode("found").alias("f")).select("who", "f.*")
 
 
 def paragraph_texts(documents: DataFrame) -> DataFrame:
@@ -146,48 +145,214 @@ def paragraph_texts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "id bigint, text string")
 
 
+def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """(who, copies, at, id, start, end, left, right, left_start, right_end) of the pieces
+    ``common`` (who, at, id): hashes and places of up to ``SIDE`` words on either side, the nearest
+    first. Rows of equal id and text are one here; ``copies`` counts them."""
+    places = common.groupBy("who").agg(F.collect_set(F.struct("at", "id")).alias("places"), F.count("*").alias("times"))
+    places = places.select("who", (F.col("times") / F.size("places")).cast("long").alias("copies"), F.sort_array("places").alias("places"))
+    held = written(docs.join(places, "who"), "holders")
+    held = held.filter("copies = 1").unionByName(held.filter("copies > 1").dropDuplicates(["who"]))
+    held = held.select("who", "copies", F.col("places.at").alias("at"), F.col("places.id").alias("id"), "text")
+    kind = held.schema["who"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, len(batch), GROUP):
+                part = batch.slice(begin, GROUP)
+                row, at, start, end = [], [], [], []
+                values = {name: [] for name in ("left", "right", "left_start", "right_end")}
+                length = {"left": [], "right": []}
+                for i, (text, own) in enumerate(zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    cut, own = Cut(text), np.array(own, np.int64)
+                    row.append(np.full(len(own), i))
+                    at.append(own)
+                    start.append(cut.start[own])
+                    end.append(cut.end[own + PIECE - 1])
+                    for side, place, name, edge in (
+                        ("left", own[:, None] - 1 - np.arange(SIDE), "left_start", cut.start),
+                        ("right", own[:, None] + PIECE + np.arange(SIDE), "right_end", cut.end),
+                    ):
+                        inside = (place >= 0) & (place < len(cut.hash))
+                        length[side].append(inside.sum(axis=1))
+                        values[side].append(cut.hash[place[inside]].view(np.int64))
+                        values[name].append(edge[place[inside]].astype(np.int32))
+                row = pa.array(np.concatenate(row))
+                offsets = {k: pa.array(np.concatenate([[0], np.cumsum(np.concatenate(v))]).astype(np.int32)) for k, v in length.items()}
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(row), part.column(1).take(row),
+                    pa.array(np.concatenate(at).astype(np.int32)), part.column(3).flatten(),
+                    pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(end).astype(np.int32)),
+                    *[
+                        pa.ListArray.from_arrays(offsets[name.split("_")[0]], pa.array(np.concatenate(v)))
+                        for name, v in values.items()
+                    ],
+                ], names=["who", "copies", "at", "id", "start", "end", *values])
+
+    return held.mapInArrow(run, (
+        f"who {kind}, copies bigint, at int, id bigint, start int, end int, "
+        "left array<bigint>, right array<bigint>, left_start array<int>, right_end array<int>"
+    ))
+
+
+def _extended(docs: DataFrame, unfinished: DataFrame) -> DataFrame:
+    """``unfinished`` (matches, see below) extended on the texts to where these stop agreeing."""
+    columns = unfinished.columns
+    inner = [c for c in columns if c not in ("who", "first")]
+    pairs = unfinished.groupBy("who", "first").agg(F.collect_list(F.struct(*inner)).alias("matches"))
+    needed = unfinished.select(F.explode(F.array("who", "first")).alias("who")).distinct()
+    texts = docs.join(needed, "who", "left_semi").dropDuplicates(["who"])
+    joined = pairs.join(texts, "who").join(
+        texts.select(F.col("who").alias("first"), F.col("text").alias("first_text")), "first"
+    )
+
+    def one(matches, text, first_text):
+        b, a = Cut(text), Cut(first_text)
+        for m in matches:
+            lo, hi = m["lo"], m["hi"]
+            shift = m["shift"]
+            n = min(lo, lo - shift)
+            differ = np.flatnonzero(b.hash[lo - n:lo][::-1] != a.hash[lo - shift - n:lo - shift][::-1])
+            lo -= int(differ[0]) if len(differ) else n
+            n = min(len(b.hash) - hi, len(a.hash) - (hi - shift))
+            differ = np.flatnonzero(b.hash[hi:hi + n] != a.hash[hi - shift:hi - shift + n])
+            hi += int(differ[0]) if len(differ) else n
+            m |= {
+                "lo": lo, "hi": hi, "start": int(b.start[lo]), "end": int(b.end[hi - 1]),
+                "first_start": int(a.start[lo - shift]), "first_end": int(a.end[hi - shift - 1]),
+            }
+        return matches
+
+    def make():
+        def step(matches, texts, first_texts):
+            rows = zip(matches.to_pylist(), texts.to_pylist(), first_texts.to_pylist(), strict=True)
+            return [pa.array([one(*row) for row in rows], matches.type)]
+
+        return step
+
+    kind = joined.schema["matches"].dataType.simpleString()
+    done = add_columns(joined.withColumnRenamed("matches", "before"), ["before", "text", "first_text"], f"matches {kind}", make)
+    return done.select("who", "first", F.explode("matches").alias("m")).select("who", "first", "m.*").select(columns).distinct()
+
+
+def _agree(one: str, two: str) -> str:
+    """SQL of how many elements two arrays have in common before they differ."""
+    same = f"zip_with({one}, {two}, (x, y) -> coalesce(x = y, false))"
+    return f"int(coalesce(nullif(array_position({same}, false), 0) - 1, size({one})))"
+
+
+def _passages(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, kind, start, end, words, cluster, removed) of what equal pieces grow to.
+
+    A match says that words ``lo`` to ``hi`` of ``who`` are, ``shift`` places earlier, words of the
+    document ``first``, which holds the first occurrence of one of its pieces. Matches of several
+    pieces at one shift are one.
+    """
+    repeated = written(
+        pieces.groupBy("id").agg(F.count("*").alias("times"), F.min(F.struct("who", "at")).alias("origin"))
+        .filter("times > 1").select("id", "origin"),
+        "repeated",
+    )
+    many = repeated.count()
+
+    def small(df: DataFrame, row_bytes: int) -> DataFrame:
+        return F.broadcast(df) if many * row_bytes <= BROADCAST_BYTES else df
+
+    common = pieces.join(small(repeated.select("id"), 32), "id", "left_semi").select("who", "at", "id")
+    around = written(_surroundings(docs, common), "pieces")
+    names = {"who": "first", "at": "first_at", **{c: f"first_{c}" for c in ("copies", "start", "end", "left", "right", "left_start", "right_end")}}
+    origins = (
+        around.join(small(repeated, 64), "id").filter(F.col("origin").eqNullSafe(F.struct("who", "at")))
+        .drop("origin").withColumnsRenamed(names)
+    )
+    own = (F.col("who").eqNullSafe(F.col("first"))) & (F.col("at") == F.col("first_at"))
+    grown = (
+        around.join(small(origins, 768), "id").filter(~own | (F.col("copies") > 1))
+        .withColumn("l", F.expr(_agree("left", "first_left"))).withColumn("r", F.expr(_agree("right", "first_right")))
+        .select(
+            "who", "first", "copies", "first_copies", (F.col("at") - F.col("first_at")).alias("shift"),
+            (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + PIECE + F.col("r")).alias("hi"),
+            *[F.expr(f"if(l = 0, {p}start, {p}left_start[l - 1])").alias(f"{p}start") for p in ("", "first_")],
+            *[F.expr(f"if(r = 0, {p}end, {p}right_end[r - 1])").alias(f"{p}end") for p in ("", "first_")],
+            (F.col("l") == SIDE).alias("open_left"), (F.col("r") == SIDE).alias("open_right"),
+        )
+    )
+    line = Window.partitionBy("who", "first", "shift").orderBy("lo", "hi")
+    reached = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("lo") > reached).cast("int"), F.lit(1))
+    left, right = F.struct("start", "first_start", "open_left"), F.struct("end", "first_end", "open_right")
+    matches = (
+        grown.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("who", "first", "shift", "run")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by(left, "lo").alias("left"), F.max_by(right, "hi").alias("right"),
+             F.max("copies").alias("copies"), F.max("first_copies").alias("first_copies"))
+        .drop("run").select("*", "left.*", "right.*").drop("left", "right")
+    )
+    matches = written(matches, "matches")
+    loose = F.col("open_left") | F.col("open_right")
+    matches = matches.drop("open_left", "open_right").filter(~loose).unionByName(
+        _extended(docs, matches.filter(loose).drop("open_left", "open_right"))
+    )
+    matches = written(
+        matches.withColumn("words", F.col("hi") - F.col("lo"))
+        .withColumn("cluster", F.xxhash64("first", F.col("lo") - F.col("shift"), "words")),
+        "matches",
+    )
+    later = matches.filter(~(F.col("who").eqNullSafe(F.col("first")) & (F.col("shift") == 0))).select(
+        F.col("who.doc_id").alias("doc_id"), "start", "end", "words", "cluster", F.lit(True).alias("removed"), "copies"
+    )
+    firsts = matches.select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first_start").alias("start"), F.col("first_end").alias("end"),
+        "words", "cluster", F.lit(False).alias("removed"), F.col("first_copies").alias("copies"),
+    ).distinct()
+    return later.union(firsts).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        "doc_id", F.lit("piece").alias("kind"), "start", "end", "words", "cluster", "removed"
+    )
+
+
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = PARAGRAPHS) -> DataFrame:
     """(doc_id, kind, start, end, words, cluster, removed): every passage that occurs twice or more.
 
     Offsets count code points, ``end`` is exclusive. ``removed`` is false for the first occurrence
-    by (doc_id, start) and true for the others. Null, empty and short texts have no passages; rows
-    without an id sort first; repeated rows are occurrences of their own. Documents without a
-    repeated passage do not appear.
+    by (doc_id, start) and true for the others. A piece reaches as far as its text agrees with the
+    first occurrence, which appears once per such length. Null, empty and short texts have no
+    passages; rows without an id sort first; repeated rows are occurrences of their own. Documents
+    without a repeated passage do not appear.
     """
-    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = documents.select(
+        F.struct(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key")).alias("who"),
+        F.col(f"`{text}`").alias("text"),
+    )
     found = written(occurrences(docs), "occurrences")
 
     def texts(ids: DataFrame) -> DataFrame:
         # Only documents that hold one of the paragraphs are cut again.
-        holders = found.filter("kind = 'paragraph'").join(ids, "id", "left_semi").select(F.col("doc_id").alias("holder")).distinct()
+        holders = found.filter("kind = 'paragraph'").join(ids, "id", "left_semi").select("who").distinct()
         if holders.count() * 32 <= BROADCAST_BYTES:
             holders = F.broadcast(holders)
-        some = docs.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-        return paragraph_texts(some).join(ids, "id", "left_semi")
+        return paragraph_texts(docs.join(holders, "who", "left_semi")).join(ids, "id", "left_semi")
 
     parts = clusters(paragraph_texts(docs), settings, texts).filter("id <> component").select("id", "component").distinct()
     parts = written(parts, "paragraphs")
-    pieces = found.filter("kind = 'piece'").withColumn("cluster", F.col("id"))
-    paragraphs = (
+    known = (
         found.filter("kind = 'paragraph'").join(parts.withColumnRenamed("component", "cluster"), "id", "left")
         .withColumn("cluster", F.coalesce("cluster", "id"))
     )
-    columns = ["doc_id", "kind", "start", "end", "words", "cluster"]
-    known = pieces.select(columns).union(paragraphs.select(columns))
     sizes = written(
-        known.groupBy("kind", "cluster")
-        .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start")).alias("first"))
+        known.groupBy("cluster")
+        .agg(F.count("*").alias("times"), F.min(F.struct("who", "at")).alias("first"))
         .filter("times > 1")
-        .select("kind", "cluster", "first"),
+        .select("cluster", "first"),
         "repeated",
     )
-    # Clusters that repeat are few beside all pieces: broadcast while their number is small.
+    # Clusters that repeat are few beside all paragraphs: broadcast while their number is small.
     if sizes.count() * 64 <= BROADCAST_BYTES:
         sizes = F.broadcast(sizes)
-    return known.join(sizes, ["kind", "cluster"]).select(
-        "doc_id", "kind", "start", "end", "words", "cluster",
-        (~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).alias("removed"),
+    paragraphs = known.join(sizes, "cluster").select(
+        F.col("who.doc_id").alias("doc_id"), "kind", "start", "end", "words", "cluster",
+        (~F.struct("who", "at").eqNullSafe(F.col("first"))).alias("removed"),
     )
+    return paragraphs.union(_passages(docs, found.filter("kind = 'piece'")))
 
 
 def without_repeats(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -156,6 +156,33 @@ def test_short_lines_are_paragraphs(spark):
     ]
 
 
+@pytest.mark.parametrize("side", [16, 2])
+def test_passages_reach_as_far_as_texts_agree(spark, monkeypatch, side):
+    # With a short SIDE, ends are found on the joined texts.
+    monkeypatch.setattr(substrings, "SIDE", side)
+    draw = random.Random(15)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    rows, expected = [], set()
+    for n in [25, 26, 30, 40, 51, 60, 150] * 3:
+        passage = " ".join(word() for _ in range(n))
+        for _ in range(2):
+            before = " ".join(word() for _ in range(draw.randint(20, 60))) + " "
+            text = before + passage + " " + " ".join(word() for _ in range(draw.randint(20, 60)))
+            expected.add((len(rows), len(before), len(before) + len(passage), n, len(rows) % 2 == 1))
+            rows.append((len(rows), text))
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["words"], r["removed"]) for r in found} == expected
+    assert len(found) == len(expected)
+
+
+def test_rows_that_repeat_are_occurrences(spark):
+    draw = random.Random(16)
+    text = " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    rows = [(1, text), (1, text), (None, "x y z " + text), (None, text + " u v w")]
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("kind = 'piece'").collect()
+    assert sorted((r["doc_id"] or 0, r["words"], r["removed"]) for r in found) == [(0, 40, False), (0, 40, True), (1, 40, True), (1, 40, True)]
+
+
 def test_cover_tree_equals_brute_force():
     draw = np.random.default_rng(6)
     for spread, cosine in ((0.05, 0.93), (0.5, 0.9), (3.0, 0.2)):
