@@ -140,6 +140,19 @@ def test_scores_of_documents(spark, monkeypatch, head):
     assert scoring.scores(documents.limit(0), RANKS, settings).count() == 0
 
 
+def test_scores_do_not_depend_on_the_head(spark, monkeypatch):
+    draw = random.Random(17)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(60 * draw.random() ** 2)}" for _ in range(draw.randint(1, 40))), i % 5 == 1) for i in range(80)]
+    rows += [(80, "a1 a2 neverseen", True), (81, None, True)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    settings = scoring.Settings(classes=2, prior=5.0, spelling=attention.Settings(vocabulary=300, steps=20, batch=64))
+    found = []
+    for head in (5, 300_000):
+        monkeypatch.setattr(scoring, "HEAD", head)
+        found.append({r["doc_id"]: r["score"] for r in scoring.scores(documents, RANKS, settings).collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-4)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
