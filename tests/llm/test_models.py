@@ -153,6 +153,17 @@ def test_scores_do_not_depend_on_the_head(spark, monkeypatch):
     assert found[0] == pytest.approx(found[1], abs=1e-4)
 
 
+def test_probabilities_add_up_to_one_at_most(spark):
+    draw = random.Random(18)
+    unseen = {"".join(draw.choice("cdefgh") for _ in range(draw.randint(1, 8))) for _ in range(3000)}
+    rows = [(i, "aa bb", False) for i in range(8)] + [(8 + i, text, True) for i, text in enumerate(["", "aa", "bb", *sorted(unseen)])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    settings = scoring.Settings(classes=2, spelling=attention.Settings(vocabulary=300, steps=20, batch=64))
+    found = {r["doc_id"]: r["score"] for r in scoring.scores(documents, RANKS, settings).filter("held_out").collect()}
+    # No two of these texts are equal, and each is scored to its end.
+    assert len(found) == len(unseen) + 3 and 0.1 < sum(10 ** x for x in found.values()) <= 1
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
