@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -42,7 +43,9 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are matched inside words and before any lower-casing, which must not make one.
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
         self.memo: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
         self.long: list[str] = []
@@ -59,6 +62,10 @@ class WordCodec:
         cores, tails = [], []
         for word in new:
             core, tail = word, ""
+            if self.added(word):
+                cores.append(core)
+                tails.append(tail)
+                continue
             if word[-1:] in MARKS and word[:-1].isalpha() and word[-2].lower().isalpha():
                 core, tail = word[:-1], word[-1]
             cores.append(core.lower() if core.isascii() else core)
@@ -72,6 +79,7 @@ class WordCodec:
         memo.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
         for word in self.long:
             known.pop(word.lower() if word.isascii() else word, None)
+            known.pop(word, None)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers, a few texts at a time."""

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -118,6 +119,19 @@ def test_token_files(texts, spark):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_added_tokens_are_matched_in_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        codec = token_files.WordCodec(file.read())
+    draw = random.Random(19)
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|endof", "text|>", "A", "é", ".", ",", " ", "\n", "\t", "x" * 70]
+    texts = ["<|endoftext|>.", "A<|endoftext|>b,", *("".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(2000))]
+    for text, data in zip(texts, codec.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(codec.encode(pa.array(["<|endoftext|>"]))[0], "<u4")
+
+
 def words(text):
     low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
