@@ -33,11 +33,32 @@ def near_duplicates(documents: DataFrame, settings: Settings = DOCUMENTS, doc_id
 
 
 def one_of_each(documents: DataFrame, settings: Settings = DOCUMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``documents`` with one row per cluster of near-duplicates; rows without an id all stay."""
+    """``documents`` with one row per cluster of near-duplicates; rows without an id all stay.
+
+    Where the kept id stands for several texts, one of each stays that are not near-duplicates.
+    """
     kept = written(
         near_duplicates(documents, settings, doc_id, text).filter("kept and doc_id is not null").select("doc_id").distinct(),
         "kept",
     )
     named = documents.filter(F.col(f"`{doc_id}`").isNotNull())
     chosen = named.join(kept.select(F.col("doc_id").alias("__kept")), F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
-    return chosen.dropDuplicates([doc_id]).union(documents.filter(F.col(f"`{doc_id}`").isNull()))
+    unnamed = documents.filter(F.col(f"`{doc_id}`").isNull())
+    once = chosen.withColumn("__unit", F.xxhash64(doc_id, text))
+    several = written(
+        once.groupBy(F.col(f"`{doc_id}`").alias("__several")).agg(F.count_distinct("__unit").alias("m")).filter("m > 1").select("__several"),
+        "several",
+    )
+    if several.isEmpty():
+        return chosen.dropDuplicates([doc_id]).union(unnamed)
+    mixed = once.join(several, F.col(f"`{doc_id}`") == F.col("__several"), "left_semi")
+    parts = clusters(mixed.select(F.col("__unit").alias("id"), F.col(f"`{text}`").alias("text")), settings)
+    least = written(
+        mixed.select(F.col(f"`{doc_id}`").alias("__id"), "__unit").distinct()
+        .join(parts.select(F.col("id").alias("__unit"), "component").distinct(), "__unit")
+        .groupBy("__id", "component").agg(F.min("__unit").alias("__least")).select("__least"),
+        "least",
+    )
+    own = mixed.join(least, F.col("__unit") == F.col("__least"), "left_semi").dropDuplicates(["__unit"]).drop("__unit")
+    single = chosen.join(several, F.col(f"`{doc_id}`") == F.col("__several"), "left_anti").dropDuplicates([doc_id])
+    return single.union(own).union(unnamed)

@@ -221,7 +221,8 @@ def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None) -
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
     member = written(real.select("id", "n", "k1", "k2").join(equal, ["k1", "k2", "n"]).select("id", "n", "node"), "members")
     nodes = real.join(equal, (real.id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2) & (real.n == equal.n), "left_semi")
-    nodes = nodes.select(F.col("id").alias("node"), "n", "bands").dropDuplicates(["node", "n"])
+    # A node has the bands of all sets whose least id it is.
+    nodes = nodes.select(F.col("id").alias("node"), "n", "k1", "k2", "bands").dropDuplicates(["node", "k1", "k2", "n"])
 
     # A set of n shingles and a different one have a Jaccard similarity of n / (n + 1) at most.
     top, bottom = settings.similarity.numerator, settings.similarity.denominator

@@ -99,6 +99,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert neardup.near_duplicates(documents.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    near = {k: t.rsplit(" ", 1)[0] + " changed" for k, t in texts.items()}
+    # Sets of one size and one least id; each is near a text of another id.
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["c"]), (2, near["a"]), (3, near["b"]), (4, near["c"]), (5, texts["d"])]
+    rows += [(1, near["c"]), (5, texts["d"])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    kept = [(r["doc_id"], r["text"][0]) for r in neardup.one_of_each(documents).collect()]
+    assert sorted(kept) == [(1, "a"), (1, "b"), (1, "c"), (5, "d")]
+
+
 def test_links_beyond_the_pivot_are_found(spark):
     # A chain in which each text is near its neighbours only: pivots alone cannot join it.
     words = [f"v{i}" for i in range(120)]
