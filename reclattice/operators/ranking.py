@@ -90,6 +90,18 @@ def weighted_positions(df: DataFrame, by: str, order: list[str], weight: str, ro
     )
 
 
+def row_numbers(df: DataFrame, by: str, order: list[str], name: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with the position of each row in its group, from 1. Groups above ``hot_rows`` rows
+    are ranked by ranges instead of in one window task."""
+    hot = hot_keys(df, by, hot_rows)
+    window = Window.partitionBy(by).orderBy(*order)
+    ranked = hot.without(df, by).withColumn(name, F.row_number().over(window).cast("long"))
+    if not hot.count:
+        return ranked
+    placed = weighted_positions(hot.only(df, by).withColumn("_m", F.lit(1)), by, order, "_m", hot.rows, hot_rows)
+    return ranked.unionByName(placed.withColumn(name, (F.col("_start") + 1).cast("long")).select(ranked.columns))
+
+
 def repeat_rows(df: DataFrame, times: str, spread: bool = False) -> DataFrame:
     """Emit every row ``times`` times (0 drops it). With ``spread`` a large count is first
     cut into chunks that are shuffled apart, so no single task writes all copies."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclattice.functions.columns import log_discount, prefix_size, rounded
@@ -23,7 +23,7 @@ from reclattice.operators.filters import (
 from reclattice.operators.matrix import both_triangles, with_ridge
 from reclattice.operators.matrix import gram as item_pairs
 from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k, recall_k
-from reclattice.operators.ranking import top_k, union_all
+from reclattice.operators.ranking import row_numbers, top_k, union_all
 from reclattice.operators.scoring import score_pairs
 from reclattice.operators.split import Split, chronological_split
 from reclattice.plans.grid import GridResult, best_params, grid_search, hold_out
@@ -530,8 +530,7 @@ def als_recs_spark_ml(spark, sf):
 def rank_truth(spark, sf):
     """Test items of each user in time order."""
     test = part_split(spark, sf).test
-    order = Window.partitionBy("user").orderBy("timestamp", "item")
-    return test.select("user", "item", F.row_number().over(order).cast("long").alias("rank"))
+    return row_numbers(test, "user", ["timestamp", "item"]).select("user", "item", "rank")
 
 
 @query

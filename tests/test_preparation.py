@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import GOLDEN, SCHEMA, rows
 from reclattice.operators.encode import OrdinalEncoder
 from reclattice.operators.filters import binarize_rating
+from reclattice.operators.ranking import row_numbers
 from reclattice.operators.split import chronological_split
 from reclattice.sources import loaders
 from reclattice.sources.netflix import positive_netflix, read_movie_blocks
@@ -91,6 +92,21 @@ def test_rating_files(spark, tmp_path):
     assert rows(okko, "user", "item", "timestamp") == [(1, 10, 1.0), (1, 11, 2.0)]
 
 
+def test_row_numbers_of_huge_groups_are_dealt_out(spark):
+    draw = random.Random(20)
+    data = [(draw.choice([None, 1, 1, 1, 2]), draw.randint(0, 50), float(draw.randint(0, 20))) for _ in range(400)]
+    df = spark.createDataFrame(sorted(set(data), key=str), "user long, item long, timestamp double")
+    plain, dealt = (row_numbers(df, "user", ["timestamp", "item"], hot_rows=h).collect() for h in (10_000, 20))
+    assert {tuple(r) for r in plain} == {tuple(r) for r in dealt} and len(plain) == len(dealt) == df.count()
+    # Tiny partitions are not put together again, to see where the one user's rows are.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = row_numbers(df.filter("user = 1"), "user", ["timestamp", "item"], hot_rows=20)
+        assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_movie_headers_carry_over_file_splits(spark, tmp_path):
     expect = []
     text = []
