@@ -27,7 +27,7 @@ PARAGRAPH = 5
 # A line of one word again and again is a ruler or a table border below this length.
 RULER = 20
 # Paragraph ids that a task remembers, so that common lines are sketched once.
-SEEN = 1_000_000
+SEEN = 250_000
 # Words of a piece, and of how many neighbouring runs one is a piece.
 PIECE, WINDOW = 10, 16
 # Runs with fewer different words (rulers, table borders) are no piece.
@@ -35,7 +35,7 @@ DIFFERENT = 4
 # Words on either side of an equal piece that are compared before texts are joined: a passage
 # reaches fewer than WINDOW words beyond its last piece.
 SIDE = WINDOW
-# Documents whose pieces are sent at a time.
+# Documents that are cut at a time.
 GROUP = 64
 SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 20
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
@@ -118,7 +118,11 @@ def occurrences(documents: DataFrame) -> DataFrame:
                     found.append({"kind": kind, "at": first, "start": int(cut.start[first]), "end": int(cut.end[first + words - 1]), "words": words, "id": key})
             return found
 
-        return lambda texts: [pa.array([one(t) for t in texts.to_pylist()], ARROW)]
+        def step(texts):
+            parts = [pa.array([one(t) for t in texts.slice(at, GROUP).to_pylist()], ARROW) for at in range(0, len(texts), GROUP)]
+            return [pa.concat_arrays(parts) if parts else pa.array([], ARROW)]
+
+        return step
 
     return add_columns(documents, ["text"], f"found {OCCURRENCE}", make).select("who", F.explode("found").alias("f")).select("who", "f.*")
 
@@ -128,9 +132,9 @@ def paragraph_texts(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for part in (batch.slice(at, GROUP) for batch in batches for at in range(0, len(batch), GROUP)):
             ids, texts = [], []
-            for text in batch.column(0).to_pylist():
+            for text in part.column(0).to_pylist():
                 cut = Cut(text or "")
                 for first, words, key in cut.paragraphs():
                     if key in seen:
