@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclattice.llm import (
-    bpe, decontaminate, embeddings, language, neardup, pii, scoring, substrings, token_files, toxicity,
+    bpe, decontaminate, embeddings, language, lookup_clusters, neardup, pii, scoring, substrings, token_files, topk,
+    toxicity, whitening,
 )
 from reclattice.llm.common import held_out, table
 from reclattice.session import scratch_path
@@ -187,3 +188,64 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents.select("doc_id", "text"), model).select(
         "doc_id", kept.alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op11_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.top_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+# Vectors that take part, as integers: components times {scale}, rounded down.
+_INTEGERS = """
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+"""
+
+SQL["op11_top_neighbours"] = f"""
+WITH v AS ({_INTEGERS.format(scale=64)}
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+) SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four directions of largest variance, each scaled to variance 1."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters after three rounds."""
+    return lookup_clusters.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _clusters_sql() -> str:
+    """Rounds of assignment and floored means, spelt out."""
+    parts = [
+        f"v AS (SELECT vec_id, x FROM ({_INTEGERS.format(scale=64)}) WHERE len(x) = 64)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)",
+    ]
+    for n in range(4):
+        parts.append(f"""a{n} AS (SELECT vec_id, x, c, far FROM (
+  SELECT vec_id, v.x, c, far, row_number() OVER (PARTITION BY vec_id ORDER BY far, c) AS place FROM (
+    SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS far FROM v, c{n} m) v) WHERE place = 1)""")
+        if n < 3:
+            parts.append(f"""c{n + 1} AS (SELECT m.c, coalesce(f.x, m.x) AS x FROM c{n} m LEFT JOIN (
+  SELECT c, list(mean ORDER BY d) AS x FROM (
+    SELECT c, d, CAST(floor(sum(value) / count(*)) AS BIGINT) AS mean FROM (SELECT c, unnest(x) AS value, unnest(range(1, 65)) AS d FROM a{n}) GROUP BY c, d
+  ) GROUP BY c) f USING (c))""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance,
+  CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 m USING (c)
+"""
+
+
+SQL["op13_lookup_clusters"] = _clusters_sql()
