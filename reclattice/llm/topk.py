@@ -5,13 +5,15 @@ its own dimensions only. The score of a candidate is the sum over the nodes.
 
 1. Every node gathers its k best candidates of every query. Their scores are completed; the k-th
    best of these is a lower bound ``tau`` of the k-th best of all.
-2. Every node gets a safe cutoff: its best local score less the same ``give`` for every node, so
-   that the cutoffs add up to at most ``tau``. A candidate under the cutoff of every node scores
-   less than ``tau``. Each node sends the entries at or above its cutoff.
-3. Candidates that all nodes have sent are complete. ``tau`` rises to the k-th best known score;
-   of the others, those that can still reach it are scored exactly.
-
-Nodes are cut into blocks of candidates and queries, so a task holds two blocks of one slice.
+2. Every node gets a safe cutoff: its k-th best local score less the same ``give`` for every node,
+   so that the cutoffs add up to at most ``tau``. A candidate under the cutoff of every node scores
+   less than ``tau``. Each node sends the entries at or above its cutoff, packed by query. (The
+   k-th best, because a few near copies of a query score far above what else is near it.)
+3. Candidates that all nodes have sent are complete. Of the others, those that can still reach
+   ``tau``, or the k-th best complete score, are scored exactly.
+
+Nodes are cut into blocks of candidates and queries, so a task holds two blocks of one slice, or
+in the third phase the entries of all slices between two blocks.
 """
 
 from __future__ import annotations
@@ -30,13 +32,11 @@ SCALE = 64.0
 SLICES = 2
 # Candidates and queries in a block, and scores a task holds at once.
 CANDIDATES = 8192
-QUERIES = 4096
+QUERIES = 1024
 _SCORES_AT_ONCE = 4_000_000
 # Squared length from which scores may not fit a long.
 _SQUARED = float(2**62)
 _LEAST = -(2**63)
-# Share by which bounds in doubles are widened.
-_SLACK = 1e-9
 
 
 def _squares(x) -> Column:
@@ -75,23 +75,24 @@ class _Blocks:
         return F.explode(F.sequence(F.lit(0), F.lit(self.cuts[name] - 1)))
 
     def placed(self, sliced: bool) -> tuple[DataFrame, DataFrame]:
-        """Both sides with (slice, cb, qb): every block meets every block of the other side."""
+        """Both sides with (slice if cut, cb, qb): every block meets every block of the other side."""
         def parts(df: DataFrame) -> DataFrame:
             if not sliced:
-                return df.withColumn("slice", F.lit(0))
+                return df
             pieces = F.array(*[
                 F.struct(F.lit(g).alias("slice"), F.slice("x", g * self.width + 1, self.width).alias("x"))
                 for g in range(self.slices)
             ])
-            rest = F.sqrt(F.greatest(F.col("length") - _squares(F.col("piece.x")), F.lit(0.0)) + F.col("length") * _SLACK)
-            df = df.withColumn("length", _squares(F.col("x"))).withColumn("piece", F.explode(pieces))
-            return df.withColumn("rest", rest).withColumn("slice", F.col("piece.slice")).withColumn("x", F.col("piece.x")).drop("piece", "length")
+            return df.withColumn("piece", F.explode(pieces)).withColumns(
+                {"slice": F.col("piece.slice"), "x": F.col("piece.x")}
+            ).drop("piece")
 
         left = parts(self.candidates).withColumn("cb", self.block("key")).withColumn("qb", self._every("q"))
         right = parts(self.queries).withColumn("qb", self.block("q")).withColumn("cb", self._every("key"))
         return left, right
 
     def on_nodes(self, right: DataFrame, left: DataFrame, task, schema: str) -> DataFrame:
+        """``task`` on every pair of blocks of every slice."""
         keys = ["slice", "cb", "qb"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
 
@@ -141,7 +142,12 @@ def _in_steps(known: pa.Table, asked: pa.Table):
 
 
 _LISTS = "q long, slice int, key long, s long"
-_ENTRIES = "q long, key long, s long, reach double"
+_SENT = "cb int, qb int, q long, cutoff long, cols binary, s binary"
+_SCORED = "q long, key long, score long"
+
+
+def _ints(values) -> pa.Array:
+    return pa.array(np.concatenate(values) if len(values) else np.empty(0, np.int64), pa.int64())
 
 
 def _local_lists(k: int):
@@ -159,39 +165,101 @@ def _local_lists(k: int):
                 out["q"].append(q[lo + rows])
                 out["key"].append(key[best[keep]])
                 out["s"].append(np.take_along_axis(scores, best, axis=1)[keep].astype(np.int64))
-        made = {n: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for n, v in out.items()}
+        made = {n: _ints(v) for n, v in out.items()}
         return pa.table({"q": made["q"], "slice": pa.array(np.full(len(made["q"]), node, np.int32)), "key": made["key"], "s": made["s"]})
 
     return task
 
 
 def _entries(known: pa.Table, asked: pa.Table) -> pa.Table:
-    """Entries at or above the cutoff of their query whose vectors are long enough elsewhere to
-    reach tau (Cauchy and Schwarz)."""
-    out = [[], [], [], []]
+    """One row per query with entries at or above its cutoff: numbers of the candidates in the
+    order of their keys, and local scores."""
+    out = {name: [] for name in ("q", "cutoff", "cols", "s")}
+    cb = qb = 0
     if known.num_rows and asked.num_rows:
-        key, q = known["key"].to_numpy(), asked["q"].to_numpy()
-        cutoff, tau = asked["cutoff"].to_numpy(), asked["tau"].to_numpy().astype(np.float64)
-        far, rest = asked["rest"].to_numpy(), known["rest"].to_numpy()
+        known = known.sort_by("key")
+        cb, qb = known["cb"][0].as_py(), known["qb"][0].as_py()
+        q, cutoff = asked["q"].to_numpy(), asked["cutoff"].to_numpy()
         for lo, scores, own in _in_steps(known, asked):
             bound = cutoff[lo : lo + scores.shape[0]]
-            whole = {np.dtype(np.float32): 2**24, np.dtype(np.float64): 2**53}.get(scores.dtype)
-            near = bound if whole is None else np.clip(bound, -whole, whole).astype(scores.dtype)
+            # No score is beyond what its type counts exactly, so a cutoff may stop there too.
+            most = {np.dtype(np.float32): 2**24, np.dtype(np.float64): 2**53}.get(scores.dtype)
+            near = bound if most is None else np.clip(bound, -most, most).astype(scores.dtype)
             row, col = np.nonzero(scores >= near[:, None])
             s = scores[row, col].astype(np.int64)
-            most = s + far[lo + row] * rest[col] * (1 + _SLACK)
-            limit = tau[lo + row]
-            keep = (col != own[row]) & (s >= bound[row]) & (most >= limit - _SLACK * (np.abs(limit) + np.abs(s)))
-            row, col, s, most = row[keep], col[keep], s[keep], most[keep]
-            for into, values in zip(out, (q[lo + row], key[col], s, most), strict=True):
-                into.append(values)
-    kinds = (np.int64, np.int64, np.int64, np.float64)
+            keep = (col != own[row]) & (s >= bound[row])
+            row, col, s = row[keep], col[keep].astype(np.int32), s[keep]
+            ends = np.searchsorted(row, np.arange(scores.shape[0] + 1))
+            for r in np.flatnonzero(np.diff(ends)):
+                at = slice(ends[r], ends[r + 1])
+                for name, value in (("q", q[lo + r]), ("cutoff", bound[r]), ("cols", col[at].tobytes()), ("s", s[at].tobytes())):
+                    out[name].append(value)
+    size = len(out["q"])
     return pa.table({
-        n: pa.array(np.concatenate(v) if v else np.empty(0, kind))
-        for n, v, kind in zip(("q", "key", "s", "reach"), out, kinds, strict=True)
+        "cb": pa.array(np.full(size, cb, np.int32)), "qb": pa.array(np.full(size, qb, np.int32)),
+        "q": pa.array(out["q"], pa.int64()), "cutoff": pa.array(out["cutoff"], pa.int64()),
+        "cols": pa.array(out["cols"], pa.binary()), "s": pa.array(out["s"], pa.binary()),
     })
 
 
+def _unpacked(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """Position inside each run of equal values."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.arange(group.size) - np.repeat(starts, np.diff(np.r_[starts, group.size]))
+
+
+def _completed(k: int, nodes: int, dims: int):
+    """Task body of the third phase: the k best of every query between two blocks."""
+
+    def task(table: pa.Table) -> pa.Table:
+        sent = table.filter(table["cols"].is_valid())
+        if not sent.num_rows:
+            return pa.table({n: _ints([]) for n in ("q", "key", "score")})
+        known = table.filter(table["key"].is_valid()).sort_by("key")
+        asked = table.filter(table["own"].is_valid()).sort_by("q")
+        key, q = known["key"].to_numpy(), asked["q"].to_numpy()
+        v, w = matrix(known["x"], dims), matrix(asked["x"], dims)
+        tau, total = asked["tau"].to_numpy(), asked["total"].to_numpy()
+        cols = _unpacked(sent["cols"], np.int32)
+        sizes = [c.size for c in cols]
+        at = np.searchsorted(q, sent["q"].to_numpy())
+        code = np.repeat(at * key.size, sizes) + np.concatenate(cols)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        count = np.diff(np.r_[first, code.size])
+        score = np.add.reduceat(np.concatenate(_unpacked(sent["s"], np.int64))[order], first)
+        passed = np.add.reduceat(np.repeat(sent["cutoff"].to_numpy(), sizes)[order], first)
+        row, col = np.divmod(code[first], key.size)
+
+        def best(some: np.ndarray) -> np.ndarray:
+            """Indices of the k best of each query among ``some``, in order."""
+            some = some[np.lexsort((col[some], -score[some], row[some]))]
+            return some[_ranks(row[some]) < k]
+
+        whole = best(np.flatnonzero(count == nodes))
+        bound = tau.copy()
+        last = whole[_ranks(row[whole]) == k - 1]
+        bound[row[last]] = np.maximum(bound[row[last]], score[last])
+        # A node that did not send a candidate scores it below its cutoff.
+        missing = nodes - count
+        free = tau[row] == _LEAST
+        reach = np.where(free, 0, score + np.where(free, 0, total[row] - passed) - missing)
+        unsure = np.flatnonzero((missing > 0) & (free | (reach >= bound[row])))
+        step = max(1, _SCORES_AT_ONCE // dims)
+        for lo in range(0, unsure.size, step):
+            these = unsure[lo : lo + step]
+            score[these] = np.einsum("ij,ij->i", v[col[these]], w[row[these]])
+        found = best(np.concatenate([whole, unsure]))
+        return pa.table({"q": pa.array(q[row[found]]), "key": pa.array(key[col[found]]), "score": pa.array(score[found])})
+
+    return task
+
+
 def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:
     """(q, name): the k-th best score; queries with fewer are left out."""
     best = _best(scored, ["q"], [F.desc("score")], k)
@@ -231,31 +299,27 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = TOP, slices: int
     lists = written(_best(gathered, ["q", "slice"], [F.desc("s"), F.col("key")], k).drop("rank"), "lists")
     complete = written(blocks.resolve(lists.select("q", "key").distinct()), "listed")
     tau = _kth(complete, k, "tau")
-    tops = lists.groupBy("q", "slice").agg(F.max("s").alias("top"))
-    give = F.ceil((F.sum(F.col("top").cast("decimal(38,0)")) - F.col("tau")) / nodes)
-    spared = tops.join(tau, "q").groupBy("q", "tau").agg(give.cast("long").alias("give"))
+    listed = lists.groupBy("q", "slice").agg(F.min("s").alias("low"))
+    give = F.ceil((F.sum(F.col("low").cast("decimal(38,0)")) - F.col("tau")) / nodes)
+    given = listed.join(tau, "q").groupBy("q", "tau").agg(
+        give.cast("long").alias("give"), F.sum("low").cast("long").alias("total")
+    ).withColumn("total", F.col("total") - nodes * F.col("give"))
     cutoffs = written(
-        tops.join(spared, "q").select("q", "slice", "tau", (F.col("top") - F.col("give")).alias("cutoff")), "cutoffs"
+        listed.join(given, "q").select("q", "slice", "tau", "total", (F.col("low") - F.col("give")).alias("cutoff")), "cutoffs"
     )
     # Second phase; a query without k listed candidates has no cutoff and is sent them all.
-    bounded = right.join(cutoffs, ["q", "slice"], "left").withColumns(
-        {"tau": F.coalesce("tau", F.lit(_LEAST)), "cutoff": F.coalesce("cutoff", F.lit(_LEAST))}
-    )
-    sent = blocks.on_nodes(bounded, left, _entries, _ENTRIES)
-    met = written(
-        sent.groupBy("q", "key").agg(F.sum("s").alias("score"), F.count("*").alias("nodes"), F.min("reach").alias("reach")),
-        "entries",
+    bounded = right.join(cutoffs.select("q", "slice", "cutoff"), ["q", "slice"], "left").withColumn(
+        "cutoff", F.coalesce("cutoff", F.lit(_LEAST))
     )
+    sent = blocks.on_nodes(bounded, left, _entries, _SENT)
     # Third phase.
-    done = met.filter(F.col("nodes") == nodes).select("q", "key", "score")
-    known_best = _kth(done.unionByName(complete).distinct(), k, "raised")
-    limit = F.col("raised").cast("double")
-    open_pairs = (
-        met.filter(F.col("nodes") < nodes).join(known_best, "q", "left")
-        .filter(F.col("raised").isNull() | (F.col("reach") >= limit - _SLACK * (F.abs(limit) + F.abs("score"))))
-        .select("q", "key")
+    wide, asking = blocks.placed(sliced=False)
+    per_query = cutoffs.select("q", "tau", "total").distinct()
+    asking = asking.join(per_query, "q", "left").withColumns(
+        {"tau": F.coalesce("tau", F.lit(_LEAST)), "total": F.coalesce("total", F.lit(0))}
     )
-    scored = done.unionByName(blocks.resolve(open_pairs))
+    met = wide.unionByName(asking, allowMissingColumns=True).unionByName(sent, allowMissingColumns=True)
+    scored = met.groupBy("cb", "qb").applyInArrow(_completed(k, nodes, blocks.dims), _SCORED)
     top = _best(scored, ["q"], [F.desc("score"), F.col("key")], k)
     return (
         top.join(known.select("key", F.col("id").alias("vec_id")), "key")
