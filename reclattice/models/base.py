@@ -20,7 +20,8 @@ BINARIZE_ABOVE = 3.5
 
 @dataclass
 class Interactions:
-    """Cells ``(u, i, v)``: u is the user id as given, i the dense item index."""
+    """Cells ``(u, i, v)``: u is the user id as given, i the dense item index. They are partitioned by
+    user and sorted by user and item, and operators walk them as they lie."""
 
     cells: DataFrame
     items: OrdinalEncoder
@@ -46,7 +47,7 @@ class Interactions:
     def gram(self) -> DataFrame:
         """Upper triangle of X'X, made once and shared by every grid point."""
         if self.gram_table is None:
-            self.gram_table = self.hold(gram(self.cells, self.n_items))
+            self.gram_table = self.hold(gram(self.cells, self.n_items, by_user=True))
         return self.gram_table
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -66,8 +67,13 @@ class Interactions:
         self.gram_table = None
 
 
+def laid_out(cells: DataFrame) -> DataFrame:
+    """Whole users in one partition, in a row, by item. A user has at most one cell per item."""
+    return cells.repartition("u").sortWithinPartitions("u", "i")
+
+
 def prepare(df: DataFrame, user: str, item: str, rating: str, binarize: bool) -> Interactions:
-    """Binarize, add up repeated pairs, encode items, and partition the cells by user.
+    """Binarize, add up repeated pairs, encode items, and lay the cells out by user.
 
     Users need no index of their own: no operator addresses them by position. Summing
     comes before the partitioning, so a user with many repeated rows shrinks to at most
@@ -78,13 +84,12 @@ def prepare(df: DataFrame, user: str, item: str, rating: str, binarize: bool) ->
     summed = (
         user_item(df, user, item, rating)
         .withColumnRenamed("i", item)
-        .repartition("u")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     encoder = OrdinalEncoder(item).fit(summed)
     # Read many times: the checkpoint keeps a lost executor, and every later plan, off the source.
-    cells = checkpointed(encoder.transform(summed).select("u", F.col(item).alias("i"), "v"))
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    encoded = encoder.transform(summed).select("u", F.col(item).alias("i"), "v")
+    cells = checkpointed(laid_out(encoded)).persist(StorageLevel.MEMORY_AND_DISK)
     data = Interactions(cells, encoder, user, item, cells.count())
     summed.unpersist()
     return data

@@ -155,13 +155,14 @@ def _chunk_sums(n_items: int):
     return run
 
 
-def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW) -> DataFrame:
+def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW, by_user: bool = False) -> DataFrame:
     """Upper triangle (``i <= j``) of ``X'X`` as ``(i, j, g)`` with ``g = sum_u v_ui * v_uj``.
 
     ``x`` has one row per (u, i) with ``i`` a dense index. Work is the sum of squared row
     lengths, whatever the catalogue: a row wider than ``wide_row`` is cut into chunks of about
     that many cells by a hash of the item, and each pair of chunks is its own piece of work, so
-    one very active user is spread over the cluster.
+    one very active user is spread over the cluster. With ``by_user`` the rows already lie by user
+    and item and are not shuffled again.
     """
     narrow, wide_part = x, None
     if n_items > wide_row:
@@ -169,6 +170,7 @@ def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW) -> DataFrame:
         count = wide.count()
         if count:
             side = F.broadcast(wide) if count <= HOT_KEYS_BROADCAST else wide
+            by_user = by_user and count <= HOT_KEYS_BROADCAST
             narrow = x.join(side, "u", "left_anti")
             chunks = F.ceil(F.col("_n") / wide_row)
             pieces = (
@@ -180,9 +182,10 @@ def gram(x: DataFrame, n_items: int, wide_row: int = WIDE_ROW) -> DataFrame:
                 .sortWithinPartitions("u", "a", "b")
             )
             wide_part = pieces.mapInArrow(_chunk_sums(n_items), _GRAM_SCHEMA)
-    sums = narrow.select("u", "i", "v").repartition("u").sortWithinPartitions("u", "i").mapInArrow(
-        _outer_sums(n_items), _GRAM_SCHEMA
-    )
+    narrow = narrow.select("u", "i", "v")
+    if not by_user:
+        narrow = narrow.repartition("u").sortWithinPartitions("u", "i")
+    sums = narrow.mapInArrow(_outer_sums(n_items), _GRAM_SCHEMA)
     if wide_part is not None:
         sums = sums.unionByName(wide_part)
     return sums.groupBy("i", "j").agg(F.sum("g").alias("g"))

@@ -1,35 +1,46 @@
-"""Scores and top-k: blocks of users against column stripes of a dense or factored model,
-and join-based scoring for a sparse model."""
+"""Scores and top-k of users against an item-item or a factor model.
+
+Cells stay where they are: partitioned and sorted by user (see ``models.base``). The model is made
+once, kept in a checkpoint, and cut into column stripes of counted size. One stripe at a time is
+broadcast and every task walks its users past it, so neither the cells nor a users x items table is
+ever shuffled, and no plan holds a copy of the model per block of users. Only the k best of a user
+leave a task; with several stripes they are merged.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reclattice.operators.ranking import top_k
-from reclattice.operators.tiles import tile_array, tile_count
-from reclattice.session import BROADCAST_BYTES, parallelism
+from reclattice.operators.ranking import top_k, union_all
+from reclattice.operators.tiles import tile_array
+from reclattice.session import BROADCAST_BYTES, checkpointed, parallelism, scratch_path
 
-# Scores are rounded before ranking, so the item order, not the summation order, breaks ties:
-# to this many digits below the leading one of the user's largest score, whatever its size.
+# Scores are rounded before ranking, so the item order, not the summation order, breaks ties: to
+# this many digits below the largest score that the user's cells could have under the model.
 RELATIVE_DIGITS = 10
-_CELLS_PER_BLOCK = 1_000_000
 # Small enough that the passes over a batch of scores stay in the processor cache.
 _SCORES_AT_ONCE = 500_000
-
-
-def user_blocks(spark, n_cells: int, model_bytes: int) -> int:
-    """Blocks of users. Every block is sent one copy of the model, so a small model allows
-    more blocks, which even out; a large one gets only as many as its cells ask for."""
-    even = 4 if model_bytes * 4 * parallelism(spark) <= BROADCAST_BYTES else 1
-    return max(even * parallelism(spark), -(-n_cells // _CELLS_PER_BLOCK))
-
-
-def _block(blocks: int):
-    return F.pmod(F.xxhash64("u"), F.lit(blocks))
+# Cells a task gathers before it scores their users.
+_CELLS_AT_ONCE = 200_000
+# A dense array of scores is used while it has at most this many entries per product.
+_DENSE_SHARE = 8
+# Column stripes whose lists are merged together.
+_STRIPES_PER_MERGE = 8
+# Cells in a block of users, and users scored at once, against factors.
+_CELLS_PER_BLOCK = 1_000_000
+_USERS_AT_ONCE = 512
+# Items of a first step past the item factors; each step is twice the one before.
+_FIRST_ITEMS = 256
+# Bytes of one sparse weight in a stripe.
+_WEIGHT_BYTES = 16
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,255 +59,582 @@ def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(cols, order, axis=1), np.take_along_axis(vals, order, axis=1)
 
 
-def rounded_scores(scores: np.ndarray, digits: int | None) -> np.ndarray:
-    """Rounded to ``digits`` decimals, or relative to the largest score of each row."""
+def score_unit(largest: np.ndarray) -> np.ndarray:
+    """Power of ten at or above ``largest``; 1 where that is 0."""
+    with np.errstate(divide="ignore"):
+        return np.where(largest > 0, 10.0 ** np.ceil(np.log10(largest)), 1.0)
+
+
+def rounded_scores(scores: np.ndarray, digits: int | None, largest: np.ndarray | None = None) -> np.ndarray:
+    """Rounded to ``digits`` decimals, or relative to ``largest`` of each row (default: its own)."""
     if digits is not None:
         return np.round(scores, digits)
-    top = np.abs(scores).max(axis=1, keepdims=True)
-    with np.errstate(divide="ignore"):
-        unit = np.where(top > 0, 10.0 ** np.ceil(np.log10(top)), 1.0)
+    unit = score_unit(np.abs(scores).max(axis=1) if largest is None else largest)[:, None]
     return np.round(scores / unit, RELATIVE_DIGITS) * unit
 
 
-def _top_table(users: pa.Array, cols, vals, offset: int) -> pa.Table:
-    """Rows (u, i, scores, rank) of one batch of users."""
-    keep = np.isfinite(vals)
-    rank = np.broadcast_to(np.arange(1, vals.shape[1] + 1, dtype=np.int32), vals.shape)
-    who = np.repeat(np.arange(vals.shape[0]), vals.shape[1])[keep.ravel()]
-    return pa.table(
-        {
-            "u": users.take(pa.array(who)),
-            "i": pa.array(cols[keep] + offset, pa.int64()),
-            "scores": pa.array(vals[keep] + 0.0, pa.float64()),
-            "rank": pa.array(rank[keep], pa.int32()),
-        }
+# ---------------------------------------------------------------- whole users from sorted cells
+
+
+@dataclass
+class UserRows:
+    """Cells of some whole users: user r has ``i[starts[r]:starts[r + 1]]`` and the same of ``v``."""
+
+    users: pa.Array
+    starts: np.ndarray
+    i: np.ndarray
+    v: np.ndarray
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.users)), np.diff(self.starts))
+
+    def part(self, lo: int, hi: int) -> "UserRows":
+        a, b = self.starts[lo], self.starts[hi]
+        return UserRows(self.users.slice(lo, hi - lo), self.starts[lo : hi + 1] - a, self.i[a:b], self.v[a:b])
+
+
+def user_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[UserRows]:
+    """Cells (u, i, v) sorted by user, as blocks of whole users."""
+
+    def rows(table: pa.Table) -> UserRows:
+        table = table.combine_chunks()
+        coded = table["u"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
+        return UserRows(coded.dictionary, starts, table["i"].to_numpy(), table["v"].to_numpy())
+
+    held: list[pa.RecordBatch] = []
+    count, wanted = 0, _CELLS_AT_ONCE
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= wanted:
+            found = rows(pa.Table.from_batches(held))
+            last = found.starts[-2]
+            if last:
+                yield found.part(0, len(found.users) - 1)
+            # The last user may go on in the next batch.
+            rest = pa.Table.from_batches(held).slice(int(last)).combine_chunks()
+            held, count = rest.to_batches(), rest.num_rows
+            wanted = max(_CELLS_AT_ONCE, 2 * count)
+    if count:
+        yield rows(pa.Table.from_batches(held))
+
+
+# ---------------------------------------------------------------- stripes of a model
+
+
+@dataclass
+class DenseStripe:
+    """All rows of columns ``first`` to ``first + width`` of a dense model."""
+
+    first: int
+    values: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.values.shape[1]
+
+    def sizes(self, rows: UserRows) -> np.ndarray:
+        return np.full(len(rows.users), self.width)
+
+    def product(self, rows: UserRows) -> np.ndarray:
+        """A matrix product when the rows are well filled, otherwise a sum of the few model rows
+        each user touches."""
+        m, n_items = len(rows.users), self.values.shape[0]
+        if rows.i.size * 16 > m * n_items:
+            dense = np.zeros((m, n_items))
+            dense[rows.row, rows.i] = rows.v
+            return dense @ self.values
+        out = np.empty((m, self.width))
+        for r in range(m):
+            a, b = rows.starts[r], rows.starts[r + 1]
+            out[r] = rows.v[a:b] @ self.values[rows.i[a:b]]
+        return out
+
+
+@dataclass
+class SparseStripe:
+    """Weights of columns ``first`` to ``first + width``, in rows: item i has
+    ``cols[starts[i]:starts[i + 1]]``, counted from ``first``."""
+
+    first: int
+    width: int
+    starts: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+
+    def sizes(self, rows: UserRows) -> np.ndarray:
+        """Products of every user."""
+        upto = np.r_[0, np.cumsum(np.diff(self.starts)[rows.i])]
+        return np.diff(upto[rows.starts])
+
+    def products(self, rows: UserRows) -> tuple[np.ndarray, np.ndarray]:
+        """Code ``row * width + column`` and value of every product of a cell and a weight."""
+        each = np.diff(self.starts)[rows.i]
+        at = np.repeat(self.starts[rows.i] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        code = np.repeat(rows.row, each) * self.width + self.cols[at]
+        return code, np.repeat(rows.v, each) * self.vals[at]
+
+
+def dense_stripes(tiles: DataFrame, n_items: int, tile: int, bytes_at_most: int) -> Iterator[DenseStripe]:
+    """Columns of a tile table, as many at a time as ``bytes_at_most`` allows."""
+    width = int(max(1, min(tile, bytes_at_most // (8 * max(n_items, 1)))))
+
+    def cut(batches):
+        for batch in batches:
+            for bi, bj, data in zip(*(batch.column(n) for n in ("bi", "bj", "tile"))):
+                bi, bj = bi.as_py(), bj.as_py()
+                values = tile_array(data.as_buffer(), bi, bj, n_items, tile)
+                for lo in range(0, values.shape[1], width):
+                    part = np.ascontiguousarray(values[:, lo : lo + width])
+                    yield pa.RecordBatch.from_pydict({"bi": [bi], "first": [bj * tile + lo], "part": [part.tobytes()]})
+
+    edges = sorted({f for bj in range(0, n_items, tile) for f in range(bj, min(n_items, bj + tile), width)})
+    whole = tiles.select("bi", (F.col("bj") * tile).alias("first"), F.col("tile").alias("part"))
+    parts = whole if width >= min(tile, n_items) else tiles.mapInArrow(cut, "bi long, first long, part binary")
+    if len(edges) > 1:
+        parts = _by_stripe(parts, "first")
+    for first, end in zip(edges, [*edges[1:], n_items], strict=True):
+        values = np.empty((n_items, end - first))
+        found = parts.filter(F.col("first") == first).select("bi", "part").toArrow()
+        for bi, part in zip(found["bi"].to_pylist(), found["part"], strict=True):
+            block = np.frombuffer(part.as_buffer()).reshape(-1, end - first)
+            values[bi * tile : bi * tile + block.shape[0]] = block
+        yield DenseStripe(first, values)
+
+
+def _by_stripe(df: DataFrame, column: str) -> DataFrame:
+    """``df`` as a table with one folder per stripe, so reading a stripe reads no other."""
+    path = scratch_path(df.sparkSession, "stripes")
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sparse_stripes(weights: DataFrame, n_items: int, n_weights: int, bytes_at_most: int) -> Iterator[SparseStripe]:
+    """Weights (i, j, b) by ranges of j; ranges are halved until the fullest is within the bound."""
+    most = max(1, bytes_at_most // _WEIGHT_BYTES)
+    width = max(1, -(-n_items // max(1, -(-n_weights // most))))
+    while width < n_items and width > 1:
+        fullest = weights.groupBy(F.floor(F.col("j") / width)).count().agg(F.max("count")).first()[0]
+        if fullest is None or fullest <= most:
+            break
+        width = -(-width // 2)
+    stripe = F.floor(F.col("j") / width).cast("long")
+    parts = weights.select("i", "j", "b", stripe.alias("stripe"))
+    if width < n_items:
+        parts = _by_stripe(parts, "stripe")
+    for first in range(0, n_items, width):
+        found = parts.filter(F.col("stripe") == first // width).select("i", "j", "b").toArrow()
+        i, j, b = (found[n].to_numpy() for n in ("i", "j", "b"))
+        order = np.lexsort((j, i))
+        starts = np.searchsorted(i[order], np.arange(n_items + 1))
+        yield SparseStripe(first, min(width, n_items - first), starts, j[order] - first, b[order])
+
+
+# ---------------------------------------------------------------- lists
+
+
+def _table(users: pa.Array, row: np.ndarray, cols: np.ndarray, vals: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [users.take(pa.array(row)), pa.array(cols, pa.int64()), pa.array(vals + 0.0, pa.float64()), pa.array(rank, pa.int32())],
+        names=["u", "i", "scores", "rank"],
     )
 
 
-def _top_schema(cells: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("u", cells.schema["u"].dataType),
-            T.StructField("i", T.LongType()),
-            T.StructField("scores", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
-        ]
-    )
+def _schema(cells: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("u", cells.schema["u"].dataType), T.StructField("i", T.LongType()),
+        T.StructField("scores", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+    ])
+
+
+def _positions(row: np.ndarray) -> np.ndarray:
+    """Position of every entry in its run of equal rows, from 0."""
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if row.size else np.empty(0, np.int64)
+    return np.arange(row.size) - np.repeat(starts, np.diff(np.r_[starts, row.size]))
+
+
+class Lists:
+    """The k best of whole users against one stripe, under a mask on seen items."""
+
+    def __init__(self, k: int, mask: str, digits: int | None, largest: float, scored_only: bool = False):
+        self.k, self.mask, self.digits, self.largest, self.scored_only = k, mask, digits, largest, scored_only
+
+    def _reach(self, rows: UserRows) -> np.ndarray:
+        """Largest score that each user's cells could have."""
+        return np.add.reduceat(np.abs(rows.v), rows.starts[:-1]) * self.largest
+
+    def _seen(self, rows: UserRows, stripe) -> tuple[np.ndarray, np.ndarray]:
+        here = (rows.i >= stripe.first) & (rows.i < stripe.first + stripe.width) & (rows.v != 0)
+        return rows.row[here], rows.i[here] - stripe.first
+
+    def dense(self, rows: UserRows, stripe, scores: np.ndarray) -> pa.RecordBatch:
+        """Lists from an array of scores, -inf for items that are no candidate."""
+        scores = rounded_scores(scores, self.digits, self._reach(rows))
+        if self.mask != "none":
+            scores[self._seen(rows, stripe)] = 0.0 if self.mask == "zero" else -np.inf
+        cols, vals = best_per_row(scores, self.k)
+        keep = np.isfinite(vals)
+        rank = np.broadcast_to(np.arange(1, vals.shape[1] + 1), vals.shape)
+        who = np.repeat(np.arange(vals.shape[0]), vals.shape[1])[keep.ravel()]
+        return _table(rows.users, who, cols[keep] + stripe.first, vals[keep], rank[keep])
+
+    def sparse(self, rows: UserRows, stripe: SparseStripe, code: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        """The same from the scored pairs alone (codes in order, each once). Items without a score
+        count as 0 and stand in item order between positive and negative ones."""
+        row, col = np.divmod(code, stripe.width)
+        if self.digits is None:
+            unit = score_unit(self._reach(rows))[row]
+            s = np.round(s / unit, RELATIVE_DIGITS) * unit
+        else:
+            s = np.round(s, self.digits)
+        gone = np.empty(0, np.int64)
+        if self.mask != "none":
+            r, c = self._seen(rows, stripe)
+            seen = np.unique(r * stripe.width + c)
+            free = ~np.isin(code, seen, assume_unique=True)
+            code, row, col, s = code[free], row[free], col[free], s[free]
+            gone = seen if self.mask == "remove" else gone
+        some = np.ones(s.size, bool) if self.scored_only else s > 0
+        order = np.lexsort((col[some], -s[some], row[some]))
+        best = np.flatnonzero(some)[order]
+        best = best[_positions(row[best]) < self.k]
+        who, cols, vals = row[best], col[best], s[best]
+        if not self.scored_only:
+            who, cols, vals = self._filled(rows, stripe, (code, row, col, s), gone, (who, cols, vals))
+        return _table(rows.users, who, cols + stripe.first, vals, _positions(who) + 1)
+
+    def _filled(self, rows, stripe, pairs, gone, best):
+        """Lists shorter than k go on with free items at 0, then with negative scores."""
+        code, row, col, s = pairs
+        who, cols, vals = best
+        width, wanted = stripe.width, min(self.k, stripe.width)
+        have = np.bincount(who, minlength=len(rows.users))
+        scored = code[s != 0]
+        extra: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for r in np.flatnonzero(have < wanted):
+            need = wanted - have[r]
+            edges = np.array([r * width, (r + 1) * width])
+            taken = [part[slice(*np.searchsorted(part, edges))] - r * width for part in (scored, gone)]
+            taken = np.unique(np.concatenate(taken))
+            first = np.arange(min(width, need + taken.size))
+            free = first[~np.isin(first, taken, assume_unique=True)][:need]
+            extra.append((r, free, np.zeros(free.size)))
+            if free.size < need:
+                mine = slice(*np.searchsorted(code, edges))
+                under = np.flatnonzero(s[mine] < 0)
+                under = under[np.lexsort((col[mine][under], -s[mine][under]))][: need - free.size]
+                extra.append((r, col[mine][under], s[mine][under]))
+        if not extra:
+            return who, cols, vals
+        who = np.concatenate([who, *[np.full(c.size, r) for r, c, _ in extra]])
+        order = np.argsort(who, kind="stable")
+        return (
+            who[order], np.concatenate([cols, *[c for _, c, _ in extra]])[order],
+            np.concatenate([vals, *[v for _, _, v in extra]])[order],
+        )
 
 
-def _merged(partial: DataFrame, stripes: int, k: int) -> DataFrame:
-    """With one stripe a task already saw every item of its users; otherwise merge."""
-    if stripes == 1:
-        return partial
-    return top_k(partial.drop("rank"), ["u"], [F.desc("scores"), F.col("i")], k)
+def _in_parts(rows: UserRows, stripe) -> Iterator[UserRows]:
+    """Users in parts of a bounded amount of work; a part has at least one user."""
+    upto = np.r_[0, np.cumsum(np.maximum(stripe.sizes(rows), 1))]
+    lo = 0
+    while lo < len(rows.users):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _SCORES_AT_ONCE, side="right")) - 1)
+        yield rows.part(lo, hi)
+        lo = hi
 
 
-def _repeat_over(df: DataFrame, name: str, count: int) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+def _dense_lists(stripe: DenseStripe, lists: Lists) -> Callable:
+    def task(batches):
+        for rows in user_rows(batches):
+            for part in _in_parts(rows, stripe):
+                yield lists.dense(part, stripe, stripe.product(part))
 
+    return task
 
-def _empty(u_type: pa.DataType) -> pa.Table:
-    return pa.table(
-        {"u": pa.array([], u_type), "i": pa.array([], pa.int64()),
-         "scores": pa.array([], pa.float64()), "rank": pa.array([], pa.int32())}
-    )
 
+def _added(code: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order, each once, and the sums of their products."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if code.size else np.empty(0, np.int64)
+    return code[starts], np.add.reduceat(products[order], starts) if code.size else products
 
-def recommend_dense(data, weights: DataFrame, width: int, k: int, mask: str, digits: int | None = None) -> DataFrame:
-    """Top ``k`` of ``S = X B`` per user for a dense B given as tiles.
 
-    Work is cut into (user block) x (column stripe of B). A task holds one block's cells
-    and one stripe, ranks the stripe's columns and keeps ``k`` per user, so the users x
-    items score table never exists outside a task.
-    """
-    n_items, stripes = data.n_items, tile_count(data.n_items, width)
-    blocks = user_blocks(data.cells.sparkSession, data.n_cells, 8 * n_items * n_items)
-
-    def score(cells: pa.Table, tiles: pa.Table) -> pa.Table:
-        u_type = cells.schema.field("u").type
-        if cells.num_rows == 0:
-            return _empty(u_type)
-        bj = tiles.column("bj")[0].as_py()
-        first = bj * width
-        stripe = np.empty((n_items, min(width, n_items - first)))
-        for bi, data_ in zip(tiles.column("bi").to_pylist(), tiles.column("tile")):
-            tile = tile_array(data_.as_buffer(), bi, bj, n_items, width)
-            stripe[bi * width : bi * width + tile.shape[0]] = tile
-        coded = cells.column("u").combine_chunks().dictionary_encode()
-        row = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        i, v = cells.column("i").to_numpy()[order], cells.column("v").to_numpy()[order]
-        m = len(coded.dictionary)
-        starts = np.searchsorted(row, np.arange(m + 1))
-        step = max(1, min(m, _SCORES_AT_ONCE // stripe.shape[1]))
-        out = []
-        for lo in range(0, m, step):
-            hi = min(m, lo + step)
-            a, b = starts[lo], starts[hi]
-            at, value = i[a:b], v[a:b]
-            scores = rounded_scores(_product(at, value, starts[lo : hi + 1] - a, stripe), digits)
-            if mask != "none":
-                here = (at >= first) & (at < first + stripe.shape[1]) & (value != 0)
-                scores[(row[a:b] - lo)[here], at[here] - first] = 0.0 if mask == "zero" else -np.inf
-            cols, vals = best_per_row(scores, k)
-            out.append(_top_table(coded.dictionary.slice(lo, hi - lo), cols, vals, first))
-        return pa.concat_tables(out)
-
-    left = _repeat_over(data.cells.withColumn("block", _block(blocks)), "stripe", stripes)
-    right = _repeat_over(weights.withColumn("stripe", F.col("bj")), "block", blocks)
-    partial = (
-        left.groupBy("block", "stripe")
-        .cogroup(right.groupBy("block", "stripe"))
-        .applyInArrow(score, _top_schema(data.cells))
-    )
-    return _merged(partial, stripes, k)
+def _sparse_lists(stripe: SparseStripe, lists: Lists) -> Callable:
+    def task(batches):
+        for rows in user_rows(batches):
+            for part in _in_parts(rows, stripe):
+                code, products = stripe.products(part)
+                cells = len(part.users) * stripe.width
+                if cells <= _DENSE_SHARE * code.size:
+                    scores = np.bincount(code, weights=products, minlength=cells)
+                    if lists.scored_only:
+                        scores[np.bincount(code, minlength=cells) == 0] = -np.inf
+                    yield lists.dense(part, stripe, scores.reshape(len(part.users), stripe.width))
+                else:
+                    yield lists.sparse(part, stripe, *_added(code, products))
 
+    return task
 
-def _product(i, v, starts, stripe) -> np.ndarray:
-    """Rows times stripe: a matrix product when the rows are well filled, otherwise a sum
-    of the few stripe rows each user touches."""
-    rows, n_items = starts.size - 1, stripe.shape[0]
-    if i.size * 16 > rows * n_items:
-        dense = np.zeros((rows, n_items))
-        dense[np.repeat(np.arange(rows), np.diff(starts)), i] = v
-        return dense @ stripe
-    out = np.empty((rows, stripe.shape[1]))
-    for r in range(rows):
-        a, b = starts[r], starts[r + 1]
-        out[r] = v[a:b] @ stripe[i[a:b]]
-    return out
 
+def _past_stripes(cells: DataFrame, stripes: Iterator, make: Callable, n_items: int, k: int) -> DataFrame:
+    """Lists of all users, one broadcast stripe at a time. A single stripe needs no merge, since its
+    task sees every item of a user."""
+    spark = cells.sparkSession
+    kept: list[DataFrame] = []
+    if not n_items:
+        return spark.createDataFrame([], _schema(cells))
 
-def recommend_factors(
-    data, user_factors: DataFrame, item_factors: DataFrame, n_factors: int, k: int, remove_seen: bool,
-    digits: int | None = None,
-) -> DataFrame:
-    """Top ``k`` of ``U V'`` per user, seen items left out when ``remove_seen``.
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        return top_k(union_all(parts).drop("rank"), ["u"], [F.desc("scores"), F.col("i")], k)
 
-    ``user_factors`` is (id, vec) over user ids, ``item_factors`` (id, vec) over item
-    indices. Same cutting as ``recommend_dense``; a user's seen list is at most the catalogue.
-    """
-    n_items = data.n_items
-    width = max(1, min(n_items, BROADCAST_BYTES * 4 // (8 * n_factors)))
-    stripes = tile_count(n_items, width)
-    blocks = user_blocks(data.cells.sparkSession, data.n_cells, 8 * n_items * n_factors)
-
-    def score(users: pa.Table, items: pa.Table) -> pa.Table:
-        u_type = users.schema.field("u").type
-        if users.num_rows == 0 or items.num_rows == 0:
-            return _empty(u_type)
-        ids = items.column("id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        v = _vectors(items, n_factors)[order]
-        u = _vectors(users, n_factors)
-        seen = users.column("seen").combine_chunks()
-        offsets = np.asarray(seen.offsets)
-        listed = seen.values.to_numpy(zero_copy_only=False)
-        who = users.column("u").combine_chunks()
-        step = max(1, min(u.shape[0], _SCORES_AT_ONCE // ids.size))
-        out = []
-        for lo in range(0, u.shape[0], step):
-            hi = min(u.shape[0], lo + step)
-            scores = rounded_scores(u[lo:hi] @ v.T, digits)
-            if remove_seen:
-                rows = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                gone = listed[offsets[lo] : offsets[hi]]
-                at = np.minimum(np.searchsorted(ids, gone), ids.size - 1)
-                here = ids[at] == gone
-                scores[rows[here], at[here]] = -np.inf
-            cols, vals = best_per_row(scores, k)
-            top = _top_table(who.slice(lo, hi - lo), cols, vals, 0)
-            out.append(top.set_column(1, "i", pa.array(ids[top.column("i").to_numpy()], pa.int64())))
-        return pa.concat_tables(out)
-
-    seen = data.cells.groupBy("u").agg(F.collect_list("i").alias("seen"))
-    vectors = user_factors.withColumnRenamed("id", "u")
-    left = _repeat_over(vectors.join(seen, "u").withColumn("block", _block(blocks)), "stripe", stripes)
-    right = _repeat_over(item_factors.withColumn("stripe", F.floor(F.col("id") / width)), "block", blocks)
-    partial = (
-        left.groupBy("block", "stripe")
-        .cogroup(right.groupBy("block", "stripe"))
-        .applyInArrow(score, _top_schema(data.cells))
-    )
-    return _merged(partial, stripes, k)
+    for stripe in stripes:
+        sent = spark.sparkContext.broadcast(stripe)
+        found = cells.select("u", "i", "v").mapInArrow(_with(sent, make), _schema(cells))
+        if stripe.width == n_items:
+            return found
+        kept.append(checkpointed(found))
+        sent.unpersist()
+        if len(kept) > _STRIPES_PER_MERGE:
+            kept = [checkpointed(merged(kept).select("u", "i", "scores", "rank"))]
+    return merged(kept)
 
 
-def _vectors(table: pa.Table, n_factors: int) -> np.ndarray:
-    return table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_factors)
+def _with(sent, make: Callable) -> Callable:
+    def task(batches):
+        yield from make(sent.value)(batches)
+
+    return task
+
 
+def recommend_dense(
+    data, weights: DataFrame, width: int, k: int, mask: str, digits: int | None = None,
+    bytes_at_most: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Top ``k`` of ``S = X B`` per user for a dense B given as tiles of ``width``, as (u, i, scores,
+    rank). ``data.cells`` is partitioned and sorted by user."""
+    tiles = checkpointed(weights)
+    largest = _largest_entry(tiles) if digits is None else 0.0
+    lists = Lists(k, mask, digits, largest)
+    stripes = dense_stripes(tiles, data.n_items, width, bytes_at_most)
+    return _past_stripes(data.cells, stripes, lambda s: _dense_lists(s, lists), data.n_items, k)
 
-def _significant(value: Column) -> Column:
-    """Rounded relative to its own size."""
-    unit = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(value))))
-    return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / unit, RELATIVE_DIGITS) * unit)
 
+def _largest_entry(tiles: DataFrame) -> float:
+    def largest(batches):
+        for batch in batches:
+            found = [float(np.abs(np.frombuffer(t.as_buffer())).max(initial=0.0)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"m": pa.array(found, pa.float64())})
 
-def score_pairs(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """``s_uj = sum_i v_ui * b_ij`` as an equi-join on the item and a sum: (u, j, s)."""
-    w = weights.select(F.col("i"), F.col("j"), F.col("b"))
-    return cells.join(w, "i").groupBy("u", "j").agg(F.sum(F.col("v") * F.col("b")).alias("s"))
+    return tiles.select("tile").mapInArrow(largest, "m double").agg(F.max("m")).first()[0] or 0.0
 
 
 def recommend_sparse(
     data, weights: DataFrame, n_weights: int, k: int, mask: str, digits: int | None = None,
+    scored_only: bool = False, bytes_at_most: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Top ``k`` of ``S = X W`` for a sparse W given as (i, j, b).
+    """Top ``k`` of ``S = X W`` per user for a sparse W given as (i, j, b), as (u, i, scores, rank).
 
-    Items without a score count as 0 and stand in item order between positive and negative
-    ones, as in a dense ranking. A W under the broadcast limit joins the cells in place; a
-    larger one is joined on (item, salt): cells of one popular item spread over the salts.
-    Scores are then summed per (user, item), combined before the shuffle, and listed per user.
+    Each user's row is multiplied with the model's rows in the task that holds it, and only its k
+    best leave the task. Items without a score count as 0 and stand in item order between positive and
+    negative ones, as in a dense ranking; with ``scored_only`` they are left out. ``data.cells`` is partitioned
+    and sorted by user.
     """
-    n = data.n_items
-    rows = weights.groupBy("i").agg(F.collect_list(F.struct("j", "b")).alias("out"))
-    if n_weights * 16 + n * 32 <= BROADCAST_BYTES:
-        joined = data.cells.join(F.broadcast(rows), "i", "left")
-    else:
-        salts = parallelism(data.cells.sparkSession)
-        joined = data.cells.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts))).join(
-            _repeat_over(rows, "salt", salts), ["i", "salt"], "left"
-        )
-    own = F.array(F.struct(F.col("i").alias("j"), F.lit(0.0).alias("s"), (F.col("v") != 0).alias("seen")))
-    given = F.transform(
-        F.coalesce("out", F.array().cast("array<struct<j:bigint,b:double>>")),
-        lambda e: F.struct(e["j"].alias("j"), (F.col("v") * e["b"]).alias("s"), F.lit(False).alias("seen")),
-    )
-    scored = (
-        joined.select("u", F.inline(F.concat(own, given)))
-        .groupBy("u", "j")
-        .agg(F.sum("s").alias("s"), F.max("seen").alias("seen"))
-        .withColumn("s", F.round("s", digits) if digits is not None else _significant(F.col("s")))
-    )
-    if mask != "none":
-        scored = scored.withColumn("s", F.when(F.col("seen"), F.lit(0.0)).otherwise(F.col("s")))
-    # Zero scores are re-created by the filling, so only the others need a rank.
-    ranked_hit = F.struct((-F.col("s")).alias("low"), F.col("j"))
-    positive, negative = F.when(F.col("s") > 0, ranked_hit), F.when(F.col("s") < 0, ranked_hit)
-    gone = F.when(F.col("seen"), F.col("j")) if mask == "remove" else F.lit(None).cast("long")
-    ranked = top_k_lists(scored.select("u", positive.alias("hit"), negative.alias("under"), gone.alias("gone")), k)
-    best = F.col("best")
-    under = F.col("below")
-    taken = F.array_union(F.transform(F.concat(best, under), lambda e: e["j"]), F.col("gone"))
-    reach = F.lit(k - 1) + F.size("gone") + F.size(under)
-    first = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), reach))
-    free = F.slice(F.array_except(first, taken), F.lit(1), F.lit(k) - F.size(best))
-    listed = F.concat(
-        F.transform(best, lambda e: F.struct(e["j"].alias("i"), (-e["low"]).alias("scores"))),
-        F.transform(free, lambda j: F.struct(j.alias("i"), F.lit(0.0).alias("scores"))),
-        F.transform(under, lambda e: F.struct(e["j"].alias("i"), (-e["low"]).alias("scores"))),
-    )
-    return ranked.select("u", F.posexplode(F.slice(listed, 1, k)).alias("pos", "e")).select(
-        "u", "e.i", "e.scores", (F.col("pos") + 1).cast("int").alias("rank")
-    )
+    largest = 0.0 if digits is not None else weights.agg(F.max(F.abs("b"))).first()[0] or 0.0
+    lists = Lists(k, mask, digits, largest, scored_only)
+    stripes = sparse_stripes(weights, data.n_items, n_weights, bytes_at_most)
+    return _past_stripes(data.cells, stripes, lambda s: _sparse_lists(s, lists), data.n_items, k)
+
+
+def score_pairs(data, weights: DataFrame, n_weights: int, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:
+    """``s_uj = sum_i v_ui * b_ij`` for every pair with a weight behind it, as (u, j, s). Made where the
+    cells are; the pairs are not shuffled."""
+    cells, spark = data.cells, data.cells.sparkSession
+    schema = T.StructType([cells.schema["u"], T.StructField("j", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def make(stripe: SparseStripe):
+        def task(batches):
+            for rows in user_rows(batches):
+                for part in _in_parts(rows, stripe):
+                    code, s = _added(*stripe.products(part))
+                    row, col = np.divmod(code, stripe.width)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.users.take(pa.array(row)), pa.array(col + stripe.first, pa.int64()), pa.array(s)], names=["u", "j", "s"]
+                    )
+
+        return task
+
+    parts = []
+    for stripe in sparse_stripes(weights, data.n_items, n_weights, bytes_at_most):
+        sent = spark.sparkContext.broadcast(stripe)
+        parts.append(cells.select("u", "i", "v").mapInArrow(_with(sent, make), schema))
+        if stripe.width < data.n_items:
+            parts[-1] = checkpointed(parts[-1])
+            sent.unpersist()
+    return union_all(parts)
+
+
+# ---------------------------------------------------------------- factors
+
+
+@dataclass
+class FactorStripe:
+    """Item vectors in falling order of their length."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    lengths: np.ndarray
+
+
+def factor_stripes(items: DataFrame, n_items: int, n_factors: int, bytes_at_most: int) -> Iterator[FactorStripe]:
+    """Items (id, vec) in stripes of falling length, each within the bound in expectation."""
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda total, c: total + c * c))
+    with_length = items.select("id", "vec", length.alias("length"))
+    stripes = max(1, -(-n_items * 8 * (n_factors + 2) // bytes_at_most))
+    edges = []
+    if stripes > 1:
+        with_length = checkpointed(with_length)
+        edges = sorted(set(with_length.approxQuantile("length", [n / stripes for n in range(1, stripes)], 0.1 / stripes)), reverse=True)
+    for high, low in zip([None, *edges], [*edges, None], strict=True):
+        part = with_length
+        part = part if high is None else part.filter(F.col("length") < high)
+        part = part if low is None else part.filter(F.col("length") >= low)
+        found = part.toArrow()
+        vectors, lengths, ids = _vectors(found, n_factors), found["length"].to_numpy(), found["id"].to_numpy()
+        order = np.lexsort((ids, -lengths))
+        yield FactorStripe(ids[order], vectors[order], lengths[order])
 
 
-def top_k_lists(scored: DataFrame, k: int) -> DataFrame:
-    """(u, best, below, gone): the ``k`` smallest ``hit`` structs in order, all ``under``
-    structs in order and the set of ``gone`` items. One user's list is bounded by the catalogue."""
-    return scored.groupBy("u").agg(
-        F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("best"),
-        F.array_sort(F.collect_list("under")).alias("below"),
-        F.collect_list("gone").alias("gone"),
-    )
+def _vectors(table: pa.Table, n_factors: int) -> np.ndarray:
+    flat = table.column("vec").combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_factors)
+
+
+class FactorLists:
+    """The k best items of users by inner product, with as few products as the bound
+    ``u . v <= |u| |v|`` allows: once a user's k-th best is above |u| times the length of the next
+    item, no later item can enter."""
+
+    def __init__(self, stripe: FactorStripe, k: int, digits: int | None, longest: float):
+        self.stripe, self.k, self.digits, self.longest = stripe, k, digits, longest
+
+    def __call__(self, u: np.ndarray, floor: np.ndarray, seen: Callable) -> tuple[np.ndarray, ...]:
+        """(row, id, score) of the lists, and how many items each user was scored on. ``floor`` is
+        a score that a list of other stripes already has at rank k. ``seen(rows, lo, hi)`` gives
+        (index into rows, column) of what to leave out."""
+        items, k = self.stripe, self.k
+        m, n = u.shape[0], items.ids.size
+        size = np.sqrt((u * u).sum(axis=1))
+        unit = score_unit(size * self.longest)
+        slack = (unit * 10.0**-RELATIVE_DIGITS if self.digits is None else np.full(m, 10.0**-self.digits)) + 1e-12 * unit
+        kth, scored = floor.copy(), np.zeros(m, np.int64)
+        row, ids, vals = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        active, lo, step = np.arange(m), 0, max(_FIRST_ITEMS, 2 * k)
+        while lo < n:
+            active = active[size[active] * items.lengths[lo] + slack[active] >= kth[active]]
+            if not active.size:
+                break
+            hi = min(n, lo + step)
+            scores = u[active] @ items.vectors[lo:hi].T
+            scores = rounded_scores(scores, self.digits, size[active] * self.longest)
+            scored[active] += hi - lo
+            at, col = seen(active, lo, hi)
+            scores[at, col] = -np.inf
+            # Equal scores are kept: the smaller id may come later.
+            r, c = np.nonzero((scores >= kth[active][:, None]) & np.isfinite(scores))
+            row = np.concatenate([row, active[r]])
+            ids = np.concatenate([ids, items.ids[lo + c]])
+            vals = np.concatenate([vals, scores[r, c]])
+            order = np.lexsort((ids, -vals, row))
+            order = order[_positions(row[order]) < k]
+            row, ids, vals = row[order], ids[order], vals[order]
+            last = _positions(row) == k - 1
+            kth[row[last]] = np.maximum(kth[row[last]], vals[last])
+            lo, step = hi, step * 2
+        return row, ids, vals, scored
+
+
+def recommend_factors(
+    data, user_factors: DataFrame, item_factors: DataFrame, n_factors: int, k: int, remove_seen: bool,
+    digits: int | None = None, bytes_at_most: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Top ``k`` of ``U V'`` per user, as (u, i, scores, rank, scored); seen items are left out when
+    ``remove_seen``. ``scored`` is with how many items of the row's stripe the user took products.
+
+    ``user_factors`` is (id, vec) over user ids, ``item_factors`` (id, vec) over item indices. Items
+    are broadcast in stripes of falling length; blocks of users meet their cells in one shuffle.
+    Equal to a full scoring, ties by item.
+    """
+    spark = data.cells.sparkSession
+    blocks = max(4 * parallelism(spark), -(-data.n_cells // _CELLS_PER_BLOCK))
+    block = F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("block")
+    schema = T.StructType([*_schema(data.cells).fields, T.StructField("scored", T.LongType())])
+    users = user_factors.select(F.col("id").alias("u"), "vec").withColumn("floor", F.lit(float("-inf")))
+    seen_cells = data.cells.select(block, "u", "i") if remove_seen else data.cells.select(block, "u", "i").limit(0)
+
+    def lists_of(sent, longest: float):
+        def score(people: pa.Table, cells: pa.Table) -> pa.Table:
+            stripe = sent.value
+            lists = FactorLists(stripe, k, digits, longest)
+            if not people.num_rows:
+                return _empty_lists(people.schema.field("u").type)
+            who = people["u"].combine_chunks()
+            u, floor = _vectors(people, n_factors), people["floor"].to_numpy()
+            place = np.argsort(stripe.ids)
+            sorted_ids = stripe.ids[place]
+            # Seen items as (user, place in the stripe), by user.
+            owner = pc.fill_null(pc.index_in(cells["u"], value_set=who), -1).to_numpy().astype(np.int64)
+            item = cells["i"].to_numpy()
+            at = np.minimum(np.searchsorted(sorted_ids, item), max(sorted_ids.size - 1, 0))
+            here = sorted_ids[at] == item if sorted_ids.size else np.zeros(item.size, bool)
+            owner, spot = owner[here], place[at[here]]
+            order = np.argsort(owner, kind="stable")
+            owner, spot = owner[order], spot[order]
+            starts = np.searchsorted(owner, np.arange(len(who) + 1))
+            out = []
+            for lo in range(0, len(who), _USERS_AT_ONCE):
+                hi = min(len(who), lo + _USERS_AT_ONCE)
+
+                def seen(rows, first, end):
+                    a, b = starts[lo + rows], starts[lo + rows + 1]
+                    each = b - a
+                    which = np.repeat(np.arange(rows.size), each)
+                    cols = spot[np.repeat(a - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                    inside = (cols >= first) & (cols < end)
+                    return which[inside], cols[inside] - first
+
+                row, ids, vals, scored = lists(u[lo:hi], floor[lo:hi], seen)
+                batch = _table(who.slice(lo, hi - lo), row, ids, vals, _positions(row) + 1)
+                out.append(pa.Table.from_batches([batch]).append_column("scored", pa.array(scored[row])))
+            return pa.concat_tables(out)
+
+        return score
+
+    longest_squared = item_factors.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda t, c: t + c * c))).first()[0]
+    longest = float(np.sqrt(longest_squared or 0.0))
+    best = None
+    for stripe in factor_stripes(item_factors, data.n_items, n_factors, bytes_at_most):
+        sent = spark.sparkContext.broadcast(stripe)
+        left = users.withColumn("block", block).groupBy("block")
+        found = left.cogroup(seen_cells.groupBy("block")).applyInArrow(lists_of(sent, longest), schema)
+        if stripe.ids.size == data.n_items:
+            return found
+        found = checkpointed(found)
+        sent.unpersist()
+        found = found if best is None else best.unionByName(found)
+        merged = top_k(found.drop("rank"), ["u"], [F.desc("scores"), F.col("i")], k)
+        best = checkpointed(merged.select(*schema.names))
+        kth = best.filter(F.col("rank") == k).select("u", F.col("scores").alias("kth"))
+        users = users.drop("floor").join(kth, "u", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+    return best
+
+
+def _empty_lists(u_type: pa.DataType) -> pa.Table:
+    return pa.table({
+        "u": pa.array([], u_type), "i": pa.array([], pa.int64()), "scores": pa.array([], pa.float64()),
+        "rank": pa.array([], pa.int32()), "scored": pa.array([], pa.int64()),
+    })

@@ -24,7 +24,7 @@ from reclattice.operators.matrix import both_triangles, with_ridge
 from reclattice.operators.matrix import gram as item_pairs
 from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k, recall_k
 from reclattice.operators.ranking import row_numbers, top_k, union_all
-from reclattice.operators.scoring import score_pairs
+from reclattice.operators.scoring import recommend_sparse, score_pairs
 from reclattice.operators.split import Split, chronological_split
 from reclattice.plans.grid import GridResult, best_params, grid_search, hold_out
 from reclattice.plans.report import append_report, compare_models, report_tables, wide_report
@@ -247,11 +247,16 @@ def lists_and_explode(spark, sf):
     )
 
 
-def _pair_scores(spark, sf):
-    """Cells of the part-level train set and their co-occurrence scores."""
+def _pair_weights(spark, sf):
+    """Cells of the part-level train set, their co-occurrence counts as weights, and how many."""
     data = ease().prepare(part_split(spark, sf).train)
     upper = data.gram.filter(F.col("i") != F.col("j"))
-    scores = score_pairs(data.cells, both_triangles(upper).withColumnRenamed("g", "b"))
+    return data, both_triangles(upper).withColumnRenamed("g", "b"), 2 * upper.count()
+
+
+def _pair_scores(spark, sf):
+    data, weights, n_weights = _pair_weights(spark, sf)
+    scores = score_pairs(data, weights, n_weights)
     return data, scores.select("u", F.col("j").alias("i"), rounded(F.col("s")).alias("scores"))
 
 
@@ -279,10 +284,10 @@ def mask_remove(spark, sf):
 
 
 def _part_topk(spark, sf, k=TOP_K) -> DataFrame:
-    data, scores = _pair_scores(spark, sf)
-    kept = without_seen(scores, data.cells, "u", "i")
-    best = top_k(kept, ["u"], [F.desc("scores"), F.col("i")], k)
-    return data.decoded(best)
+    data, weights, n_weights = _pair_weights(spark, sf)
+    return data.decoded(
+        recommend_sparse(data, weights, n_weights, k, "remove", SCORE_DIGITS, scored_only=True)
+    )
 
 
 @query

@@ -10,6 +10,7 @@ from conftest import GOLDEN, SCHEMA, rows
 from reclattice.models.als import ALS, initial_factors
 from reclattice.models.ease import EASE
 from reclattice.models import slim
+from reclattice.models.base import laid_out
 from reclattice.models.slim import SLIM, fit_weights, l1_ratio
 from reclattice.operators.matrix import both_triangles, gram
 from reclattice.operators.scoring import best_per_row, recommend_sparse, rounded_scores
@@ -139,7 +140,7 @@ def test_slim_lists_are_filled_in_item_order(ratings, mask):
 
 
 def test_negative_scores_rank_below_unscored_items(spark):
-    cells = spark.createDataFrame([(1, 0, 1.0), (1, 1, -2.0), (2, 2, 1.0)], "u long, i long, v double")
+    cells = laid_out(spark.createDataFrame([(1, 0, 1.0), (1, 1, -2.0), (2, 2, 1.0)], "u long, i long, v double"))
     weights = spark.createDataFrame([(0, 3, 0.5), (1, 4, 0.25), (1, 5, 1.0)], "i long, j long, b double")
     data = SimpleNamespace(n_items=6, cells=cells)
     for mask in ("none", "zero"):
