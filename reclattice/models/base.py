@@ -29,6 +29,7 @@ class Interactions:
     item: str
     n_cells: int
     gram_table: DataFrame | None = None
+    spectrum: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
 
     @property
@@ -64,7 +65,7 @@ class Interactions:
         for df in [self.cells, *self.held]:
             df.unpersist()
         self.held.clear()
-        self.gram_table = None
+        self.gram_table = self.spectrum = None
 
 
 def laid_out(cells: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reclattice.models.base import Interactions, prepare
 from reclattice.operators import tiles as T
 from reclattice.operators.scoring import recommend_dense
+from reclattice.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,19 @@ class EASE:
             raise ValueError("EASE needs l2_reg > 0: the Gram matrix alone may be singular")
         n, width = data.n_items, T.tile_width(data.n_items, self.tile)
         if T.tile_count(n, width) == 1:
+            if data.spectrum is not None:
+                return _from_spectrum(data.spectrum, n, self.l2_reg)
             return T.pack(data.gram, n, width, self.l2_reg, _solved_tile)
         negative = T.negative_inverse(T.pack(data.gram, n, width, self.l2_reg), n, width)
         return _normalised(negative, n, width)
 
+    def share(self, data: Interactions) -> None:
+        """Factorise the Gram matrix once for all l2, if it fits one tile: with ``G = Q L Q'``, the
+        inverse of ``G + l2 I`` is ``Q (L + l2 I)^-1 Q'``."""
+        n, width = data.n_items, T.tile_width(data.n_items, self.tile)
+        if data.spectrum is None and n and T.tile_count(n, width) == 1:
+            data.spectrum = checkpointed(T.pack(data.gram, n, width, 0.0, _spectrum))
+
     def weights(self, data: Interactions) -> DataFrame:
         """Long form ``(i, j, b)`` over encoded items."""
         return T.entries(self.fit(data), data.n_items, T.tile_width(data.n_items, self.tile))
@@ -65,14 +75,34 @@ class EASE:
         return self.recommend(self.prepare(df))
 
 
-def _solved_tile(values: np.ndarray) -> np.ndarray:
-    """B of a catalogue that fits one tile."""
-    inverse = np.linalg.inv(values)
+def _weights_of(inverse: np.ndarray) -> np.ndarray:
     weights = np.nan_to_num(inverse / -np.diag(inverse))
     np.fill_diagonal(weights, 0.0)
     return weights
 
 
+def _solved_tile(values: np.ndarray) -> np.ndarray:
+    """B of a catalogue that fits one tile."""
+    return _weights_of(np.linalg.inv(values))
+
+
+def _spectrum(values: np.ndarray) -> np.ndarray:
+    """Eigenvectors as columns, and the eigenvalues as one more row."""
+    lengths, axes = np.linalg.eigh(values)
+    return np.vstack([axes, np.maximum(lengths, 0.0)])
+
+
+def _from_spectrum(spectrum: DataFrame, n_items: int, l2: float) -> DataFrame:
+    def solve(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                both = np.frombuffer(data.as_buffer()).reshape(n_items + 1, n_items)
+                axes, lengths = both[:-1], both[-1]
+                yield T.tile_table(0, 0, _weights_of((axes / (lengths + l2)) @ axes.T)).to_batches()[0]
+
+    return spectrum.select("tile").mapInArrow(solve, "bi long, bj long, tile binary")
+
+
 def _normalised(negative: DataFrame, n_items: int, width: int) -> DataFrame:
     """``B[i,j] = -P[i,j] / P[j,j]`` with a zero diagonal, from the upper tiles of ``-P``.
     Every tile of a column stripe gets the diagonal tile of that stripe."""

@@ -136,6 +136,10 @@ class DenseStripe:
     def width(self) -> int:
         return self.values.shape[1]
 
+    @property
+    def largest(self) -> float:
+        return float(np.abs(self.values).max(initial=0.0))
+
     def sizes(self, rows: UserRows) -> np.ndarray:
         return np.full(len(rows.users), self.width)
 
@@ -165,6 +169,10 @@ class SparseStripe:
     cols: np.ndarray
     vals: np.ndarray
 
+    @property
+    def largest(self) -> float:
+        return float(np.abs(self.vals).max(initial=0.0))
+
     def sizes(self, rows: UserRows) -> np.ndarray:
         """Products of every user."""
         upto = np.r_[0, np.cumsum(np.diff(self.starts)[rows.i])]
@@ -417,11 +425,16 @@ def recommend_dense(
 ) -> DataFrame:
     """Top ``k`` of ``S = X B`` per user for a dense B given as tiles of ``width``, as (u, i, scores,
     rank). ``data.cells`` is partitioned and sorted by user."""
-    tiles = checkpointed(weights)
-    largest = _largest_entry(tiles) if digits is None else 0.0
-    lists = Lists(k, mask, digits, largest)
+    # One stripe is read once; more are read from the checkpoint, the largest entry first.
+    whole = data.n_items <= min(width, bytes_at_most // (8 * max(data.n_items, 1)))
+    tiles = weights if whole else checkpointed(weights)
+    largest = None if whole else _largest_entry(tiles)
+
+    def make(stripe: DenseStripe):
+        return _dense_lists(stripe, Lists(k, mask, digits, stripe.largest if largest is None else largest))
+
     stripes = dense_stripes(tiles, data.n_items, width, bytes_at_most)
-    return _past_stripes(data.cells, stripes, lambda s: _dense_lists(s, lists), data.n_items, k)
+    return _past_stripes(data.cells, stripes, make, data.n_items, k)
 
 
 def _largest_entry(tiles: DataFrame) -> float:
@@ -444,10 +457,15 @@ def recommend_sparse(
     negative ones, as in a dense ranking; with ``scored_only`` they are left out. ``data.cells`` is partitioned
     and sorted by user.
     """
-    largest = 0.0 if digits is not None else weights.agg(F.max(F.abs("b"))).first()[0] or 0.0
-    lists = Lists(k, mask, digits, largest, scored_only)
+    whole = n_weights * _WEIGHT_BYTES <= bytes_at_most
+    largest = None if whole else weights.agg(F.max(F.abs("b"))).first()[0] or 0.0
+
+    def make(stripe: SparseStripe):
+        bound = stripe.largest if largest is None else largest
+        return _sparse_lists(stripe, Lists(k, mask, digits, bound, scored_only))
+
     stripes = sparse_stripes(weights, data.n_items, n_weights, bytes_at_most)
-    return _past_stripes(data.cells, stripes, lambda s: _sparse_lists(s, lists), data.n_items, k)
+    return _past_stripes(data.cells, stripes, make, data.n_items, k)
 
 
 def score_pairs(data, weights: DataFrame, n_weights: int, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:

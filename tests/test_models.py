@@ -105,6 +105,24 @@ def test_ease_lists(ratings, tile, mask):
     same_lists(model.recommend(data), listed(scores, 12))
 
 
+@pytest.mark.parametrize("l2", [0.5, 40.0])
+def test_one_factorisation_serves_every_l2(ratings, l2):
+    """Also for a Gram matrix without full rank (item 29 and a copy of its column)."""
+    table = ratings[1] + [(u, 30, r, t) for u, i, r, t in ratings[1] if i == 29]
+    df = ratings[0].sparkSession.createDataFrame(table, SCHEMA)
+    x = np.zeros((40, 31))
+    for u, i, _, _ in table:
+        x[u, i] += 1.0
+    model = EASE(l2_reg=l2, top_k=9)
+    data = model.prepare(df)
+    model.share(data)
+    made = data.spectrum
+    assert np.allclose(dense(model.weights(data), 31), ease_numpy(x, l2), atol=1e-9)
+    model.share(data)
+    assert data.spectrum is made
+    same_lists(model.recommend(data), listed(np.where(x != 0, 0.0, x @ ease_numpy(x, l2)), 9))
+
+
 def slim_numpy(x, ratio, positive):
     n, m = x.shape
     g = x.T @ x / n
