@@ -6,17 +6,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclattice.models.base import Interactions, prepare
 from reclattice.operators.matrix import both_triangles
 from reclattice.operators.ranking import union_all
 from reclattice.operators.scoring import recommend_sparse
-from reclattice.session import broadcast_if_small, checkpointed, parallelism
+from reclattice.session import broadcast_if_small, checkpointed
 
-# Targets solved together in one task call; they share the rows of the Gram table.
-_TARGETS_PER_BLOCK = 64
+# Candidates, counted over its targets, of a group solved together. Groups of small targets have
+# less than twice as many items, so their square of doubles stays under 128 MB; a target with more
+# candidates of its own is solved alone on its Gram entries, without a square.
+_CANDIDATES_PER_GROUP = 2048
 # Largest step of the last sweep, relative to the largest weight.
 _TOLERANCE = 1e-13
 _MAX_SWEEPS = 100_000
@@ -80,20 +82,23 @@ def fit_weights(data: Interactions, ratio: float, positive_only: bool = True) ->
     is left, so no weight is lost to the screening.
     """
     n, bound = data.n_users, data.n_users * ratio
-    full = both_triangles(data.gram)
-    off_diagonal = full.filter(F.col("i") != F.col("j"))
-    candidates = off_diagonal.filter(F.abs("g") > bound).select("i", "j")
+    off_diagonal = both_triangles(data.gram.filter(F.col("i") != F.col("j")))
+    candidates = off_diagonal.filter(F.abs("g") > bound)
+
+    def solved(pairs: DataFrame) -> DataFrame:
+        return _solve(data.gram, pairs, data.n_items, n, ratio, positive_only)
+
     if positive_only and data.lowest >= 0:
-        return _solve(full, candidates, data.n_items, n, ratio, positive_only).filter(F.col("b") > 0)
+        return solved(candidates).filter(F.col("b") > 0)
+    full = both_triangles(data.gram)
     candidates = checkpointed(candidates)
     while True:
-        weights = checkpointed(_solve(full, candidates, data.n_items, n, ratio, positive_only))
+        weights = checkpointed(solved(candidates))
         missed = _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only)
-        missed = checkpointed(missed)
+        missed = checkpointed(missed.join(off_diagonal, ["i", "j"], "left").select("i", "j", F.coalesce("g", F.lit(0.0)).alias("g")))
         if missed.isEmpty():
             return weights.filter(F.col("b") > 0)
-        both_ways = missed.unionByName(missed.select(F.col("j").alias("i"), F.col("i").alias("j")))
-        candidates = checkpointed(candidates.unionByName(both_ways).distinct())
+        candidates = checkpointed(candidates.unionByName(missed))
 
 
 def _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only) -> DataFrame:
@@ -110,57 +115,104 @@ def _violations(full, off_diagonal, candidates, weights, n, ratio, positive_only
     return gradient.filter(size > ratio * (1 + 1e-9)).select("i", "j").join(candidates, ["i", "j"], "left_anti")
 
 
+def _groups(candidates: DataFrame) -> DataFrame:
+    """(j, pivot, cut): targets that are solved together.
+
+    The pivot of a target is the one of its candidates with the least hash, so two targets share it
+    with the chance of their candidate sets' Jaccard similarity. Targets of one pivot are cut where
+    their counted candidates fill a group; a target too large for that is a group of its own.
+    """
+    least = F.min(F.struct(F.xxhash64("i").alias("hash"), "i"))["i"]
+    targets = candidates.groupBy("j").agg(F.count("*").alias("size"), least.alias("pivot"))
+    room = F.lit(_CANDIDATES_PER_GROUP)
+    filled = F.sum("size").over(Window.partitionBy("pivot").orderBy("j"))
+    small = targets.filter(F.col("size") <= room).select("j", "pivot", F.floor((filled - 1) / room).alias("cut"))
+    large = targets.filter(F.col("size") > room).select("j", F.lit(-1).cast("long").alias("pivot"), F.col("j").alias("cut"))
+    return small.unionByName(large)
+
+
 def _solve(
-    full: DataFrame, candidates: DataFrame, n_items: int, n: int, ratio: float, positive_only: bool
+    upper: DataFrame, candidates: DataFrame, n_items: int, n: int, ratio: float, positive_only: bool
 ) -> DataFrame:
-    """Solve blocks of targets, each with the Gram rows of its candidate items.
+    """Weights of the candidate pairs (i, j, g), solved in groups of targets j.
 
-    Rows are cut to items that are a candidate of some block before they are shipped. For
-    0/1 cells an item needs more than ``n * ratio`` users to be a candidate at all, so there
-    are fewer than (mean row length / ratio) of them, whatever the number of users.
+    A group gets the Gram entries between its own candidates and no others, each once, from the
+    upper triangle; what links a candidate to its target comes with the pair.
     """
-    at_least = parallelism(full.sparkSession)
-    blocks = max(1, min(n_items, max(at_least, -(-n_items // _TARGETS_PER_BLOCK))))
-    block = F.pmod(F.xxhash64("j"), F.lit(blocks)).alias("block")
-    members = candidates.select(block, "i").distinct()
-    wanted = candidates.select(block, F.col("i").alias("ci"), F.col("j").alias("cj"))
-    # Candidate pairs come in both directions, so candidates and targets are one set.
+    group = ["pivot", "cut"]
+    wanted = checkpointed(candidates.join(_groups(candidates), "j"))
+    members = wanted.select(*group, "i").distinct()
     used = broadcast_if_small(candidates.select("i").distinct(), n_items, 16)
-    rows = (
-        full.join(used, "i", "left_semi")
-        .join(used.withColumnRenamed("i", "j"), "j", "left_semi")
-        .groupBy("i")
-        .agg(F.collect_list("j").alias("cols"), F.collect_list("g").alias("vals"))
+    entries = (
+        upper.join(used, "i", "left_semi").withColumnRenamed("j", "k")
+        .join(used.withColumnRenamed("i", "k"), "k", "left_semi")
+        .join(members, "i").join(members.withColumnRenamed("i", "k"), [*group, "k"])
+    )
+
+    def solve(square: pa.Table, pairs: pa.Table) -> pa.Table:
+        return _solve_group(square, pairs, n, ratio, positive_only)
+
+    pairs = wanted.select(*[F.col(c).alias(f"of_{c}") for c in group], "i", "j", "g")
+    return (
+        entries.groupBy(*group).cogroup(pairs.groupBy(*[f"of_{c}" for c in group])).applyInArrow(solve, _WEIGHT_SCHEMA)
     )
-    shipped = members.join(rows, "i").select(F.col("block").alias("sb"), "i", "cols", "vals")
-
-    def solve(gram_rows: pa.Table, pairs: pa.Table) -> pa.Table:
-        return _solve_block(gram_rows, pairs, n, ratio, positive_only)
-
-    return shipped.groupBy("sb").cogroup(wanted.groupBy("block")).applyInArrow(solve, _WEIGHT_SCHEMA)
-
-
-def _solve_block(gram_rows: pa.Table, pairs: pa.Table, n: int, ratio: float, positive_only: bool) -> pa.Table:
-    items = gram_rows.column("i").to_numpy()
-    order = np.argsort(items)
-    items = items[order]
-    pi, pj = pairs.column("ci").to_numpy(), pairs.column("cj").to_numpy()
-    targets = np.unique(pj)
-    square = np.zeros((items.size, items.size))
-    linear = np.zeros((items.size, targets.size))
-    cols, vals = gram_rows.column("cols"), gram_rows.column("vals")
-    for at, source in enumerate(order):
-        col = cols[int(source)].values.to_numpy()
-        val = vals[int(source)].values.to_numpy()
-        for known, into in ((items, square), (targets, linear)):
-            spot = np.minimum(np.searchsorted(known, col), known.size - 1)
-            here = known[spot] == col
-            into[at, spot[here]] = val[here]
-    allowed = np.zeros(linear.shape, bool)
-    allowed[np.searchsorted(items, pi), np.searchsorted(targets, pj)] = True
-    weights = coordinate_descent(square / n, linear / n, allowed, ratio, positive_only)
-    at_i, at_j = np.nonzero(weights)
-    return pa.table({"i": items[at_i], "j": targets[at_j], "b": weights[at_i, at_j]})
+
+
+def _solve_group(entries: pa.Table, pairs: pa.Table, n: int, ratio: float, positive_only: bool) -> pa.Table:
+    pi, pj, g = (pairs.column(c).to_numpy() for c in ("i", "j", "g"))
+    items, at = np.unique(pi, return_inverse=True)
+    targets, to = np.unique(pj, return_inverse=True)
+    left, right = (np.searchsorted(items, entries.column(c).to_numpy()) for c in ("i", "k"))
+    values = entries.column("g").to_numpy() / n
+    if targets.size == 1 and items.size > _CANDIDATES_PER_GROUP:
+        linear = np.empty(items.size)
+        linear[at] = g / n
+        found = sparse_descent(left, right, values, linear, ratio, positive_only)[:, None]
+    else:
+        square = np.zeros((items.size, items.size))
+        square[left, right] = values
+        square[right, left] = values
+        linear, allowed = np.zeros((items.size, targets.size)), np.zeros((items.size, targets.size), bool)
+        linear[at, to], allowed[at, to] = g / n, True
+        found = coordinate_descent(square, linear, allowed, ratio, positive_only)
+    at_i, at_j = np.nonzero(found)
+    return pa.table({"i": items[at_i], "j": targets[at_j], "b": found[at_i, at_j]})
+
+
+def _shrunk(pull, ratio: float, positive_only: bool):
+    if positive_only:
+        return np.maximum(pull - ratio, 0.0)
+    return np.sign(pull) * np.maximum(np.abs(pull) - ratio, 0.0)
+
+
+def sparse_descent(
+    left: np.ndarray, right: np.ndarray, values: np.ndarray, linear: np.ndarray, ratio: float, positive_only: bool
+) -> np.ndarray:
+    """``coordinate_descent`` of one target on the non-zero entries of the upper triangle: the
+    gradient is kept and changed along the row of each weight that moves."""
+    size = linear.size
+    off = left != right
+    rows, cols = np.r_[left, right[off]], np.r_[right, left[off]]
+    order = np.argsort(rows, kind="stable")
+    cols, vals = cols[order], np.r_[values, values[off]][order]
+    starts = np.searchsorted(rows[order], np.arange(size + 1))
+    diagonal = np.zeros(size)
+    diagonal[left[~off]] = values[~off]
+    weights, gradient = np.zeros(size), linear.copy()
+    active = np.flatnonzero(diagonal + (1.0 - ratio) > 0)
+    for _ in range(_MAX_SWEEPS):
+        moved = 0.0
+        for i in active:
+            fresh = float(_shrunk(gradient[i] + diagonal[i] * weights[i], ratio, positive_only)) / (diagonal[i] + 1.0 - ratio)
+            step = fresh - weights[i]
+            if step:
+                row = slice(starts[i], starts[i + 1])
+                gradient[cols[row]] -= step * vals[row]
+                weights[i] = fresh
+                moved = max(moved, abs(step))
+        if moved <= _TOLERANCE * np.abs(weights).max(initial=0.0):
+            return weights
+    raise RuntimeError(f"no convergence in {_MAX_SWEEPS} sweeps: the last one still moved a weight by {moved}")
 
 
 def coordinate_descent(
@@ -176,11 +228,7 @@ def coordinate_descent(
         moved = 0.0
         for i in active:
             pull = linear[i] - square[i] @ weights + square[i, i] * weights[i]
-            if positive_only:
-                fresh = np.maximum(pull - ratio, 0.0)
-            else:
-                fresh = np.sign(pull) * np.maximum(np.abs(pull) - ratio, 0.0)
-            fresh = np.where(allowed[i], fresh / curvature[i], 0.0)
+            fresh = np.where(allowed[i], _shrunk(pull, ratio, positive_only) / curvature[i], 0.0)
             moved = max(moved, float(np.abs(fresh - weights[i]).max()))
             weights[i] = fresh
         if moved <= _TOLERANCE * np.abs(weights).max(initial=0.0):

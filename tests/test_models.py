@@ -140,8 +140,11 @@ def slim_numpy(x, ratio, positive):
     return np.where(w > 0, w, 0)
 
 
+@pytest.mark.parametrize("room", [2048, 40, 3])
 @pytest.mark.parametrize("positive", [True, False])
-def test_slim_weights(ratings, positive):
+def test_slim_weights(monkeypatch, ratings, positive, room):
+    """In one group per pivot, in groups cut by their candidates, and target by target."""
+    monkeypatch.setattr(slim, "_CANDIDATES_PER_GROUP", room)
     x = matrix(ratings[1], lambda r: 1.0)
     data = SLIM().prepare(ratings[0])
     got = dense(fit_weights(data, 0.02, positive), 30)
@@ -182,6 +185,34 @@ def test_a_solve_that_does_not_settle_is_an_error(monkeypatch):
         slim.coordinate_descent(square, np.array([[0.9], [0.8]]), np.ones((2, 1), bool), 0.1, True)
 
 
+def test_groups_are_bounded_and_whole(spark):
+    """Every target is in one group; groups of small targets stay under twice the bound."""
+    rng = np.random.default_rng(17)
+    pairs = [(int(i), j, 1.0) for j in range(60) for i in rng.choice(400, size=int(rng.integers(1, 90)), replace=False)]
+    pairs += [(int(i), 100, 1.0) for i in range(3000)]
+    placed = slim._groups(spark.createDataFrame(pairs, "i long, j long, g double")).collect()
+    size = {}
+    for _, j, _ in pairs:
+        size[j] = size.get(j, 0) + 1
+    assert sorted(r["j"] for r in placed) == sorted(size)
+    groups = {}
+    for r in placed:
+        groups.setdefault((r["pivot"], r["cut"]), []).append(r["j"])
+    assert groups[-1, 100] == [100]
+    assert all(sum(size[j] for j in g) < 2 * slim._CANDIDATES_PER_GROUP for key, g in groups.items() if key[0] >= 0)
+
+
+def test_both_descents_agree():
+    rng = np.random.default_rng(18)
+    x = (rng.random((300, 40)) < 0.2).astype(float)
+    g, c = x.T @ x / 300, x.T @ (rng.random(300) < 0.3) / 300
+    upper = np.triu_indices(40)
+    for positive in (True, False):
+        dense_way = slim.coordinate_descent(g, c[:, None], np.ones((40, 1), bool), 0.02, positive)[:, 0]
+        assert np.allclose(slim.sparse_descent(*upper, g[upper], c, 0.02, positive), dense_way, atol=1e-10)
+        assert (dense_way != 0).any()
+
+
 def test_slim_ratio():
     assert l1_ratio(1, 9) == 0.1 and l1_ratio(2, 0) == 1.0
     with pytest.raises(ValueError):
