@@ -46,7 +46,7 @@ class EASE:
         """Tiles ``(bi, bj, tile)`` of B."""
         if not self.l2_reg > 0:
             raise ValueError("EASE needs l2_reg > 0: the Gram matrix alone may be singular")
-        n, width = data.n_items, T.tile_width(data.n_items, self.tile)
+        n, width = data.n_items, self.tile or T.TILE
         if T.tile_count(n, width) == 1:
             if data.spectrum is not None:
                 return _from_spectrum(data.spectrum, n, self.l2_reg)
@@ -57,17 +57,17 @@ class EASE:
     def share(self, data: Interactions) -> None:
         """Factorise the Gram matrix once for all l2, if it fits one tile: with ``G = Q L Q'``, the
         inverse of ``G + l2 I`` is ``Q (L + l2 I)^-1 Q'``."""
-        n, width = data.n_items, T.tile_width(data.n_items, self.tile)
+        n, width = data.n_items, self.tile or T.TILE
         if data.spectrum is None and n and T.tile_count(n, width) == 1:
             data.spectrum = checkpointed(T.pack(data.gram, n, width, 0.0, _spectrum))
 
     def weights(self, data: Interactions) -> DataFrame:
         """Long form ``(i, j, b)`` over encoded items."""
-        return T.entries(self.fit(data), data.n_items, T.tile_width(data.n_items, self.tile))
+        return T.entries(self.fit(data), data.n_items, self.tile or T.TILE)
 
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
-        width = T.tile_width(data.n_items, self.tile)
+        width = self.tile or T.TILE
         top = recommend_dense(data, self.fit(data), width, self.top_k, mask, self.score_digits)
         return data.decoded(top)
 

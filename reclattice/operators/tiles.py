@@ -13,22 +13,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclattice.session import checkpointed
+from reclattice.session import delete_stored, stored
 
 _TILE_SCHEMA = "bi long, bj long, tile binary"
-_MAX_TILE = 2048
-# Elements in one column stripe (all tiles of one bj): 64M doubles are 512 MB.
-_MAX_STRIPE = 64 * 1024 * 1024
-
-
-def tile_width(n_items: int, tile: int | None = None) -> int:
-    """Tile width so that a column stripe of tiles fits one task."""
-    if tile:
-        return tile
-    return int(max(64, min(_MAX_TILE, _MAX_STRIPE // max(n_items, 1))))
+# Width of a tile whatever the catalogue: 32 MB of doubles. A sweep has items / 2,048 steps.
+TILE = 2048
 
 
 def tile_count(n_items: int, width: int) -> int:
@@ -90,39 +83,38 @@ def pack(upper: DataFrame, n_items: int, width: int, ridge: float, finish=None)
     )
 
 
-def _pivot_panel(tiles: DataFrame, k: int, blocks: int, n_items: int, width: int) -> DataFrame:
+def _negative_pivot(tiles: DataFrame, k: int, n_items: int, width: int) -> np.ndarray:
+    """Minus the inverse of A[K,K], solved once, in a task; one tile comes to the driver."""
+
+    def invert(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                inverse = -np.linalg.inv(tile_array(data.as_buffer(), k, k, n_items, width))
+                yield pa.RecordBatch.from_pydict({"tile": pa.array([inverse.tobytes()], pa.binary())})
+
+    pivot = tiles.filter((F.col("bi") == k) & (F.col("bj") == k)).select("tile")
+    return tile_array(pivot.mapInArrow(invert, "tile binary").first()["tile"], k, k, n_items, width)
+
+
+def _pivot_panel(tiles: DataFrame, k: int, pivot: Broadcast, n_items: int, width: int) -> DataFrame:
     """Rows ``(b, raw, solved)``: raw = A[K,b], solved = inverse(A[K,K]) A[K,b]; for b = K
-    solved is minus the inverse."""
-
-    def solve(table: pa.Table) -> pa.Table:
-        b = first_valid(table, "b")
-        own = pivot = None
-        for bi, bj, data in zip(*(table.column(c).to_pylist() for c in ("bi", "bj", "tile"))):
-            values = tile_array(data, bi, bj, n_items, width)
-            if bi == bj == k:
-                pivot = values
-            else:
-                own = values if bi == k else values.T
-        inverse = np.linalg.inv(pivot)
-        solved = -inverse if own is None else inverse @ own
-        raw = pivot if own is None else own
-        return pa.table(
-            {
-                "b": pa.array([b], pa.int64()),
-                "raw": pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()),
-                "solved": pa.array([np.ascontiguousarray(solved).tobytes()], pa.binary()),
-            }
-        )
+    solved is minus the inverse. Every tile of the panel is solved where it lies."""
 
-    panel = tiles.filter((F.col("bi") == k) | (F.col("bj") == k))
-    target = F.when(
-        (F.col("bi") == k) & (F.col("bj") == k), F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    ).otherwise(F.array(F.col("bi") + F.col("bj") - F.lit(k).cast("long")))
-    return (
-        panel.select("bi", "bj", "tile", F.explode(target).alias("b"))
-        .groupBy("b")
-        .applyInArrow(solve, "b long, raw binary, solved binary")
-    )
+    def solve(batches):
+        for batch in batches:
+            for bi, bj, data in zip(*(batch.column(c) for c in ("bi", "bj", "tile"))):
+                bi, bj = bi.as_py(), bj.as_py()
+                values = tile_array(data.as_buffer(), bi, bj, n_items, width)
+                raw = values if bi == k else values.T
+                solved = pivot.value if bi == bj else -pivot.value @ raw
+                yield pa.RecordBatch.from_pydict({
+                    "b": pa.array([bi + bj - k], pa.int64()),
+                    "raw": pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()),
+                    "solved": pa.array([np.ascontiguousarray(solved).tobytes()], pa.binary()),
+                })
+
+    panel = tiles.filter((F.col("bi") == k) | (F.col("bj") == k)).select("bi", "bj", "tile")
+    return panel.mapInArrow(solve, "b long, raw binary, solved binary")
 
 
 def _swept(tiles: DataFrame, panel: DataFrame, k: int, blocks: int, n_items: int, width: int) -> DataFrame:
@@ -159,13 +151,18 @@ def _swept(tiles: DataFrame, panel: DataFrame, k: int, blocks: int, n_items: int
 
 
 def negative_inverse(tiles: DataFrame, n_items: int, width: int) -> DataFrame:
-    """Tiles of ``-inverse(A)``. Every step ends in a reliable checkpoint, since the next
-    one reads its tiles several times."""
-    blocks = tile_count(n_items, width)
-    tiles = checkpointed(tiles)
-    for k in range(blocks):
-        panel = checkpointed(_pivot_panel(tiles, k, blocks, n_items, width))
-        tiles = checkpointed(_swept(tiles, panel, k, blocks, n_items, width))
+    """Tiles of ``-inverse(A)``. Every step ends in a table in the shared folder, since the next one
+    reads its tiles several times; a table is deleted when the step after it is written."""
+    spark = tiles.sparkSession
+    tiles, old = stored(tiles, "tiles")
+    for k in range(tile_count(n_items, width)):
+        pivot = spark.sparkContext.broadcast(_negative_pivot(tiles, k, n_items, width))
+        panel, panel_path = stored(_pivot_panel(tiles, k, pivot, n_items, width), "panel")
+        tiles, new = stored(_swept(tiles, panel, k, tile_count(n_items, width), n_items, width), "tiles")
+        pivot.unpersist()
+        delete_stored(spark, panel_path)
+        delete_stored(spark, old)
+        old = new
     return tiles
 
 

@@ -1,5 +1,6 @@
 """Gram table, solvers and scoring against plain numpy."""
 
+import os
 from types import SimpleNamespace
 
 import numpy as np
@@ -290,3 +291,19 @@ def test_certificates_tell_an_optimum_from_a_near_one(spark, ratings):
     confidence = np.where(x != 0, x, 1.0)
     loss = (confidence * ((x > 0) - u @ v.T) ** 2).sum() + 0.5 * ((u * u).sum() + (v * v).sum())
     assert np.isclose(certificates.als_training_loss(data, users, items, 3, 0.5), loss / confidence.sum())
+
+
+def test_sweep_keeps_one_table(spark, tmp_path):
+    """Blocked inverse over several tiles, the last one narrower; tables of earlier steps are gone."""
+    from reclattice import session
+    from reclattice.operators import tiles as T
+
+    x = np.random.default_rng(19).normal(size=(50, 23))
+    a = x.T @ x
+    upper = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(23) for j in range(i, 23)], "i long, j long, g double")
+    folder = session.checkpoint_dir(spark).removeprefix("file:")
+    before = {p for p in os.listdir(folder) if p.startswith(("tiles-", "panel-"))}
+    found = T.negative_inverse(T.pack(upper, 23, 6, 0.5), 23, 6)
+    left = {p for p in os.listdir(folder) if p.startswith(("tiles-", "panel-"))} - before
+    got = dense(T.entries(T.mirrored(found, 23, 6), 23, 6), 23)
+    assert np.allclose(got, -np.linalg.inv(a + 0.5 * np.eye(23)), atol=1e-10) and len(left) == 1

@@ -64,11 +64,12 @@ def test_sparse_lists(spark, monkeypatch, data, x, mask, share, digits):
     """Signed weights, few scores per user: lists are filled with zeros in item order, by both ways
     of adding up and over one stripe or many."""
     monkeypatch.setattr(scoring, "_DENSE_SHARE", share)
+    monkeypatch.setattr(scoring, "_STRIPES_PER_MERGE", 1)
     draw = np.random.default_rng(12)
     w = np.where(draw.random((ITEMS, ITEMS)) < 0.06, draw.integers(-3, 4, (ITEMS, ITEMS)) / 4, 0.0)
     table, n = weight_table(spark, w)
     expected = lists(masked(x @ w, x, mask), 9)
-    for at_most in (1 << 20, 16 * 4):
+    for at_most in (1 << 20, 16 * 16):
         same(recommend_sparse(data, table, n, 9, mask, digits, bytes_at_most=at_most), expected)
 
 
@@ -80,16 +81,16 @@ def test_only_scored_items(spark, monkeypatch, data, x, share):
     table, n = weight_table(spark, w)
     touched = (x != 0).astype(int) @ (w != 0) > 0
     expected = lists(np.where(touched, masked(x @ w, x, "remove"), -np.inf), 5)
-    for at_most in (1 << 20, 16 * 5):
+    for at_most in (1 << 20, 16 * 22):
         same(recommend_sparse(data, table, n, 5, "remove", 9, scored_only=True, bytes_at_most=at_most), expected)
-    for at_most in (1 << 20, 16 * 5):
+    for at_most in (1 << 20, 16 * 22):
         pairs = {(r["u"], r["j"]): r["s"] for r in score_pairs(data, table, n, at_most).collect()}
         assert set(pairs) == set(zip(*map(lambda c: c.tolist(), np.nonzero(touched))))
         assert np.allclose(list(pairs.values()), [(x @ w)[k] for k in pairs])
 
 
 @pytest.mark.parametrize("mask", ["zero", "remove"])
-@pytest.mark.parametrize("tile,at_most", [(64, 1 << 20), (10, 1 << 20), (10, 8 * ITEMS * 3), (64, 8 * ITEMS * 7)])
+@pytest.mark.parametrize("tile,at_most", [(64, 1 << 20), (10, 1 << 20), (10, 8 * ITEMS * 9), (64, 8 * ITEMS * 12)])
 def test_dense_lists(spark, data, x, mask, tile, at_most):
     b = np.random.default_rng(14).normal(size=(ITEMS, ITEMS))
     made = [
@@ -184,5 +185,5 @@ def test_factor_lists(spark, data, x, remove):
     people = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(u)], "id long, vec array<double>")
     items = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(v)], "id long, vec array<double>")
     expected = lists(masked(u @ v.T, x, "remove" if remove else "none"), 5)
-    for at_most in (1 << 20, 8 * 6 * 6):
+    for at_most in (1 << 20, 8 * 6 * 12):
         same(recommend_factors(data, people, items, 4, 5, remove, None, at_most), expected)
