@@ -30,6 +30,7 @@ class Interactions:
     n_cells: int
     gram_table: DataFrame | None = None
     spectrum: DataFrame | None = None
+    path: list | None = None
     held: list[DataFrame] = field(default_factory=list)
 
     @property
@@ -65,7 +66,7 @@ class Interactions:
         for df in [self.cells, *self.held]:
             df.unpersist()
         self.held.clear()
-        self.gram_table = self.spectrum = None
+        self.gram_table = self.spectrum = self.path = None
 
 
 def laid_out(cells: DataFrame) -> DataFrame:

@@ -58,13 +58,24 @@ class SLIM:
 
     def fit(self, data: Interactions) -> DataFrame:
         """Sparse weights ``(i, j, b)``, ``b > 0``: item i's share in the score of item j."""
-        return fit_weights(data, l1_ratio(self.l1_reg, self.l2_reg), self.positive_only)
+        return fit_weights(data, l1_ratio(self.l1_reg, self.l2_reg), self.positive_only, self._nearest(data))
 
     weights = fit
 
+    def share(self, data: Interactions) -> None:
+        """Keep every fit from now on as the start of the next one along the penalty path."""
+        data.path = data.path or []
+
+    def _nearest(self, data: Interactions) -> DataFrame | None:
+        ratio = l1_ratio(self.l1_reg, self.l2_reg)
+        near = min(data.path or [], key=lambda fit: abs(np.log(max(fit[0], 1e-12) / max(ratio, 1e-12))), default=None)
+        return near and near[1]
+
     def recommend(self, data: Interactions) -> DataFrame:
         mask = self.mask if self.filter_already_liked_items else "none"
         weights = checkpointed(self.fit(data))
+        if data.path is not None:
+            data.path.append((l1_ratio(self.l1_reg, self.l2_reg), weights))
         top = recommend_sparse(data, weights, weights.count(), self.top_k, mask, self.score_digits)
         return data.decoded(top)
 
@@ -72,8 +83,11 @@ class SLIM:
         return self.recommend(self.prepare(df))
 
 
-def fit_weights(data: Interactions, ratio: float, positive_only: bool = True) -> DataFrame:
-    """Elastic net of every item on all others.
+def fit_weights(
+    data: Interactions, ratio: float, positive_only: bool = True, start: DataFrame | None = None
+) -> DataFrame:
+    """Elastic net of every item on all others. ``start`` is a fit to begin at, of a nearby ``ratio``:
+    the optimum is the same, it is reached in fewer sweeps.
 
     Only pairs with ``|G_ij| > n * ratio`` start as candidates. With non-negative cells and
     ``positive_only`` every other weight is provably 0: its gradient at the solution is at
@@ -86,7 +100,7 @@ def fit_weights(data: Interactions, ratio: float, positive_only: bool = True) ->
     candidates = off_diagonal.filter(F.abs("g") > bound)
 
     def solved(pairs: DataFrame) -> DataFrame:
-        return _solve(data.gram, pairs, data.n_items, n, ratio, positive_only)
+        return _solve(data.gram, pairs, data.n_items, n, ratio, positive_only, start)
 
     if positive_only and data.lowest >= 0:
         return solved(candidates).filter(F.col("b") > 0)
@@ -132,7 +146,8 @@ def _groups(candidates: DataFrame) -> DataFrame:
 
 
 def _solve(
-    upper: DataFrame, candidates: DataFrame, n_items: int, n: int, ratio: float, positive_only: bool
+    upper: DataFrame, candidates: DataFrame, n_items: int, n: int, ratio: float, positive_only: bool,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Weights of the candidate pairs (i, j, g), solved in groups of targets j.
 
@@ -140,7 +155,11 @@ def _solve(
     upper triangle; what links a candidate to its target comes with the pair.
     """
     group = ["pivot", "cut"]
-    wanted = checkpointed(candidates.join(_groups(candidates), "j"))
+    if start is None:
+        begun = candidates.select("i", "j", "g", F.lit(0.0).alias("b"))
+    else:
+        begun = candidates.join(start.select("i", "j", "b"), ["i", "j"], "left").fillna(0.0, "b")
+    wanted = checkpointed(begun.join(_groups(candidates), "j"))
     members = wanted.select(*group, "i").distinct()
     used = broadcast_if_small(candidates.select("i").distinct(), n_items, 16)
     entries = (
@@ -152,29 +171,30 @@ def _solve(
     def solve(square: pa.Table, pairs: pa.Table) -> pa.Table:
         return _solve_group(square, pairs, n, ratio, positive_only)
 
-    pairs = wanted.select(*[F.col(c).alias(f"of_{c}") for c in group], "i", "j", "g")
+    pairs = wanted.select(*[F.col(c).alias(f"of_{c}") for c in group], "i", "j", "g", "b")
     return (
         entries.groupBy(*group).cogroup(pairs.groupBy(*[f"of_{c}" for c in group])).applyInArrow(solve, _WEIGHT_SCHEMA)
     )
 
 
 def _solve_group(entries: pa.Table, pairs: pa.Table, n: int, ratio: float, positive_only: bool) -> pa.Table:
-    pi, pj, g = (pairs.column(c).to_numpy() for c in ("i", "j", "g"))
+    pi, pj, g, b = (pairs.column(c).to_numpy() for c in ("i", "j", "g", "b"))
     items, at = np.unique(pi, return_inverse=True)
     targets, to = np.unique(pj, return_inverse=True)
     left, right = (np.searchsorted(items, entries.column(c).to_numpy()) for c in ("i", "k"))
     values = entries.column("g").to_numpy() / n
     if targets.size == 1 and items.size > _CANDIDATES_PER_GROUP:
-        linear = np.empty(items.size)
-        linear[at] = g / n
-        found = sparse_descent(left, right, values, linear, ratio, positive_only)[:, None]
+        linear, start = np.empty(items.size), np.empty(items.size)
+        linear[at], start[at] = g / n, b
+        found = sparse_descent(left, right, values, linear, ratio, positive_only, start)[:, None]
     else:
         square = np.zeros((items.size, items.size))
         square[left, right] = values
         square[right, left] = values
-        linear, allowed = np.zeros((items.size, targets.size)), np.zeros((items.size, targets.size), bool)
-        linear[at, to], allowed[at, to] = g / n, True
-        found = coordinate_descent(square, linear, allowed, ratio, positive_only)
+        shape = (items.size, targets.size)
+        linear, allowed, start = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape)
+        linear[at, to], allowed[at, to], start[at, to] = g / n, True, b
+        found = coordinate_descent(square, linear, allowed, ratio, positive_only, start)
     at_i, at_j = np.nonzero(found)
     return pa.table({"i": items[at_i], "j": targets[at_j], "b": found[at_i, at_j]})
 
@@ -186,7 +206,8 @@ def _shrunk(pull, ratio: float, positive_only: bool):
 
 
 def sparse_descent(
-    left: np.ndarray, right: np.ndarray, values: np.ndarray, linear: np.ndarray, ratio: float, positive_only: bool
+    left: np.ndarray, right: np.ndarray, values: np.ndarray, linear: np.ndarray, ratio: float, positive_only: bool,
+    start: np.ndarray | None = None,
 ) -> np.ndarray:
     """``coordinate_descent`` of one target on the non-zero entries of the upper triangle: the
     gradient is kept and changed along the row of each weight that moves."""
@@ -198,7 +219,10 @@ def sparse_descent(
     starts = np.searchsorted(rows[order], np.arange(size + 1))
     diagonal = np.zeros(size)
     diagonal[left[~off]] = values[~off]
-    weights, gradient = np.zeros(size), linear.copy()
+    weights, gradient = np.zeros(size) if start is None else start.copy(), linear.copy()
+    for i in np.flatnonzero(weights):
+        row = slice(starts[i], starts[i + 1])
+        gradient[cols[row]] -= weights[i] * vals[row]
     active = np.flatnonzero(diagonal + (1.0 - ratio) > 0)
     for _ in range(_MAX_SWEEPS):
         moved = 0.0
@@ -216,12 +240,13 @@ def sparse_descent(
 
 
 def coordinate_descent(
-    square: np.ndarray, linear: np.ndarray, allowed: np.ndarray, ratio: float, positive_only: bool
+    square: np.ndarray, linear: np.ndarray, allowed: np.ndarray, ratio: float, positive_only: bool,
+    start: np.ndarray | None = None,
 ) -> np.ndarray:
     """Minimise ``w'Gw/2 - w'c + ratio |w|_1 + (1 - ratio) |w|^2 / 2`` for every column c of
-    ``linear`` at once, over the allowed coordinates, until no step exceeds the tolerance. A solve that does
-    not get there is an error."""
-    weights = np.zeros(linear.shape)
+    ``linear`` at once, over the allowed coordinates, from ``start`` (default: 0) until no step exceeds
+    the tolerance. A solve that does not get there is an error."""
+    weights = np.zeros(linear.shape) if start is None else np.where(allowed, start, 0.0)
     curvature = np.diag(square) + (1.0 - ratio)
     active = np.flatnonzero(allowed.any(axis=1) & (curvature > 0))
     for _ in range(_MAX_SWEEPS):

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclattice.session import broadcast_if_small, checkpointed
 
 # monotonically_increasing_id keeps the row number inside a partition in its low bits.
 _ROW_BITS = 33
+# Column of the index beside the value in a mapping.
+PLACE = "place"
 # Bytes of a mapping row besides its value, in the broadcast size check.
 _ROW_BYTES = 40
 
 
-def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[DataFrame, int, int]:
+def dense_index(df: DataFrame, column: str, name: str = PLACE) -> tuple[DataFrame, int, int]:
     """(mapping[column, name], number of values, bytes of its longest row).
 
-    A range-partitioned sort gives every partition a contiguous slice; the index is the
-    row number inside the slice plus the sizes of the slices before it. The driver sees one
-    size per shuffle partition.
+    A range-partitioned sort gives every partition a contiguous slice; the index is the row number
+    inside the slice plus the sizes of the slices before it, which are a table of one row per slice.
     """
     ordered = checkpointed(
         df.select(column).distinct()
@@ -28,15 +29,17 @@ def dense_index(df: DataFrame, column: str, name: str = "__index__") -> tuple[Da
                 F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"))
     )
     longest = F.coalesce(F.max(F.octet_length(F.col(column).cast("string"))), F.lit(0))
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), longest.alias("bytes")).collect()
-    sizes = {r["_part"]: r["n"] for r in parts}
-    row_bytes = _ROW_BYTES + max((r["bytes"] for r in parts), default=0)
-    before, total = [], 0
-    for part in range(max(sizes, default=0) + 1):
-        before.append(total)
-        total += sizes.get(part, 0)
-    offset = F.get(F.array(*[F.lit(n) for n in before]), F.col("_part").cast("int"))
-    return ordered.select(column, (offset + F.col("_row")).cast("long").alias(name)), total, row_bytes
+    slices = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), longest.alias("_bytes"))
+    known = slices.agg(
+        F.count(F.lit(1)).alias("slices"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        F.coalesce(F.max("_bytes"), F.lit(0)).alias("bytes"),
+    ).first()
+    # One row per shuffle partition.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = ordered.join(broadcast_if_small(offsets, known["slices"], 16), "_part")
+    mapping = placed.select(column, (F.col("_before") + F.col("_row")).cast("long").alias(name))
+    return mapping, known["n"], _ROW_BYTES + known["bytes"]
 
 
 class OrdinalEncoder:
@@ -56,12 +59,15 @@ class OrdinalEncoder:
         return broadcast_if_small(self.mapping, self.size, self.row_bytes)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        joined = df.join(self._side(), self.column, "left")
-        return joined.drop(self.column).withColumnRenamed("__index__", self.column)
+        """``df`` with the column's values replaced by their index, the other columns as they are."""
+        found = df.join(self._side(), self.column, "left")
+        return found.select(*[F.col(PLACE).alias(c) if c == self.column else F.col(c) for c in df.columns])
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
-        joined = df.withColumnRenamed(self.column, "__index__").join(self._side(), "__index__", "left")
-        return joined.drop("__index__")
+        """``df`` with the column's indices replaced by their values."""
+        known = self._side().select(F.col(self.column).alias("_value"), F.col(PLACE).alias("_place"))
+        found = df.join(known, F.col(self.column) == F.col("_place"), "left")
+        return found.select(*[F.col("_value").alias(c) if c == self.column else F.col(c) for c in df.columns])

@@ -112,7 +112,8 @@ def repeat_rows(df: DataFrame, times: str, spread: bool = False) -> DataFrame:
             times, F.least(F.lit(REPEAT_CHUNK), F.col(times) - F.col("_chunk") * REPEAT_CHUNK)
         )
         others = [c for c in df.columns if c != times]
-        df = df.repartition(*others).drop("_chunk")
+        # A given number is not coalesced: the rows are small only until they are repeated.
+        df = df.repartition(shuffle_partitions(df.sparkSession), *others).drop("_chunk")
     return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop(times, "_copy")
 
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from reclattice.functions.columns import prefix_size
-from reclattice.operators.ranking import HOT_ROWS, hot_keys, join_null_safe, repeat_rows, weighted_positions
+from reclattice.operators.ranking import HOT_ROWS, HotKeys, hot_keys, join_null_safe, repeat_rows, weighted_positions
+from reclattice.session import checkpointed
+
+
+# A triple with more copies than this is fanned out over many tasks, whoever the user.
+MANY_COPIES = 1000
 
 
 class Split(NamedTuple):
@@ -58,6 +63,21 @@ def _range_counts(df, rows, hot_rows, test_size, mode, user, item, rating, times
     return placed.select(*columns, train_times.alias("_train"), test_times.cast("long").alias("_test"))
 
 
+def _dealt_users(df, hot_rows, mode, user, item, rating) -> HotKeys:
+    """Users whose rows or whose copies of one triple are too many for one task. Copies are counted
+    only for users who have that many rows."""
+    if mode == "positional":
+        return hot_keys(df, user, hot_rows)
+    busy = hot_keys(df, user, min(hot_rows, MANY_COPIES))
+    if not busy.count:
+        return busy
+    copies = busy.only(df, user).groupBy(user, item, rating).agg(F.count(F.lit(1)).alias("_n"))
+    users = copies.groupBy(user).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"))
+    found = checkpointed(users.filter((F.col("_rows") > hot_rows) | (F.col("_most") > MANY_COPIES)))
+    sizes = found.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("r")).first()
+    return HotKeys(found.select(user), sizes["k"], sizes["r"])
+
+
 def chronological_split(
     df: DataFrame,
     test_size: float = 0.2,
@@ -75,15 +95,15 @@ def chronological_split(
     is absent from test. ``mode="positional"`` puts every row on exactly one side. Ties in
     time are broken by item, then rating.
 
-    Users with more than ``hot_rows`` rows are ranked by ranges instead of in one window
-    task. The rows are persisted, so the look for such users, the train side and the test
+    Users with more than ``hot_rows`` rows, or with more than ``MANY_COPIES`` copies of a triple that
+    would fan out, are ranked by ranges instead of in one window task. The rows are persisted, so the look for such users, the train side and the test
     side read the source once.
     """
     if mode not in ("triple", "positional"):
         raise ValueError(f"unknown split mode {mode!r}")
     names = (test_size, mode, user, item, rating, timestamp)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    hot = hot_keys(df, user, hot_rows)
+    hot = _dealt_users(df, hot_rows, mode, user, item, rating)
     counts = _window_counts(hot.without(df, user), *names)
     train, test = (repeat_rows(counts.drop(drop), keep) for drop, keep in (("_test", "_train"), ("_train", "_test")))
     if hot.count:

@@ -17,7 +17,7 @@ from reclattice.models.als import ALS
 from reclattice.models.certificates import als_residual, als_training_loss, ease_residual, slim_gap
 from reclattice.models.ease import EASE
 from reclattice.models.slim import SLIM, l1_ratio
-from reclattice.operators.encode import OrdinalEncoder
+from reclattice.operators.encode import PLACE, OrdinalEncoder
 from reclattice.operators.filters import (
     active_users, binarize_rating, positive_ratings, without_seen, zero_seen,
 )
@@ -120,8 +120,8 @@ def panel_out(panel: DataFrame) -> DataFrame:
 
 def brand_weights_out(model, weights: DataFrame, data) -> DataFrame:
     """Weights with item ids on both sides."""
-    left = data.items.mapping.select(F.col("item").alias("item_from"), F.col("__index__").alias("i"))
-    right = data.items.mapping.select(F.col("item").alias("item_to"), F.col("__index__").alias("j"))
+    left = data.items.mapping.select(F.col("item").alias("item_from"), F.col(PLACE).alias("i"))
+    right = data.items.mapping.select(F.col("item").alias("item_to"), F.col(PLACE).alias("j"))
     return (
         weights.join(left, "i").join(right, "j")
         .select("item_from", "item_to", rounded(F.col("b"), 6).alias("weight"))
@@ -367,7 +367,7 @@ def distinct_items(spark, sf):
 @query
 def encoder_mapping(spark, sf):
     encoder = OrdinalEncoder("item").fit(loaded_brand_size(spark, sf))
-    return encoder.mapping.select("item", F.col("__index__").alias("idx"))
+    return encoder.mapping.select("item", F.col(PLACE).alias("idx"))
 
 
 @query

@@ -214,6 +214,44 @@ def test_both_descents_agree():
         assert (dense_way != 0).any()
 
 
+def sweeps(monkeypatch, solve):
+    """The least number of sweeps in which ``solve`` settles."""
+    for n in range(1, 2000):
+        monkeypatch.setattr(slim, "_MAX_SWEEPS", n)
+        try:
+            return n, solve()
+        except RuntimeError:
+            pass
+
+
+def test_a_warm_start_saves_sweeps_and_changes_nothing(monkeypatch, ratings):
+    rng = np.random.default_rng(20)
+    x = (rng.random((200, 25)) < 0.35).astype(float)
+    g = x.T @ x / 200
+    allowed = ~np.eye(25, dtype=bool)
+    near = slim.coordinate_descent(g, g.copy(), allowed, 0.021, True)
+    cold, plain = sweeps(monkeypatch, lambda: slim.coordinate_descent(g, g.copy(), allowed, 0.02, True))
+    warm, begun = sweeps(monkeypatch, lambda: slim.coordinate_descent(g, g.copy(), allowed, 0.02, True, near))
+    assert warm < cold and np.allclose(plain, begun, atol=1e-11)
+    upper = np.triu_indices(25)
+    one = g[:, 0].copy()
+    cold, plain = sweeps(monkeypatch, lambda: slim.sparse_descent(*upper, g[upper], one, 0.02, True))
+    start = slim.sparse_descent(*upper, g[upper], one, 0.0201, True)
+    warm, begun = sweeps(monkeypatch, lambda: slim.sparse_descent(*upper, g[upper], one, 0.02, True, start))
+    assert warm < cold and np.allclose(plain, begun, atol=1e-11)
+
+
+def test_fits_along_the_path_are_the_same(ratings):
+    x = matrix(ratings[1], lambda r: 1.0)
+    model = SLIM(l1_reg=1.0, l2_reg=19.0)
+    data = model.prepare(ratings[0])
+    model.share(data)
+    model.recommend(data)
+    follower = model.with_params(1.0, 29.0)
+    assert len(data.path) == 1 and follower._nearest(data) is data.path[0][1]
+    assert np.allclose(dense(follower.fit(data), 30), slim_numpy(x, l1_ratio(1.0, 29.0), True), atol=1e-9)
+
+
 def test_slim_ratio():
     assert l1_ratio(1, 9) == 0.1 and l1_ratio(2, 0) == 1.0
     with pytest.raises(ValueError):

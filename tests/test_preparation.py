@@ -124,3 +124,21 @@ def test_movie_headers_carry_over_file_splits(spark, tmp_path):
         assert set(positive_netflix(ratings).columns) == {"user", "rating", "timestamp", "item"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_copies_of_one_triple_are_dealt_out(spark, monkeypatch):
+    """1,500 copies of a triple in a user who is not large: 1,500 x 1,050 rows of train, from many tasks,
+    the same as when no triple is too many."""
+    rows = spark.range(1500).select(
+        F.lit(1).cast("long").alias("user"), F.lit(7).cast("long").alias("item"), F.lit(4.0).alias("rating"), F.col("id").alias("timestamp")
+    ).unionByName(spark.range(40).select(
+        (F.col("id") % 4 + 2).alias("user"), F.col("id").alias("item"), F.lit(5.0).alias("rating"), F.col("id").alias("timestamp")
+    ))
+    dealt = chronological_split(rows, 0.3)
+    most = dealt.train.filter("user = 1").withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert most.agg(F.sum("count"), F.count("*")).first()[0] == 1500 * 1050 and most.count() > 1
+    assert dealt.test.filter("user = 1").isEmpty()
+    monkeypatch.setattr("reclattice.operators.split.MANY_COPIES", 10_000)
+    plain = chronological_split(rows, 0.3)
+    for one, two in ((dealt.train, plain.train), (dealt.test, plain.test)):
+        assert one.count() == two.count() and one.exceptAll(two.filter("user > 1")).filter("user > 1").isEmpty()
