@@ -14,6 +14,8 @@ from reclattice.session import checkpointed, shuffle_partitions
 HOT_ROWS = 2_000_000
 # Number of hot keys that may be broadcast (a key is a few bytes; 100k keys stay small).
 HOT_KEYS_BROADCAST = 100_000
+# Rows of a group in one array.
+LIST_CHUNK = 10_000
 # Copies of one row produced by one task when rows are repeated.
 REPEAT_CHUNK = 100_000
 
@@ -102,6 +104,26 @@ def row_numbers(df: DataFrame, by: str, order: list[str], name: str = "rank", ho
     return ranked.unionByName(placed.withColumn(name, (F.col("_start") + 1).cast("long")).select(ranked.columns))
 
 
+def history_lists(
+    df: DataFrame, by: str, order: list[str], columns: list[str], chunk: int = LIST_CHUNK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(by, chunk, rows): the ``columns`` of each group's rows in order, ``chunk`` rows to an array, chunks
+    numbered from 0. A group of any size is a row of bounded length per chunk; groups above
+    ``hot_rows`` are numbered by ranges."""
+    numbered = row_numbers(df.select(by, *dict.fromkeys([*order, *columns])), by, order, "_at", hot_rows)
+    entry = F.struct("_at", *columns)
+    listed = numbered.groupBy(by, F.floor((F.col("_at") - 1) / chunk).alias("chunk")).agg(
+        F.array_sort(F.collect_list(entry)).alias("rows")
+    )
+    return listed.withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns])))
+
+
+def from_lists(lists: DataFrame, by: str, chunk: int = LIST_CHUNK) -> DataFrame:
+    """(by, pos, the listed columns): the rows behind ``history_lists``, numbered from 1."""
+    out = lists.select(by, "chunk", F.posexplode("rows").alias("_at", "_row"))
+    return out.select(by, (F.col("chunk") * chunk + F.col("_at") + 1).cast("long").alias("pos"), "_row.*")
+
+
 def repeat_rows(df: DataFrame, times: str, spread: bool = False) -> DataFrame:
     """Emit every row ``times`` times (0 drops it). With ``spread`` a large count is first
     cut into chunks that are shuffled apart, so no single task writes all copies."""

@@ -24,7 +24,7 @@ from reclattice.operators.filters import (
 from reclattice.operators.matrix import both_triangles, with_ridge
 from reclattice.operators.matrix import gram as item_pairs
 from reclattice.operators.metrics import KS, metric_names, metric_panel, ndcg_k, recall_k
-from reclattice.operators.ranking import row_numbers
+from reclattice.operators.ranking import from_lists, history_lists, row_numbers
 from reclattice.operators.scoring import recommend_sparse, score_pairs
 from reclattice.operators.split import Split, chronological_split
 from reclattice.plans.grid import GridResult, best_params, grid_search, hold_out
@@ -50,6 +50,9 @@ EASE_L2 = 10.0
 SLIM_L1, SLIM_L2 = 1.0, 15.0
 ALS_L2, ALS_ITERATIONS = 1.0, 2
 
+# Rows of a user in one list; few, so that most users have several lists.
+LIST_ROWS = 8
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -252,12 +255,9 @@ def rename_drop_cast(spark, sf):
 
 @query
 def lists_and_explode(spark, sf):
-    """Histories as parallel lists in time order and back to rows."""
-    entry = F.struct("timestamp", "item", "rating")
-    lists = loaded_part(spark, sf).groupBy("user").agg(F.array_sort(F.collect_list(entry)).alias("h"))
-    return lists.select("user", F.posexplode(F.arrays_zip("h.item", "h.rating")).alias("pos", "e")).select(
-        "user", (F.col("pos") + 1).cast("long").alias("pos"), F.col("e.item").alias("item"), F.col("e.rating").alias("rating")
-    )
+    """Histories as lists in time order, in chunks of bounded length, and back to rows."""
+    lists = history_lists(loaded_part(spark, sf), "user", ["timestamp", "item", "rating"], ["item", "rating"], LIST_ROWS)
+    return from_lists(lists, "user", LIST_ROWS)
 
 
 def _pair_weights(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import GOLDEN, SCHEMA, rows
 from reclattice.operators.encode import OrdinalEncoder
 from reclattice.operators.filters import binarize_rating
-from reclattice.operators.ranking import row_numbers
+from reclattice.operators.ranking import from_lists, history_lists, row_numbers
 from reclattice.operators.split import chronological_split
 from reclattice.sources import loaders
 from reclattice.sources.netflix import positive_netflix, read_movie_blocks
@@ -142,3 +142,16 @@ def test_copies_of_one_triple_are_dealt_out(spark, monkeypatch):
     plain = chronological_split(rows, 0.3)
     for one, two in ((dealt.train, plain.train), (dealt.test, plain.test)):
         assert one.count() == two.count() and one.exceptAll(two.filter("user > 1")).filter("user > 1").isEmpty()
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 20])
+def test_lists_have_bounded_length(spark, hot_rows):
+    draw = random.Random(21)
+    data = sorted({(draw.choice([None, 1, 1, 1, 2]), draw.randint(0, 50), float(draw.randint(0, 20))) for _ in range(300)}, key=str)
+    df = spark.createDataFrame(data, "user long, item long, timestamp double")
+    lists = history_lists(df, "user", ["timestamp", "item"], ["item", "timestamp"], 7, hot_rows)
+    assert lists.agg(F.max(F.size("rows"))).first()[0] == 7
+    for user in (None, 1, 2):
+        mine = sorted((t, i) for u, i, t in data if u == user)
+        found = from_lists(lists.filter(F.col("user").eqNullSafe(F.lit(user))), "user", 7).orderBy("pos").collect()
+        assert [(r["pos"], r["timestamp"], r["item"]) for r in found] == [(n, *e) for n, e in enumerate(mine, 1)]
