@@ -12,20 +12,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from reclattice.llm.common import add_columns
 
-# Memoised pieces and pairs per Python worker; a full memo is emptied, which costs time only.
+# Memoised pairs per Python worker; a full memo is emptied, which costs time only.
 MEMO_ENTRIES = 300_000
+# Memoised pieces in each of two generations: when the younger one is full it becomes the older, so
+# what was used since stays.
+GENERATION = 200_000
 # Texts that are turned into Python strings at a time.
 GROUP = 256
+# Ids decoded at a time.
+DECODED = 1 << 18
 # Longer pieces are encoded but not remembered.
 MEMO_LENGTH = 64
 # Below this code point a word of letters, with at most one mark after it, needs no pattern.
@@ -170,23 +177,59 @@ class Memo(dict):
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        word = key[1:] if key[:1] == " " else key
-        if word.isalpha() and max(word) < LATIN_END:
-            value = np.array(self.codec.backtrack(key.encode()), "<i4").tobytes()
-        elif word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
-            value = self[key[:-1]] + self[key[-1]]
-        else:
-            value = b"".join([
-                np.array(self.codec.backtrack(p.encode()), "<i4").tobytes() for p in self.codec.find(key)
-            ])
+        value = self.older.get(key)
+        if value is None:
+            value = self._encoded(key)
         if len(key) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= GENERATION:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def _encoded(self, key: str) -> bytes:
+        word = key[1:] if key[:1] == " " else key
+        if word.isalpha() and max(word) < LATIN_END:
+            return _packed(self.codec.backtrack(key.encode()))
+        if word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
+            return self[key[:-1]] + self[key[-1]]
+        return b"".join([_packed(self.codec.backtrack(p.encode())) for p in self.codec.find(key)])
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+class Decoder:
+    """Bytes of id lists, by gathers from one array of all tokens' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = sorted((rank, token) for token, rank in ranks.items())
+        size = tokens[-1][0] + 1
+        self.known, self.length = np.zeros(size, bool), np.zeros(size, np.int64)
+        places = np.array([rank for rank, _ in tokens])
+        self.known[places] = True
+        self.length[places] = [len(token) for _, token in tokens]
+        self.start = np.cumsum(self.length) - self.length
+        self.blob = np.frombuffer(b"".join(token for _, token in tokens), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """Unknown ids raise KeyError."""
+        if ids.size and not (ids.min() >= 0 and ids.max() < self.known.size and self.known[ids].all()):
+            raise KeyError(int(next(i for i in ids if not 0 <= i < self.known.size or not self.known[i])))
+        out = []
+        for lo in range(0, ids.size, DECODED):
+            part = ids[lo : lo + DECODED]
+            length = self.length[part]
+            at = np.repeat(self.start[part] - (np.cumsum(length) - length), length)
+            at += np.arange(at.size)
+            out.append(self.blob[at].tobytes())
+        return b"".join(out)
+
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
@@ -249,15 +292,22 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     sent = _ship(df, ranks_path)
 
     def make():
-        bytes_of = {rank: token for token, rank in parse_ranks(sent.value).items()}
+        decode_ids = Decoder(parse_ranks(sent.value))
 
         def step(lists):
-            # One document's ids become Python integers at a time.
-            flat, found, at = lists.flatten().to_numpy(zero_copy_only=False), [], 0
-            for n in lists.value_lengths().to_pylist():
-                n = n or 0
-                found.append(b"".join(map(bytes_of.__getitem__, flat[at:at + n].tolist())))
-                at += n
+            # Neighbouring documents together; a long one by itself, in parts.
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64))
+            found, first = [], 0
+            while first < len(ends):
+                at = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, at + DECODED, side="right")))
+                ids_here = flat[at : int(ends[last - 1])]
+                data = decode_ids(ids_here)
+                sizes = np.r_[0, np.cumsum(decode_ids.length[ids_here])]
+                cuts = sizes[np.r_[0, ends[first:last] - at]]
+                found += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                first = last
             return [pa.array(found, pa.binary())]
 
         return step
