@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
@@ -35,6 +36,15 @@ GROUP = 256
 MARKS = (".", ",")
 
 
+def _letters(core: str) -> bool:
+    """Whether the core is letters and ends in one after the tokenizer's own NFC and lower-casing,
+    which turn some letters into a letter and a mark; such a mark goes with the stop behind it."""
+    if core.isascii():
+        return core.isalpha()
+    core = unicodedata.normalize("NFC", core)
+    return core.isalpha() and core[-1].lower().isalpha()
+
+
 class WordCodec:
     """A tokenizer whose matches never span white space, applied to distinct words only."""
 
@@ -66,7 +76,7 @@ class WordCodec:
                 cores.append(core)
                 tails.append(tail)
                 continue
-            if word[-1:] in MARKS and word[:-1].isalpha() and word[-2].lower().isalpha():
+            if word[-1:] in MARKS and _letters(word[:-1]):
                 core, tail = word[:-1], word[-1]
             cores.append(core.lower() if core.isascii() else core)
             tails.append(tail)

@@ -1,8 +1,11 @@
 """Spans, byte-level BPE, ORC token files and decontamination against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -179,3 +182,62 @@ def test_registered_queries_have_their_columns(spark):
     sf = "/root/testdata/sf0.001"
     assert queries.QUERIES["op1_pii"](spark, sf).columns[:3] == ["doc_id", "n_email", "n_ip"]
     assert queries.QUERIES["op8_decontamination"](spark, sf).filter(F.col("n_hit") > 0).count() >= 0
+
+
+def test_letters_of_every_code_point_keep_their_marks():
+    """A letter before a stop or comma, precomposed ones included, which NFC turns into letter and mark."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        codec = token_files.WordCodec(file.read())
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and not 0x4E00 <= c <= 0xD7A3]
+    texts = ["x " + " ".join(f"{a}. b{a}, {a.upper()}c." for a in letters[n : n + 200]) for n in range(0, len(letters), 200)]
+    for text, data in zip(texts, codec.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memo_generations_and_decoder(monkeypatch):
+    """Small generations give the same ids; documents are decoded together and a long one in parts."""
+    monkeypatch.setattr(bpe, "GENERATION", 5)
+    monkeypatch.setattr(bpe, "DECODED", 7)
+    with open(PATH, "rb") as file:
+        ranks = bpe.parse_ranks(file.read())
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    decode = bpe.Decoder(ranks)
+    draw = random.Random(23)
+    for _ in range(300):
+        text = " ".join(draw.choice(["the", "house", "maison,", "Größe.", "日本", "abcde" * 9]) for _ in range(draw.randint(0, 20)))
+        ids = np.frombuffer(codec.encode(text), "<i4")
+        assert ids.tolist() == known.encode_ordinary(text) and decode(ids) == text.encode()
+        assert len(codec.memo) <= 5 and len(codec.memo.older) <= 5
+    for wrong in (-1, 10**7, max(ranks.values()) + 1):
+        with pytest.raises(KeyError):
+            decode(np.array([wrong]))
+
+
+def test_decode_of_empty_and_null_lists(spark):
+    rows = [(0, [5, 6]), (1, []), (2, None), (3, list(range(40)) * 9), (4, [7])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    with open(PATH, "rb") as file:
+        bytes_of = {r: b for b, r in bpe.parse_ranks(file.read()).items()}
+    found = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(df, PATH).collect()}
+    assert found == {i: b"".join(bytes_of[t] for t in ids or []) for i, ids in rows}
+
+
+def test_language_starts_in_a_plain_session(tmp_path):
+    """As the first query of a session started elsewhere, whose workers do not know the package."""
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('rows', e.queries()['op10_language'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script, here], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600
+    )
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
