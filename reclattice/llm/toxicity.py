@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +233,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = sent.value
+        own = replace(sent.value, memo={})  # goes with the task
 
         def step(texts):
             scores = [own.score(t) for t in texts.to_pylist()]
@@ -256,7 +256,7 @@ def reject(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = sent.value
+        own = replace(sent.value, memo={})  # goes with the task
         return lambda texts: [pa.array([own.score(t) >= own.settings.threshold for t in texts.to_pylist()], pa.bool_())]
 
     return add_columns(df, [text], "__toxic boolean", make).filter("not __toxic").drop("__toxic")
