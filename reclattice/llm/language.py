@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclattice.llm.common import add_columns
+from reclattice.session import ship_package
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -131,6 +132,7 @@ def fit(learn: DataFrame, settings: Settings = Settings()) -> Model:
             [pa.array(np.r_[index, -1].astype(np.int64)), pa.array(np.r_[seen[index], total].astype(np.int64))], names=["f", "n"]
         )
 
+    ship_package(learn.sparkSession)
     add = learn.select("text").mapInArrow(frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
     counted = add.toPandas()
     total = int(counted.n[counted.f == -1].sum())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from reclattice.llm import (
     toxicity, whitening,
 )
 from reclattice.llm.common import held_out, table
-from reclattice.session import scratch_path
+from reclattice.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +26,13 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
@@ -103,7 +109,7 @@ def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.cosine_links(table(spark, sf_dir, "embeddings"))
     return found.select(
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 
