@@ -5,28 +5,34 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 48
-# Distances are trusted to this; pairs nearer to the bound are decided on the cosine itself.
-MARGIN = 1e-9
+# A level with fewer members to a child than this is not laid out: one matrix product is less work.
+GATHERED = 8
+# Distances are trusted to this; pairs nearer to the bound are decided on the cosine itself. They come
+# from inner products, whose rounding moves a distance near zero by up to 5e-8.
+MARGIN = 1e-7
 
 
 class Node:
     """A point with a radius that covers all its members. ``children`` partition the members and
-    have half the radius it was built for; a leaf has none."""
+    have half the radius it was built for; a leaf has none, and stands for itself in ``centers``.
+    A node is a leaf when it is small or when its members are too far apart for the next level."""
 
     __slots__ = ("center", "radius", "members", "children", "centers", "radii")
 
     def __init__(self, center: np.ndarray, radius: float, members: np.ndarray):
         self.center, self.radius, self.members = center, radius, members
         self.children: list[Node] = []
+        self.centers, self.radii = center[None], np.array([radius])
 
 
-def _to_point(points: np.ndarray, center: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, ((points - center) ** 2).sum(axis=1)))
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Distances between unit vectors, all of ``one`` to all of ``two``."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (one @ two.T)))
 
 
 def build(points: np.ndarray) -> Node:
     """Cover tree of unit vectors (rows). Each level covers with half the radius of the one above."""
-    root = Node(points[0], float(_to_point(points, points[0]).max()), np.arange(len(points)))
+    root = Node(points[0], float(_apart(points, points[0]).max()), np.arange(len(points)))
     stack = [(root, root.radius)]
     while stack:
         node, reach = stack.pop()
@@ -34,13 +40,18 @@ def build(points: np.ndarray) -> Node:
             continue
         # A net of this level: no two of its points are within ``reach``, all members are.
         reach /= 2
-        rest = node.members
-        while len(rest):
-            away = _to_point(points[rest], points[rest[0]])
+        rest, children = node.members, []
+        own = points[rest]
+        while len(rest) and len(children) * GATHERED <= len(node.members):
+            away = _apart(own, own[0])
             near = away <= reach
+            near[0] = True
             child = Node(points[rest[0]], float(away[near].max()), rest[near])
-            node.children.append(child)
-            rest = rest[~near]
+            children.append(child)
+            rest, own = rest[~near], own[~near]
+        if len(rest):
+            continue
+        node.children = children
         node.centers = np.stack([c.center for c in node.children])
         node.radii = np.array([c.radius for c in node.children])
         stack += [(child, reach) for child in node.children]
@@ -67,6 +78,19 @@ class Forest:
             self.parent[max(x, y)] = min(x, y)
 
 
+def _unite(forest: Forest, hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Unites the ids of all pairs hit: least ids pass along the pairs until nothing changes."""
+    i, j = np.nonzero(hit)
+    low, low_right, before = left.copy(), right.copy(), None
+    while before is None or not np.array_equal(before, low):
+        before = low.copy()
+        np.minimum.at(low_right, j, low[i])
+        np.minimum.at(low, i, low_right[j])
+    for ids, least in ((left, low), (right, low_right)):
+        for x, y in zip(ids[ids != least].tolist(), least[ids != least].tolist(), strict=True):
+            forest.union(x, y)
+
+
 def links(one: np.ndarray, two: np.ndarray | None, ids_one, ids_two, weight_one, weight_two, cosine: float):
     """Counts and classes of the pairs with at least this cosine between two sets of unit vectors,
     or within ``one`` if ``two`` is None; a point is not paired with itself.
@@ -110,16 +134,11 @@ def links(one: np.ndarray, two: np.ndarray | None, ids_one, ids_two, weight_one,
                 found_one[a.members] += hit @ weight_two[b.members]
                 if not same:
                     found_two[b.members] += hit.T @ weight_one[a.members]
-                for i, j in zip(*np.nonzero(hit), strict=True):
-                    forest.union(int(ids_one[a.members[i]]), int(ids_two[b.members[j]]))
+                _unite(forest, hit, ids_one[a.members], ids_two[b.members])
             continue
-        # Go down on the wider node; its children are tested together.
-        if a.children and (not b.children or a.radius >= b.radius):
-            away = _to_point(a.centers, b.center)
-            near = np.flatnonzero(away - a.radii - b.radius <= far + MARGIN)
-            stack += [(a.children[k], b, float(away[k])) for k in near]
-        else:
-            away = _to_point(b.centers, a.center)
-            near = np.flatnonzero(away - b.radii - a.radius <= far + MARGIN)
-            stack += [(a, b.children[k], float(away[k])) for k in near]
+        # One level down in both trees; all pairs of children are tested together.
+        away = _apart(a.centers, b.centers)
+        near = np.nonzero(away - a.radii[:, None] - b.radii <= far + MARGIN)
+        below_a, below_b = a.children or [a], b.children or [b]
+        stack += [(below_a[i], below_b[j], d) for i, j, d in zip(*(x.tolist() for x in near), away[near].tolist(), strict=True)]
     return found_one, found_two, forest
