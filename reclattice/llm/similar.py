@@ -31,6 +31,8 @@ from reclattice.session import BROADCAST_BYTES, ship_package
 BLOCK = 512
 # Sets that the verifier remembers per task.
 HELD_SETS = 64
+# Texts that are turned into Python strings at a time.
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ def sketched(units: DataFrame, settings: Settings) -> DataFrame:
 
         def step(texts):
             n, k1, k2, bands = [], [], [], []
-            for text in texts.to_pylist():
+            for text in (t for at in range(0, len(texts), GROUP) for t in texts.slice(at, GROUP).to_pylist()):
                 found = shingle(text)
                 n.append(len(found))
                 if len(found):
@@ -204,18 +206,18 @@ def joining_links(rest: DataFrame, texts: Texts, settings: Settings) -> DataFram
     return dealt.groupBy("h", "task").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None) -> DataFrame:
+def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """(id, n, component) for each row of ``units`` (id integer, text): the size of its set and
     the least id that links lead to.
 
     Rows with a null id or without words are linked with nothing: their component is their id.
     Rows that repeat an id are one node with the links of all its texts. Other columns of
     ``units`` are ignored. ``texts`` gives the (id, text) of a table of ids where that is cheaper
-    than looking through ``units``.
+    than looking through ``units``, and ``sketches`` the rows of ``sketched`` where they are at hand.
     """
     units = units.select("id", "text")
     texts = texts or (lambda ids: units.join(ids, "id", "left_semi"))
-    every = sketched(units, settings)
+    every = sketched(units, settings) if sketches is None else sketches
     rows = written(every.distinct() if settings.one_text else every, "sketches")
     real = rows.filter("n > 0 and id is not null")
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))

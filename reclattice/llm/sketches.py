@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_ENTRIES = 400_000
+# Frequent words; a hash costs little more than a look at the memo.
+MEMO_ENTRIES = 50_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
@@ -55,8 +56,13 @@ class Shingler:
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that are equal for equal sets, whatever the order."""
-    one, two = mix(hashes ^ ODD).sum(dtype=np.uint64), mix(hashes + M1).sum(dtype=np.uint64)
-    return int(one.view(np.int64)), int(two.view(np.int64))
+    one, two = set_keys(hashes, np.zeros(1, np.int64))
+    return int(one[0]), int(two[0])
+
+
+def set_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for sets that lie one after the other from ``starts`` on; none of them is empty."""
+    return tuple(np.add.reduceat(part, starts).view(np.int64) for part in (mix(hashes ^ ODD), mix(hashes + M1)))
 
 
 class FastSimilarity:
@@ -108,13 +114,21 @@ class MinHash:
             np.minimum(found, part.min(axis=1), out=found)
         return found
 
+    def many(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The sketches, one per row, of sets that lie one after the other from ``starts`` on."""
+        found = np.empty((len(starts), self.size), np.uint64)
+        for k, seed in enumerate(self.seeds):
+            found[:, k] = np.minimum.reduceat(mix(hashes ^ seed), starts)
+        return found
+
 
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per ``rows`` neighbouring coordinates; keys of different bands differ."""
-    parts = sketch.reshape(-1, rows)
-    key = mix(np.arange(1, len(parts) + 1, dtype=np.uint64) * ODD)
+    """One 64-bit key per ``rows`` neighbouring coordinates of a sketch, or of each row of several;
+    keys of different bands differ."""
+    parts = sketch.reshape(*sketch.shape[:-1], -1, rows)
+    key = mix(np.arange(1, parts.shape[-2] + 1, dtype=np.uint64) * ODD)
     for k in range(rows):
-        key = mix(key * ODD + parts[:, k])
+        key = mix(key * ODD + parts[..., k])
     return key.view(np.int64)
 
 

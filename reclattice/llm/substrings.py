@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from reclattice.llm.common import add_columns, written
 from reclattice.llm.similar import Settings, clusters
-from reclattice.llm.sketches import EMPTY, M1, M2, ODD, MinHash, mix, tune_bands
-from reclattice.session import BROADCAST_BYTES
+from reclattice.llm.sketches import EMPTY, M1, M2, ODD, MinHash, band_keys, mix, set_keys, tune_bands
+from reclattice.session import BROADCAST_BYTES, ship_package
 
 # The width of a shingle: shorter lines have no set of their own.
 PARAGRAPH = 5
@@ -41,6 +41,10 @@ SIMILARITY, MISS, COORDINATES = 0.8, 1e-4, 20
 BANDS, ROWS = tune_bands(SIMILARITY, MISS, COORDINATES)
 PARAGRAPHS = Settings(sketch=MinHash, bands=BANDS, rows=ROWS, width=PARAGRAPH, one_text=True)
 
+# First words, numbers of words and ids of some runs of words.
+Units = tuple[np.ndarray, np.ndarray, np.ndarray]
+NO_UNITS = (np.zeros(0, np.int64),) * 3
+
 
 class Cut:
     """Words of a text as arrays: where they start and end (code points), their hash, their line."""
@@ -66,21 +70,21 @@ class Cut:
         place = (np.arange(len(self.hash)) - np.repeat(first, length)).astype(np.uint64)
         return length, np.add.reduceat(mix(self.hash * ODD + place * M2), first).view(np.int64)
 
-    def paragraphs(self) -> list[tuple[int, int, int]]:
+    def paragraphs(self) -> Units:
         """(first word, words, id) of every line that is long enough."""
         if not len(self.hash):
-            return []
+            return NO_UNITS
         first = np.flatnonzero(np.diff(self.line, prepend=-1))
         length, ids = self.runs(first)
         ruler = np.minimum.reduceat(self.hash, first) == np.maximum.reduceat(self.hash, first)
         keep = (length >= PARAGRAPH) & (~ruler | (length >= RULER))
-        return list(zip(first[keep].tolist(), length[keep].tolist(), ids[keep].tolist(), strict=True))
+        return first[keep], length[keep], ids[keep]
 
-    def pieces(self) -> list[tuple[int, int, int]]:
+    def pieces(self) -> Units:
         """(first word, words, id) of the pieces."""
         n = len(self.hash)
         if n < PIECE:
-            return []
+            return NO_UNITS
         many = n - PIECE + 1
         two = mix(self.hash[:-1] * ODD + self.hash[1:])
         four = mix(two[:-2] * ODD + two[2:])
@@ -89,18 +93,29 @@ class Cut:
         before = np.full(n, -1)
         same = self.hash[order][1:] == self.hash[order][:-1]
         before[order[1:][same]] = order[:-1][same]
-        fresh = np.lib.stride_tricks.sliding_window_view(before, PIECE) < np.arange(many)[:, None]
-        ids[fresh.sum(axis=1) < DIFFERENT] = EMPTY
+        # Words of the run that stand before in the run itself are not new to it.
+        again = np.zeros(many, np.int64)
+        for k in range(PIECE):
+            again += before[k:k + many] >= np.arange(many)
+        ids[PIECE - again < DIFFERENT] = EMPTY
         around = np.lib.stride_tricks.sliding_window_view(ids, min(WINDOW, many))
         first = np.unique(around.argmin(axis=1) + np.arange(len(around)))
         first = first[ids[first] != EMPTY]
-        return [(at, PIECE, key) for at, key in zip(first.tolist(), ids[first].view(np.int64).tolist(), strict=True)]
+        return first, np.full(len(first), PIECE), ids[first].view(np.int64)
+
+    def shingles(self, first: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which, hash) of the runs of ``width`` words inside the runs at ``first``, one after the
+        other; none of these is shorter."""
+        many = length - width + 1
+        which = np.repeat(np.arange(len(first)), many)
+        place = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        key = np.full(len(place), width, np.uint64)
+        for k in range(width):
+            key = mix(key * ODD + self.hash[place + k])
+        return which, key
 
 
-OCCURRENCE = "array<struct<kind:string,at:int,start:int,end:int,words:int,id:bigint>>"
-ARROW = pa.list_(pa.struct([
-    ("kind", pa.string()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("id", pa.int64()),
-]))
+KINDS = ("paragraph", "piece")
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -108,47 +123,106 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
     ``id`` hashes the words; case of A-Z and the kind of white space do not matter to it.
     """
+    ship_package(documents.sparkSession)
+    whose = documents.schema["who"].dataType.simpleString()
+    names = ["kind", "at", "start", "end", "words", "id"]
 
-    def make():
-        def one(text: str | None):
-            cut = Cut(text or "")
-            found = []
-            for kind, units in (("paragraph", cut.paragraphs()), ("piece", cut.pieces() if len(cut.hash) else [])):
-                for first, words, key in units:
-                    found.append({"kind": kind, "at": first, "start": int(cut.start[first]), "end": int(cut.end[first + words - 1]), "words": words, "id": key})
-            return found
-
-        def step(texts):
-            parts = [pa.array([one(t) for t in texts.slice(at, GROUP).to_pylist()], ARROW) for at in range(0, len(texts), GROUP)]
-            return [pa.concat_arrays(parts) if parts else pa.array([], ARROW)]
+    def run(batches):
+        for part in (batch.slice(at, GROUP) for batch in batches for at in range(0, len(batch), GROUP)):
+            found = [np.zeros((0, 7), np.int64)]
+            for i, text in enumerate(part.column(1).to_pylist()):
+                cut = Cut(text or "")
+                for kind, (first, words, key) in enumerate((cut.paragraphs(), cut.pieces())):
+                    if len(first):
+                        row, sort = np.full(len(first), i), np.full(len(first), kind)
+                        found.append(np.stack([row, sort, first, cut.start[first], cut.end[first + words - 1], words, key], axis=1))
+            row, kind, *numbers, key = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).take(pa.array(row)), pa.array(KINDS).take(pa.array(kind)),
+                *[pa.array(x.astype(np.int32)) for x in numbers], pa.array(np.ascontiguousarray(key)),
+            ], names=["who", *names])
+
+    return documents.select("who", "text").mapInArrow(
+        run, f"who {whose}, kind string, at int, start int, end int, words int, id bigint"
+    )
 
-        return step
 
-    return add_columns(documents, ["text"], f"found {OCCURRENCE}", make).select("who", F.explode("found").alias("f")).select("who", "f.*")
+class Seen(set):
+    """Paragraph ids that a task has given; emptied when full."""
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id comes for the first time."""
+        if len(self) >= SEEN:
+            self.clear()
+        new = np.zeros(len(ids), bool)
+        for i, key in enumerate(ids.tolist()):
+            if key not in self:
+                self.add(key)
+                new[i] = True
+        return new
 
 
 def paragraph_texts(documents: DataFrame) -> DataFrame:
     """(id, text) of every paragraph; a task gives equal ones once while it remembers them."""
+    ship_package(documents.sparkSession)
 
     def run(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for part in (batch.slice(at, GROUP) for batch in batches for at in range(0, len(batch), GROUP)):
             ids, texts = [], []
             for text in part.column(0).to_pylist():
                 cut = Cut(text or "")
-                for first, words, key in cut.paragraphs():
-                    if key in seen:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(key)
-                    ids.append(key)
-                    texts.append(text[cut.start[first]:cut.end[first + words - 1]])
+                first, words, key = cut.paragraphs()
+                new = seen.fresh(key)
+                first, words = first[new], words[new]
+                ids += key[new].tolist()
+                texts += [text[s:e] for s, e in zip(cut.start[first].tolist(), cut.end[first + words - 1].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
     return documents.select("text").mapInArrow(run, "id bigint, text string")
 
 
+def paragraph_sketches(documents: DataFrame, settings: Settings) -> DataFrame:
+    """What ``similar.sketched`` gives for ``paragraph_texts``, by whole groups of documents: the
+    shingles are made of the words' hashes as they lie in the documents, and no text is sent."""
+    if settings.width > PARAGRAPH:
+        raise ValueError(f"shingles of {settings.width} words do not fit paragraphs of {PARAGRAPH}")
+    ship_package(documents.sparkSession)
+
+    def run(batches):
+        seen, sketch = Seen(), settings.sketch(settings.size)
+        for part in (batch.slice(at, GROUP) for batch in batches for at in range(0, len(batch), GROUP)):
+            ids, owners, keys, many = [], [], [], 0
+            for text in part.column(0).to_pylist():
+                cut = Cut(text or "")
+                first, words, key = cut.paragraphs()
+                new = seen.fresh(key)
+                if new.any():
+                    which, shingles = cut.shingles(first[new], words[new], settings.width)
+                    ids.append(key[new])
+                    owners.append(which + many)
+                    keys.append(shingles)
+                    many += len(ids[-1])
+            if not many:
+                continue
+            # The distinct shingles of each paragraph, paragraph after paragraph.
+            owner, key = np.concatenate(owners), np.concatenate(keys)
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            other = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))
+            owner, key = owner[other], key[other]
+            size = np.bincount(owner, minlength=many)
+            starts = np.cumsum(size) - size
+            bands = band_keys(sketch.many(key, starts), settings.rows)
+            at = np.arange(0, bands.size + 1, settings.bands, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(ids)), pa.array(size.astype(np.int64)), *map(pa.array, set_keys(key, starts)),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel())),
+            ], names=["id", "n", "k1", "k2", "bands"])
+
+    return documents.select("text").mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
+
+
 def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
     """(who, copies, at, id, start, end, left, right, left_start, right_end) of the pieces
     ``common`` (who, at, id): hashes and places of up to ``SIDE`` words on either side, the nearest
@@ -157,6 +231,7 @@ def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
     places = places.select("who", (F.col("times") / F.size("places")).cast("long").alias("copies"), F.sort_array("places").alias("places"))
     held = written(docs.join(places, "who"), "holders")
     held = held.filter("copies = 1").unionByName(held.filter("copies > 1").dropDuplicates(["who"]))
+    ship_package(docs.sparkSession)
     held = held.select("who", "copies", F.col("places.at").alias("at"), F.col("places.id").alias("id"), "text")
     kind = held.schema["who"].dataType.simpleString()
 
@@ -336,7 +411,8 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
             holders = F.broadcast(holders)
         return paragraph_texts(docs.join(holders, "who", "left_semi")).join(ids, "id", "left_semi")
 
-    parts = clusters(paragraph_texts(docs), settings, texts).filter("id <> component").select("id", "component").distinct()
+    sketches = paragraph_sketches(docs, settings)
+    parts = clusters(paragraph_texts(docs), settings, texts, sketches).filter("id <> component").select("id", "component").distinct()
     parts = written(parts, "paragraphs")
     known = (
         found.filter("kind = 'paragraph'").join(parts.withColumnRenamed("component", "cluster"), "id", "left")

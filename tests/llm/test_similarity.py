@@ -188,6 +188,27 @@ def test_passages_reach_as_far_as_texts_agree(spark, monkeypatch, side):
     assert len(found) == len(expected)
 
 
+def test_paragraph_sketches_hold_the_sets_of_the_texts(spark):
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choice("abcDEF") for _ in range(draw.randint(1, 3)))
+    lines = [" ".join(word() for _ in range(draw.randint(1, 40))) for _ in range(150)]
+    cycle = "one two three four five six "
+    lines += [cycle * 3, cycle * 9, cycle.upper() * 4, "ruler " * 12, "ruler " * 25]
+    near = [word() + str(i) for i in range(100)]
+    lines += [" ".join(near), " ".join([*near[:-1], "other"])]
+    draw.shuffle(lines)
+    rows = [("\n".join(lines[at:at + 7]) + draw.choice(["", "\n", " \t"]),) for at in range(0, len(lines), 7)] + [(None,), ("",), (" ".join(near * 300),)]
+    docs = spark.createDataFrame(rows, "text string")
+    texts = {r["id"]: r["text"].lower().split() for r in substrings.paragraph_texts(docs).collect()}
+    sets = {i: frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) for i, w in texts.items()}
+    found = {r["id"]: r for r in substrings.paragraph_sketches(docs, substrings.PARAGRAPHS).collect()}
+    assert {i: r["n"] for i, r in found.items()} == {i: len(x) for i, x in sets.items()}
+    keys = {i: (r["k1"], r["k2"], tuple(r["bands"])) for i, r in found.items()}
+    assert len(set(keys.values())) == len(set(sets.values())) == len(set(zip(keys.values(), (sets[i] for i in keys), strict=True)))
+    one, two = (found[i]["bands"] for i, w in texts.items() if len(w) == 100)
+    assert len(one) == substrings.BANDS and set(one) & set(two)
+
+
 def test_rows_that_repeat_are_occurrences(spark):
     draw = random.Random(16)
     text = " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(40))
