@@ -9,8 +9,10 @@ totals, so no task ever counts over all rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -26,14 +28,17 @@ from reclattice.llm.common import add_columns
 from reclattice.session import shuffle_partitions
 
 END_ID = 1
-# Remembered per Python worker: words as they stand in texts, and what the library gave for
-# their letters. A full memo is emptied, which costs time only.
-MEMO_ENTRIES = 350_000
-CORE_ENTRIES = 450_000
+# Remembered per Python worker, in each of two generations: words as they stand in texts, and what
+# the library gave for their letters.
+MEMO_ENTRIES = 175_000
+CORE_ENTRIES = 175_000
 MEMO_LENGTH = 64
 # Texts that are cut into words at a time.
 GROUP = 256
-MARKS = (".", ",")
+# Marks that may stand behind a word. An apostrophe may begin a match with what follows it.
+MARKS = string.punctuation.replace("'", "")
+# Words of letters that the library gets as one text.
+JOINED = 1000
 
 
 def _letters(core: str) -> bool:
@@ -45,6 +50,26 @@ def _letters(core: str) -> bool:
     return core.isalpha() and core[-1].lower().isalpha()
 
 
+class Generations:
+    """A memo of ids by word in two generations: when the younger one is full it becomes the older,
+    so that words met since stay. The empty word has no ids."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that are not known; the others are in the younger generation now."""
+        if len(self.young) >= self.entries:
+            self.young, self.old = {}, self.young
+        self.young[""] = b""
+        new = words.difference(self.young)
+        unknown = new.difference(self.old)
+        self.young.update((word, self.old[word]) for word in new.difference(unknown))
+        return list(unknown)
+
+
 class WordCodec:
     """A tokenizer whose matches never span white space, applied to distinct words only."""
 
@@ -56,51 +81,71 @@ class WordCodec:
         # Added tokens are matched inside words and before any lower-casing, which must not make one.
         added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
-        self.memo: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.memo, self.cores = Generations(MEMO_ENTRIES), Generations(CORE_ENTRIES)
         self.long: list[str] = []
+        # Which ids end a match, if the file marks them.
+        suffix = json.loads(content)["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _learn(self, words: set[str]) -> None:
-        memo, known = self.memo, self.cores
-        new = list(words.difference(memo))
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo = self.memo = {"": b""}
-            new = list(words.difference(memo))
+        """Makes the ids of ``words`` known."""
+        new = self.memo.missing(words)
         self.long = [word for word in new if len(word) > MEMO_LENGTH]
-        # A final comma or stop is a match of its own after a letter, and ASCII letters are
-        # lower-cased by the tokenizer anyway: both spare the library most of the distinct words.
+        # Marks after a letter are a match of their own, and ASCII letters are lower-cased by the
+        # tokenizer anyway: both spare the library most of the distinct words.
+        added = self.added if self.added("\n".join(new)) else lambda word: None
         cores, tails = [], []
         for word in new:
-            core, tail = word, ""
-            if self.added(word):
-                cores.append(core)
-                tails.append(tail)
+            core = word.rstrip(MARKS)
+            if added(word):
+                cores.append(word)
+                tails.append("")
                 continue
-            if word[-1:] in MARKS and _letters(word[:-1]):
-                core, tail = word[:-1], word[-1]
+            if len(core) < len(word) and not _letters(core):
+                core = word
             cores.append(core.lower() if core.isascii() else core)
-            tails.append(tail)
-        missing = list(set(cores).union(tails).difference(known))
-        if len(known) + len(missing) > CORE_ENTRIES:
-            known = self.cores = {"": b""}
-            missing = list(set(cores).union(tails).difference(known))
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        known.update(zip(missing, [array("I", found.ids).tobytes() for found in encoded], strict=True))
-        memo.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
+            tails.append(word[len(core):])
+        missing = self.cores.missing(set(cores).union(tails))
+        known = self.cores.young
+        single = [c for c in missing if _letters(c)] if self.last is not None else []
+        for at in range(0, len(single), JOINED):
+            part = single[at:at + JOINED]
+            known.update(zip(part, self._joined(part), strict=True))
+        rest = [c for c in missing if c not in known]
+        known.update(zip(rest, self._each(rest), strict=True))
+        self.memo.young.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
         for word in self.long:
             known.pop(word.lower() if word.isascii() else word, None)
             known.pop(word, None)
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", one.ids).tobytes() for one in found]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each of which is one match: encoded as one text, which is cut
+        behind the ids that end a match."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        data = ids.tobytes()
+        if len(ends) != len(words) or ends[-1] != len(data):
+            return self._each(words)
+        return [data[one:two] for one, two in zip([0, *ends], ends, strict=False)]
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers, a few texts at a time."""
         out: list[bytes] = []
         for start in range(0, len(texts), GROUP):
             group = [(t or "").replace("\n", " ").split(" ") for t in texts.slice(start, GROUP).to_pylist()]
             self._learn(set().union(*group))
-            look = self.memo.__getitem__
+            look = self.memo.young.__getitem__
             out += [b"".join(map(look, words)) for words in group]
             for word in self.long:
-                self.memo.pop(word, None)
+                self.memo.young.pop(word, None)
         return out
 
 
