@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reclattice.session import scratch_path, ship_package
+from reclattice.session import delete_stored, scratch_path, ship_package
 
 
 def add_columns(
@@ -57,9 +59,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` makes inside when it is left, but for those that stay."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            delete_stored(spark, path)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors. Inside
+    ``passing`` only a table that ``stays`` may be read afterwards."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if not stays and (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

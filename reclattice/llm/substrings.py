@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reclattice.llm.common import add_columns, written
+from reclattice.llm.common import add_columns, passing, written
 from reclattice.llm.similar import Settings, clusters
 from reclattice.llm.sketches import EMPTY, M1, M2, ODD, MinHash, band_keys, mix, set_keys, tune_bands
 from reclattice.session import BROADCAST_BYTES, ship_package
@@ -225,8 +225,8 @@ def paragraph_sketches(documents: DataFrame, settings: Settings) -> DataFrame:
 
 def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
     """(who, copies, at, id, start, end, left, right, left_start, right_end) of the pieces
-    ``common`` (who, at, id): hashes and places of up to ``SIDE`` words on either side, the nearest
-    first. Rows of equal id and text are one here; ``copies`` counts them."""
+    ``common`` (who, at, id): hashes of up to ``SIDE`` words on either side, the nearest first, and
+    how far before the start or behind the end of the piece they reach. Rows of equal id and text are one here; ``copies`` counts them."""
     places = common.groupBy("who").agg(F.collect_set(F.struct("at", "id")).alias("places"), F.count("*").alias("times"))
     places = places.select("who", (F.col("times") / F.size("places")).cast("long").alias("copies"), F.sort_array("places").alias("places"))
     held = written(docs.join(places, "who"), "holders")
@@ -248,14 +248,15 @@ def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
                     at.append(own)
                     start.append(cut.start[own])
                     end.append(cut.end[own + PIECE - 1])
-                    for side, place, name, edge in (
-                        ("left", own[:, None] - 1 - np.arange(SIDE), "left_start", cut.start),
-                        ("right", own[:, None] + PIECE + np.arange(SIDE), "right_end", cut.end),
+                    for side, place, name, edge, base in (
+                        ("left", own[:, None] - 1 - np.arange(SIDE), "left_start", cut.start, start[-1]),
+                        ("right", own[:, None] + PIECE + np.arange(SIDE), "right_end", cut.end, end[-1]),
                     ):
                         inside = (place >= 0) & (place < len(cut.hash))
                         length[side].append(inside.sum(axis=1))
                         values[side].append(cut.hash[place[inside]].view(np.int64))
-                        values[name].append(edge[place[inside]].astype(np.int32))
+                        beyond = np.abs(edge[place[inside]] - np.repeat(base, length[side][-1]))
+                        values[name].append(beyond.astype(np.int32))
                 row = pa.array(np.concatenate(row))
                 offsets = {k: pa.array(np.concatenate([[0], np.cumsum(np.concatenate(v))]).astype(np.int32)) for k, v in length.items()}
                 yield pa.RecordBatch.from_arrays([
@@ -338,7 +339,8 @@ def _passages(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         return F.broadcast(df) if many * row_bytes <= BROADCAST_BYTES else df
 
     common = pieces.join(small(repeated.select("id"), 32), "id", "left_semi").select("who", "at", "id")
-    around = written(_surroundings(docs, common), "pieces")
+    with passing(docs.sparkSession):
+        around = written(_surroundings(docs, common), "pieces", stays=True)
     names = {"who": "first", "at": "first_at", **{c: f"first_{c}" for c in ("copies", "start", "end", "left", "right", "left_start", "right_end")}}
     origins = (
         around.join(small(repeated, 64), "id").filter(F.col("origin").eqNullSafe(F.struct("who", "at")))
@@ -351,8 +353,8 @@ def _passages(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         .select(
             "who", "first", "copies", "first_copies", (F.col("at") - F.col("first_at")).alias("shift"),
             (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + PIECE + F.col("r")).alias("hi"),
-            *[F.expr(f"if(l = 0, {p}start, {p}left_start[l - 1])").alias(f"{p}start") for p in ("", "first_")],
-            *[F.expr(f"if(r = 0, {p}end, {p}right_end[r - 1])").alias(f"{p}end") for p in ("", "first_")],
+            *[F.expr(f"if(l = 0, {p}start, {p}start - {p}left_start[l - 1])").alias(f"{p}start") for p in ("", "first_")],
+            *[F.expr(f"if(r = 0, {p}end, {p}end + {p}right_end[r - 1])").alias(f"{p}end") for p in ("", "first_")],
             (F.col("l") == SIDE).alias("open_left"), (F.col("r") == SIDE).alias("open_right"),
         )
     )
@@ -412,8 +414,9 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
         return paragraph_texts(docs.join(holders, "who", "left_semi")).join(ids, "id", "left_semi")
 
     sketches = paragraph_sketches(docs, settings)
-    parts = clusters(paragraph_texts(docs), settings, texts, sketches).filter("id <> component").select("id", "component").distinct()
-    parts = written(parts, "paragraphs")
+    with passing(docs.sparkSession):
+        parts = clusters(paragraph_texts(docs), settings, texts, sketches).filter("id <> component")
+        parts = written(parts.select("id", "component").distinct(), "paragraphs", stays=True)
     known = (
         found.filter("kind = 'paragraph'").join(parts.withColumnRenamed("component", "cluster"), "id", "left")
         .withColumn("cluster", F.coalesce("cluster", "id"))
