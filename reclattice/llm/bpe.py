@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from reclattice.llm.common import add_columns
+from reclattice.llm.common import TEXTS, add_columns
 
-# Memoised pairs per Python worker; a full memo is emptied, which costs time only.
-MEMO_ENTRIES = 300_000
+# Memoised pairs per task; a full memo is emptied, which costs time only.
+MEMO_ENTRIES = 150_000
 # Memoised pieces in each of two generations: when the younger one is full it becomes the older, so
 # what was used since stays.
-GENERATION = 200_000
+GENERATION = 150_000
 # Texts that are turned into Python strings at a time.
 GROUP = 256
 # Ids decoded at a time.
@@ -54,6 +54,10 @@ class Codec:
         self.reach = max(map(len, ranks))
         self.shorter: dict[int, int] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memos of parts and pairs; what follows from the file alone stays."""
         self.fits: dict[int, bool] = {}
         self.memo = Memo(self)
 
@@ -282,9 +286,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
             values = np.frombuffer(b"".join(data), "<i4")
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
 
+        step.close = codec.forget
         return step
 
-    return add_columns(df, [text], f"`{out}` array<int>", make)
+    return add_columns(df, [text], f"`{out}` array<int>", make, TEXTS)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -312,4 +317,4 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
         return step
 
-    return add_columns(df, [ids], f"`{out}` binary", make)
+    return add_columns(df, [ids], f"`{out}` binary", make, TEXTS)

@@ -14,17 +14,24 @@ from pyspark.sql import types as T
 from reclattice.session import delete_stored, scratch_path, ship_package
 
 
+# Whole texts that a function gets at a time where it makes Python strings of them.
+TEXTS = 1024
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[str],
     added: str,
     make: Callable[[], Callable[..., list[pa.Array]]],
+    rows: int | None = None,
 ) -> DataFrame:
     """``df`` with columns computed batch by batch in Arrow.
 
     ``make()`` runs once per task and returns a function from the Arrow columns ``inputs`` to
     one Arrow array per field of the DDL string ``added``. A column of ``df`` that has the name
     of an added one is replaced unless it is an input, which is read first and then replaced.
+    ``rows`` bounds the rows that the function gets at a time, for long texts; its attribute
+    ``close``, if any, is called when the task ends, so that a reused worker holds no memos.
     """
     ship_package(df.sparkSession)
     fields = T.StructType.fromDDL(added).fields
@@ -38,9 +45,15 @@ def add_columns(
 
     def run(batches):
         step = make()
-        for batch in batches:
-            new = step(*batch.columns[width:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=names)
+        try:
+            for batch in batches:
+                many = rows or max(1, len(batch))
+                for part in (batch.slice(at, many) for at in range(0, len(batch), many)):
+                    new = step(*part.columns[width:])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], names=names)
+        finally:
+            getattr(step, "close", lambda: None)()
+            pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclattice.llm.common import add_columns, written
+from reclattice.llm.common import TEXTS, add_columns, written
 from reclattice.llm.components import connected_components
 from reclattice.llm.covertree import Forest
 from reclattice.llm.sketches import Shingler, band_keys, set_key
@@ -31,8 +31,6 @@ from reclattice.session import BROADCAST_BYTES, ship_package
 BLOCK = 512
 # Sets that the verifier remembers per task.
 HELD_SETS = 64
-# Texts that are turned into Python strings at a time.
-GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -62,7 +60,7 @@ def sketched(units: DataFrame, settings: Settings) -> DataFrame:
 
         def step(texts):
             n, k1, k2, bands = [], [], [], []
-            for text in (t for at in range(0, len(texts), GROUP) for t in texts.slice(at, GROUP).to_pylist()):
+            for text in texts.to_pylist():
                 found = shingle(text)
                 n.append(len(found))
                 if len(found):
@@ -81,7 +79,7 @@ def sketched(units: DataFrame, settings: Settings) -> DataFrame:
 
         return step
 
-    return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>", make).drop("text")
+    return add_columns(units, ["text"], "n bigint, k1 bigint, k2 bigint, bands array<bigint>", make, TEXTS).drop("text")
 
 
 Texts = Callable[[DataFrame], DataFrame]

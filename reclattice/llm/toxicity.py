@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclattice.llm.common import add_columns, written
+from reclattice.llm.common import TEXTS, add_columns, written
 
 # Names of groups, by kind. A name is swapped with the others of its line.
 IDENTITY = (
@@ -36,7 +36,7 @@ IDENTITY = (
 NAMES = frozenset(name for kind in IDENTITY for name in kind)
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return step
 
-    return add_columns(df, [text], "score double, predicted int", make)
+    return add_columns(df, [text], "score double, predicted int", make, TEXTS)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, learn) -> DataFrame:
@@ -259,4 +259,4 @@ def reject(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = replace(sent.value, memo={})  # goes with the task
         return lambda texts: [pa.array([own.score(t) >= own.settings.threshold for t in texts.to_pylist()], pa.bool_())]
 
-    return add_columns(df, [text], "__toxic boolean", make).filter("not __toxic").drop("__toxic")
+    return add_columns(df, [text], "__toxic boolean", make, TEXTS).filter("not __toxic").drop("__toxic")
