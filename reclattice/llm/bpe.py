@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from reclattice.llm.common import TEXTS, add_columns
 
 # Memoised pairs per task; a full memo is emptied, which costs time only.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 100_000
 # Memoised pieces in each of two generations: when the younger one is full it becomes the older, so
 # what was used since stays.
-GENERATION = 150_000
+GENERATION = 100_000
 # Texts that are turned into Python strings at a time.
 GROUP = 256
 # Ids decoded at a time.
