@@ -122,6 +122,23 @@ def test_token_files(texts, spark):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_marks_behind_words_and_small_memos(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_ENTRIES", 40)
+    monkeypatch.setattr(token_files, "CORE_ENTRIES", 40)
+    monkeypatch.setattr(token_files, "JOINED", 7)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as file:
+        codec = token_files.WordCodec(file.read())
+    draw = random.Random(21)
+    words = ["Word", "it's", "don't", "niño", "été", "x1", "A.B", "क़", "'s", "<|endoftext|>", "ok<|endoftext|>", "n" * 90]
+    marks = ["", ".", "...", "&&&", "***", "!?", "'", "'.", "_", "|>", ".s", "'s"]
+    texts = [" ".join(draw.choice(words) + draw.choice(marks) for _ in range(draw.randint(0, 30))) for _ in range(600)]
+    library = Tokenizer.from_file(path)
+    expected = [found.ids for found in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(d, "<u4").tolist() for d in codec.encode(pa.array(texts))] == expected
+
+
 def test_added_tokens_are_matched_in_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
