@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 
 from reclattice.llm.common import TEXTS, add_columns
 
-# Memoised pairs per task; a full memo is emptied, which costs time only.
-MEMO_ENTRIES = 100_000
+# Memoised pairs per Python worker; a full memo is emptied, which costs time only.
+MEMO_ENTRIES = 300_000
 # Memoised pieces in each of two generations: when the younger one is full it becomes the older, so
 # what was used since stays.
-GENERATION = 100_000
+GENERATION = 200_000
 # Texts that are turned into Python strings at a time.
 GROUP = 256
 # Ids decoded at a time.
@@ -268,8 +268,9 @@ def _ship(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, the token ids of each text (null: empty). No shuffle."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", forget: bool = False) -> DataFrame:
+    """``df`` with ``out``, the token ids of each text (null: empty). No shuffle. ``forget`` frees the
+    memos when a task ends, for workers that go on to other work."""
     sent = _ship(df, ranks_path)
 
     def make():
@@ -286,7 +287,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
             values = np.frombuffer(b"".join(data), "<i4")
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
 
-        step.close = codec.forget
+        if forget:
+            step.close = codec.forget
         return step
 
     return add_columns(df, [text], f"`{out}` array<int>", make, TEXTS)
