@@ -41,7 +41,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a check that they decode to its very bytes."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, forget=True)
     # Written in between, so that an executor never holds the workers of both at once.
     encoded = written(encoded, "encoded")
     return bpe.decode(encoded, path).select(
