@@ -29,28 +29,38 @@ def user_item(df: DataFrame, user: str = "user", item: str = "item", rating: str
 
 
 class _PairSums:
-    """Sums of products per item pair, held in bounded memory."""
+    """Sums of products per item pair, held in bounded memory. Products wait until there are as many
+    as held sums, so adding them costs the same however few come at a time."""
 
     def __init__(self, n_items: int):
         self.n = n_items
         self.dense = np.zeros(n_items * n_items) if n_items * n_items <= _PAIRS_HELD else None
         self.codes = np.empty(0, np.int64)
         self.sums = np.empty(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
 
     def add(self, codes: np.ndarray, products: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.waiting.append((codes, products))
+        self.n_waiting += codes.size
+        if self.n_waiting >= max(_PRODUCTS_AT_ONCE, self.codes.size):
+            self._merge()
+            if self.codes.size > _PAIRS_HELD:
+                yield from self.drain()
+
+    def _merge(self) -> None:
+        codes, products = (np.concatenate(part) for part in zip((self.codes, self.sums), *self.waiting))
+        self.waiting, self.n_waiting = [], 0
         if self.dense is not None:
             self.dense += np.bincount(codes, weights=products, minlength=self.dense.size)
-            return
-        codes = np.concatenate([self.codes, codes])
-        products = np.concatenate([self.sums, products])
-        order = np.argsort(codes, kind="stable")
-        codes, products = codes[order], products[order]
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        self.codes, self.sums = codes[starts], np.add.reduceat(products, starts)
-        if self.codes.size > _PAIRS_HELD:
-            yield from self.drain()
+        elif codes.size:
+            order = np.argsort(codes, kind="stable")
+            codes, products = codes[order], products[order]
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            self.codes, self.sums = codes[starts], np.add.reduceat(products, starts)
 
     def drain(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
         if self.dense is not None:
             self.codes = np.flatnonzero(self.dense)
             self.sums = self.dense[self.codes]
@@ -60,6 +70,22 @@ class _PairSums:
         self.codes, self.sums = np.empty(0, np.int64), np.empty(0)
 
 
+def _add_products(
+    held: _PairSums, i: np.ndarray, v: np.ndarray, partner: np.ndarray, reach: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Add the products of every cell with the ``reach`` cells from ``partner`` on."""
+    upto = np.cumsum(reach)
+    total = upto[-1] if upto.size else 0
+    cuts = np.searchsorted(upto, np.arange(_PRODUCTS_AT_ONCE, total, _PRODUCTS_AT_ONCE))
+    bounds = np.unique(np.r_[0, cuts + 1, i.size])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        each = reach[lo:hi]
+        first = np.repeat(np.arange(lo, hi), each)
+        second = np.repeat(partner[lo:hi] - (np.cumsum(each) - each), each) + np.arange(first.size)
+        x, y = i[first], i[second]
+        yield from held.add(np.minimum(x, y) * held.n + np.maximum(x, y), v[first] * v[second])
+
+
 def _pair_batch(i: np.ndarray, j: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(g, pa.float64())], names=["i", "j", "g"]
@@ -80,19 +106,8 @@ def _outer_sums(n_items: int):
 
         def products(i, v, starts):
             sizes = np.diff(np.r_[starts, i.size])
-            left = np.repeat(starts + sizes, sizes) - np.arange(i.size)
-            upto = np.r_[0, np.cumsum(left)]
-            user_cost = upto[starts + sizes] - upto[starts]
-            cuts = np.searchsorted(np.cumsum(user_cost), np.arange(_PRODUCTS_AT_ONCE, user_cost.sum(), _PRODUCTS_AT_ONCE))
-            bounds = np.unique(np.r_[0, cuts + 1, starts.size])
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                lo = starts[a]
-                hi = starts[b] if b < starts.size else i.size
-                reach = left[lo:hi]
-                first = np.repeat(np.arange(lo, hi), reach)
-                step = np.arange(first.size) - np.repeat(np.cumsum(reach) - reach, reach)
-                second = first + step
-                yield from held.add(i[first] * n_items + i[second], v[first] * v[second])
+            at = np.arange(i.size)
+            yield from _add_products(held, i, v, at, np.repeat(starts + sizes, sizes) - at)
 
         for batch in batches:
             nu, ni, nv = _column(batch, "u"), _column(batch, "i"), _column(batch, "v")
@@ -114,42 +129,39 @@ def _outer_sums(n_items: int):
 
 def _chunk_sums(n_items: int):
     """Task body for wide rows: cells arrive sorted by (u, a, b), where a and b are two chunks of
-    the user's own list; the products between them are added per item pair."""
+    the user's own list; the products between them are added per item pair. A batch's groups are
+    multiplied together, since most users have few cells in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _PairSums(n_items)
         names = ("u", "a", "b", "own", "i", "v")
         rest: list[np.ndarray] | None = None
 
-        def products(a, b, own, i, v):
-            order = np.argsort(i, kind="stable")
-            own, i, v = own[order], i[order], v[order]
-            left, right = own == a, own == b
-            i1, v1, i2, v2 = i[left], v[left], i[right], v[right]
-            if not i2.size:
-                return
-            step = max(1, _PRODUCTS_AT_ONCE // i2.size)
-            for lo in range(0, i1.size, step):
-                # Within one chunk each pair is made once, the smaller item first.
-                at = lo if a == b else 0
-                x, y = i1[lo : lo + step, None], i2[None, at:]
-                codes, each = np.minimum(x, y) * n_items + np.maximum(x, y), v1[lo : lo + step, None] * v2[None, at:]
-                keep = x <= y if a == b else np.ones(codes.shape, bool)
-                yield from held.add(codes[keep], each[keep])
+        def products(starts, a, b, own, i, v):
+            sizes = np.diff(np.r_[starts, i.size])
+            group, end = np.repeat(np.arange(starts.size), sizes), np.repeat(starts + sizes, sizes)
+            # Chunk a before chunk b; within one chunk each pair is made once, the smaller item first.
+            right = own != a
+            order = np.lexsort((i, right, group))
+            a, b, i, v, right = a[order], b[order], i[order], v[order], right[order]
+            at = np.arange(i.size)
+            lefts = np.add.reduceat((~right).astype(np.int64), starts)
+            partner = np.where(a == b, at, np.repeat(starts + lefts, sizes))
+            yield from _add_products(held, i, v, partner, np.where(right, 0, end - partner))
 
         for batch in batches:
             now = [_column(batch, name) for name in names]
             if rest is not None:
                 now = [np.concatenate(pair) for pair in zip(rest, now)]
-            u, a, b, own, i, v = now
+            u, a, b = now[:3]
             if not u.size:
                 continue
             starts = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                yield from products(a[lo], b[lo], own[lo:hi], i[lo:hi], v[lo:hi])
+            if starts.size > 1:
+                yield from products(starts[:-1], *[c[: starts[-1]] for c in now[1:]])
             rest = [c[starts[-1] :] for c in now]
         if rest is not None and rest[0].size:
-            yield from products(rest[1][0], rest[2][0], *rest[3:])
+            yield from products(np.zeros(1, np.int64), *rest[1:])
         yield from held.drain()
 
     return run

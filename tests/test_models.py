@@ -345,3 +345,40 @@ def test_sweep_keeps_one_table(spark, tmp_path):
     left = {p for p in os.listdir(folder) if p.startswith(("tiles-", "panel-"))} - before
     got = dense(T.entries(T.mirrored(found, 23, 6), 23, 6), 23)
     assert np.allclose(got, -np.linalg.inv(a + 0.5 * np.eye(23)), atol=1e-10) and len(left) == 1
+
+
+def test_chunks_of_many_users_are_multiplied_together(monkeypatch):
+    """Products of narrow chunks are added a batch at a time, not one group at a time."""
+    import pyarrow as pa
+
+    from reclattice.operators import matrix
+
+    draw = np.random.default_rng(3)
+    n_items, cells = 3000, []
+    for u in range(400):
+        items = np.sort(draw.choice(40, size=6, replace=False)) * 70
+        own = draw.integers(0, 2, 6)
+        for a, b in ((0, 0), (0, 1), (1, 1)):
+            cells += [(u, a, b, o, i, 1.0 + i % 3) for o, i in zip(own, items) if o in (a, b)]
+    names = ["u", "a", "b", "own", "i", "v"]
+    whole = pa.table({n: [c[at] for c in cells] for at, n in enumerate(names)})
+    calls = []
+    plain = matrix._PairSums.add
+    monkeypatch.setattr(matrix._PairSums, "add", lambda self, *a: calls.append(a[0].size) or plain(self, *a))
+    for products in (2_000_000, 50):
+        monkeypatch.setattr(matrix, "_PRODUCTS_AT_ONCE", products)
+        monkeypatch.setattr(matrix, "_PAIRS_HELD", 300)
+        calls.clear()
+        found = {}
+        for batch in matrix._chunk_sums(n_items)(iter(whole.to_batches(max_chunksize=1000))):
+            for i, j, g in zip(*(batch.column(n).to_pylist() for n in "ijg")):
+                found[i, j] = found.get((i, j), 0) + g
+        expected = {}
+        for u in range(400):
+            mine = sorted({c[4:] for c in cells if c[0] == u})
+            for at, (i, x) in enumerate(mine):
+                for j, y in mine[at:]:
+                    expected[i, j] = expected.get((i, j), 0) + x * y
+        assert found == pytest.approx(expected)
+        # 50 products, and those of the last cell of a part.
+        assert len(calls) < 20 if products > 50 else max(calls) < 60
