@@ -1,10 +1,11 @@
 """Scores and top-k of users against an item-item or a factor model.
 
-Cells stay where they are: partitioned and sorted by user (see ``models.base``). The model is made
-once, kept in a checkpoint, and cut into column stripes of counted size. One stripe at a time is
-broadcast and every task walks its users past it, so neither the cells nor a users x items table is
-ever shuffled, and no plan holds a copy of the model per block of users. Only the k best of a user
-leave a task; with several stripes they are merged.
+Cells stay where they are: partitioned and sorted by user (see ``models.base``). A sparse model within
+a bound is broadcast whole; a larger one meets the cells in a join on the item, its rows packed, and
+never passes the driver. A dense model is made once, kept in a checkpoint, and cut into column stripes
+of counted size. One stripe at a time is broadcast and every task walks its users past it, so neither
+the cells nor a users x items table is ever shuffled, and no plan holds a copy of the model per block of
+users. Only the k best of a user leave a task; with several stripes they are merged.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from reclattice.operators.ranking import top_k, union_all
 from reclattice.operators.tiles import tile_array
-from reclattice.session import BROADCAST_BYTES, checkpointed, parallelism, scratch_path
+from reclattice.session import BROADCAST_BYTES, checkpointed, parallelism, scratch_path, shuffle_partitions
 
 # Scores are rounded before ranking, so the item order, not the summation order, breaks ties: to
 # this many digits below the largest score that the user's cells could have under the model.
@@ -41,6 +42,11 @@ _USERS_AT_ONCE = 512
 _FIRST_ITEMS = 256
 # Bytes of one sparse weight in a stripe.
 _WEIGHT_BYTES = 16
+# Weights in one packed piece of a model row, packed rows a task takes at once, and products that a
+# task is meant for.
+_PIECE = 1024
+_PACKED_AT_ONCE = 10_000
+_PRODUCTS_PER_TASK = 4_000_000
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,32 +100,37 @@ class UserRows:
         return UserRows(self.users.slice(lo, hi - lo), self.starts[lo : hi + 1] - a, self.i[a:b], self.v[a:b])
 
 
-def user_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[UserRows]:
-    """Cells (u, i, v) sorted by user, as blocks of whole users."""
+def _whole_users(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
+    """Rows sorted by ``u`` as (table, users, starts) of whole users, about ``at_once`` rows each."""
 
-    def rows(table: pa.Table) -> UserRows:
+    def found(table: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
         table = table.combine_chunks()
         coded = table["u"].combine_chunks().dictionary_encode(null_encoding="encode")
         code = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
-        return UserRows(coded.dictionary, starts, table["i"].to_numpy(), table["v"].to_numpy())
+        return table, coded.dictionary, np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
 
     held: list[pa.RecordBatch] = []
-    count, wanted = 0, _CELLS_AT_ONCE
+    count, wanted = 0, at_once
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
         if count >= wanted:
-            found = rows(pa.Table.from_batches(held))
-            last = found.starts[-2]
+            table, users, starts = found(pa.Table.from_batches(held))
+            last = int(starts[-2])
             if last:
-                yield found.part(0, len(found.users) - 1)
+                yield table.slice(0, last), users.slice(0, len(users) - 1), starts[:-1]
             # The last user may go on in the next batch.
-            rest = pa.Table.from_batches(held).slice(int(last)).combine_chunks()
+            rest = table.slice(last).combine_chunks()
             held, count = rest.to_batches(), rest.num_rows
-            wanted = max(_CELLS_AT_ONCE, 2 * count)
+            wanted = max(at_once, 2 * count)
     if count:
-        yield rows(pa.Table.from_batches(held))
+        yield found(pa.Table.from_batches(held))
+
+
+def user_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[UserRows]:
+    """Cells (u, i, v) sorted by user, as blocks of whole users."""
+    for table, users, starts in _whole_users(batches, _CELLS_AT_ONCE):
+        yield UserRows(users, starts, table["i"].to_numpy(), table["v"].to_numpy())
 
 
 # ---------------------------------------------------------------- stripes of a model
@@ -220,25 +231,62 @@ def _by_stripe(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sparse_stripes(weights: DataFrame, n_items: int, n_weights: int, bytes_at_most: int) -> Iterator[SparseStripe]:
-    """Weights (i, j, b) by ranges of j; ranges are halved until the fullest is within the bound."""
-    most = max(1, bytes_at_most // _WEIGHT_BYTES)
-    width = max(1, -(-n_items // max(1, -(-n_weights // most))))
-    while width < n_items and width > 1:
-        fullest = weights.groupBy(F.floor(F.col("j") / width)).count().agg(F.max("count")).first()[0]
-        if fullest is None or fullest <= most:
-            break
-        width = -(-width // 2)
-    stripe = F.floor(F.col("j") / width).cast("long")
-    parts = weights.select("i", "j", "b", stripe.alias("stripe"))
-    if width < n_items:
-        parts = _by_stripe(parts, "stripe")
-    for first in range(0, n_items, width):
-        found = parts.filter(F.col("stripe") == first // width).select("i", "j", "b").toArrow()
-        i, j, b = (found[n].to_numpy() for n in ("i", "j", "b"))
-        order = np.lexsort((j, i))
-        starts = np.searchsorted(i[order], np.arange(n_items + 1))
-        yield SparseStripe(first, min(width, n_items - first), starts, j[order] - first, b[order])
+def sparse_stripe(weights: DataFrame, n_items: int) -> SparseStripe:
+    """All weights (i, j, b) as one stripe, on the driver."""
+    found = weights.select("i", "j", "b").toArrow()
+    i, j, b = (found[n].to_numpy() for n in ("i", "j", "b"))
+    order = np.lexsort((j, i))
+    return SparseStripe(0, n_items, np.searchsorted(i[order], np.arange(n_items + 1)), j[order], b[order])
+
+
+# ---------------------------------------------------------------- large sparse models
+
+
+def packed_rows(weights: DataFrame) -> DataFrame:
+    """(i, js, bs): rows of weights (i, j, b) in pieces of at most ``_PIECE`` weights."""
+
+    def pack(batches):
+        for batch in batches:
+            i, j, b = (batch.column(n) for n in ("i", "j", "b"))
+            at = i.to_numpy()
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if at.size else np.empty(0, np.int64)
+            pieces = -(-np.diff(np.r_[starts, at.size]) // _PIECE)
+            within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = np.repeat(starts, pieces) + within * _PIECE
+            edges = pa.array(np.r_[first, at.size], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[first]), pa.ListArray.from_arrays(edges, j), pa.ListArray.from_arrays(edges, b)],
+                names=["i", "js", "bs"],
+            )
+
+    rows = weights.select(*[F.col(c).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("b", "double"))])
+    return rows.repartition("i").sortWithinPartitions("i", "j").mapInArrow(pack, "i long, js array<long>, bs array<double>")
+
+
+def _beside_rows(data, weights: DataFrame, n_weights: int, each: Callable, schema: T.StructType) -> DataFrame:
+    """``each(rows, code, s)`` on blocks of whole users: their cells, and code ``row * n_items + column``
+    and sum of every scored pair. A cell travels to its user with the model's row of its item; nothing
+    passes the driver."""
+    n_items, spark = data.n_items, data.cells.sparkSession
+    products = n_weights * data.n_cells // max(n_items, 1)
+    parts = max(shuffle_partitions(spark), -(-products // _PRODUCTS_PER_TASK))
+    # A cell of an item without weights stays: it is seen, and its user has a list.
+    met = data.cells.select("u", "i", "v").join(packed_rows(weights), "i", "left")
+    by_user = met.select("u", "i", "v", "js", "bs").repartition(parts, "u").sortWithinPartitions("u")
+
+    def task(batches):
+        for table, users, starts in _whole_users(batches, _PACKED_AT_ONCE):
+            row = np.repeat(np.arange(len(users)), np.diff(starts))
+            i, v = table["i"].to_numpy(), table["v"].to_numpy()
+            # An item whose row is in several pieces has its cell once for each.
+            cells, at = np.unique(row * n_items + i, return_index=True)
+            rows = UserRows(users, np.searchsorted(cells, np.arange(len(users) + 1) * n_items), i[at], v[at])
+            js, bs = (table[n].combine_chunks() for n in ("js", "bs"))
+            many = pc.fill_null(pc.list_value_length(js), 0).to_numpy(zero_copy_only=False)
+            code = np.repeat(row * n_items, many) + js.flatten().to_numpy()
+            yield each(rows, *_added(code, np.repeat(v, many) * bs.flatten().to_numpy()))
+
+    return by_user.mapInArrow(task, schema)
 
 
 # ---------------------------------------------------------------- lists
@@ -452,48 +500,52 @@ def recommend_sparse(
 ) -> DataFrame:
     """Top ``k`` of ``S = X W`` per user for a sparse W given as (i, j, b), as (u, i, scores, rank).
 
-    Each user's row is multiplied with the model's rows in the task that holds it, and only its k
-    best leave the task. Items without a score count as 0 and stand in item order between positive and
+    Each user's row is multiplied with the model's rows in one task, to which a model above
+    ``bytes_at_most`` travels row by row, and only its k best leave the task. Items without a score count as 0 and stand in item order between positive and
     negative ones, as in a dense ranking; with ``scored_only`` they are left out. ``data.cells`` is partitioned
     and sorted by user.
     """
-    whole = n_weights * _WEIGHT_BYTES <= bytes_at_most
-    largest = None if whole else weights.agg(F.max(F.abs("b"))).first()[0] or 0.0
+    if not data.n_items:
+        return data.cells.sparkSession.createDataFrame([], _schema(data.cells))
+    if n_weights * _WEIGHT_BYTES <= bytes_at_most:
+        def make(stripe: SparseStripe):
+            return _sparse_lists(stripe, Lists(k, mask, digits, stripe.largest, scored_only))
 
-    def make(stripe: SparseStripe):
-        bound = stripe.largest if largest is None else largest
-        return _sparse_lists(stripe, Lists(k, mask, digits, bound, scored_only))
+        return _past_stripes(data.cells, iter([sparse_stripe(weights, data.n_items)]), make, data.n_items, k)
+    lists = Lists(k, mask, digits, weights.agg(F.max(F.abs("b"))).first()[0] or 0.0, scored_only)
+    every = SparseStripe(0, data.n_items, *[np.empty(0)] * 3)
 
-    stripes = sparse_stripes(weights, data.n_items, n_weights, bytes_at_most)
-    return _past_stripes(data.cells, stripes, make, data.n_items, k)
+    def best(rows: UserRows, code: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return lists.sparse(rows, every, code, s)
+
+    return _beside_rows(data, weights, n_weights, best, _schema(data.cells))
 
 
 def score_pairs(data, weights: DataFrame, n_weights: int, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:
     """``s_uj = sum_i v_ui * b_ij`` for every pair with a weight behind it, as (u, j, s). Made where the
-    cells are; the pairs are not shuffled."""
-    cells, spark = data.cells, data.cells.sparkSession
+    cells are, or, with a larger model, where a user's cells meet its rows; the pairs are not shuffled."""
+    cells, n_items = data.cells, data.n_items
     schema = T.StructType([cells.schema["u"], T.StructField("j", T.LongType()), T.StructField("s", T.DoubleType())])
 
+    def pairs(rows: UserRows, code: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        row, col = np.divmod(code, n_items)
+        return pa.RecordBatch.from_arrays([rows.users.take(pa.array(row)), pa.array(col, pa.int64()), pa.array(s)], names=["u", "j", "s"])
+
+    if not n_items:
+        return cells.sparkSession.createDataFrame([], schema)
+    if n_weights * _WEIGHT_BYTES > bytes_at_most:
+        return _beside_rows(data, weights, n_weights, pairs, schema)
+
     def make(stripe: SparseStripe):
         def task(batches):
             for rows in user_rows(batches):
                 for part in _in_parts(rows, stripe):
-                    code, s = _added(*stripe.products(part))
-                    row, col = np.divmod(code, stripe.width)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.users.take(pa.array(row)), pa.array(col + stripe.first, pa.int64()), pa.array(s)], names=["u", "j", "s"]
-                    )
+                    yield pairs(part, *_added(*stripe.products(part)))
 
         return task
 
-    parts = []
-    for stripe in sparse_stripes(weights, data.n_items, n_weights, bytes_at_most):
-        sent = spark.sparkContext.broadcast(stripe)
-        parts.append(cells.select("u", "i", "v").mapInArrow(_with(sent, make), schema))
-        if stripe.width < data.n_items:
-            parts[-1] = checkpointed(parts[-1])
-            sent.unpersist()
-    return union_all(parts)
+    sent = cells.sparkSession.sparkContext.broadcast(sparse_stripe(weights, n_items))
+    return cells.select("u", "i", "v").mapInArrow(_with(sent, make), schema)
 
 
 # ---------------------------------------------------------------- factors

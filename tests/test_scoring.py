@@ -187,3 +187,23 @@ def test_factor_lists(spark, data, x, remove):
     expected = lists(masked(u @ v.T, x, "remove" if remove else "none"), 5)
     for at_most in (1 << 20, 8 * 6 * 12):
         same(recommend_factors(data, people, items, 4, 5, remove, None, at_most), expected)
+
+
+@pytest.mark.parametrize("mask", ["none", "zero", "remove"])
+def test_a_large_sparse_model_does_not_pass_the_driver(spark, monkeypatch, data, x, mask):
+    """Rows in several pieces, users over several batches; nothing is gathered or broadcast by hand."""
+    monkeypatch.setattr(scoring, "_PIECE", 3)
+    monkeypatch.setattr(scoring, "_PACKED_AT_ONCE", 5)
+    draw = np.random.default_rng(15)
+    w = np.where(draw.random((ITEMS, ITEMS)) < 0.4, draw.integers(-3, 4, (ITEMS, ITEMS)) / 4, 0.0)
+    w[4] = 0.0
+    table, n = weight_table(spark, w)
+    gathered = []
+    monkeypatch.setattr(type(table), "toArrow", lambda self: gathered.append(self))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: gathered.append(value))
+    same(recommend_sparse(data, table, n, 9, mask, 9, bytes_at_most=16), lists(masked(x @ w, x, mask), 9))
+    touched = (x != 0).astype(int) @ (w != 0) > 0
+    pairs = {(r["u"], r["j"]): r["s"] for r in score_pairs(data, table, n, 16).collect()}
+    assert set(pairs) == set(zip(*map(lambda c: c.tolist(), np.nonzero(touched))))
+    assert np.allclose(list(pairs.values()), [(x @ w)[k] for k in pairs])
+    assert not gathered
