@@ -12,6 +12,8 @@ from reclattice.session import checkpointed, shuffle_partitions
 
 # A group above this many rows is never put through a single window task.
 HOT_ROWS = 2_000_000
+# Rows for which a range of huge groups is worth a task of its own, however low the bound on a group.
+RANGE_ROWS = 250_000
 # Number of hot keys that may be broadcast (a key is a few bytes; 100k keys stay small).
 HOT_KEYS_BROADCAST = 100_000
 # Rows of a group in one array.
@@ -70,9 +72,12 @@ def weighted_positions(df: DataFrame, by: str, order: list[str], weight: str, ro
 
     Rows are range-partitioned on (group, order), so one group spreads over many tasks; the
     weight found in earlier partitions is added to the position inside the partition. Adds
-    ``_start`` (weight before the row) and ``_total`` (weight of the group).
+    ``_start`` (weight before the row) and ``_total`` (weight of the group). Beyond a few ranges per shuffle
+    partition, a range has at least ``RANGE_ROWS`` rows, so many small groups do not become as many tasks.
     """
-    parts = max(shuffle_partitions(df.sparkSession), -(-rows // max(per_task, 1)))
+    usual = shuffle_partitions(df.sparkSession)
+    enough = max(4 * usual, -(-rows // max(per_task, RANGE_ROWS)))
+    parts = max(usual, min(enough, -(-rows // max(per_task, 1))))
     ranged = checkpointed(
         df.repartitionByRange(parts, by, *order).withColumn("_part", F.spark_partition_id())
     )

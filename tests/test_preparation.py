@@ -155,3 +155,21 @@ def test_lists_have_bounded_length(spark, hot_rows):
         mine = sorted((t, i) for u, i, t in data if u == user)
         found = from_lists(lists.filter(F.col("user").eqNullSafe(F.lit(user))), "user", 7).orderBy("pos").collect()
         assert [(r["pos"], r["timestamp"], r["item"]) for r in found] == [(n, *e) for n, e in enumerate(mine, 1)]
+
+
+def test_ranges_do_not_follow_a_low_bound(spark):
+    """Many users just above the bound share ranges: 400 users with 30 rows each are not 600 tasks."""
+    from reclattice.operators.ranking import weighted_positions
+
+    df = spark.range(12_000).selectExpr("id % 400 AS user", "id AS at", "1L AS w")
+    placed = weighted_positions(df, "user", ["at"], "w", 12_000, 20)
+    ranges = spark.range(12_000).selectExpr("id % 400 AS user", "id AS at", "id div 400 AS start")
+    assert placed.join(ranges, ["user", "at"]).filter("_start = start AND _total = 30").count() == 12_000
+    tracker, group = spark.sparkContext.statusTracker(), "ranges"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        weighted_positions(df, "user", ["at"], "w", 12_000, 20)
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 50
