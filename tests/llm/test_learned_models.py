@@ -184,3 +184,22 @@ def test_pipeline_stages(spark):
     assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in rows)
     clean = {r["doc_id"] for r in labels.filter("toxic = 0").collect()}
     assert len(clean) > 0 and size > 0
+
+
+def test_classes_are_learnt_from_all_documents(spark):
+    """A sample of a few texts only starts them: words and shares come from every learning text."""
+    draw = random.Random(23)
+    sides = [[f"{side}{i}" for i in range(30)] for side in "ab"]
+    rows = [(i, i < 8, " ".join(draw.choice(sides[i % 2][:10] if i < 8 else sides[i % 2]) for _ in range(20))) for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, start boolean, text string")
+    hashed = documents.mapInArrow(scoring.hashed_words, "doc_id long, start boolean, hash array<bigint>, n array<bigint>")
+    classes = scoring.learn_classes(hashed, scoring.Settings(classes=2, marks=70))
+    assert len(classes.marks) == 61 and (np.diff(classes.marks) > 0).all()
+    assert np.allclose(np.exp(classes.weight), 0.5, atol=0.02)
+    a, b = (classes.places(np.array([scoring.hash_of(w.encode()) for w in side])) for side in sides)
+    assert (a >= 0).all() and (b >= 0).all()
+    gap = classes.share[0] - classes.share[1]
+    assert (np.sign(gap[a]) == np.sign(gap[a[0]])).all() and (np.sign(gap[b]) == -np.sign(gap[a[0]])).all()
+    # Words that no sampled text holds are as frequent as the others.
+    own = np.exp(classes.share[0 if gap[a[0]] > 0 else 1][a])
+    assert own[10:].sum() > 1.5 * own[:10].sum()
