@@ -42,12 +42,13 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a check that they decode to its very bytes."""
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, forget=True)
-    # Written in between, so that an executor never holds the workers of both at once.
-    encoded = written(encoded, "encoded")
+    # Written in between, so that an executor never holds the workers of both at once; of the text only its SHA-256.
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    encoded = written(encoded.withColumn("digest", digest).drop("text"), "encoded")
     return bpe.decode(encoded, path).select(
         "doc_id", "lang", "source", "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+        (F.unhex(F.sha2("decoded", 256)) == F.col("digest")).alias("round_trip"),
     )
 
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclattice.llm.common import written
+from reclattice.llm.common import passing, written
 from reclattice.llm.similar import Settings, clusters
 from reclattice.llm.sketches import FastSimilarity
 
@@ -37,28 +37,35 @@ def one_of_each(documents: DataFrame, settings: Settings = DOCUMENTS, doc_id: st
 
     Where the kept id stands for several texts, one of each stays that are not near-duplicates.
     """
-    kept = written(
-        near_duplicates(documents, settings, doc_id, text).filter("kept and doc_id is not null").select("doc_id").distinct(),
-        "kept",
-    )
+    with passing(documents.sparkSession):
+        found = near_duplicates(documents, settings, doc_id, text)
+        kept = written(found.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept", stays=True)
     named = documents.filter(F.col(f"`{doc_id}`").isNotNull())
     chosen = named.join(kept.select(F.col("doc_id").alias("__kept")), F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
     unnamed = documents.filter(F.col(f"`{doc_id}`").isNull())
     once = chosen.withColumn("__unit", F.xxhash64(doc_id, text))
-    several = written(
-        once.groupBy(F.col(f"`{doc_id}`").alias("__several")).agg(F.count_distinct("__unit").alias("m")).filter("m > 1").select("__several"),
-        "several",
+    repeated = written(
+        once.groupBy(F.col(f"`{doc_id}`").alias("__again")).agg(F.count("*").alias("times"), F.count_distinct("__unit").alias("m"))
+        .filter("times > 1").select("__again", "m"),
+        "repeated",
     )
+    # Only rows whose id repeats are shuffled with their texts.
+    again = F.col(f"`{doc_id}`") == F.col("__again")
+    single = chosen.join(repeated, again, "left_anti").union(unnamed)
+    if repeated.isEmpty():
+        return chosen.union(unnamed)
+    single = single.union(chosen.join(repeated.filter("m = 1"), again, "left_semi").dropDuplicates([doc_id]))
+    several = repeated.filter("m > 1").select(F.col("__again").alias("__several"))
     if several.isEmpty():
-        return chosen.dropDuplicates([doc_id]).union(unnamed)
+        return single
     mixed = once.join(several, F.col(f"`{doc_id}`") == F.col("__several"), "left_semi")
-    parts = clusters(mixed.select(F.col("__unit").alias("id"), F.col(f"`{text}`").alias("text")), settings)
-    least = written(
-        mixed.select(F.col(f"`{doc_id}`").alias("__id"), "__unit").distinct()
-        .join(parts.select(F.col("id").alias("__unit"), "component").distinct(), "__unit")
-        .groupBy("__id", "component").agg(F.min("__unit").alias("__least")).select("__least"),
-        "least",
-    )
+    with passing(documents.sparkSession):
+        parts = clusters(mixed.select(F.col("__unit").alias("id"), F.col(f"`{text}`").alias("text")), settings)
+        least = written(
+            mixed.select(F.col(f"`{doc_id}`").alias("__id"), "__unit").distinct()
+            .join(parts.select(F.col("id").alias("__unit"), "component").distinct(), "__unit")
+            .groupBy("__id", "component").agg(F.min("__unit").alias("__least")).select("__least"),
+            "least", stays=True,
+        )
     own = mixed.join(least, F.col("__unit") == F.col("__least"), "left_semi").dropDuplicates(["__unit"]).drop("__unit")
-    single = chosen.join(several, F.col(f"`{doc_id}`") == F.col("__several"), "left_anti").dropDuplicates([doc_id])
-    return single.union(own).union(unnamed)
+    return single.union(own)

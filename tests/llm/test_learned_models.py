@@ -186,6 +186,17 @@ def test_pipeline_stages(spark):
     assert len(clean) > 0 and size > 0
 
 
+def test_token_stage_writes_no_texts(spark):
+    """What lies between encoding and decoding holds a digest of the text, and the check still finds all."""
+    rows = [(1, "en", "a", "Plain words, naïve ones"), (2, "en", "a", ""), (3, None, "b", None), (4, "xx", "b", "word " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    made = corpus_pipeline.token_stage(spark, docs, "")
+    found = {r["doc_id"]: r for r in made.collect()}
+    assert all(r["round_trip"] for r in found.values()) and found[2]["n_tokens"] == found[3]["n_tokens"] == 0
+    names = set(spark.read.parquet(*made.inputFiles()).columns)
+    assert names == {"doc_id", "lang", "source", "ids", "digest"}
+
+
 def test_classes_are_learnt_from_all_documents(spark):
     """A sample of a few texts only starts them: words and shares come from every learning text."""
     draw = random.Random(23)

@@ -258,3 +258,23 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     found = {r["id"]: (r["n_links"], r["component"]) for r in embeddings.cosine_links(frame).collect()}
     assert found == {i: (count[i], part[i]) for i in count}
     assert embeddings.cosine_links(frame.limit(0)).count() == 0
+
+
+def test_one_of_each_shuffles_only_texts_of_repeated_ids(spark):
+    from reclattice.session import checkpoint_dir
+    import os
+
+    words = [[f"w{i}x{k}" for k in range(30)] for i in range(40)]
+    rows = [(i, " ".join(words[i])) for i in range(40)] + [(40, " ".join(words[3])), (None, " ".join(words[3]))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    before = set(os.listdir(checkpoint_dir(spark)))
+    kept = neardup.one_of_each(documents)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == list(range(40)) and kept.count() == 41
+    assert "SortAggregate" not in kept._jdf.queryExecution().toString() and "first(text" not in kept._jdf.queryExecution().toString()
+    # Tables of the search are deleted with it.
+    made = {name.split("-")[0] for name in set(os.listdir(checkpoint_dir(spark))) - before}
+    assert made <= {"kept", "repeated"}
+    # Repeats of an id: equal texts once, different texts each.
+    again = documents.union(spark.createDataFrame([rows[5], (6, " ".join(f"v{k}" for k in range(30)))], documents.schema))
+    found = sorted((r["doc_id"], r["text"][0]) for r in neardup.one_of_each(again).filter("doc_id is not null").collect())
+    assert found == sorted([(i, "w") for i in range(40)] + [(6, "v")])
