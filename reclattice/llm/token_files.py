@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +29,13 @@ from reclattice.llm.common import add_columns
 from reclattice.session import shuffle_partitions
 
 END_ID = 1
-# Remembered per Python worker, in each of two generations: words as they stand in texts, and what
-# the library gave for their letters.
-MEMO_ENTRIES = 175_000
-CORE_ENTRIES = 175_000
+# Remembered per Python worker: whether other letters than ASCII ones may part from marks behind them,
+# and, in each of two generations, what the library gave for words without such marks.
+MEMO_ENTRIES = 50_000
+CORE_ENTRIES = 250_000
 MEMO_LENGTH = 64
-# Texts that are cut into words at a time.
-GROUP = 256
+# Bytes of texts that are cut into words at a time, but for a longer text.
+GROUP_BYTES = 8 << 20
 # Marks that may stand behind a word. An apostrophe may begin a match with what follows it.
 MARKS = string.punctuation.replace("'", "")
 # Words of letters that the library gets as one text.
@@ -79,10 +80,12 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_str(content.decode())
         # Added tokens are matched inside words and before any lower-casing, which must not make one.
-        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
-        self.memo, self.cores = Generations(MEMO_ENTRIES), Generations(CORE_ENTRIES)
-        self.long: list[str] = []
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        # A word with an added token holds one of these marks; None if a token has no mark.
+        marks = {next((c for c in token if c in string.punctuation), "") for token in added}
+        self.added_marks = None if "" in marks else "".join(sorted(marks))
+        self.cores, self.letters = Generations(CORE_ENTRIES), {}
         # Which ids end a match, if the file marks them.
         suffix = json.loads(content)["model"].get("end_of_word_suffix")
         self.last = None
@@ -91,25 +94,9 @@ class WordCodec:
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _learn(self, words: set[str]) -> None:
-        """Makes the ids of ``words`` known."""
-        new = self.memo.missing(words)
-        self.long = [word for word in new if len(word) > MEMO_LENGTH]
-        # Marks after a letter are a match of their own, and ASCII letters are lower-cased by the
-        # tokenizer anyway: both spare the library most of the distinct words.
-        added = self.added if self.added("\n".join(new)) else lambda word: None
-        cores, tails = [], []
-        for word in new:
-            core = word.rstrip(MARKS)
-            if added(word):
-                cores.append(word)
-                tails.append("")
-                continue
-            if len(core) < len(word) and not _letters(core):
-                core = word
-            cores.append(core.lower() if core.isascii() else core)
-            tails.append(word[len(core):])
-        missing = self.cores.missing(set(cores).union(tails))
+    def _learn(self, words: set[str]) -> list[str]:
+        """Makes the ids of ``words`` known; returns those that are too long to stay so."""
+        missing = self.cores.missing(words)
         known = self.cores.young
         single = [c for c in missing if _letters(c)] if self.last is not None else []
         for at in range(0, len(single), JOINED):
@@ -117,10 +104,51 @@ class WordCodec:
             known.update(zip(part, self._joined(part), strict=True))
         rest = [c for c in missing if c not in known]
         known.update(zip(rest, self._each(rest), strict=True))
-        self.memo.young.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
-        for word in self.long:
-            known.pop(word.lower() if word.isascii() else word, None)
+        return [c for c in missing if len(c) > MEMO_LENGTH]
+
+    def _holds_added(self, words: pa.Array) -> np.ndarray:
+        """Whether an added token is in each of the words."""
+        maybe = np.ones(len(words), bool)
+        if self.added_marks is not None:
+            maybe[:] = False
+            for mark in self.added_marks:
+                maybe |= pc.match_substring(words, mark).to_numpy(zero_copy_only=False)
+        maybe[maybe] = [bool(self.added(word)) for word in words.filter(pa.array(maybe)).to_pylist()]
+        return maybe
+
+    def _other_letters(self, core: str) -> bool:
+        found = self.letters.get(core)
+        if found is None:
+            if len(self.letters) >= MEMO_ENTRIES:
+                self.letters.clear()
+            found = self.letters[core] = _letters(core)
+        return found
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words. Marks after a letter are a match of their own, and ASCII letters are
+        lower-cased by the tokenizer anyway: both spare the library most of the distinct words."""
+        core = pc.ascii_rtrim(words, MARKS)
+        behind = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+        plain = pc.string_is_ascii(core).to_numpy(zero_copy_only=False)
+        apart = plain & pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False)
+        other = ~plain & (behind > 0)
+        apart[other] = [self._other_letters(c) for c in core.filter(pa.array(other)).to_pylist()]
+        added = self._holds_added(words)
+        apart &= (behind > 0) & ~added
+        core = pc.if_else(pa.array(apart), core, words)
+        core = pc.if_else(pa.array(plain & ~added), pc.ascii_lower(core), core).dictionary_encode()
+        tails = [word[-n:] for word, n in zip(words.filter(pa.array(apart)).to_pylist(), behind[apart].tolist(), strict=True)]
+        cores, marks = core.dictionary.to_pylist(), list(dict.fromkeys(["", *tails]))
+        long = self._learn({*cores, *marks})
+        known = self.cores.young
+        found = pa.array([known[c] for c in cores], pa.large_binary()).take(core.indices)
+        place = {mark: i for i, mark in enumerate(marks)}
+        which = np.zeros(len(words), np.int32)
+        which[apart] = [place[t] for t in tails]
+        tail = pa.array([known[m] for m in marks], pa.large_binary()).take(pa.array(which))
+        for word in long:
             known.pop(word, None)
+        return pc.binary_join_element_wise(found, tail, pa.scalar(b"", pa.large_binary()))
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -138,14 +166,20 @@ class WordCodec:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit integers, a few texts at a time."""
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
         out: list[bytes] = []
-        for start in range(0, len(texts), GROUP):
-            group = [(t or "").replace("\n", " ").split(" ") for t in texts.slice(start, GROUP).to_pylist()]
-            self._learn(set().union(*group))
-            look = self.memo.young.__getitem__
-            out += [b"".join(map(look, words)) for words in group]
-            for word in self.long:
-                self.memo.young.pop(word, None)
+        while len(out) < len(texts):
+            begin = len(out)
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + GROUP_BYTES, side="right")))
+            lists = pc.split_pattern(pc.replace_substring(texts.slice(begin, end - begin), "\n", " "), " ")
+            words = lists.flatten().dictionary_encode()
+            found = self._ids(words.dictionary).take(words.indices)
+            _, places, data = found.buffers()
+            at = np.frombuffer(places, np.int64)[lists.offsets.to_numpy()].tolist()
+            data = data.to_pybytes() if data else b""
+            out += [data[one:two] for one, two in zip(at, at[1:])]
         return out
 
 

@@ -258,3 +258,26 @@ def test_language_starts_in_a_plain_session(tmp_path):
         [sys.executable, "-c", script, here], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600
     )
     assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
+def test_words_are_looked_up_once_a_group(monkeypatch):
+    """A word goes through Python once for each group of texts, whatever the number of texts, and ids are the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        codec = token_files.WordCodec(file.read())
+    asked = []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda words: asked.append(len(words)) or learn(words))
+    draw = random.Random(29)
+    words = ["Été,", "été", "naïve.", "THE", "the;", "İx", "x" * 80, "3.", "́.", "日本。", "", "\t", "a\nb", "<|endoftext|>É,"]
+    texts = [None, "", " ", *(" ".join(draw.choice(words) for _ in range(draw.randint(0, 9))) for _ in range(2000))]
+    for bytes_a_group, groups in ((8 << 20, 1), (1, len(texts))):
+        monkeypatch.setattr(token_files, "GROUP_BYTES", bytes_a_group)
+        asked.clear()
+        for part in (pa.array(texts), pa.array(["left out", *texts]).slice(1)):
+            for text, data in zip(texts, codec.encode(part), strict=True):
+                assert np.frombuffer(data, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert sum(asked[: len(asked) // 2]) < 60 or bytes_a_group == 1
+        assert len(asked) <= 2 * groups
+    assert not [word for word in codec.cores.young if len(word) > token_files.MEMO_LENGTH]
