@@ -32,10 +32,10 @@ END_ID = 1
 # Remembered per Python worker: whether other letters than ASCII ones may part from marks behind them,
 # and, in each of two generations, what the library gave for words without such marks.
 MEMO_ENTRIES = 50_000
-CORE_ENTRIES = 250_000
+CORE_ENTRIES = 400_000
 MEMO_LENGTH = 64
 # Bytes of texts that are cut into words at a time, but for a longer text.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 # Marks that may stand behind a word. An apostrophe may begin a match with what follows it.
 MARKS = string.punctuation.replace("'", "")
 # Words of letters that the library gets as one text.
