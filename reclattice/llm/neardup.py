@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reclattice.llm.common import passing, written
 from reclattice.llm.similar import Settings, clusters
 from reclattice.llm.sketches import FastSimilarity
+from reclattice.session import broadcast_if_small
 
 # 32 bands of 4 of 128 coordinates: a pair at 0.8 shares no band with a chance of 5e-8.
 DOCUMENTS = Settings(sketch=FastSimilarity, bands=32, rows=4, width=5, similarity=Fraction(4, 5))
@@ -41,7 +42,9 @@ def one_of_each(documents: DataFrame, settings: Settings = DOCUMENTS, doc_id: st
         found = near_duplicates(documents, settings, doc_id, text)
         kept = written(found.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept", stays=True)
     named = documents.filter(F.col(f"`{doc_id}`").isNotNull())
-    chosen = named.join(kept.select(F.col("doc_id").alias("__kept")), F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
+    # Texts stay where they are while the kept ids are small.
+    ids = broadcast_if_small(kept.select(F.col("doc_id").alias("__kept")), kept.count(), 32)
+    chosen = named.join(ids, F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
     unnamed = documents.filter(F.col(f"`{doc_id}`").isNull())
     once = chosen.withColumn("__unit", F.xxhash64(doc_id, text))
     repeated = written(

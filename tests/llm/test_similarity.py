@@ -278,3 +278,15 @@ def test_one_of_each_shuffles_only_texts_of_repeated_ids(spark):
     again = documents.union(spark.createDataFrame([rows[5], (6, " ".join(f"v{k}" for k in range(30)))], documents.schema))
     found = sorted((r["doc_id"], r["text"][0]) for r in neardup.one_of_each(again).filter("doc_id is not null").collect())
     assert found == sorted([(i, "w") for i in range(40)] + [(6, "v")])
+
+
+def test_one_of_each_broadcasts_few_kept_ids(spark):
+    """Whatever the session's own threshold, texts are not shuffled to meet a small table of ids."""
+    documents = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.one_of_each(documents)
+        assert kept.count() == 20 and "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
