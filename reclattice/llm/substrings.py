@@ -224,15 +224,15 @@ def paragraph_sketches(documents: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """(who, copies, at, id, start, end, left, right, left_start, right_end) of the pieces
-    ``common`` (who, at, id): hashes of up to ``SIDE`` words on either side, the nearest first, and
+    """(who, copies, at, id, leads, start, end, left, right, left_start, right_end) of the pieces
+    ``common`` (who, at, id, leads): hashes of up to ``SIDE`` words on either side, the nearest first, and
     how far before the start or behind the end of the piece they reach. Rows of equal id and text are one here; ``copies`` counts them."""
-    places = common.groupBy("who").agg(F.collect_set(F.struct("at", "id")).alias("places"), F.count("*").alias("times"))
+    places = common.groupBy("who").agg(F.collect_set(F.struct("at", "id", "leads")).alias("places"), F.count("*").alias("times"))
     places = places.select("who", (F.col("times") / F.size("places")).cast("long").alias("copies"), F.sort_array("places").alias("places"))
     held = written(docs.join(places, "who"), "holders")
     held = held.filter("copies = 1").unionByName(held.filter("copies > 1").dropDuplicates(["who"]))
     ship_package(docs.sparkSession)
-    held = held.select("who", "copies", F.col("places.at").alias("at"), F.col("places.id").alias("id"), "text")
+    held = held.select("who", "copies", *[F.col(f"places.{c}").alias(c) for c in ("at", "id", "leads")], "text")
     kind = held.schema["who"].dataType.simpleString()
 
     def run(batches):
@@ -242,7 +242,7 @@ def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
                 row, at, start, end = [], [], [], []
                 values = {name: [] for name in ("left", "right", "left_start", "right_end")}
                 length = {"left": [], "right": []}
-                for i, (text, own) in enumerate(zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                for i, (text, own) in enumerate(zip(part.column(5).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     cut, own = Cut(text), np.array(own, np.int64)
                     row.append(np.full(len(own), i))
                     at.append(own)
@@ -261,16 +261,16 @@ def _surroundings(docs: DataFrame, common: DataFrame) -> DataFrame:
                 offsets = {k: pa.array(np.concatenate([[0], np.cumsum(np.concatenate(v))]).astype(np.int32)) for k, v in length.items()}
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(row), part.column(1).take(row),
-                    pa.array(np.concatenate(at).astype(np.int32)), part.column(3).flatten(),
+                    pa.array(np.concatenate(at).astype(np.int32)), part.column(3).flatten(), part.column(4).flatten(),
                     pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(end).astype(np.int32)),
                     *[
                         pa.ListArray.from_arrays(offsets[name.split("_")[0]], pa.array(np.concatenate(v)))
                         for name, v in values.items()
                     ],
-                ], names=["who", "copies", "at", "id", "start", "end", *values])
+                ], names=["who", "copies", "at", "id", "leads", "start", "end", *values])
 
     return held.mapInArrow(run, (
-        f"who {kind}, copies bigint, at int, id bigint, start int, end int, "
+        f"who {kind}, copies bigint, at int, id bigint, leads boolean, start int, end int, "
         "left array<bigint>, right array<bigint>, left_start array<int>, right_end array<int>"
     ))
 
@@ -338,17 +338,15 @@ def _passages(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     def small(df: DataFrame, row_bytes: int) -> DataFrame:
         return F.broadcast(df) if many * row_bytes <= BROADCAST_BYTES else df
 
-    common = pieces.join(small(repeated.select("id"), 32), "id", "left_semi").select("who", "at", "id")
+    # The first occurrence is marked here, where rows are narrow: the wide ones are shuffled once.
+    leads = F.col("origin").eqNullSafe(F.struct("who", "at"))
+    common = pieces.join(small(repeated, 64), "id").select("who", "at", "id", leads.alias("leads"))
     with passing(docs.sparkSession):
         around = written(_surroundings(docs, common), "pieces", stays=True)
     names = {"who": "first", "at": "first_at", **{c: f"first_{c}" for c in ("copies", "start", "end", "left", "right", "left_start", "right_end")}}
-    origins = (
-        around.join(small(repeated, 64), "id").filter(F.col("origin").eqNullSafe(F.struct("who", "at")))
-        .drop("origin").withColumnsRenamed(names)
-    )
-    own = (F.col("who").eqNullSafe(F.col("first"))) & (F.col("at") == F.col("first_at"))
+    origins = around.filter("leads").drop("leads").withColumnsRenamed(names)
     grown = (
-        around.join(small(origins, 768), "id").filter(~own | (F.col("copies") > 1))
+        around.filter(~F.col("leads") | (F.col("copies") > 1)).join(small(origins, 768), "id")
         .withColumn("l", F.expr(_agree("left", "first_left"))).withColumn("r", F.expr(_agree("right", "first_right")))
         .select(
             "who", "first", "copies", "first_copies", (F.col("at") - F.col("first_at")).alias("shift"),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from reclattice.llm import covertree, embeddings, neardup, similar, sketches, substrings
+from reclattice.llm.common import written
 from reclattice.llm.components import connected_components
 
 
@@ -217,6 +218,24 @@ def test_rows_that_repeat_are_occurrences(spark):
     assert sorted((r["doc_id"] or 0, r["words"], r["removed"]) for r in found) == [(0, 40, False), (0, 40, True), (1, 40, True), (1, 40, True)]
 
 
+def test_surroundings_of_pieces_are_joined_once(spark, monkeypatch):
+    # With tables that are too large to broadcast, a join shuffles every word around every piece.
+    plans = {}
+
+    def watched(df, name, stays=False):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name, stays)
+
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(substrings, "written", watched)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b " + text), (2, "c d " + text), (2, "c d " + text), (3, text + " e f")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeats(documents).filter("kind = 'piece'").collect()
+    assert plans["matches"].count("Join") == 1
+    assert {(r["doc_id"], r["removed"]) for r in found if r["words"] == 40} == {(1, False), (2, True), (3, True)}
+
+
 def test_cover_tree_equals_brute_force():
     draw = np.random.default_rng(6)
     for spread, cosine in ((0.05, 0.93), (0.5, 0.9), (3.0, 0.2)):
