@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
@@ -24,13 +23,11 @@ from pyspark.sql import functions as F
 from reclattice.llm.common import TEXTS, add_columns, written
 from reclattice.llm.components import connected_components
 from reclattice.llm.covertree import Forest
-from reclattice.llm.sketches import Shingler, band_keys, set_key
+from reclattice.llm.sketches import Shingler, Words, band_keys, set_key, text_groups
 from reclattice.session import BROADCAST_BYTES, ship_package
 
 # Nodes per block of step 3; a task there compares two blocks.
 BLOCK = 512
-# Sets that the verifier remembers per task.
-HELD_SETS = 64
 
 
 @dataclass(frozen=True)
@@ -107,25 +104,21 @@ def verified(pairs: DataFrame, texts: Texts, settings: Settings) -> DataFrame:
     top, bottom = settings.similarity.numerator, settings.similarity.denominator
 
     def run(batches):
-        shingle, held = Shingler(settings.width), OrderedDict()
-
-        def of(text: str) -> np.ndarray:
-            found = held.pop(text, None)
-            if found is None:
-                found = shingle(text)
-            held[text] = found
-            if len(held) > HELD_SETS:
-                held.popitem(last=False)
-            return found
-
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                # The right text is the pivot's and comes again and again; the left is read once.
-                x, y = shingle(one.as_py()), of(two.as_py())
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bottom * shared >= top * (len(x) + len(y) - shared) and shared > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            keep = [np.zeros(0, bool)]
+            for _, (one, two) in text_groups(batch.column(2), batch.column(3)):
+                many = len(one)
+                text, key = Words(one + two).sets(settings.width)
+                size = np.bincount(text, minlength=2 * many)
+                # A hash that comes twice in a pair is in both sets.
+                pair = text % many
+                order = np.lexsort((key, pair))
+                pair, key = pair[order], key[order]
+                twice = (pair[1:] == pair[:-1]) & (key[1:] == key[:-1])
+                shared = np.bincount(pair[1:][twice], minlength=many)
+                keep.append((bottom * shared >= top * (size[:many] + size[many:] - shared)) & (shared > 0))
+            keep = pa.array(np.concatenate(keep))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
     kind = dict(pairs.dtypes)["a"]
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
@@ -169,39 +162,60 @@ def joining_links(rest: DataFrame, texts: Texts, settings: Settings) -> DataFram
     found = _texts_of(texts, ids, rest.count(), settings).withColumnRenamed("id", "node")
     dealt = _blocks(rest).join(found, "node").select("h", "task", "side", "node", "component", "text")
 
-    def compare(group: pa.Table) -> pa.Table:
-        shingle = Shingler(settings.width)
-        side, node, part = (group[c].to_numpy() for c in ("side", "node", "component"))
-        sets = [shingle(t.as_py()) for t in group["text"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.cumsum(size) - size
-        marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    def compare(rows: list[tuple]) -> list[tuple]:
+        """The links of one task; rows are (side, node, component, set)."""
+        node, part = [r[1] for r in rows], [r[2] for r in rows]
+        side, size = np.array([r[0] for r in rows]), np.array([len(r[3]) for r in rows], np.int64)
         same = not (side == 1).any()
         one = np.flatnonzero((side == 0) & (size > 0))
         two = one if same else np.flatnonzero((side == 1) & (size > 0))
         if not len(one) or not len(two):
-            return pa.table({"a": np.zeros(0, node.dtype), "b": np.zeros(0, node.dtype)})
+            return []
+        _, flat = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+        cuts = np.cumsum(size) - size
+        marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
         # Rows of the second block one after the other, each with the places of its shingles.
         listed = np.concatenate([flat[cuts[j]:cuts[j] + size[j]] for j in two])
         starts = np.cumsum(size[two]) - size[two]
-        forest = Forest(part)
-        a, b = [], []
+        parts = np.array(part)
+        forest = Forest(parts)
+        found = []
         for i in one:
             own = flat[cuts[i]:cuts[i] + size[i]]
             marked[own] = True
             shared = np.add.reduceat(marked[listed], starts, dtype=np.int64)
             marked[own] = False
-            hit = (bottom * shared >= top * (size[i] + size[two] - shared)) & (part[two] != part[i])
+            hit = (bottom * shared >= top * (size[i] + size[two] - shared)) & (parts[two] != parts[i])
             for j in two[hit]:
-                x, y = int(part[i]), int(part[j])
-                if forest.find(x) != forest.find(y):
-                    forest.union(x, y)
-                    a.append(node[i])
-                    b.append(node[j])
-        return pa.table({"a": np.array(a, node.dtype), "b": np.array(b, node.dtype)})
+                if forest.find(part[i]) != forest.find(part[j]):
+                    forest.union(part[i], part[j])
+                    found.append((node[i], node[j]))
+        return found
 
-    return dealt.groupBy("h", "task").applyInArrow(compare, f"a {kind}, b {kind}")
+    def run(batches):
+        # Rows of a task follow each other; the last one of a batch may go on in the next.
+        task, rows = None, []
+        for batch in batches:
+            links = []
+            for begin, (texts,) in text_groups(batch.column(5)):
+                text, key = Words(texts).sets(settings.width)
+                sets = np.split(key, np.searchsorted(text, np.arange(1, len(texts))))
+                *tasks, side, node, part = (batch.column(i).slice(begin, len(texts)).to_pylist() for i in range(5))
+                for now, row in zip(zip(*tasks, strict=True), zip(side, node, part, sets, strict=True), strict=True):
+                    if now != task:
+                        links += compare(rows) if rows else []
+                        task, rows = now, []
+                    rows.append(row)
+            yield linked(links)
+        if rows:
+            yield linked(compare(rows))
+
+    def linked(links: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()).cast(ends) for i in (0, 1)], names=["a", "b"])
+
+    ends = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.int64())
+    dealt = dealt.repartition("h", "task").sortWithinPartitions("h", "task")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None, sketches: DataFrame | None = None) -> DataFrame:
@@ -219,27 +233,36 @@ def clusters(units: DataFrame, settings: Settings, texts: Texts | None = None, s
     rows = written(every.distinct() if settings.one_text else every, "sketches")
     real = rows.filter("n > 0 and id is not null")
     equal = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
-    member = written(real.select("id", "n", "k1", "k2").join(equal, ["k1", "k2", "n"]).select("id", "n", "node"), "members")
-    nodes = real.join(equal, (real.id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2) & (real.n == equal.n), "left_semi")
-    # A node has the bands of all sets whose least id it is.
-    nodes = nodes.select(F.col("id").alias("node"), "n", "k1", "k2", "bands").dropDuplicates(["node", "k1", "k2", "n"])
+    # The row of a node keeps its bands: those of all sets whose least id it is.
+    own = F.when(F.col("id") == F.col("node"), F.col("bands")).alias("bands")
+    member = written(real.join(equal, ["k1", "k2", "n"]).select("id", "n", "node", "k1", "k2", own), "members")
+    nodes = member.filter("bands is not null").select("node", "n", "k1", "k2", "bands")
+    if not settings.one_text:
+        nodes = nodes.dropDuplicates(["node", "k1", "k2", "n"])
 
     # A set of n shingles and a different one have a Jaccard similarity of n / (n + 1) at most.
     top, bottom = settings.similarity.numerator, settings.similarity.denominator
-    entries = nodes.filter(F.col("n") * (bottom - top) >= top).select("node", F.explode("bands").alias("h"))
-    pivots = (
-        entries.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    nodes = written(nodes.filter(F.col("n") * (bottom - top) >= top).select("node", "bands"), "nodes")
+    entries = nodes.select("node", F.explode("bands").alias("h"))
+    pivots = written(
+        entries.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"),
+        "pivots",
     )
+    # Most bands have one node: the others are broadcast while their number is small.
+    if pivots.count() * 64 <= BROADCAST_BYTES:
+        pivots = F.broadcast(pivots)
     # Half of the buckets, by a bit of the band key, use their least node and half their greatest.
     pivot = F.when(F.col("h").bitwiseAND(1) == 0, F.col("lo")).otherwise(F.col("hi"))
     shared = written(entries.join(pivots, "h").select("h", "m", "node", pivot.alias("pivot")), "buckets")
     stars = written(
         shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars"
     )
-    # A repeated id ties its texts together, and equal sets are tied by their common node.
-    repeated = member.groupBy("id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).filter(F.size("all") > 1)
-    ties = repeated.select(F.explode("all").alias("a"), "b").union(repeated.select(F.col("id").alias("a"), "b"))
-    first = written(verified(stars, texts, settings).union(ties), "links")
+    links = verified(stars, texts, settings)
+    if not settings.one_text:
+        # A repeated id ties its texts together, and equal sets are tied by their common node.
+        repeated = member.groupBy("id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).filter(F.size("all") > 1)
+        links = links.union(repeated.select(F.explode("all").alias("a"), "b")).union(repeated.select(F.col("id").alias("a"), "b"))
+    first = written(links, "links")
     found = written(connected_components(first), "components")
 
     def component(df: DataFrame) -> DataFrame:

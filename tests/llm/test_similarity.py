@@ -236,6 +236,33 @@ def test_surroundings_of_pieces_are_joined_once(spark, monkeypatch):
     assert {(r["doc_id"], r["removed"]) for r in found if r["words"] == 40} == {(1, False), (2, True), (3, True)}
 
 
+def test_equal_texts_are_cut_and_compared_once(spark, monkeypatch):
+    tables = {}
+
+    def watched(df, name, stays=False):
+        tables[name] = written(df, name, stays)
+        return tables[name]
+
+    monkeypatch.setattr(substrings, "written", watched)
+    text, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "vw")
+    # ``inner`` has no piece of its own: all of them stand in document 0 before.
+    inner = " ".join(f"u{i}" for i in range(40))
+    rows = [(0, f"a b {inner} c d")] + [(i, text) for i in range(1, 6)] + [(6, inner), (7, inner), (8, other), (8, other), (None, f"{other}  {other}")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeats(documents).filter("kind = 'piece' and words >= 40").collect()
+    assert tables["occurrences"].count() == 5
+    assert "who" in tables["pieces"].columns and tables["pieces"].filter("who.doc_id between 1 and 5").isEmpty()
+    several = {}
+    for r in found:
+        several.setdefault((r["words"], r["doc_id"], r["removed"]), []).append((r["start"], r["end"]))
+    n, m = len(other), len(inner)
+    assert several == {
+        **{(60, i, i > 1): [(0, len(text))] for i in range(1, 6)},
+        (40, 0, False): [(4, 4 + m)], (40, 6, True): [(0, m)], (40, 7, True): [(0, m)],
+        (60, 8, True): [(0, n), (0, n)], (60, None, False): [(0, n)], (60, None, True): [(n + 2, 2 * n + 2)],
+    }
+
+
 def test_cover_tree_equals_brute_force():
     draw = np.random.default_rng(6)
     for spread, cosine in ((0.05, 0.93), (0.5, 0.9), (3.0, 0.2)):
