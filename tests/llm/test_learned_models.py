@@ -214,3 +214,20 @@ def test_classes_are_learnt_from_all_documents(spark):
     # Words that no sampled text holds are as frequent as the others.
     own = np.exp(classes.share[0 if gap[a[0]] > 0 else 1][a])
     assert own[10:].sum() > 1.5 * own[:10].sum()
+
+
+def test_words_of_several_texts_are_weighed_at_once():
+    texts = ["One two two".encode(), b"", "Été one  ".encode(), b"two " * 3]
+    tokens = scoring.Tokens(texts)
+    words = tokens.bytes_of(np.arange(len(tokens.key)))
+    found = [dict() for _ in texts]
+    for text, word, times in zip(tokens.text, tokens.word, tokens.times):
+        found[text][words[word]] = times
+    assert found == [dict(Counter(scoring.words_of(t.decode()))) for t in texts] and tokens.size.tolist() == [4, 1, 3, 4]
+    memo = scoring.Memo(np.int64)
+    memo.add(tokens.key, np.arange(len(tokens.key)))
+    assert not len(memo.missing(tokens.key, 100)) and memo.values(tokens.key)[0].tolist() == list(range(len(words)))
+    # What is marked stays when the memo is full.
+    more = np.array([2, 4], np.uint64)
+    memo.missing(more, len(words), lambda columns: columns[0] == 1)
+    assert memo.missing(tokens.key, 100).tolist() == [i for i in range(len(words)) if i != 1]
