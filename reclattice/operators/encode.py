@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reclattice.session import broadcast_if_small, checkpointed
+from reclattice.session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
 # monotonically_increasing_id keeps the row number inside a partition in its low bits.
 _ROW_BITS = 33
@@ -66,8 +69,42 @@ class OrdinalEncoder:
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 
+    def _listed(self, df: DataFrame) -> bool:
+        """Whether the values are too many for a table in a join's memory, yet as a plain list by index small enough to
+        be sent, so that rows need no shuffle."""
+        kind = self.mapping.schema[self.column].dataType
+        if isinstance(kind, (T.LongType, T.IntegerType, T.DoubleType)):
+            each = 8
+        elif isinstance(kind, T.StringType):
+            each = 4 + self.row_bytes - _ROW_BYTES
+        else:
+            return False
+        whole = isinstance(df.schema[self.column].dataType, (T.LongType, T.IntegerType))
+        return whole and self.size * each <= BROADCAST_BYTES < self.size * self.row_bytes
+
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the column's indices replaced by their values."""
+        if self._listed(df):
+            return self._looked_up(df)
         known = self._side().select(F.col(self.column).alias("_value"), F.col(PLACE).alias("_place"))
         found = df.join(known, F.col(self.column) == F.col("_place"), "left")
         return found.select(*[F.col("_value").alias(c) if c == self.column else F.col(c) for c in df.columns])
+
+    def _looked_up(self, df: DataFrame) -> DataFrame:
+        table = self.mapping.select(self.column, PLACE).toArrow()
+        order = np.argsort(table[PLACE].to_numpy())
+        sent = df.sparkSession.sparkContext.broadcast(table[self.column].combine_chunks().take(pa.array(order)))
+        at, name = df.columns.index(self.column), self.column
+        schema = T.StructType([self.mapping.schema[name] if c == name else df.schema[c] for c in df.columns])
+
+        def task(batches):
+            values = sent.value
+            for batch in batches:
+                place = batch.column(at)
+                index = np.asarray(place.fill_null(-1))
+                out = (index < 0) | (index >= len(values))
+                found = values.take(pa.array(np.where(out, 0, index), mask=out))
+                yield pa.RecordBatch.from_arrays([found if c == at else x for c, x in enumerate(batch.columns)], names=df_names)
+
+        df_names = df.columns
+        return df.mapInArrow(task, schema)

@@ -30,16 +30,24 @@ def binarize_rating(df: DataFrame, values: str = "rating", min_value: float = 3.
     return df.withColumn(values, binarized(F.col(values), min_value))
 
 
-def without_seen(scores: DataFrame, seen: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
-    """Drop scored pairs that occur in ``seen`` (the removing mask)."""
+def without_seen(
+    scores: DataFrame, seen: DataFrame, user: str = "user", item: str = "item", own: str | None = None
+) -> DataFrame:
+    """Drop scored pairs that occur in ``seen`` (the removing mask). Where the column ``own`` of the scores is the value of
+    the pair in ``seen``, null without one, no pair travels to be looked up; the column is dropped."""
+    if own is not None:
+        return scores.filter(F.col(own).isNull()).drop(own)
     return scores.join(seen.select(user, item), [user, item], "left_anti")
 
 
 def zero_seen(
     scores: DataFrame, seen: DataFrame, user: str = "user", item: str = "item", value: str = "rating",
-    score: str = "scores",
+    score: str = "scores", own: str | None = None,
 ) -> DataFrame:
-    """Set the score of pairs seen with a non-zero value to 0; they stay candidates."""
+    """Set the score of pairs seen with a non-zero value to 0; they stay candidates. ``own`` is as in ``without_seen``."""
+    if own is not None:
+        zero = F.when(F.col(own) != 0, F.lit(0.0)).otherwise(F.col(score))
+        return scores.withColumn(score, zero).drop(own)
     marks = (
         seen.filter(F.col(value) != 0)
         .groupBy(user, item)

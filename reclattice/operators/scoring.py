@@ -1,8 +1,8 @@
 """Scores and top-k of users against an item-item or a factor model.
 
 Cells stay where they are: partitioned and sorted by user (see ``models.base``). A sparse model within
-a bound is broadcast whole; a larger one meets the cells in a join on the item, its rows packed, and
-never passes the driver. A dense model is made once, kept in a checkpoint, and cut into column stripes
+a bound is broadcast whole; of a larger one each block of users is sent the rows of its items, packed, each once, and
+it never passes the driver. A dense model is made once, kept in a checkpoint, and cut into column stripes
 of counted size. One stripe at a time is broadcast and every task walks its users past it, so neither
 the cells nor a users x items table is ever shuffled, and no plan holds a copy of the model per block of
 users. Only the k best of a user leave a task; with several stripes they are merged.
@@ -49,10 +49,11 @@ _VECTORS_AT_ONCE = 8192
 _ANGLE_ERROR = 1e-7
 # Bytes of one sparse weight in a stripe.
 _WEIGHT_BYTES = 16
-# Weights in one packed piece of a model row, packed rows a task takes at once, and products that a
-# task is meant for.
-_PIECE = 1024
+# Weights packed into one message (at least one row of the model), cells that a task takes at once beside such rows,
+# weights whose rows are put together in one task, and products that a task is meant for.
+_PIECE = 500_000
 _PACKED_AT_ONCE = 10_000
+_WEIGHTS_PER_HOME = 2_000_000
 _PRODUCTS_PER_TASK = 4_000_000
 
 
@@ -249,50 +250,213 @@ def sparse_stripe(weights: DataFrame, n_items: int) -> SparseStripe:
 # ---------------------------------------------------------------- large sparse models
 
 
-def packed_rows(weights: DataFrame) -> DataFrame:
-    """(i, js, bs): rows of weights (i, j, b) in pieces of at most ``_PIECE`` weights."""
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as many bytes as the largest needs, first bytes first."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + planes.tobytes()
+
+
+def _wide(data: memoryview, many: int) -> tuple[np.ndarray, memoryview]:
+    """The numbers that ``_narrow`` packed, and the rest of the bytes."""
+    width = data[0]
+    wide = np.zeros((many, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data[1 : 1 + width * many], np.uint8).reshape(width, many).T
+    return wide.view("<i8").ravel(), data[1 + width * many :]
+
+
+def pack_weights(i: np.ndarray, j: np.ndarray, b: np.ndarray) -> bytes:
+    """Weights in order of (i, j), none twice, as bytes: gaps between the items, values by their place among the
+    different ones where these are few. Nothing is rounded."""
+    first = np.r_[True, i[1:] != i[:-1]] if i.size else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
+    known, code = np.unique(b.view(np.int64), return_inverse=True)
+    if many := known.size <= 256:
+        values = known.tobytes() + code.astype(np.uint8).tobytes()
+    else:
+        values = np.ascontiguousarray(b.view(np.uint8).reshape(-1, 8).T).tobytes()
+    head = np.array([i.size, starts.size, known.size if many else 0], np.int64).tobytes()
+    gaps = np.where(first, j, j - np.r_[0, j[:-1]])
+    rows = _narrow(np.diff(i[starts], prepend=0)) + _narrow(np.diff(np.r_[starts, i.size]))
+    data = head + rows + _narrow(gaps) + values
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack_weights(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(items, weights of each, j, b) of packed weights."""
+    data = pa.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"), "zstd")
+    size, rows, known = np.frombuffer(data, np.int64, 3).tolist()
+    items, rest = _wide(memoryview(data)[24:], rows)
+    each, rest = _wide(rest, rows)
+    gaps, rest = _wide(rest, size)
+    upto = np.cumsum(gaps)
+    starts = np.cumsum(each) - each
+    j = upto - np.repeat(upto[starts] - gaps[starts], each)
+    if known:
+        b = np.frombuffer(rest[: 8 * known], np.float64)[np.frombuffer(rest[8 * known :], np.uint8)]
+    else:
+        b = np.ascontiguousarray(np.frombuffer(rest, np.uint8).reshape(8, -1).T).view(np.float64).ravel()
+    return np.cumsum(items), each, j, b
+
+
+def _ranges(first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """``first[0], first[0] + 1, ...``, ``each[0]`` of them, then the same of the next."""
+    return np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= at_once:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+_SENT = "to int, routes boolean, packed binary"
+
+
+def _sent(to: list[int], routes: bool, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(to, pa.int32()), pa.array([routes] * len(to), pa.bool_()), pa.array(packed, pa.binary())],
+        names=["to", "routes", "packed"],
+    )
+
+
+def _runs(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of every run of equal values."""
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if of.size else np.empty(0, np.int64)
+    return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), of.size]))
 
-    def pack(batches):
+
+def _cuts(each: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows in parts of about ``_PIECE`` weights; a part has at least one row."""
+    upto, lo = np.r_[0, np.cumsum(each)], 0
+    while lo < each.size:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _PIECE, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def rows_of_blocks(cells: DataFrame, weights: DataFrame, n_weights: int, n_items: int, blocks: int) -> DataFrame:
+    """(to, packed): the rows of weights (i, j, b), each once for every block ``to`` of users with a cell (block, i).
+
+    Weights and the blocks that need an item meet at the item's home, packed by home, so that one shuffle moves either."""
+    homes = max(shuffle_partitions(cells.sparkSession), -(-n_weights // _WEIGHTS_PER_HOME))
+    per = -(-n_items // homes)
+
+    def placed(i: np.ndarray) -> np.ndarray:
+        return i % homes * per + i // homes
+
+    def of_weights(batches):
+        for table in _gathered(batches, _WEIGHTS_PER_HOME):
+            i, j, b = (table[n].to_numpy() for n in ("i", "j", "b"))
+            order = np.argsort(placed(i) * n_items + j, kind="stable")
+            i, j, b = i[order], j[order], b[order]
+            for home, lo, hi in _runs(i % homes):
+                yield _sent([home], False, [pack_weights(i[lo:hi], j[lo:hi], b[lo:hi])])
+
+    def of_cells(batches):
+        for table in _gathered(batches, _WEIGHTS_PER_HOME):
+            code = np.unique(placed(table["i"].to_numpy()) * blocks + table["block"].to_numpy())
+            at, block = np.divmod(code, blocks)
+            for home, lo, hi in _runs(at // per):
+                # As weights of 1 from items to blocks.
+                own = at[lo:hi] % per * homes + home
+                yield _sent([home], True, [pack_weights(own, block[lo:hi], np.ones(hi - lo))])
+
+    def met(batches):
+        found, wanted = [], []
         for batch in batches:
-            i, j, b = (batch.column(n) for n in ("i", "j", "b"))
-            at = i.to_numpy()
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if at.size else np.empty(0, np.int64)
-            pieces = -(-np.diff(np.r_[starts, at.size]) // _PIECE)
-            within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first = np.repeat(starts, pieces) + within * _PIECE
-            edges = pa.array(np.r_[first, at.size], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[first]), pa.ListArray.from_arrays(edges, j), pa.ListArray.from_arrays(edges, b)],
-                names=["i", "js", "bs"],
-            )
-
-    rows = weights.select(*[F.col(c).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("b", "double"))])
-    return rows.repartition("i").sortWithinPartitions("i", "j").mapInArrow(pack, "i long, js array<long>, bs array<double>")
+            for routes, packed in zip(batch.column("routes").to_pylist(), batch.column("packed")):
+                i, each, j, b = unpack_weights(packed.as_buffer())
+                if routes:
+                    wanted.append((np.repeat(i, each), j))
+                else:
+                    found.append((np.repeat(i, each), j, b))
+        if not found or not wanted:
+            return
+        i, j, b = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        order = np.argsort(placed(i) * n_items + j, kind="stable")
+        i, j, b = i[order], j[order], b[order]
+        items, starts = np.unique(i, return_index=True)
+        each = np.diff(np.r_[starts, i.size])
+        need, block = (np.concatenate(x) for x in zip(*wanted))
+        wanted.clear()
+        code = np.unique(block * n_items + need)
+        block, need = np.divmod(code, n_items)
+        at = np.minimum(np.searchsorted(items, need), items.size - 1)
+        known = items[at] == need
+        block, at = block[known], at[known]
+        for to, lo, hi in _runs(block):
+            mine = at[lo:hi]
+            for a, z in _cuts(each[mine]):
+                rows = mine[a:z]
+                which = _ranges(starts[rows], each[rows])
+                yield _sent([to], False, [pack_weights(i[which], j[which], b[which])])
+
+    typed = weights.select(*[F.col(c).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("b", "double"))])
+    sent = typed.mapInArrow(of_weights, _SENT).unionByName(cells.select("block", "i").mapInArrow(of_cells, _SENT))
+    return sent.repartitionById(homes, "to").mapInArrow(met, _SENT).select("to", "packed")
 
 
 def _beside_rows(data, weights: DataFrame, n_weights: int, each: Callable, schema: T.StructType) -> DataFrame:
     """``each(rows, code, s)`` on blocks of whole users: their cells, and code ``row * n_items + column``
-    and sum of every scored pair. A cell travels to its user with the model's row of its item; nothing
-    passes the driver."""
+    and sum of every scored pair. The model's rows travel, packed, once to each block of users that has a cell of
+    their item; nothing passes the driver."""
     n_items, spark = data.n_items, data.cells.sparkSession
     products = n_weights * data.n_cells // max(n_items, 1)
-    parts = max(shuffle_partitions(spark), -(-products // _PRODUCTS_PER_TASK))
-    # A cell of an item without weights stays: it is seen, and its user has a list.
-    met = data.cells.select("u", "i", "v").join(packed_rows(weights), "i", "left")
-    by_user = met.select("u", "i", "v", "js", "bs").repartition(parts, "u").sortWithinPartitions("u")
+    blocks = max(shuffle_partitions(spark), -(-products // _PRODUCTS_PER_TASK))
+    block = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
+    cells = data.cells.select(block.alias("block"), "u", "i", "v")
+    rows = rows_of_blocks(cells, weights, n_weights, n_items, blocks).withColumnRenamed("to", "block")
+    met = rows.unionByName(cells, allowMissingColumns=True).repartitionById(blocks, "block")
+    by_user = met.select("packed", "u", "i", "v").sortWithinPartitions(F.col("packed").isNull(), "u", "i")
 
     def task(batches):
-        for table, users, starts in _whole_users(batches, _PACKED_AT_ONCE):
-            row = np.repeat(np.arange(len(users)), np.diff(starts))
+        found, first, stripe = [], [], None
+
+        def made() -> tuple[np.ndarray, SparseStripe]:
+            """The items that have weights, in order, and their rows; one more row is empty."""
+            parts = list(zip(*found)) or [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+            items, many, j, b = (np.concatenate(x) for x in parts)
+            found.clear()
+            order = np.argsort(items, kind="stable")
+            which = _ranges((np.cumsum(many) - many)[order], many[order])
+            own, starts = np.unique(items[order], return_index=True)
+            upto = np.r_[0, np.cumsum(many[order])]
+            return own, SparseStripe(0, n_items, np.r_[upto[starts], upto[-1], upto[-1]], j[which], b[which])
+
+        def only_cells():
+            # Rows come first; a batch may hold the last of them and the first cells.
+            for batch in batches:
+                packed = batch.column("packed")
+                rows_here = len(batch) - packed.null_count
+                for one in packed.slice(0, rows_here):
+                    i, many, j, b = unpack_weights(one.as_buffer())
+                    found.append((i, many, j.astype(place), b))
+                if rows_here < len(batch):
+                    yield batch.slice(rows_here)
+
+        for table, users, starts in _whole_users(only_cells(), _PACKED_AT_ONCE):
+            if stripe is None:
+                first, stripe = made()
             i, v = table["i"].to_numpy(), table["v"].to_numpy()
-            # An item whose row is in several pieces has its cell once for each.
-            cells, at = np.unique(row * n_items + i, return_index=True)
-            rows = UserRows(users, np.searchsorted(cells, np.arange(len(users) + 1) * n_items), i[at], v[at])
-            js, bs = (table[n].combine_chunks() for n in ("js", "bs"))
-            many = pc.fill_null(pc.list_value_length(js), 0).to_numpy(zero_copy_only=False)
-            code = np.repeat(row * n_items, many) + js.flatten().to_numpy()
-            yield each(rows, *_added(code, np.repeat(v, many) * bs.flatten().to_numpy()))
-
+            at = np.minimum(np.searchsorted(first, i), max(first.size - 1, 0))
+            here = first[at] == i if first.size else np.zeros(i.size, bool)
+            local = UserRows(users, starts, np.where(here, at, first.size), v)
+            lo = 0
+            for part in _in_parts(local, stripe):
+                hi = lo + len(part.users)
+                a, z = starts[lo], starts[hi]
+                yield each(UserRows(part.users, part.starts, i[a:z], v[a:z]), *_added(*stripe.products(part)))
+                lo = hi
+
+    place = np.int32 if n_items < 1 << 31 else np.int64
     return by_user.mapInArrow(task, schema)
 
 
@@ -507,8 +671,8 @@ def recommend_sparse(
 ) -> DataFrame:
     """Top ``k`` of ``S = X W`` per user for a sparse W given as (i, j, b), as (u, i, scores, rank).
 
-    Each user's row is multiplied with the model's rows in one task, to which a model above
-    ``bytes_at_most`` travels row by row, and only its k best leave the task. Items without a score count as 0 and stand in item order between positive and
+    Each user's row is multiplied with the model's rows in one task, to which of a model above
+    ``bytes_at_most`` the rows of its users' items travel, and only its k best leave the task. Items without a score count as 0 and stand in item order between positive and
     negative ones, as in a dense ranking; with ``scored_only`` they are left out. ``data.cells`` is partitioned
     and sorted by user.
     """
@@ -528,15 +692,26 @@ def recommend_sparse(
     return _beside_rows(data, weights, n_weights, best, _schema(data.cells))
 
 
-def score_pairs(data, weights: DataFrame, n_weights: int, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:
+def score_pairs(
+    data, weights: DataFrame, n_weights: int, bytes_at_most: int = BROADCAST_BYTES, own: str | None = None,
+) -> DataFrame:
     """``s_uj = sum_i v_ui * b_ij`` for every pair with a weight behind it, as (u, j, s). Made where the
-    cells are, or, with a larger model, where a user's cells meet its rows; the pairs are not shuffled."""
+    cells are, or, with a larger model, where a user's cells meet its rows; the pairs are not shuffled. ``own`` names one
+    more column: the value of the user's own cell of item j, null where there is none."""
     cells, n_items = data.cells, data.n_items
     schema = T.StructType([cells.schema["u"], T.StructField("j", T.LongType()), T.StructField("s", T.DoubleType())])
+    if own is not None:
+        schema = schema.add(own, T.DoubleType())
 
     def pairs(rows: UserRows, code: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
         row, col = np.divmod(code, n_items)
-        return pa.RecordBatch.from_arrays([rows.users.take(pa.array(row)), pa.array(col, pa.int64()), pa.array(s)], names=["u", "j", "s"])
+        found = [rows.users.take(pa.array(row)), pa.array(col, pa.int64()), pa.array(s)]
+        if own is not None:
+            cell = rows.row * n_items + rows.i
+            order = np.argsort(cell, kind="stable")
+            at = order[np.minimum(np.searchsorted(cell, code, sorter=order), cell.size - 1)] if cell.size else code
+            found.append(pa.array(rows.v[at].astype(float), pa.float64(), mask=cell[at] != code))
+        return pa.RecordBatch.from_arrays(found, names=schema.names)
 
     if not n_items:
         return cells.sparkSession.createDataFrame([], schema)

@@ -262,15 +262,17 @@ def lists_and_explode(spark, sf):
 
 def _pair_weights(spark, sf):
     """Cells of the part-level train set, their co-occurrence counts as weights, and how many."""
-    data = ease().prepare(part_split(spark, sf).train)
+    split = part_split(spark, sf)
+    data = ease().prepare(split.train)
+    split.release()
     upper = data.gram.filter(F.col("i") != F.col("j"))
     return data, both_triangles(upper).withColumnRenamed("g", "b"), 2 * upper.count()
 
 
-def _pair_scores(spark, sf):
+def _pair_scores(spark, sf, **own):
     data, weights, n_weights = _pair_weights(spark, sf)
-    scores = score_pairs(data, weights, n_weights)
-    return data, scores.select("u", F.col("j").alias("i"), rounded(F.col("s")).alias("scores"))
+    scores = score_pairs(data, weights, n_weights, **own)
+    return data, scores.select("u", F.col("j").alias("i"), rounded(F.col("s")).alias("scores"), *own.values())
 
 
 def _scored_out(data, scores) -> DataFrame:
@@ -286,8 +288,8 @@ def score_table(spark, sf):
 
 @query
 def mask_zero(spark, sf):
-    data, scores = _pair_scores(spark, sf)
-    return _scored_out(data, zero_seen(scores, data.cells, "u", "i", "v"))
+    data, scores = _pair_scores(spark, sf, own="own")
+    return _scored_out(data, zero_seen(scores, data.cells, "u", "i", "v", own="own"))
 
 
 @query

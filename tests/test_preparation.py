@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import GOLDEN, SCHEMA, rows
+from reclattice.operators import encode
 from reclattice.operators.encode import OrdinalEncoder
 from reclattice.operators.filters import binarize_rating
 from reclattice.operators.ranking import from_lists, history_lists, row_numbers
@@ -75,6 +76,21 @@ def test_encoder(spark):
     assert encoder.transform(spark.createDataFrame([("z",)], "item string")).first()[0] is None
 
 
+@pytest.mark.parametrize("kind,values", [("string", ["b", "a", "ccc"]), ("long", [70, -5, 900])])
+def test_many_values_are_looked_up_in_a_list(spark, monkeypatch, kind, values):
+    """Beyond a broadcast join, rows get their values without a shuffle; unknown indices stay without one."""
+    encoder = OrdinalEncoder("item").fit(spark.createDataFrame([(v,) for v in values], f"item {kind}"))
+    data = spark.createDataFrame([(1, 0), (2, 2), (3, None), (4, 3), (5, -1), (6, 1)], "at long, item long")
+    joined = rows(encoder.inverse_transform(data))
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 3 * 10)
+    found = encoder.inverse_transform(data)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == ["at", "item"] and rows(found) == joined
+    assert [r[1] for r in rows(found)] == [sorted(values)[0], sorted(values)[2], None, None, None, sorted(values)[1]]
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 3)
+    assert rows(encoder.inverse_transform(data)) == joined
+
+
 def test_rating_files(spark, tmp_path):
     expect = [(1, 10), (1, 11)]
     lines = [(1, 10, 5.0, 1), (1, 11, 4.0, 2), (1, 12, 1.0, 3), (2, 10, 5.0, 4)]

@@ -5,9 +5,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reclattice.models.base import laid_out
 from reclattice.operators import scoring
+from reclattice.operators.filters import without_seen, zero_seen
 from reclattice.operators.scoring import (
     FactorLists, FactorStripe, Lists, SparseStripe, UserRows, recommend_dense, recommend_factors, recommend_sparse,
     score_pairs, user_rows,
@@ -207,3 +209,87 @@ def test_a_large_sparse_model_does_not_pass_the_driver(spark, monkeypatch, data,
     assert set(pairs) == set(zip(*map(lambda c: c.tolist(), np.nonzero(touched))))
     assert np.allclose(list(pairs.values()), [(x @ w)[k] for k in pairs])
     assert not gathered
+
+
+def test_packed_weights_come_back():
+    """Wide gaps, many or few values, signed zeros, values that are no numbers."""
+    draw = np.random.default_rng(16)
+    for many in (1, 3, 4000):
+        i, j = np.sort(draw.integers(0, 40, many)), draw.integers(0, 1 << 40, many)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        for b in (draw.integers(0, 3, many) - 0.0, draw.normal(size=many), np.full(many, np.nan), np.full(many, -0.0)):
+            items, each, cols, vals = scoring.unpack_weights(pa.py_buffer(scoring.pack_weights(i, j, b)))
+            assert np.repeat(items, each).tolist() == i.tolist() and cols.tolist() == j.tolist()
+            assert (vals.view(np.int64) == b.view(np.int64)).all()
+
+
+def test_a_row_travels_once_to_a_block(spark, monkeypatch, data, x):
+    """The rows that blocks of users get are those of their items, each once, whatever the pieces."""
+    monkeypatch.setattr(scoring, "_PIECE", 7)
+    monkeypatch.setattr(scoring, "_WEIGHTS_PER_HOME", 20)
+    w = np.where(np.random.default_rng(17).random((ITEMS, ITEMS)) < 0.5, 2.5, 0.0)
+    w[4] = 0.0
+    table, n = weight_table(spark, w)
+    cells = data.cells.withColumn("block", (F.col("u") % 3).cast("int"))
+    found = []
+    for r in scoring.rows_of_blocks(cells, table, n, ITEMS, 3).collect():
+        i, each, j, b = scoring.unpack_weights(pa.py_buffer(bytes(r["packed"])))
+        found += zip([r["to"]] * j.size, np.repeat(i, each).tolist(), j.tolist(), b.tolist())
+    wanted = {(u % 3, i) for u, i in zip(*map(lambda c: c.tolist(), np.nonzero(x)))}
+    assert sorted(found) == sorted((to, i, int(j), 2.5) for to, i in wanted for j in np.flatnonzero(w[i]))
+
+
+def _masks(spark, data, table, n, at_most):
+    """Masked pairs by the column of own cells, next to those by a join; the plans of the former."""
+    plain = score_pairs(data, table, n, at_most).select("u", F.col("j").alias("i"), F.col("s").alias("scores"))
+    own = score_pairs(data, table, n, at_most, own="own").select("u", F.col("j").alias("i"), F.col("s").alias("scores"), "own")
+    zero = zero_seen(own, data.cells, "u", "i", "v", own="own"), zero_seen(plain, data.cells, "u", "i", "v")
+    gone = without_seen(own, data.cells, "u", "i", own="own"), without_seen(plain, data.cells, "u", "i")
+    return zero, gone
+
+
+def _pairs_of(df):
+    assert df.columns == ["u", "i", "scores"]
+    return sorted((r["u"], r["i"], round(r["scores"], 9)) for r in df.collect())
+
+
+def _cells_of_zero(spark):
+    """Cells of value 0 are seen, and still score."""
+    rows = [(1, 0, 2.0), (1, 1, 0.0), (2, 1, 1.0), (2, 2, -1.0), (None, 0, 1.0), (3, 3, 1.0)]
+    cells = laid_out(spark.createDataFrame(rows, "u long, i long, v double").filter("u is not null")).persist()
+    table = spark.createDataFrame([(i, j, 1.0 + i + j) for i in range(3) for j in range(3)], "i long, j long, b double")
+    return SimpleNamespace(n_items=4, n_cells=5, cells=cells), table
+
+
+@pytest.mark.parametrize("at_most", [1 << 20, 16])
+def test_zero_mask_joins_no_scores(spark, at_most):
+    data, table = _cells_of_zero(spark)
+    zero, _ = _masks(spark, data, table, 9, at_most)
+    assert "Join" not in zero[0]._jdf.queryExecution().optimizedPlan().toString()
+    found = _pairs_of(zero[0])
+    assert found == _pairs_of(zero[1]) and (1, 0, 0.0) in found and (1, 1, 4.0) in found and len(found) == 6
+
+
+@pytest.mark.parametrize("at_most", [1 << 20, 16])
+def test_removing_mask_joins_no_scores(spark, at_most):
+    data, table = _cells_of_zero(spark)
+    _, gone = _masks(spark, data, table, 9, at_most)
+    assert "Join" not in gone[0]._jdf.queryExecution().optimizedPlan().toString()
+    found = _pairs_of(gone[0])
+    assert found == _pairs_of(gone[1]) == [(1, 2, 6.0), (2, 0, -1.0)]
+
+
+@pytest.mark.parametrize("query", ["mask_zero"])
+def test_masks_of_a_large_model_shuffle_no_scores(spark, monkeypatch, query):
+    """With a model and a catalogue beyond what is joined in memory, the scored pairs meet no other table."""
+    from reclattice.operators import encode
+    from reclattice.plans import queries
+
+    wanted = sorted(tuple(r) for r in queries.QUERIES[query](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(queries, "score_pairs", lambda *a, **more: score_pairs(*a, 16, **more))
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 8 * 200)
+    df = queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("InMemoryRelation")[0]
+    assert wanted and sorted(tuple(r) for r in df.collect()) == wanted
