@@ -294,8 +294,8 @@ def mask_zero(spark, sf):
 
 @query
 def mask_remove(spark, sf):
-    data, scores = _pair_scores(spark, sf)
-    return _scored_out(data, without_seen(scores, data.cells, "u", "i"))
+    data, scores = _pair_scores(spark, sf, own="own")
+    return _scored_out(data, without_seen(scores, data.cells, "u", "i", own="own"))
 
 
 def _part_topk(spark, sf, k=TOP_K) -> DataFrame:

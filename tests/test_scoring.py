@@ -280,7 +280,7 @@ def test_removing_mask_joins_no_scores(spark, at_most):
     assert found == _pairs_of(gone[1]) == [(1, 2, 6.0), (2, 0, -1.0)]
 
 
-@pytest.mark.parametrize("query", ["mask_zero"])
+@pytest.mark.parametrize("query", ["mask_zero", "mask_remove"])
 def test_masks_of_a_large_model_shuffle_no_scores(spark, monkeypatch, query):
     """With a model and a catalogue beyond what is joined in memory, the scored pairs meet no other table."""
     from reclattice.operators import encode
