@@ -231,3 +231,35 @@ def test_words_of_several_texts_are_weighed_at_once():
     more = np.array([2, 4], np.uint64)
     memo.missing(more, len(words), lambda columns: columns[0] == 1)
     assert memo.missing(tokens.key, 100).tolist() == [i for i in range(len(words)) if i != 1]
+
+
+def test_classes_start_from_all_documents(spark):
+    """No document marked for the sample, or only those of one side: the sides are told apart all the same."""
+    draw = random.Random(24)
+    sides = [[f"{side}{i}" for i in range(20)] for side in "abc"]
+    rows = [(i, " ".join(draw.choice(sides[i % 3]) for _ in range(20))) for i in range(300)]
+    found = []
+    for start in ("false", "doc_id = 0", "doc_id % 3 = 0"):
+        documents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", f"{start} as start", "text")
+        for parts in (1, 5):
+            hashed = documents.repartition(parts).mapInArrow(scoring.hashed_words, "doc_id long, start boolean, hash array<bigint>, n array<bigint>")
+            classes = scoring.learn_classes(hashed, scoring.Settings(classes=3, marks=70))
+            found.append((classes.weight, classes.share))
+            assert np.allclose(np.exp(classes.weight), 1 / 3, atol=0.02)
+            own = [np.exp(classes.share[:, classes.places(np.array([scoring.hash_of(w.encode()) for w in side]))]).sum(axis=1) for side in sides]
+            assert sorted(np.argmax(own, axis=1)) == [0, 1, 2] and (np.max(own, axis=1) > 0.8).all()
+    # Neither the sample nor the order and the partitions of the rows matter.
+    assert all(np.allclose(f[i], found[0][i], atol=1e-5) for f in found for i in (0, 1))
+
+
+def test_marker_words_come_back_from_their_bytes():
+    draw = np.random.default_rng(25)
+    row = np.sort(draw.integers(1, 9, 50))
+    one = scoring.Marked(draw.integers(-(1 << 62), 1 << 62, 11), row, draw.integers(0, 70_000, 50), draw.integers(1, 300, 50))
+    same = scoring.Marked.unpacked(**one.packed())
+    assert all((getattr(one, k) == getattr(same, k)).all() for k in ("key", "row", "place", "n"))
+    table, soft = draw.normal(size=(70_000, 3)), draw.normal(size=(11, 3))
+    dense = np.zeros((11, 70_000))
+    np.add.at(dense, (row, one.place), one.n)
+    assert np.allclose(same.against(table), dense @ table) and np.allclose(same.mass(soft, 70_000), dense.T @ soft)
+    assert np.allclose(np.bincount(row, weights=same.unit() ** 2, minlength=11), np.bincount(row, minlength=11) > 0)
