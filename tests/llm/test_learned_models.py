@@ -252,7 +252,7 @@ def test_classes_start_from_all_documents(spark):
     assert all(np.allclose(f[i], found[0][i], atol=1e-5) for f in found for i in (0, 1))
 
 
-def test_marker_words_come_back_from_their_bytes():
+def test_marker_words_come_back_from_their_bytes(monkeypatch):
     draw = np.random.default_rng(25)
     row = np.sort(draw.integers(1, 9, 50))
     one = scoring.Marked(draw.integers(-(1 << 62), 1 << 62, 11), row, draw.integers(0, 70_000, 50), draw.integers(1, 300, 50))
@@ -262,4 +262,13 @@ def test_marker_words_come_back_from_their_bytes():
     dense = np.zeros((11, 70_000))
     np.add.at(dense, (row, one.place), one.n)
     assert np.allclose(same.against(table), dense @ table) and np.allclose(same.mass(soft, 70_000), dense.T @ soft)
+    # In matrices of a few documents at a time as in column sums.
+    few = scoring.Marked(one.key, row, one.place % 9, one.n)
+    dense, wide = np.zeros((11, 9)), draw.normal(size=(9, 20))
+    np.add.at(dense, (row, few.place), 1)
+    first = np.unique(row * 9 + few.place, return_index=True)[1]
+    few = scoring.Marked(one.key, row[first], few.place[first], dense[row[first], few.place[first]])
+    monkeypatch.setattr(scoring, "PLACES", 25)
+    assert few._multiplied(20, 9) and np.allclose(few.against(wide), dense @ wide)
+    assert np.allclose(few.mass(dense @ wide, 9), dense.T @ dense @ wide)
     assert np.allclose(np.bincount(row, weights=same.unit() ** 2, minlength=11), np.bincount(row, minlength=11) > 0)
